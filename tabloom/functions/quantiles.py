@@ -82,6 +82,15 @@ def exact_quantiles(
     return answer
 
 
+def value_at_rank(df: DataFrame, column: Column, rank: int, **limits: int) -> int | None:
+    """The ``rank``-th smallest value (0-based) of an integer column."""
+    n = df.agg(F.count(column)).first()[0]
+    if not 0 <= rank < n:
+        return None
+    found = exact_quantiles(df, {"key": (column, [rank / (n - 1) if n > 1 else 0.0])}, **limits)
+    return round(found["key"][0])
+
+
 def _narrow(df: DataFrame, open_targets: list[_Target], bracket_limit: int, accuracy: int) -> None:
     """Shrink every open range once; settle those small enough, or no longer shrinking because of ties."""
     for t in open_targets:

@@ -23,18 +23,18 @@ CLUSTERS, CLUSTER_CATEGORIES = 8, 20
 def allocation(df: DataFrame, target: str, n: int) -> DataFrame:
     """Rows per class in proportion to the real shares, at least one each: (value, real, rows)."""
     counts = class_counts(df, target)
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total), F.col("total") > 0).select(
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select(
         "value", F.col("n").alias("real"),
-        F.greatest(F.lit(1), F.bround(F.lit(n) * (F.col("n") / F.col("total")), 0).cast("long")).alias("rows"))
+        F.greatest(F.lit(1), F.bround(F.lit(n) * (F.col("n") / total), 0).cast("long")).alias("rows"))
 
 
 def balance_plan(classes: DataFrame, n: int) -> DataFrame:
-    """Split ``n`` rows evenly over the classes in text order, the first ones taking the remainder: (value, rows)."""
+    """Split ``n`` rows evenly over the classes (at most 20) in text order, the first ones taking the remainder."""
     ordered = classes.select("value").withColumn("i", F.row_number().over(Window.orderBy("value")) - 1)
-    k = classes.agg(F.count(F.lit(1)).alias("k"))
+    ordered = ordered.withColumn("k", classes.agg(F.count(F.lit(1))).scalar())
     base = F.floor(F.lit(n) / F.col("k"))
-    return ordered.join(F.broadcast(k), F.col("k") > 0).select(
+    return ordered.select(
         "value", (base + F.when(F.col("i") < F.lit(n) - base * F.col("k"), 1).otherwise(0)).alias("rows"))
 
 

@@ -47,7 +47,7 @@ def frequent_values(df: DataFrame, columns: list[str], min_share: float) -> tupl
     if not columns:
         return {}, set()
     counts = value_frequencies(df, columns)
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))  # one row per column
     shared = counts.join(F.broadcast(totals), "column").withColumn("keep", F.col("n") / F.col("total") >= min_share)
     rows = shared.groupBy("column").agg(
         F.collect_list(F.when(F.col("keep"), F.col("value"))).alias("kept"),

@@ -134,8 +134,7 @@ def dataset_profile(typed: DataFrame, hint_match: str = "token", target: str | N
 def target_classes(df: DataFrame, column: str) -> DataFrame:
     """(value, n) of a target with 2 to 20 values, otherwise no row."""
     counts = class_counts(df, column).limit(MAX_CLASSES + 1)
-    n = counts.agg(F.count(F.lit(1)).alias("k"))
-    return counts.join(F.broadcast(n), F.col("k").between(2, MAX_CLASSES)).drop("k")
+    return counts.where(counts.agg(F.count(F.lit(1))).scalar().between(2, MAX_CLASSES))
 
 
 def usability(typed: DataFrame, has_text: bool = False) -> DataFrame:
@@ -144,15 +143,15 @@ def usability(typed: DataFrame, has_text: bool = False) -> DataFrame:
     facts = typed.agg(
         F.coalesce(F.max("n_rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("cols"),
         F.max(with_null).alias("widest"), F.min(with_null).alias("narrowest"))
-    return facts.select(F.explode(F.array(
-        F.struct(F.lit("min_rows").alias("rule"), (F.col("rows") < MIN_ROWS).alias("refused"),
-                 F.lit("fewer than two rows").alias("reason")),
-        F.struct(F.lit("single_constant"), (F.col("cols") == 1) & (F.col("widest") <= 1),
-                 F.lit("a single column with one value")),
-        F.struct(F.lit("all_unique"),
-                 F.lit(not has_text) & (F.col("rows") >= MIN_UNIQUE_ROWS) & (F.col("narrowest") == F.col("rows")),
-                 F.lit("every column is unique in every row")),
-    )).alias("r")).select("r.*")
+    rules = (
+        ("min_rows", F.col("rows") < MIN_ROWS, "fewer than two rows"),
+        ("single_constant", (F.col("cols") == 1) & (F.col("widest") <= 1), "a single column with one value"),
+        ("all_unique", F.lit(not has_text) & (F.col("rows") >= MIN_UNIQUE_ROWS) & (F.col("narrowest") == F.col("rows")),
+         "every column is unique in every row"),
+    )
+    return facts.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("rule"), F.coalesce(refused, F.lit(False)).alias("refused"), F.lit(reason).alias("reason"))
+        for name, refused, reason in rules])).alias("r")).select("r.*")
 
 
 def override_target(profile, target: str, hint_match: str = "token") -> tuple[DataFrame, str | None]:

@@ -31,19 +31,15 @@ def pick_target(real: DataFrame, unique: dict[str, int], given: str | None = Non
     return (named + paired + [None])[0]
 
 
-def category_values(real: DataFrame, synthetic: DataFrame, column: str) -> list[str] | None:
-    """Sorted values of a categorical feature over both tables, or None if the real table has more than 20."""
+def category_values(real: DataFrame, column: str) -> list[str] | None:
+    """Sorted values of a categorical feature, or None if the real table has more than 20."""
     values = [r["value"] for r in class_counts(real, column).limit(MAX_CATEGORIES + 1).collect()]
-    if len(values) > MAX_CATEGORIES:
-        return None
-    known = F.col(f"`{column}`").cast("string").isin(*values)
-    extra = synthetic.where(~known).groupBy(F.col(f"`{column}`").cast("string").alias("v")).count()
-    return sorted(set(values) | {r["v"] for r in extra.select("v").limit(10 * MAX_CATEGORIES).collect()})
+    return sorted(values) if len(values) <= MAX_CATEGORIES else None
 
 
 def feature_columns(real: DataFrame, synthetic: DataFrame, target: str) -> dict[str, Column]:
-    """Feature expressions valid on both tables: numbers with gaps as 0, and one indicator per category but the
-    first of the sorted union."""
+    """Feature expressions valid on both tables: numbers with gaps as 0, and one indicator per real category but the
+    first. Categories only the synthetic table has share one indicator, so the width never depends on its data."""
     by_kind = kinds(real)
     made: dict[str, Column] = {}
     for c in real.columns:
@@ -53,9 +49,14 @@ def feature_columns(real: DataFrame, synthetic: DataFrame, target: str) -> dict[
         if by_kind[c] in (INTEGER, FLOAT, BOOLEAN):
             made[c] = F.coalesce(col.cast("double"), F.lit(0.0))
             continue
-        values = category_values(real, synthetic, c)
-        for v in (values or [])[1:]:
+        values = category_values(real, c)
+        if not values:
+            continue
+        for v in values[1:]:
             made[f"{c}_{v}"] = F.coalesce((col.cast("string") == v).cast("double"), F.lit(0.0))
+        unseen = ~col.cast("string").isin(*values)
+        if not synthetic.where(unseen).isEmpty():
+            made[f"{c}_unseen"] = F.coalesce(unseen.cast("double"), F.lit(0.0))
     return made
 
 
