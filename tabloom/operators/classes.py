@@ -134,3 +134,10 @@ def generate_pooled(df: DataFrame, columns: list[str], n: int, seed: int = 42) -
     model = fit_copula(df, columns)
     rows = sample_copula(df.sparkSession, model, {"": n}, seed).drop(GROUP)
     return Generated(rows.select("row_id", *columns), model, "copula", [])
+
+
+def plan_check(plan: DataFrame, n: int) -> DataFrame:
+    """Add to a class plan the total of its requests and whether that total replaces the ``n`` rows asked for."""
+    total = F.coalesce(plan.agg(F.sum("requested")).scalar(), F.lit(0))
+    return plan.withColumn("total_requested", total).withColumn(
+        "overrides_total", (F.col("total_requested") > 0) & (F.col("total_requested") != n))

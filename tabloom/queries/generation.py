@@ -1,3 +1,219 @@
-from tabloom.queries.common import Book
+"""Queries of row generation: bootstrap, copulas, class plans, and the whole generate run."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabloom.functions.small import small_frame
+from tabloom.operators import classes, copula
+from tabloom.operators.bootstrap import bootstrap_rows
+from tabloom.operators.copula import GRID, GROUP
+from tabloom.plans import runs
+from tabloom.queries.common import ROW_KEYS, SALES, Book, normal_sql, sales, table, union_sql, unit_sql
 
 BOOK = Book()
+SEED = 42
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "rev"]
+MODELLED = NUMBERS + ["l_returnflag", "big"]
+
+
+def _jitter(c: str, integer: bool) -> str:
+    x = f"least(greatest(b.{c} + {normal_sql(SEED, 'noise:' + c, 'd.row_id')} * ({c}_sd * 0.05e0), {c}_lo - {c}_sd), {c}_hi + {c}_sd)"
+    return f"round_even({x}, 0)::BIGINT AS {c}" if integer else f"round({x}, 6) AS {c}"
+
+
+_STATS = ", ".join(f"stddev_samp({c}) AS {c}_sd, min({c})::DOUBLE AS {c}_lo, max({c})::DOUBLE AS {c}_hi"
+                   for c in ("s_suppkey", "s_nationkey", "s_acctbal"))
+
+
+@BOOK.add("bootstrap_noise", f"""WITH base AS (SELECT *, row_number() OVER (ORDER BY md5(cast(s_suppkey AS VARCHAR)), s_suppkey) - 1 AS idx
+        FROM supplier), n AS (SELECT count(*) AS n FROM supplier), f AS (SELECT {_STATS} FROM supplier),
+    d AS (SELECT row_id, floor({unit_sql(SEED, 'pick', 'row_id')} * n)::BIGINT AS idx
+        FROM (SELECT unnest(range(2 * n)) AS row_id, n FROM n))
+    SELECT d.row_id, s_name, {_jitter('s_suppkey', True)}, {_jitter('s_nationkey', True)}, {_jitter('s_acctbal', False)}
+    FROM d JOIN base b USING (idx), f""")
+def bootstrap_noise(spark, folder):
+    supplier = table(spark, folder, "supplier")
+    rows = bootstrap_rows(supplier, 2 * supplier.count(), ["s_suppkey"], SEED)
+    return rows.withColumn("s_acctbal", F.round("s_acctbal", 6))
+
+
+def _keyed(spark, folder, group=None):
+    key = F.lit("") if group is None else F.col(group).cast("string")
+    return sales(spark, folder).withColumn(GROUP, key)
+
+
+_PROBS = "[" + ", ".join(f"{i / GRID}" for i in range(GRID + 1)) + "]"
+
+
+@BOOK.add("copula_marginals", union_sql([
+    f"""SELECT cast(big AS VARCHAR) AS class, '{c}' AS "column", unnest(range({GRID + 1}))::INTEGER AS point,
+        round(unnest(quantile_cont({c}, {_PROBS})), 4) AS value FROM {SALES} GROUP BY big""" for c in ("l_quantity", "l_extendedprice", "rev")]))
+def copula_marginals(spark, folder):
+    """Quantile grids per class."""
+    columns = ["l_quantity", "l_extendedprice", "rev"]
+    model = copula.fit_marginals(_keyed(spark, folder, "big"), columns, [], exact=True)
+    rows = [(g, c, i, v) for g, ms in model.groups.items() for c in columns for i, v in enumerate(ms[c].grid)]
+    return small_frame(spark, rows, "class string, column string, point int, value double").withColumn("value", F.round("value", 4))
+
+
+@BOOK.add("copula_categories", f"""WITH c AS (SELECT cast(big AS VARCHAR) AS class, l_returnflag AS value, count(*) AS n FROM {SALES} GROUP BY ALL)
+    SELECT class, value, round(sum(n) OVER (PARTITION BY class ORDER BY n DESC, value)
+        / sum(n) OVER (PARTITION BY class), 9)::DOUBLE AS upper FROM c""")
+def copula_categories(spark, folder):
+    """Cumulative category shares per class."""
+    model = copula.fit_marginals(_keyed(spark, folder, "big"), [], ["l_returnflag"])
+    rows = [(g, v, u) for g, ms in model.groups.items() for v, u in zip(ms["l_returnflag"].values, ms["l_returnflag"].upper)]
+    return small_frame(spark, rows, "class string, value string, upper double").withColumn("upper", F.round("upper", 9))
+
+
+def _knots(name: str, c: str) -> str:
+    return f"""{name} AS (SELECT kx, ku, lead(kx) OVER (ORDER BY kx) AS nx, lead(ku) OVER (ORDER BY kx) AS nu FROM (
+        SELECT v AS kx, avg(i) / {GRID} AS ku FROM (SELECT unnest(range({GRID + 1})) AS i, unnest(quantile_cont({c}, {_PROBS})) AS v
+        FROM {SALES}) GROUP BY v))"""
+
+
+def _score_sql(u: str) -> str:
+    def poly(coefficients, x):
+        text = repr(coefficients[0])
+        for k in coefficients[1:]:
+            text = f"({text} * {x} + {k!r})"
+        return text
+
+    from tabloom.functions.gaussian import INV_A, INV_B, INV_C, INV_D
+    p = f"least(greatest({u}, 1e-6), 1 - 1e-6)"
+    q, t = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    tail = f"({poly(INV_C, t)} / {poly(INV_D + (1.0,), t)})"
+    return f"""CASE WHEN {p} < 0.02425 THEN {tail} WHEN {p} > 1 - 0.02425 THEN -{tail}
+        ELSE {poly(INV_A, f'({q} * {q})')} * {q} / {poly(INV_B + (1.0,), f'({q} * {q})')} END"""
+
+
+_LINKED = ["l_extendedprice", "l_discount", "rev"]
+_UNITS = ", ".join(f"coalesce(k{i}.ku + (k{i}.nu - k{i}.ku) * ((s.{c} - k{i}.kx) / (k{i}.nx - k{i}.kx)), k{i}.ku) AS u{i}"
+                   for i, c in enumerate(_LINKED))
+
+
+@BOOK.add("copula_correlation", f"""WITH {', '.join(_knots(f'k{i}', c) for i, c in enumerate(_LINKED))},
+    u AS (SELECT {_UNITS} FROM {SALES} s {' '.join(f'ASOF JOIN k{i} ON s.{c} >= k{i}.kx' for i, c in enumerate(_LINKED))}),
+    z AS (SELECT {', '.join(f'{_score_sql(f"u{i}")} AS z{i}' for i in range(3))} FROM u)
+    {union_sql([f"SELECT '{_LINKED[i]}' AS a, '{_LINKED[j]}' AS b, round(corr(z{i}, z{j}), 5) AS corr FROM z" for i in range(3) for j in range(i + 1, 3)])}""")
+def copula_correlation(spark, folder):
+    """Correlation of normal scores, found task by task from sums of products."""
+    rows = _keyed(spark, folder)
+    model = copula.fit_dependence(rows, copula.fit_marginals(rows, _LINKED, [], exact=True))
+    r = model.correlation[""]
+    pairs = [(_LINKED[i], _LINKED[j], float(r[i, j])) for i in range(3) for j in range(i + 1, 3)]
+    return small_frame(spark, pairs, "a string, b string, corr double").withColumn("corr", F.round("corr", 5))
+
+
+def _ready(spark, folder):
+    return sales(spark, folder).withColumn("big", F.col("big").cast("string"))
+
+
+@BOOK.add("copula_sample")
+def copula_sample(spark, folder):
+    rows = _ready(spark, folder)
+    return classes.generate_pooled(rows, MODELLED, rows.count(), SEED).rows
+
+
+@BOOK.add("mixture_copula")
+def mixture_copula(spark, folder):
+    rows = _ready(spark, folder)
+    return classes.generate_mixture(rows, MODELLED, rows.count(), seed=SEED).rows
+
+
+@BOOK.add("conditional_sample")
+def conditional_sample(spark, folder):
+    rows = sales(spark, folder)
+    return classes.generate_conditional(rows, MODELLED, "big", rows.count(), SEED).rows
+
+
+@BOOK.add("per_class_generate")
+def per_class_generate(spark, folder):
+    rows = sales(spark, folder)
+    half = rows.count() // 2
+    return classes.generate_per_class(rows, MODELLED, "big", {"0": half, "1": half}, SEED).rows
+
+
+@BOOK.add("conditional_sample_counts", f"""SELECT big, greatest(1, round_even(1000 * (count(*) / (SELECT count(*) FROM lineitem)), 0))::BIGINT AS n
+    FROM {SALES} GROUP BY big""")
+def conditional_sample_counts(spark, folder):
+    made = classes.generate_conditional(sales(spark, folder), MODELLED, "big", 1000, SEED)
+    return made.rows.groupBy("big").agg(F.count(F.lit(1)).alias("n"))
+
+
+@BOOK.add("per_class_counts", """SELECT o_orderstatus, count(*) // 3 AS n, sum((o_totalprice BETWEEN lo AND hi)::INTEGER) // 3 AS inside
+    FROM orders JOIN (SELECT o_orderstatus, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1) USING (o_orderstatus)
+    GROUP BY 1""")
+def per_class_counts(spark, folder):
+    """Exact counts per class, and every generated price inside its own class's real range."""
+    orders = table(spark, folder, "orders")
+    real = orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("lo"),
+                                               F.max("o_totalprice").alias("hi"))
+    wanted = {r["o_orderstatus"]: r["n"] // 3 for r in real.collect()}
+    made = classes.generate_per_class(orders, ["o_totalprice", "o_orderpriority", "o_orderstatus"], "o_orderstatus", wanted, SEED)
+    return made.rows.join(F.broadcast(real.drop("n")), "o_orderstatus").groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice").between(F.col("lo"), F.col("hi"))).alias("inside"))
+
+
+@BOOK.add("conditional_allocation", """SELECT o_orderpriority AS value, count(*) AS real,
+    greatest(1, round_even(777 * (count(*) / (SELECT count(*) FROM orders)), 0))::BIGINT AS "rows" FROM orders GROUP BY 1""")
+def conditional_allocation(spark, folder):
+    return classes.allocation(table(spark, folder, "orders"), "o_orderpriority", 777)
+
+
+_REQUEST = {"0-0": 50, "0-1": 30, "1-0": 100, "1-1": 20, "9-9": 5, "8-8": 0}
+_PLAN_SQL = f"""SELECT r.value, r.requested::BIGINT AS requested, coalesce(n, 0) AS real_examples, coalesce(n, 0) < 10 AS skipped
+    FROM (VALUES {', '.join(f"('{v}', {n})" for v, n in _REQUEST.items() if n)}) r(value, requested)
+    LEFT JOIN (SELECT quality || '-' || toxic AS value, count(*) AS n FROM labels GROUP BY 1) USING (value)"""
+
+
+def _class_plan(spark, folder):
+    rows = table(spark, folder, "labels").withColumn("pair", F.concat_ws("-", "quality", "toxic"))
+    return classes.class_plan(rows, "pair", _REQUEST)
+
+
+@BOOK.add("class_plan", _PLAN_SQL)
+def class_plan(spark, folder):
+    return _class_plan(spark, folder)
+
+
+@BOOK.add("class_plan_check", f"""SELECT *, (sum(requested) OVER ())::BIGINT AS total_requested,
+    sum(requested) OVER () <> 500 AS overrides_total FROM ({_PLAN_SQL})""")
+def class_plan_check(spark, folder):
+    return classes.plan_check(_class_plan(spark, folder), 500)
+
+
+@BOOK.add("balance_plan", """WITH c AS (SELECT DISTINCT o_orderpriority AS value FROM orders),
+    o AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS k FROM c)
+    SELECT value, (1003 // k + CASE WHEN i < 1003 % k THEN 1 ELSE 0 END)::BIGINT AS "rows" FROM o""")
+def balance_plan(spark, folder):
+    from tabloom.operators.inference import target_classes
+    return classes.balance_plan(target_classes(table(spark, folder, "orders"), "o_orderpriority"), 1003)
+
+
+@BOOK.add("generate_rows")
+def generate_rows(spark, folder):
+    """The whole run on orders: profile, fix, clean, fit, sample, repair."""
+    orders = table(spark, folder, "orders")
+    return runs.generate_rows(orders, orders.count(), ["o_orderkey"], fix_list="all", seed=SEED).rows
+
+
+@BOOK.add("generate_rows_tiny")
+def generate_rows_tiny(spark, folder):
+    """A table below fifty rows takes the bootstrap route."""
+    nation = table(spark, folder, "nation")
+    return runs.generate_rows(nation, 2 * nation.count(), ["n_nationkey"], seed=SEED).rows
+
+
+@BOOK.add("generate_and_score")
+def generate_and_score(spark, folder):
+    """Lineitem cleaned, rows generated per revenue class, and the quality of every column."""
+    rows = sales(spark, folder).drop("price_cents").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate", "rev", "big")
+    keys = [k for k in ROW_KEYS if k in rows.columns]
+    half = rows.count() // 2
+    run = runs.generate_rows(rows, 2 * half, keys, class_counts={"0": half, "1": half}, seed=SEED)
+    scores = runs.score_run(run, SEED, with_models=False)
+    return scores.columns.withColumns({k: F.lit(scores.realism.first()[k]) for k in ("statistical_score", "coverage_score")})
