@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.small import small_frame
 
-VALUE_BUDGET = 2_000_000
+VALUE_BUDGET = 500_000
 BRACKET_LIMIT = 100_000
 ACCURACY = 10_000
 
@@ -99,14 +99,20 @@ def _narrow(df: DataFrame, open_targets: list[_Target], bracket_limit: int, accu
     if not work:
         return
     slack = 2.0 / accuracy
-    sketches = df.agg(*[
-        F.percentile_approx(
-            F.when(t.value.between(t.low, t.high), t.value),
-            [max(0.0, (t.first - t.below) / t.inside - slack), min(1.0, (t.last - t.below + 1) / t.inside + slack)],
-            accuracy,
-        ).alias(f"t{i}")
-        for i, t in enumerate(work)
+
+    def ends(t: _Target) -> list[float]:
+        return [max(0.0, (t.first - t.below) / t.inside - slack), min(1.0, (t.last - t.below + 1) / t.inside + slack)]
+
+    # Targets that still search the same range of one expression share a sketch.
+    shared: dict[tuple, list[int]] = {}
+    for i, t in enumerate(work):
+        shared.setdefault((t.name, t.low, t.high), []).append(i)
+    row = df.agg(*[
+        F.percentile_approx(F.when(work[g[0]].value.between(work[g[0]].low, work[g[0]].high), work[g[0]].value),
+                            [p for i in g for p in ends(work[i])], accuracy).alias(f"s{k}")
+        for k, g in enumerate(shared.values())
     ]).first()
+    sketches = {f"t{i}": row[f"s{k}"][2 * j:2 * j + 2] for k, g in enumerate(shared.values()) for j, i in enumerate(g)}
     checks = df.agg(
         *[F.count_if(t.value < sketches[f"t{i}"][0]).alias(f"b{i}") for i, t in enumerate(work)],
         *[F.count_if(t.value.between(*sketches[f"t{i}"])).alias(f"m{i}") for i, t in enumerate(work)],

@@ -14,10 +14,12 @@ from tabloom.functions.small import small_frame
 from tabloom.operators.copula import (GROUP, CopulaModel, fit_copula, proportional_counts, sample_copula)
 from tabloom.operators.frequencies import class_counts
 from tabloom.operators.numeric import numeric_facts
+from tabloom.session import spread
 
 # Least number of real rows a class needs.
 MIN_CLASS_ROWS = 10
 CLUSTERS, CLUSTER_CATEGORIES = 8, 20
+MAX_CLASS_MODELS = 1000
 
 
 def allocation(df: DataFrame, target: str, n: int) -> DataFrame:
@@ -74,8 +76,11 @@ def generate_per_class(df: DataFrame, columns: list[str], target: str, counts: d
 
 def generate_conditional(df: DataFrame, columns: list[str], target: str, n: int, seed: int = 42) -> Generated:
     """Rows per class in proportion to the real shares. Classes with enough rows have their own model; the rest
-    share one pooled model whose target value is overwritten."""
-    plan = {r["value"]: (r["real"], r["rows"]) for r in allocation(df, target, n).collect()}
+    share one pooled model whose target value is overwritten. A target of very many values is no class any more: it is
+    modelled as one more column, without a plan per value."""
+    plan = {r["value"]: (r["real"], r["rows"]) for r in allocation(df, target, n).limit(MAX_CLASS_MODELS + 1).collect()}
+    if len(plan) > MAX_CLASS_MODELS:
+        return generate_pooled(df, columns, n, seed)
     large = [v for v, (real, _) in plan.items() if real >= MIN_CLASS_ROWS]
     key, others = F.col(f"`{target}`").cast("string"), [c for c in columns if c != target]
     small = [v for v in plan if v not in large]
@@ -114,18 +119,20 @@ def cluster_rows(df: DataFrame, columns: list[str], k: int = CLUSTERS, seed: int
     features = list(made)
     if not features:
         return df.withColumn("cluster", F.lit(0))
-    ready = df.withColumns(made)
-    ready = VectorAssembler(inputCols=features, outputCol="_raw").transform(ready)
+    ready = VectorAssembler(inputCols=features, outputCol="_raw").transform(spread(df.withColumns(made))).drop(*features)
     scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True).fit(ready)
     scaled = scaler.transform(ready)
     model = KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="cluster", maxIter=10).fit(scaled)
-    return model.transform(scaled).drop("_raw", "_scaled", *features)
+    return model.transform(scaled).drop("_raw", "_scaled")
 
 
 def generate_mixture(df: DataFrame, columns: list[str], n: int, k: int = CLUSTERS, seed: int = 42) -> Generated:
     """A copula per cluster, which follows several modes and shapes a single copula cannot."""
-    clustered = cluster_rows(df, columns, k, seed)
-    model = fit_copula(clustered, columns, group=F.col("cluster"))
+    clustered = cluster_rows(df.select(*[F.col(f"`{c}`") for c in columns]), columns, k, seed).persist()
+    try:
+        model = fit_copula(clustered, columns, group=F.col("cluster"))
+    finally:
+        clustered.unpersist()
     rows = sample_copula(df.sparkSession, model, proportional_counts(model.sizes, n), seed).drop(GROUP)
     return Generated(rows.select("row_id", *columns), model, "mixture", [])
 

@@ -11,6 +11,7 @@ from tabloom.operators.fixes import number_like
 from tabloom.operators.frequencies import frequent_values, modes
 from tabloom.operators.profile import (CATEGORICAL_HIGH, CATEGORICAL_LOW, CONTINUOUS, DATETIME, DISCRETE, ID_COLUMN,
                                        TableProfile, parse_time)
+from tabloom.session import working_copy
 
 # Categories below this share of the rows are merged under one name.
 RARE_SHARE, OTHER = 0.01, "Other"
@@ -93,7 +94,11 @@ def group_rare(df: DataFrame, columns: list[str], min_share: float = RARE_SHARE)
 
 def auto_clean(df: DataFrame, profile: TableProfile, target: str | None = None) -> DataFrame:
     """The whole cleaning pass. Rare classes of ``target`` are kept apart, since they are what is to be learned."""
-    df = drop_identifiers(df, profile)
+    with working_copy(drop_identifiers(df, profile)) as rows:
+        return _clean(rows, profile, target)
+
+
+def _clean(df: DataFrame, profile: TableProfile, target: str | None) -> DataFrame:
     df = drop_empty(df)
     dates = [c for c, t in profile.types.items() if t == DATETIME]
     df = fill_by_type(df, profile)

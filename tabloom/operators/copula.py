@@ -24,6 +24,7 @@ from tabloom.functions import draws, gaussian
 from tabloom.functions.kinds import FLOAT, INTEGER, kinds
 from tabloom.functions.quantiles import VALUE_BUDGET
 from tabloom.operators.moments import pairwise_correlation
+from tabloom.session import working_copy
 
 GRID = 100
 ACCURACY = 10_000
@@ -154,7 +155,8 @@ def score_input(df: DataFrame, model: CopulaModel) -> DataFrame:
 
 def fit_dependence(df: DataFrame, model: CopulaModel) -> CopulaModel:
     """Correlation of the normal scores per group. Each task sums products of its own rows; only those sums move."""
-    for group, matrix in pairwise_correlation(score_input(df, model), ScoreTask(model), len(model.columns), GROUP).items():
+    found = pairwise_correlation(score_input(df, model), ScoreTask(model), len(model.columns), GROUP, list(model.groups))
+    for group, matrix in found.items():
         set_dependence(model, group, matrix)
     return model
 
@@ -177,7 +179,8 @@ def fit_copula(df: DataFrame, columns: list[str], group: Column | None = None) -
     categorical = [c for c in columns if c not in numeric]
     keyed = df.select(*[F.col(f"`{c}`") for c in columns],
                       (F.lit("") if group is None else group.cast("string")).alias(GROUP)).where(F.col(GROUP).isNotNull())
-    return fit_dependence(keyed, fit_marginals(keyed, numeric, categorical))
+    with working_copy(keyed) as rows:
+        return fit_dependence(rows, fit_marginals(rows, numeric, categorical))
 
 
 class SampleTask:

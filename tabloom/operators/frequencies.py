@@ -14,16 +14,16 @@ def _cell(name: str, kind: str) -> Column:
     col = F.col(f"`{name}`")
     text = F.lit(None).cast("string") if kind == FLOAT else col.cast("string")
     number = col.cast("double") if kind in (FLOAT, INTEGER) else F.lit(None).cast("double")
-    return F.struct(text.alias("value"), number.alias("number")).alias(name)
+    return F.struct(F.lit(name).alias("column"), text.alias("value"), number.alias("number"))
 
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Counts per distinct value of every given column in one scan; counts combine before the shuffle."""
     by_kind = kinds(df)
     columns = columns or df.columns
-    long = df.select(*[_cell(c, by_kind[c]) for c in columns]).unpivot([], columns, "column", "cell")
+    cells = F.array(*[_cell(c, by_kind[c]) for c in columns])
     return (
-        long.select("column", "cell.value", "cell.number")
+        df.select(F.explode(cells).alias("cell")).select("cell.*")
         .where(F.col("value").isNotNull() | F.col("number").isNotNull())
         .groupBy("column", "value", "number")
         .agg(F.count(F.lit(1)).alias("n"))

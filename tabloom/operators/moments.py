@@ -78,10 +78,9 @@ def pairwise_moments(df: DataFrame, score: Callable, group: str) -> DataFrame:
         (F.col("n") > 1) & (var_a > floor) & (var_b > floor), cov / F.sqrt(var_a) / F.sqrt(var_b)).alias("corr"))
 
 
-def pairwise_correlation(df: DataFrame, score: Callable, width: int, group: str) -> dict[str, np.ndarray]:
+def pairwise_correlation(df: DataFrame, score: Callable, width: int, group: str, groups: list[str]) -> dict[str, np.ndarray]:
     """Correlation matrix per group, 0 where undefined (a width x width matrix per group reaches the driver)."""
-    matrices: dict[str, np.ndarray] = {
-        r[group]: np.eye(width) for r in df.select(group).distinct().collect()}
+    matrices = {g: np.eye(width) for g in groups}
     for r in pairwise_moments(df, score, group).collect():
         value = max(-1.0, min(1.0, r["corr"])) if r["corr"] is not None else 0.0
         matrices[r["grp"]][r["a"], r["b"]] = matrices[r["grp"]][r["b"], r["a"]] = value

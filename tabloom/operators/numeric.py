@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.kinds import INTEGER, kinds, numeric_columns
 
+SCAN_WIDTH = 6
+
 
 @dataclass(frozen=True)
 class Facts:
@@ -36,20 +38,22 @@ class Facts:
 
 
 def numeric_facts(df: DataFrame, columns: list[str] | None = None) -> dict[str, Facts]:
-    """Two scans for any number of columns: moments and extremes, then values strictly between the extremes."""
+    """Moments and extremes a few columns at a time (see ``profile.SCAN_WIDTH``), then values strictly between them."""
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return {}
     by_kind = kinds(df)
     x = {c: F.col(f"`{c}`").cast("double") for c in columns}
     finite = {c: F.when(~F.isnan(x[c]) & (F.abs(x[c]) != F.lit(float("inf"))), x[c]) for c in columns}
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(columns):
-        v = finite[c]
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.skewness(v).alias(f"k{i}"),
-                 F.bool_and(v == F.floor(v)).alias(f"w{i}")]
-    row = df.agg(*aggs).first()
+    row: dict = {}
+    for start in range(0, len(columns), SCAN_WIDTH):
+        aggs = [F.count(F.lit(1)).alias("rows")]
+        for i, c in list(enumerate(columns))[start:start + SCAN_WIDTH]:
+            v = finite[c]
+            aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
+                     F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.skewness(v).alias(f"k{i}"),
+                     F.bool_and(v == F.floor(v)).alias(f"w{i}")]
+        row.update(df.agg(*aggs).first().asDict())
     inner = df.agg(*[
         F.count_if((finite[c] > F.lit(row[f"lo{i}"])) & (finite[c] < F.lit(row[f"hi{i}"]))).alias(f"b{i}")
         for i, c in enumerate(columns)

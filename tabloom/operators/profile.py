@@ -1,24 +1,28 @@
-"""Column profile: one row per column, computed in a fixed number of scans whatever the column count.
+"""Column profile: one row per column, from a few kinds of scans whatever the column count.
 
-Scan 1 takes counts, moments, extremes and a distinct-count sketch of all columns. Scan 2 counts values exactly:
-columns the sketch calls small share one unpivoted aggregation, each large one reads only its own column.
-Scan 3 counts outliers with the limits found before. Only per-column numbers reach the driver.
+First counts, moments, extremes and distinct-count sketches. Then exact counts of values: columns the sketch calls
+small share one unpivoted aggregation, which also yields their quantiles; each large one reads only its own column and
+gets its quantiles by bracketing. Last, outliers with the limits found before. Only per-column numbers reach the driver.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.kinds import (BOOLEAN, FLOAT, INTEGER, STRING, TEMPORAL, flat_table, kinds, name_matches)
 from tabloom.functions.quantiles import exact_quantiles
 from tabloom.functions.small import small_frame
 from tabloom.operators.frequencies import value_frequencies
+from tabloom.session import working_copy
 
 SMALL_VOCABULARY = 10_000
-SCAN_WIDTH = 60
+# Aggregates of about this many columns still compile to methods the JVM optimises; wider ones ran several times slower.
+# Each batch reads its own columns only, so a columnar table is read once whatever the width.
+SCAN_WIDTH = 6
 
 # Column types.
 CONTINUOUS, DISCRETE = "numerical_continuous", "numerical_discrete"
@@ -26,7 +30,7 @@ CATEGORICAL_LOW, CATEGORICAL_HIGH = "categorical_low", "categorical_high"
 BOOLEAN_TYPE, DATETIME, ID_COLUMN = "boolean", "datetime", "id_column"
 
 # Limits of the column rules.
-ID_SHARE, ID_MIN_ROWS, HIGH_SHARE, DISCRETE_VALUES, SIGMAS, IQR_FENCE = 0.95, 20, 0.5, 20, 3.0, 1.5
+ID_SHARE, ID_MIN_ROWS, HIGH_SHARE, DISCRETE_VALUES, SIGMAS, IQR_FENCE, ZERO_SHARE = 0.95, 20, 0.5, 20, 3.0, 1.5, 0.10
 
 # Text pairs read as booleans, and name words hinting at dates.
 BOOLEAN_TEXTS = ("yes", "no", "true", "false")
@@ -51,12 +55,13 @@ def _batches(items: list, size: int) -> list[list]:
 
 
 def _first_scan(df: DataFrame, by_kind: dict[str, str]) -> dict[str, dict]:
+    """Counts, moments and extremes in compiled aggregates; the distinct-count sketches, which are not compiled, apart."""
     facts: dict[str, dict] = {}
     for batch in _batches(list(by_kind), SCAN_WIDTH):
         wanted: list[Column] = [F.count(F.lit(1)).alias("rows")]
         for i, c in enumerate(batch):
             col, kind = F.col(f"`{c}`"), by_kind[c]
-            wanted += [F.count(col).alias(f"n{i}"), F.approx_count_distinct(col, 0.02).alias(f"d{i}")]
+            wanted.append(F.count(col).alias(f"n{i}"))
             if kind in (INTEGER, FLOAT):
                 x = col.cast("double")
                 wanted += [F.count_if(col == 0).alias(f"z{i}"), F.avg(x).alias(f"m{i}"),
@@ -65,29 +70,73 @@ def _first_scan(df: DataFrame, by_kind: dict[str, str]) -> dict[str, dict]:
                 wanted += [F.min(col).alias(f"lt{i}"), F.max(col).alias(f"ht{i}")]
         row = df.agg(*wanted).first().asDict()
         for i, c in enumerate(batch):
-            facts[c] = {"n_rows": row["rows"], "present": row[f"n{i}"], "sketch": row[f"d{i}"],
+            facts[c] = {"n_rows": row["rows"], "present": row[f"n{i}"],
                         "num_zeros": row.get(f"z{i}", 0), "mean": row.get(f"m{i}"), "std": row.get(f"s{i}"),
                         "low": row.get(f"lo{i}"), "high": row.get(f"hi{i}"),
                         "low_text": row.get(f"lt{i}"), "high_text": row.get(f"ht{i}")}
+    sketches = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(by_kind)]).first()
+    for i, c in enumerate(by_kind):
+        facts[c]["sketch"] = sketches[f"d{i}"]
     return facts
 
 
-def _distinct_counts(df: DataFrame, facts: dict[str, dict]) -> DataFrame:
-    """(column, num_unique, top_count), exact for every column."""
-    small = [c for c, f in facts.items() if f["sketch"] <= SMALL_VOCABULARY]
-    large = [c for c in facts if c not in small]
-    totals = (F.count(F.lit(1)).alias("num_unique"), F.max("n").alias("top_count"))
-    parts = []
-    if small:
-        parts.append(value_frequencies(df, small).groupBy("column").agg(*totals))
-    for c in large:
-        counted = df.select(F.col(f"`{c}`").alias("v")).where("v is not null").groupBy("v").agg(
-            F.count(F.lit(1)).alias("n"))
-        parts.append(counted.agg(*totals).select(F.lit(c).alias("column"), "num_unique", "top_count"))
-    answer = parts[0]
-    for p in parts[1:]:
-        answer = answer.unionByName(p)
-    return answer
+def _needed_ranks(fact: dict) -> dict[str, tuple[int, float]]:
+    """Quantiles the issue rules read: quartiles, and the non-zero median of a zero-inflated column, as
+    (how many values, probability)."""
+    wanted = {"q1": (fact["present"], 0.25), "q3": (fact["present"], 0.75)}
+    if fact["num_zeros"] > fact["n_rows"] * ZERO_SHARE:
+        wanted["nonzero_median"] = (fact["present"] - fact["num_zeros"], 0.5)
+    return {k: v for k, v in wanted.items() if v[0] > 0}
+
+
+def _small_columns(df: DataFrame, columns: list[str], facts: dict[str, dict], numeric: list[str]) -> None:
+    """Exact distinct counts, top counts and quantiles of columns with few values, all from one frequency table."""
+    targets = []
+    for c in columns:
+        if c in numeric:
+            for name, (n, p) in _needed_ranks(facts[c]).items():
+                at = p * (n - 1)
+                targets.append((c, name, math.floor(at), math.ceil(at), name == "nonzero_median"))
+    counts = value_frequencies(df, columns)
+    running = Window.partitionBy("column").orderBy("number")
+    nonzero = F.when(F.col("number") != 0, F.col("n")).otherwise(0)
+    ranked = counts.withColumns({"upto": F.sum("n").over(running), "upto_nonzero": F.sum(nonzero).over(running)})
+    aggs = [F.count(F.lit(1)).alias("num_unique"), F.max("n").alias("top_count")]
+    for i, (c, _, first, last, skip_zero) in enumerate(targets):
+        upto = F.col("upto_nonzero" if skip_zero else "upto")
+        usable = (F.col("column") == c) & (F.lit(not skip_zero) | (F.col("number") != 0))
+        aggs += [F.min(F.when(usable & (upto > rank), F.col("number"))).alias(f"{end}{i}")
+                 for end, rank in (("a", first), ("b", last))]
+    for r in ranked.groupBy("column").agg(*aggs).collect():
+        fact = facts[r["column"]]
+        fact.update(num_unique=r["num_unique"], top_count=r["top_count"])
+        for i, (c, name, first, _, _) in enumerate(targets):
+            if c == r["column"]:
+                n, p = _needed_ranks(fact)[name]
+                fact[name] = r[f"a{i}"] + (r[f"b{i}"] - r[f"a{i}"]) * (p * (n - 1) - first)
+
+
+def _large_columns(df: DataFrame, columns: list[str], facts: dict[str, dict], numeric: list[str]) -> None:
+    """Columns with many values: each is counted on its own, reading nothing else; quantiles by bracketing."""
+    parts = None
+    for c in columns:
+        counted = df.select(F.col(f"`{c}`").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        one = counted.agg(F.count(F.lit(1)).alias("num_unique"), F.max("n").alias("top_count")).withColumn("column", F.lit(c))
+        parts = one if parts is None else parts.unionByName(one)
+    for r in parts.collect() if parts is not None else []:
+        facts[r["column"]].update(num_unique=r["num_unique"], top_count=r["top_count"])
+    wanted: dict[str, tuple[Column, list[float]]] = {}
+    for c in columns:
+        if c in numeric:
+            x = F.col(f"`{c}`").cast("double")
+            wanted[c] = (x, [0.25, 0.75])
+            if "nonzero_median" in _needed_ranks(facts[c]):
+                wanted[f"{c}\0nonzero"] = (F.when(x != 0, x), [0.5])
+    found = exact_quantiles(df, wanted)
+    for c in columns:
+        if c in numeric:
+            facts[c]["q1"], facts[c]["q3"] = found[c]
+            facts[c]["nonzero_median"] = found.get(f"{c}\0nonzero", [None])[0]
 
 
 def datetime_formats(df: DataFrame, columns: list[str], ends: dict[str, tuple[str, str]] | None = None) -> dict[str, str]:
@@ -132,32 +181,32 @@ def parse_time(column: str, layout: str) -> Column:
 def profile_frame(df: DataFrame) -> DataFrame:
     """Raw facts of every scalar column as a small DataFrame (one row per column, in column order)."""
     df, _ = flat_table(df)
+    with working_copy(df) as copy:
+        return small_frame(df.sparkSession, _profile_rows(copy), FRAME_SCHEMA)
+
+
+def _profile_rows(df: DataFrame) -> list[tuple]:
     by_kind = kinds(df)
     facts = _first_scan(df, by_kind)
-    for r in _distinct_counts(df, facts).collect():
-        facts[r["column"]].update(num_unique=r["num_unique"], top_count=r["top_count"])
+    numeric = [c for c, k in by_kind.items() if k in (INTEGER, FLOAT)]
+    small = [c for c, f in facts.items() if 0 < f["sketch"] <= SMALL_VOCABULARY]
+    large = [c for c, f in facts.items() if f["sketch"] > SMALL_VOCABULARY]
+    if small:
+        _small_columns(df, small, facts, numeric)
+    if large:
+        _large_columns(df, large, facts, numeric)
     texts = [c for c, k in by_kind.items() if k == STRING and facts[c]["present"]]
     layouts = datetime_formats(df, texts, {c: (facts[c]["low_text"], facts[c]["high_text"]) for c in texts})
 
-    numeric = [c for c, k in by_kind.items() if k in (INTEGER, FLOAT)]
-    wanted: dict[str, tuple[Column, list[float]]] = {}
-    for c in numeric:
-        x = F.col(f"`{c}`").cast("double")
-        wanted[c] = (x, [0.25, 0.75])
-        if facts[c]["num_zeros"]:
-            wanted[f"{c}\0nonzero"] = (F.when(x != 0, x), [0.5])
-    quartiles = exact_quantiles(df, wanted)
     outliers = []
     for c in numeric:
         f, x = facts[c], F.col(f"`{c}`").cast("double")
-        f["q1"], f["q3"] = quartiles[c]
-        f["nonzero_median"] = quartiles.get(f"{c}\0nonzero", [None])[0]
         if f["std"] and f["std"] > 0:
             outliers.append((c, "num_outliers", F.abs(x - F.lit(f["mean"])) > F.lit(SIGMAS * f["std"])))
         if f["present"] >= 4 and f["q3"] > f["q1"]:
             reach = IQR_FENCE * (f["q3"] - f["q1"])
             outliers.append((c, "num_iqr_outliers", (x < F.lit(f["q1"] - reach)) | (x > F.lit(f["q3"] + reach))))
-    for batch in _batches(outliers, 4 * SCAN_WIDTH):
+    for batch in _batches(outliers, 8 * SCAN_WIDTH):
         row = df.agg(*[F.count_if(cond).alias(f"o{i}") for i, (_, _, cond) in enumerate(batch)]).first()
         for i, (c, field, _) in enumerate(batch):
             facts[c][field] = row[f"o{i}"]
@@ -170,7 +219,7 @@ def profile_frame(df: DataFrame) -> DataFrame:
                      f.get("top_count", 0), f.get("num_outliers", 0), f.get("q1"), f.get("q3"),
                      f.get("num_iqr_outliers", 0), f.get("nonzero_median"), layouts.get(c),
                      name_matches(c, DATE_WORDS, "substring")))
-    return small_frame(df.sparkSession, rows, FRAME_SCHEMA)
+    return rows
 
 
 def share(part: str, digits: int = 1) -> Column:

@@ -12,11 +12,13 @@ from tabloom.functions import draws
 from tabloom.functions.kinds import BOOLEAN, FLOAT, INTEGER, kinds, numeric_columns
 from tabloom.functions.small import small_frame
 from tabloom.operators.frequencies import class_counts
+from tabloom.session import spread
 
 # Target names, forest size, test share and limits.
 TARGET_NAMES = ("target", "label", "class", "outcome", "y", "output", "result")
 TREES, SEED, TEST_SHARE, MAX_CATEGORIES, MIN_ROWS = 50, 42, 0.3, 20, 10
 WEAK_R2, WEAK_MARGIN, LOW_SCORE = 10.0, 2.0, 30.0
+MAX_LABELS = 100  # what the forest accepts
 
 RESULT = """available boolean, reason string, target_column string, is_regression boolean, real_score double,
     synth_score double, majority_rate double"""
@@ -61,9 +63,9 @@ def feature_columns(real: DataFrame, synthetic: DataFrame, target: str) -> dict[
 
 
 def label_index(real: DataFrame, synthetic: DataFrame, target: str) -> DataFrame:
-    """(value, label): every target value of either table, numbered in text order."""
+    """(value, label): every target value of either table, numbered in text order (one more than 100 at most)."""
     both = class_counts(real, target).select("value").union(class_counts(synthetic, target).select("value")).distinct()
-    values = sorted(r["value"] for r in both.collect())
+    values = sorted(r["value"] for r in both.limit(MAX_LABELS + 1).collect())
     return small_frame(real.sparkSession, [(v, float(i)) for i, v in enumerate(values)], "value string, label double")
 
 
@@ -109,18 +111,21 @@ def tstr(real: DataFrame, synthetic: DataFrame, target: str | None, keys: list[s
         label = F.col(f"`{target}`")
     else:
         index = label_index(bare, synthetic, target).collect()
+        if len(index) > MAX_LABELS:
+            return _unavailable(real, "the target has too many classes for a classifier")
         label = None
         for r in index:
             hit = F.col(f"`{target}`").cast("string") == r["value"]
             label = F.when(hit, r["label"]) if label is None else label.when(hit, r["label"])
-    on_real = _vectors(real, features, label, test).persist()
-    on_synthetic = _vectors(synthetic, features, label)
+    on_real = spread(_vectors(real, features, label, test)).persist()
+    on_synthetic = spread(_vectors(synthetic, features, label)).persist()
     try:
         if regression:
             return _regression(on_real, on_synthetic, target, trees, seed)
         return _classification(on_real, on_synthetic, target, trees, seed)
     finally:
         on_real.unpersist()
+        on_synthetic.unpersist()
 
 
 def _classification(real: DataFrame, synthetic: DataFrame, target: str, trees: int, seed: int) -> DataFrame:

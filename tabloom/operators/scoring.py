@@ -18,11 +18,12 @@ from tabloom.functions.small import small_frame
 from tabloom.operators.frequencies import value_frequencies
 from tabloom.operators.moments import Standardize, pairwise_moments
 from tabloom.operators.numeric import numeric_facts
+from tabloom.session import spread
 
 # Weights, bands and defaults of the scores.
 WEIGHTS = (0.2, 0.5, 0.3)
 NO_COLUMNS = 50.0
-BINS, FOLDS, MAX_ITERATIONS = 20, 3, 1000
+BINS, FOLDS, MAX_ITERATIONS, TOLERANCE = 20, 3, 1000, 1e-4
 SIMILAR = ((0.1, "Excellent"), (0.2, "Good"), (0.3, "Fair"))
 
 
@@ -122,12 +123,13 @@ def distinguishability(real: DataFrame, synthetic: DataFrame, seed: int = 42,
         rows = rows.where(F.col("thin") < F.lit(synth_n / real_n))
     rows = rows.unionByName(side(synthetic, synthetic_keys, 0.0))
     features = VectorAssembler(inputCols=[f"x{i}" for i in range(len(columns))], outputCol="raw").transform(rows)
-    features = features.select("label", "fold", "raw").persist()
+    features = spread(features.select("label", "fold", "raw")).persist()
     try:
+        n = features.count()
         scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(features).transform(features)
         hits = []
         for k in range(FOLDS):
-            fitted = LogisticRegression(maxIter=MAX_ITERATIONS, regParam=1e-4, standardization=False).fit(
+            fitted = LogisticRegression(maxIter=MAX_ITERATIONS, tol=TOLERANCE, regParam=1.0 / n, standardization=False).fit(
                 scaled.where(F.col("fold") != k))
             tested = fitted.transform(scaled.where(F.col("fold") == k))
             hits.append(tested.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])

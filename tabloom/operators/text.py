@@ -18,6 +18,7 @@ from tabloom.functions.kinds import INTEGER, STRING, kinds
 from tabloom.functions.quantiles import value_at_rank
 from tabloom.functions.small import small_frame
 from tabloom.operators.indexing import dense_index
+from tabloom.session import spread
 
 # Limits of text detection and strengths of augmentation.
 SAMPLE_ROWS, SENTENCE_WORDS, CODE_SHARE, CODE_CHARS = 200, 3.0, 0.95, 12
@@ -110,7 +111,7 @@ def augment_text(df: DataFrame, columns: list[str], keys: list[str], lexicon: Da
     def rewrite(texts: pd.Series, key: pd.Series) -> pd.Series:
         return pd.Series([swap(t, k) for t, k in zip(texts, key)], dtype=object)
 
-    return df.withColumns({c: rewrite(F.col(f"`{c}`"), _key(keys, c)) for c in columns})
+    return spread(df).withColumns({c: rewrite(F.col(f"`{c}`"), _key(keys, c)) for c in columns})
 
 
 def _key(keys: list[str], column: str) -> Column:
@@ -124,7 +125,7 @@ def _augment_by_join(df: DataFrame, columns: list[str], keys: list[str], lexicon
     choices = lexicon.groupBy(F.lower("word").alias("word")).agg(F.array_sort(F.collect_set("synonym")).alias("synonyms"))
     choices = choices.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     for c in columns:
-        pieces = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(f"`{c}`"), F.lit(WORDS_OR_GAPS), F.lit(0))).alias("at", "piece"))
+        pieces = spread(df).select(*keys, F.posexplode(F.regexp_extract_all(F.col(f"`{c}`"), F.lit(WORDS_OR_GAPS), F.lit(0))).alias("at", "piece"))
         digest = F.md5(F.concat_ws("|", F.lit(f"{seed}|word"), _key(keys, c), F.col("at").cast("string")))
         drawn = pieces.withColumns({"word": F.lower("piece"), "digest": digest, "salt": F.pmod(F.xxhash64("at", *keys), F.lit(SALTS)).cast("int")})
         joined = drawn.join(choices, ["word", "salt"], "left")
@@ -162,12 +163,13 @@ def augment_dataset(df: DataFrame, columns: list[str], n: int, key: str, lexicon
 
 def text_quality(original: DataFrame, augmented: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: average lengths, length preservation, share of new words, and their blend. Pass only new rows as
-    ``augmented`` to score them undiluted."""
+    ``augmented`` to score them undiluted. Both tables are read twice, so an expensive one should be written first."""
     def lengths(df: DataFrame, name: str) -> DataFrame:
         return _long(df, columns).groupBy("column").agg(F.avg(F.length("text")).alias(name))
 
     def vocabulary(df: DataFrame) -> DataFrame:
-        return _long(df, columns).select("column", F.explode(words(F.lower("text"))).alias("word")).distinct()
+        exploded = _long(df, columns).select("column", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
+        return exploded.where("word <> ''").distinct()
 
     known, used = vocabulary(original), vocabulary(augmented)
     known_n = known.groupBy("column").agg(F.count(F.lit(1)).alias("known"))

@@ -14,7 +14,9 @@ from tabloom.operators.bootstrap import bootstrap_rows
 from tabloom.operators.numeric import numeric_facts
 from tabloom.operators.profile import BOOLEAN_TYPE, TableProfile, profile_table
 from tabloom.plans.routing import BOOTSTRAP_ROWS, select_strategy, table_traits
-from tabloom.session import materialize
+from tabloom.session import materialize, working_copy
+
+ROW_KEY = "row_key"
 
 
 class UnusableTable(ValueError):
@@ -34,7 +36,7 @@ class Analysis:
 def analyse(df: DataFrame, keys: list[str], target: str | None = None, check: bool = True) -> Analysis:
     """Profile, issues, dataset facts with the chosen route, and text columns."""
     table, rejected = flat_table(df)
-    profile = profile_table(table)
+    profile = profile_table(table.drop(ROW_KEY))
     found = text.text_columns(table, keys, text.unique_shares(profile))
     texts = [r["column"] for r in found.where("is_text").collect()]
     if check:
@@ -63,9 +65,10 @@ class Run:
 
 def generate_rows(df: DataFrame, n: int, keys: list[str], analysis: Analysis | None = None, target: str | None = None,
                   fix_list: list[fixes.Fix] | str | None = None, class_counts: dict[str, int] | None = None,
-                  seed: int = 42) -> Run:
+                  seed: int = 42, holdout_first: bool = False) -> Run:
     """Clean, fit, sample and repair. ``keys`` identify rows (they are never modelled); ``fix_list='all'`` applies
-    every reported issue's fix. ``rows`` is lazy and keyed by ``row_id``."""
+    every reported issue's fix. ``rows`` is lazy and keyed by ``row_id``. With ``holdout_first`` the rows on which
+    ``score_run`` later tests models take no part in the fit."""
     analysis = analysis or analyse(df, keys, target)
     facts_row = analysis.dataset.first()
     target, target_type = facts_row["target_column"], facts_row["target_type"]
@@ -78,15 +81,18 @@ def generate_rows(df: DataFrame, n: int, keys: list[str], analysis: Analysis | N
     columns = [c for c in cleaned.columns if c not in key_copies and c not in held]
     if target not in columns:
         target, target_type = None, None
-    made = _sample(cleaned, columns, list(key_copies), analysis, facts_row["strategy"], target, target_type, n,
-                   class_counts, seed)
+    fitted = cleaned
+    if holdout_first:
+        fitted = cleaned.where(readiness.split_draw(seed, list(key_copies)) >= readiness.TEST_SHARE)
+    with working_copy(fitted.select(*columns, *key_copies)) as real:
+        made = _sample(real, columns, list(key_copies), analysis, facts_row["strategy"], target, target_type, n,
+                       class_counts, seed)
     return Run(made.rows, cleaned.select(*columns, *key_copies), made.strategy, made.skipped, target, target_type)
 
 
-def _sample(cleaned: DataFrame, columns: list[str], keys: list[str], analysis: Analysis, strategy: str,
+def _sample(real: DataFrame, columns: list[str], keys: list[str], analysis: Analysis, strategy: str,
             target: str | None, target_type: str | None, n: int, class_counts: dict[str, int] | None,
             seed: int) -> classes.Generated:
-    real = cleaned.select(*columns, *keys)
     by_kind = kinds(real)
     numeric = [c for c in columns if by_kind[c] in (INTEGER, FLOAT)]
     facts = numeric_facts(real, numeric)
@@ -172,4 +178,5 @@ def generate_text_rows(df: DataFrame, n: int, key: str, lexicon: DataFrame, labe
     else:
         label = label or analysis.dataset.first()["target_column"]
         rows = text.hybrid_generate(analysis.table, analysis.text_columns, n, [key], lexicon, label, counts, strength, seed)
+    rows = materialize(rows)
     return rows, text.text_quality(analysis.table, rows, analysis.text_columns)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.functions import draws
-
 
 class Book:
     """Queries and their SQL, filled by the ``add`` decorator."""
@@ -88,10 +86,13 @@ SALES = """(SELECT *, l_extendedprice * (1e0 - l_discount) AS rev, cast(round(l_
     cast(l_extendedprice * (1e0 - l_discount) > 45000 AS INTEGER) AS big FROM lineitem)"""
 
 
+_SIDE = "(l_orderkey * 31 + l_partkey * 17 + l_suppkey * 7 + l_linenumber + price_cents) % 2"
+
+
 def halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Two disjoint halves of the sales table by a hashed draw per row."""
-    rows = sales(spark, folder).withColumn("u", draws.uniform(7, "half", *[F.col(k) for k in ROW_KEYS]))
-    return rows.where("u < 0.5").drop("u"), rows.where("u >= 0.5").drop("u")
+    """Two disjoint halves of the sales table."""
+    rows = sales(spark, folder)
+    return rows.where(f"{_SIDE} = 0"), rows.where(f"{_SIDE} = 1")
 
 
 def unit_sql(seed: int, stream: str, *keys: str, part: int = 0) -> str:
@@ -105,9 +106,8 @@ def normal_sql(seed: int, stream: str, *keys: str) -> str:
     return f"(sqrt(-2e0 * ln({first})) * cos(2e0 * pi() * {second}))"
 
 
-_HALF = unit_sql(7, "half", *ROW_KEYS)
-REAL_HALF = f"(SELECT * FROM {SALES} WHERE {_HALF} < 0.5)"
-OTHER_HALF = f"(SELECT * FROM {SALES} WHERE {_HALF} >= 0.5)"
+REAL_HALF = f"(SELECT * FROM {SALES} WHERE {_SIDE} = 0)"
+OTHER_HALF = f"(SELECT * FROM {SALES} WHERE {_SIDE} = 1)"
 
 
 def facts_sql(rel: str, columns: dict[str, str]) -> str:

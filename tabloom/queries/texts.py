@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import ledger, text
 from tabloom.operators.profile import profile_table
 from tabloom.queries.common import Book, table, union_sql, unit_sql
+from tabloom.session import materialize
 
 BOOK = Book()
 SEED = 42
@@ -123,13 +124,13 @@ _WORDS = "unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda t:
 def text_quality(spark, folder):
     """Only the new rows are scored."""
     documents, grown = _augmented(spark, folder)
-    return text.text_quality(documents, grown.where("variant > 0"), ["text"])
+    return text.text_quality(documents, materialize(grown.where("variant > 0")), ["text"])
 
 
 @BOOK.add("text_grade")
 def text_grade(spark, folder):
     documents, grown = _augmented(spark, folder)
-    return text.text_grade(text.text_quality(documents, grown.where("variant > 0"), ["text"]))
+    return text.text_grade(text.text_quality(documents, materialize(grown.where("variant > 0")), ["text"]))
 
 
 # Rows anchored to real examples

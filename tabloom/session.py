@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+SPREAD_LIMIT = 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-bound work a task per core where a source has fewer partitions (a few large row groups). A table with
+    enough partitions is left alone, so large inputs are never shuffled for this."""
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_LIMIT)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+@contextmanager
+def working_copy(df: DataFrame) -> Iterator[DataFrame]:
+    """A table to scan several times. One of few partitions (so of bounded size) is spread over the cores and cached
+    meanwhile; any larger one is used as it is, each scan reading only the columns it needs."""
+    wide = spread(df)
+    if wide is df:
+        yield df
+        return
+    wide.persist()
+    try:
+        yield wide
+    finally:
+        wide.unpersist()
