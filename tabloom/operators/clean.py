@@ -99,10 +99,9 @@ def auto_clean(df: DataFrame, profile: TableProfile, target: str | None = None)
 
 
 def _clean(df: DataFrame, profile: TableProfile, target: str | None) -> DataFrame:
-    df = drop_empty(df)
-    dates = [c for c, t in profile.types.items() if t == DATETIME]
+    df = drop_empty(df, [c for c in df.columns if c in profile.types])
     df = fill_by_type(df, profile)
-    df = drop_constant(df, [c for c in df.columns if c not in dates])
+    df = drop_constant(df, [c for c in df.columns if profile.types.get(c, DATETIME) != DATETIME])
     low = [c for c in df.columns if profile.types.get(c) == CATEGORICAL_LOW and c != target]
     df = group_rare(df, [c for c in low if kinds(df)[c] == "string"])
     return expand_datetimes(df, profile)

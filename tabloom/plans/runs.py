@@ -69,10 +69,16 @@ def generate_rows(df: DataFrame, n: int, keys: list[str], analysis: Analysis | N
     """Clean, fit, sample and repair. ``keys`` identify rows (they are never modelled); ``fix_list='all'`` applies
     every reported issue's fix. ``rows`` is lazy and keyed by ``row_id``. With ``holdout_first`` the rows on which
     ``score_run`` later tests models take no part in the fit."""
-    analysis = analysis or analyse(df, keys, target)
+    table = analysis.table if analysis else flat_table(df)[0]
+    with working_copy(table) as copy:
+        analysis = analysis or analyse(copy, keys, target)
+        return _generate(copy, n, keys, analysis, fix_list, class_counts, seed, holdout_first)
+
+
+def _generate(table: DataFrame, n: int, keys: list[str], analysis: Analysis, fix_list: list[fixes.Fix] | str | None,
+              class_counts: dict[str, int] | None, seed: int, holdout_first: bool) -> Run:
     facts_row = analysis.dataset.first()
     target, target_type = facts_row["target_column"], facts_row["target_type"]
-    table = analysis.table
     wanted = fixes.fixes_from_report(analysis.issues) if fix_list == "all" else (fix_list or [])
     held = [k for k in keys if k in table.columns]
     key_copies = {f"_key{i}": F.col(f"`{k}`") for i, k in enumerate(held)}
