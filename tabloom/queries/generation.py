@@ -48,13 +48,13 @@ _PROBS = "[" + ", ".join(f"{i / GRID}" for i in range(GRID + 1)) + "]"
 
 @BOOK.add("copula_marginals", union_sql([
     f"""SELECT cast(big AS VARCHAR) AS class, '{c}' AS "column", unnest(range({GRID + 1}))::INTEGER AS point,
-        round(unnest(quantile_cont({c}, {_PROBS})), 4) AS value FROM {SALES} GROUP BY big""" for c in ("l_quantity", "l_extendedprice", "rev")]))
+        round(unnest(quantile_cont({c}, {_PROBS})), 8) AS value FROM {SALES} GROUP BY big""" for c in ("l_quantity", "l_extendedprice", "rev")]))
 def copula_marginals(spark, folder):
     """Quantile grids per class."""
     columns = ["l_quantity", "l_extendedprice", "rev"]
     model = copula.fit_marginals(_keyed(spark, folder, "big"), columns, [], exact=True)
     rows = [(g, c, i, v) for g, ms in model.groups.items() for c in columns for i, v in enumerate(ms[c].grid)]
-    return small_frame(spark, rows, "class string, column string, point int, value double").withColumn("value", F.round("value", 4))
+    return small_frame(spark, rows, "class string, column string, point int, value double").withColumn("value", F.round("value", 8))
 
 
 @BOOK.add("copula_categories", f"""WITH c AS (SELECT cast(big AS VARCHAR) AS class, l_returnflag AS value, count(*) AS n FROM {SALES} GROUP BY ALL)
