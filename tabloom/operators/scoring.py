@@ -17,7 +17,7 @@ from tabloom.functions.kinds import FLOAT, INTEGER, STRING, kinds, numeric_colum
 from tabloom.functions.small import small_frame
 from tabloom.operators.frequencies import value_frequencies
 from tabloom.operators.moments import Standardize, pairwise_moments
-from tabloom.operators.numeric import numeric_facts
+from tabloom.operators.numeric import SCAN_WIDTH, numeric_facts
 from tabloom.session import spread
 
 # Weights, bands and defaults of the scores.
@@ -33,15 +33,18 @@ def shared_numeric(real: DataFrame, synthetic: DataFrame) -> list[str]:
 
 
 def moments_frame(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, mean, std, low, high) from one aggregation of the table."""
-    cells = []
-    aggs = []
-    for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                             F.min(x).alias("low"), F.max(x).alias("high")).alias(f"s{i}"))
-        cells.append(F.col(f"s{i}"))
-    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    """(column, mean, std, low, high); a few columns per aggregation, each reading only its own (see
+    ``profile.SCAN_WIDTH``)."""
+    parts = []
+    for start in range(0, len(columns), SCAN_WIDTH):
+        names = [f"s{i}" for i in range(len(columns[start:start + SCAN_WIDTH]))]
+        aggs = []
+        for name, c in zip(names, columns[start:start + SCAN_WIDTH]):
+            x = F.col(f"`{c}`").cast("double")
+            aggs.append(F.struct(F.lit(c).alias("column"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                                 F.min(x).alias("low"), F.max(x).alias("high")).alias(name))
+        parts.append(df.agg(*aggs).select(F.explode(F.array(*names)).alias("s")).select("s.*"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def _paired(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:

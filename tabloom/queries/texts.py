@@ -114,20 +114,25 @@ def augment_dataset(spark, folder):
 _WORDS = "unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> ''))"
 
 
-@BOOK.add("text_quality", f"""WITH {LEXICON}, a AS MATERIALIZED {_augmented_sql(_VARIANTS, ['doc_id', 'variant'], 0.1)},
+_QUALITY = f"""WITH {LEXICON}, a AS MATERIALIZED {_augmented_sql(_VARIANTS, ['doc_id', 'variant'], 0.1)},
     k AS (SELECT DISTINCT {_WORDS} AS w FROM documents), f AS (SELECT DISTINCT {_WORDS} AS w FROM a),
     s AS (SELECT (SELECT avg(length(text)) FROM documents) AS b, (SELECT avg(length(text)) FROM a) AS e,
         (SELECT count(*) FROM k) AS known, (SELECT count(*) FROM f ANTI JOIN k USING (w)) AS fresh),
     p AS (SELECT *, greatest(0, 100 - abs(b - e) / b * 100) AS kept, least(100, fresh / known * 500) AS new FROM s)
     SELECT 'text' AS "column", round(kept * 0.6e0 + new * 0.4e0, 1) AS score, round(kept, 1) AS length_preservation,
-    round(new, 1) AS vocabulary_diversity, round(b, 1) AS original_avg_length, round(e, 1) AS augmented_avg_length FROM p""")
+    round(new, 1) AS vocabulary_diversity, round(b, 1) AS original_avg_length, round(e, 1) AS augmented_avg_length FROM p"""
+
+
+@BOOK.add("text_quality", _QUALITY)
 def text_quality(spark, folder):
     """Only the new rows are scored."""
     documents, grown = _augmented(spark, folder)
     return text.text_quality(documents, materialize(grown.where("variant > 0")), ["text"])
 
 
-@BOOK.add("text_grade")
+@BOOK.add("text_grade", f"""SELECT overall_score, CASE WHEN overall_score >= 80 THEN 'Excellent' WHEN overall_score >= 60 THEN 'Good'
+    ELSE 'Fair' END AS grade, CASE WHEN overall_score >= 80 THEN 'green' WHEN overall_score >= 60 THEN 'yellow' ELSE 'red' END AS color
+    FROM (SELECT round(avg(score), 1) AS overall_score FROM ({_QUALITY}))""")
 def text_grade(spark, folder):
     documents, grown = _augmented(spark, folder)
     return text.text_grade(text.text_quality(documents, materialize(grown.where("variant > 0")), ["text"]))
