@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabloom.session import materialize
 
 ROWS_PER_BUCKET = 500_000
-MAX_PREFIX = 4
+MAX_PREFIX = 5
 
 
 def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:

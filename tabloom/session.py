@@ -58,11 +58,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 SPREAD_LIMIT = 64
+SHUFFLES = ("hashpartitioning(", "rangepartitioning(", "RoundRobinPartitioning(", "SinglePartition")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-bound work a task per core where a source has fewer partitions (a few large row groups). A table with
-    enough partitions is left alone, so large inputs are never shuffled for this."""
+    """Give CPU-bound work a task per core where a source has fewer partitions (a few large row groups).
+
+    A table with enough partitions is left alone, so large inputs are never shuffled for this. So is one whose plan holds
+    a shuffle: it is spread already, and asking for its partitions would run that shuffle.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if any(mark in plan for mark in SHUFFLES):
+        return df
     cores = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_LIMIT)
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
