@@ -3,7 +3,7 @@
 One code path serves a pooled model (one group), one model per class and one per cluster: rows carry a group key and
 all groups are fitted at once. Marginals are a grouped aggregation. Scores, their products and the sampled rows are
 NumPy over Arrow batches inside map tasks without a shuffle: as column expressions the grid lookups of a few columns
-already exceed the method size the JVM compiles, and ran about fifty times slower.
+already exceed the method size the JVM compiles; in single trial runs they were many times slower.
 """
 
 from __future__ import annotations
