@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.session import shared_folder
@@ -28,10 +28,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def id_and_text(docs: DataFrame, id_column: str, text_column: str, *others: str) -> DataFrame:
+def id_and_text(docs: DataFrame, id_column: str, text_column: str, *others: str | Column) -> DataFrame:
     """Only the columns that an operator reads, under its own names; any further column may be called as it likes."""
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"),
-                       *(F.col(c) for c in others))
+                       *(F.col(c) if isinstance(c, str) else c for c in others))
 
 
 def numbered_rows(docs: DataFrame, name: str, *columns) -> DataFrame:
