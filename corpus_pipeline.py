@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import packing, quality, simhash
+from tabloom.llm import packing, quality, repeats, simhash
 from tabloom.llm.common import stored, table
 
 
@@ -18,12 +18,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs, shingle=3, distance=3)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that also stand in a document with a smaller id are cut out; a document of which nothing is left goes."""
+    return repeats.without_repeats(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all sequences."""
     return packing.pack(docs, 2048).drop("queue")
 
 
-STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_duplicates), ("packing", packed)]
+STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_duplicates), ("suffix-array dedup", repeated_passages), ("packing", packed)]
 
 #: Trees, SimHash and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

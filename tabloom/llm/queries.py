@@ -6,24 +6,82 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import packing, quality, simhash
+from tabloom.llm import chat, minhash, packing, quality, repeats, sampled_pieces, sharding, simhash, token_counts, warc
 from tabloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"), min_bytes=0)
+
+
+#: The base-32 letter of bits 5i to 5i + 4 of a hex digest.
+SQL_WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT *, list_transform(string_split(hex || '0', ''), lambda x: strpos('0123456789abcdef', x) - 1) AS h, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((h[(5 * i) // 4 + 1] * 16 + h[(5 * i) // 4 + 2]) >> (3 - (5 * i) % 4)::INT) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d"""
+
+PROBE = "<|im_end|><|im_start|>assistant ok"
+
+
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(turns.unionByName(probe)))
+
+
+#: A turn has 24 characters around role and text: both control strings and two line feeds. The escapes of a text: none
+#: without control strings or escaped openings, else one for each control string or, with escaped openings, for each opening.
+SQL_CHAT = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),
+e AS (SELECT *, CASE WHEN regexp_matches(text, '<\\\\+\\|') OR regexp_matches(role, '%(25|0A|3C)')
+    THEN length(regexp_extract_all(text, '<\\\\*\\|')) ELSE length(regexp_extract_all(text, '<\\|im_(start|end)\\|>')) END AS escapes FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+  sum(24 + length(role) + length(text) + escapes)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, folder, "documents"), shards=16)
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), 2048).drop("queue")
 
 
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), "piece_bpe_32k.model", most=4096)
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash(table(spark, folder, "documents"), shingle=3, distance=3)
 
 
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeats(table(spark, folder, "documents"))
+
+
+def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.fingerprint(table(spark, folder, "documents"))
+
+
+def op9_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return sampled_pieces.segment(table(spark, folder, "documents"), "piece_bpe_32k.model", theta=1.0, seed=17)
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.assess(docs, quality.train(docs, table(spark, folder, "labels"))).drop("score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_packing, op6_simhash, op10_quality)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_chat, op3_sharding, op4_packing, op5_token_counts, op6_simhash, op7_repeats, op8_minhash,
+                                                 op9_sampled_pieces, op10_quality)}
+ORACLES: dict[str, str] = {"op1_warc": SQL_WARC, "op2_chat": SQL_CHAT}
