@@ -82,13 +82,30 @@ def exact_quantiles(
     return answer
 
 
-def value_at_rank(df: DataFrame, column: Column, rank: int, **limits: int) -> int | None:
-    """The ``rank``-th smallest value (0-based) of an integer column."""
-    n = df.agg(F.count(column)).first()[0]
-    if not 0 <= rank < n:
+DIGIT_BITS = 16
+
+
+def value_at_rank(df: DataFrame, column: Column, rank: int) -> int | None:
+    """The ``rank``-th smallest value (0-based) of an integer column, found digit by digit in 64-bit integers.
+
+    Each of the four scans counts the values by their next 16 bits among those that share the bits found so far, so a
+    round moves counts only and its result has at most 65,536 rows.
+    """
+    if rank < 0:
         return None
-    found = exact_quantiles(df, {"key": (column, [rank / (n - 1) if n > 1 else 0.0])}, **limits)
-    return round(found["key"][0])
+    value = column.cast("long")
+    found: int | None = None
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        upper = F.shiftright(value, shift)
+        rows = df.where(value.isNotNull()) if found is None else df.where(F.shiftright(value, shift + DIGIT_BITS) == found)
+        for r in sorted(rows.groupBy(upper.alias("digit")).agg(F.count(F.lit(1)).alias("n")).collect()):
+            if rank < r["n"]:
+                found = r["digit"]
+                break
+            rank -= r["n"]
+        else:
+            return None
+    return found
 
 
 def _narrow(df: DataFrame, open_targets: list[_Target], bracket_limit: int, accuracy: int) -> None:

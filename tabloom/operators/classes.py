@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +14,13 @@ from tabloom.functions.small import small_frame
 from tabloom.operators.copula import (GROUP, CopulaModel, fit_copula, proportional_counts, sample_copula)
 from tabloom.operators.frequencies import class_counts
 from tabloom.operators.numeric import numeric_facts
-from tabloom.session import spread
+from tabloom.session import materialize
 
 # Least number of real rows a class needs.
 MIN_CLASS_ROWS = 10
-CLUSTERS, CLUSTER_CATEGORIES = 8, 20
-MAX_CLASS_MODELS = 1000
+CLUSTERS = 8
+#: Indicator columns that the categories of all text columns are hashed into for clustering.
+HASHED_CATEGORIES = 64
 
 
 def allocation(df: DataFrame, target: str, n: int) -> DataFrame:
@@ -76,50 +77,37 @@ def generate_per_class(df: DataFrame, columns: list[str], target: str, counts: d
 
 def generate_conditional(df: DataFrame, columns: list[str], target: str, n: int, seed: int = 42) -> Generated:
     """Rows per class in proportion to the real shares. Classes with enough rows have their own model; the rest
-    share one pooled model whose target value is overwritten. A target of very many values is no class any more: it is
-    modelled as one more column, without a plan per value."""
-    plan = {r["value"]: (r["real"], r["rows"]) for r in allocation(df, target, n).limit(MAX_CLASS_MODELS + 1).collect()}
-    if len(plan) > MAX_CLASS_MODELS:
-        return generate_pooled(df, columns, n, seed)
+    share one pooled model. The driver holds the plan and a grid per class with a model, at any number of classes."""
+    plan = {r["value"]: (r["real"], r["rows"]) for r in allocation(df, target, n).orderBy("value").collect()}
     large = [v for v, (real, _) in plan.items() if real >= MIN_CLASS_ROWS]
     key, others = F.col(f"`{target}`").cast("string"), [c for c in columns if c != target]
-    small = [v for v in plan if v not in large]
-    group = F.when(key.isin(*large), F.concat(F.lit("class:"), key)).otherwise(F.lit("rest")) if large else F.lit("rest")
-    model = fit_copula(df.where(key.isNotNull()), others, group=group)
-    counts = {f"class:{v}": plan[v][1] for v in large}
-    if small:
-        counts["rest"] = sum(plan[v][1] for v in small)
-    rows = sample_copula(df.sparkSession, model, counts, seed)
-    value = F.substring(GROUP, len("class:") + 1, 1 << 30)
-    if small:
-        start, pick = sum(plan[v][1] for v in large), None
-        for v in small:
-            start += plan[v][1]
-            test = F.col("row_id") < start
-            pick = F.when(test, F.lit(v)) if pick is None else pick.when(test, F.lit(v))
-        value = F.when(F.col(GROUP) == "rest", pick).otherwise(value)
-    rows = rows.withColumn(target, value.cast(df.schema[target].dataType)).drop(GROUP)
+    known = small_frame(df.sparkSession, [(v,) for v in large], "_class string")
+    keyed = df.where(key.isNotNull()).withColumn("_value", key).join(known, F.col("_value") == F.col("_class"), "left")
+    model = fit_copula(keyed, others, group=F.coalesce(F.concat(F.lit("class:"), "_class"), F.lit("rest")))
+    own = set(large)
+    models = {v: f"class:{v}" if v in own else "rest" for v in plan}
+    rows = sample_copula(df.sparkSession, model, {v: m for v, (_, m) in plan.items()}, seed, models)
+    rows = rows.withColumn(target, F.col(GROUP).cast(df.schema[target].dataType)).drop(GROUP)
     return Generated(rows.select("row_id", *columns), model, "conditional", [])
 
 
 def cluster_rows(df: DataFrame, columns: list[str], k: int = CLUSTERS, seed: int = 42) -> DataFrame:
-    """Add a cluster number: k-means on standardised numbers and indicator columns of the small categories."""
+    """Add a cluster number: k-means on standardised numbers and hashed indicators of all categories."""
     by_kind = kinds(df)
     numeric = [c for c in columns if by_kind[c] in (INTEGER, FLOAT)]
     facts = numeric_facts(df, numeric)
-    features: list[str] = []
     made = {}
     for i, c in enumerate(numeric):
         made[f"_f{i}"] = F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(facts[c].mean or 0.0))
     texts = [c for c in columns if c not in numeric]
-    for i, c in enumerate(texts):
-        top = class_counts(df, c).orderBy(F.desc("n"), "value").limit(CLUSTER_CATEGORIES).collect()
-        for j, r in enumerate(top[1:]):
-            made[f"_g{i}_{j}"] = F.coalesce((F.col(f"`{c}`").cast("string") == r["value"]).cast("double"), F.lit(0.0))
-    features = list(made)
-    if not features:
+    made |= {f"_g{i}": F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for i, c in enumerate(texts)}
+    if not made:
         return df.withColumn("cluster", F.lit(0))
-    ready = VectorAssembler(inputCols=features, outputCol="_raw").transform(spread(df.withColumns(made))).drop(*features)
+    wide, parts = df.withColumns(made), [f"_f{i}" for i in range(len(numeric))]
+    if texts:
+        hasher = FeatureHasher(inputCols=[f"_g{i}" for i in range(len(texts))], outputCol="_h", numFeatures=HASHED_CATEGORIES)
+        wide, parts = hasher.transform(wide), [*parts, "_h"]
+    ready = VectorAssembler(inputCols=parts, outputCol="_raw").transform(wide).drop(*made, "_h")
     scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True).fit(ready)
     scaled = scaler.transform(ready)
     model = KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="cluster", maxIter=10).fit(scaled)
@@ -128,11 +116,8 @@ def cluster_rows(df: DataFrame, columns: list[str], k: int = CLUSTERS, seed: int
 
 def generate_mixture(df: DataFrame, columns: list[str], n: int, k: int = CLUSTERS, seed: int = 42) -> Generated:
     """A copula per cluster, which follows several modes and shapes a single copula cannot."""
-    clustered = cluster_rows(df.select(*[F.col(f"`{c}`") for c in columns]), columns, k, seed).persist()
-    try:
-        model = fit_copula(clustered, columns, group=F.col("cluster"))
-    finally:
-        clustered.unpersist()
+    clustered = materialize(cluster_rows(df.select(*[F.col(f"`{c}`") for c in columns]), columns, k, seed))
+    model = fit_copula(clustered, columns, group=F.col("cluster"))
     rows = sample_copula(df.sparkSession, model, proportional_counts(model.sizes, n), seed).drop(GROUP)
     return Generated(rows.select("row_id", *columns), model, "mixture", [])
 

@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from tabloom.functions import draws, gaussian
 from tabloom.functions.kinds import FLOAT, INTEGER, kinds
-from tabloom.functions.quantiles import VALUE_BUDGET
 from tabloom.operators.moments import pairwise_correlation
 from tabloom.session import working_copy
 
@@ -76,17 +75,15 @@ class CopulaModel:
         return sum(m[column].grid[GRID // 2] * self.sizes[g] for g, m in self.groups.items() if m[column].grid) / total
 
 
-def fit_marginals(df: DataFrame, numeric: list[str], categorical: list[str], exact: bool | None = None) -> CopulaModel:
+def fit_marginals(df: DataFrame, numeric: list[str], categorical: list[str], exact: bool = False) -> CopulaModel:
     """Grids and category shares per group, in one grouped aggregation and one grouped count.
 
-    The grid is exact while the table is small and comes from a mergeable quantile sketch beyond. Category shares are
-    always exact counts.
+    At every size the grid comes from a mergeable quantile sketch whose rank error is 1 in ``ACCURACY``; category shares
+    are exact counts. ``exact`` asks for interpolated quantiles, which keep the distinct values of a group in one buffer.
     """
     by_type = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     probs = [i / GRID for i in range(GRID + 1)]
     sizes = {str(r[GROUP]): r["count"] for r in df.groupBy(GROUP).count().collect()}
-    if exact is None:
-        exact = sum(sizes.values()) * max(1, len(numeric)) <= VALUE_BUDGET
     groups: dict[str, dict[str, Marginal]] = {g: {c: Marginal() for c in numeric + categorical} for g in sizes}
 
     aggs: list[Column] = []
@@ -186,13 +183,15 @@ def fit_copula(df: DataFrame, columns: list[str], group: Column | None = None) -
 class SampleTask:
     """Task side of sampling: latent normals, dependence, then each column's inverse marginal."""
 
-    def __init__(self, model: CopulaModel, counts: dict[str, int], seed: int):
+    def __init__(self, model: CopulaModel, counts: dict[str, int], seed: int, models: dict[str, str] | None = None):
         self.groups = list(counts)
+        self.model_of = {g: (models or {}).get(g, g) for g in counts}
+        used = set(self.model_of.values())
         self.ends = np.cumsum(list(counts.values()))
         self.columns, self.numeric, self.seed = model.columns, len(model.numeric), seed
-        self.factor = {g: model.factor[g] for g in counts}
-        self.marginals = {g: [model.groups[g][c] for c in self.columns] for g in counts}
-        self.gaps = {c for c in self.columns if any(model.groups[g][c].missing > 0 for g in counts)}
+        self.factor = {g: model.factor[g] for g in used}
+        self.marginals = {g: [model.groups[g][c] for c in self.columns] for g in used}
+        self.gaps = {c for c in self.columns if any(model.groups[g][c].missing > 0 for g in used)}
 
     def __call__(self, batches):
         for batch in batches:
@@ -204,9 +203,9 @@ class SampleTask:
                 yield self._group_rows(self.groups[g], ids[rows], latent[rows])
 
     def _group_rows(self, group: str, ids: np.ndarray, latent: np.ndarray) -> pa.RecordBatch:
-        units = gaussian.cdf(latent @ self.factor[group].T)
+        units = gaussian.cdf(latent @ self.factor[self.model_of[group]].T)
         arrays = [pa.array(ids, pa.int64()), pa.array([group] * len(ids), pa.string())]
-        for j, (c, m) in enumerate(zip(self.columns, self.marginals[group])):
+        for j, (c, m) in enumerate(zip(self.columns, self.marginals[self.model_of[group]])):
             u = units[:, j]
             empty = np.zeros(len(ids), bool)
             if c in self.gaps:
@@ -223,11 +222,13 @@ class SampleTask:
         return pa.RecordBatch.from_arrays(arrays, names=["row_id", GROUP, *self.columns])
 
 
-def sample_copula(spark: SparkSession, model: CopulaModel, counts: dict[str, int], seed: int = 42) -> DataFrame:
-    """Rows keyed by ``row_id`` with ``counts[group]`` rows per group. Every draw depends only on seed and row id, so
+def sample_copula(spark: SparkSession, model: CopulaModel, counts: dict[str, int], seed: int = 42,
+                  models: dict[str, str] | None = None) -> DataFrame:
+    """Rows keyed by ``row_id`` with ``counts[group]`` rows per group; ``models`` names the fitted group that serves a
+    group without a model of its own. Every draw depends only on seed and row id, so
     the rows are the same under any partitioning and after any retry."""
     counts = {g: n for g, n in counts.items() if n > 0}
-    task = SampleTask(model, counts, seed)
+    task = SampleTask(model, counts, seed, models)
     schema = T.StructType(
         [T.StructField("row_id", T.LongType()), T.StructField(GROUP, T.StringType())]
         + [T.StructField(c, T.DoubleType()) for c in model.numeric]

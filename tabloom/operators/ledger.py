@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.indexing import with_row_key
+
+ROW = "_arrival"
+
 # Starting totals, the visibility threshold and the address pattern.
 SEED_ROWS, SEED_DATASETS, VISIBLE_FROM = 18450, 47, 25
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -35,14 +39,14 @@ def validate_contacts(contacts: DataFrame) -> DataFrame:
 def new_contacts(batch: DataFrame, known: DataFrame, order_by: list[str]) -> DataFrame:
     """Valid rows of a batch with ``already``: true where the address is known or came earlier in the batch. Rows
     without an address are always new. First arrivals are found by a minimum per address, so a much repeated address
-    is combined before the shuffle instead of being sorted in one task."""
-    valid = validate_contacts(batch).where("valid").drop("valid")
-    arrival = F.struct(*[F.col(f"`{c}`") for c in order_by])
-    first = valid.where("email is not null").groupBy("email").agg(F.min(arrival).alias("_first"))
-    fresh = first.join(known.select("email"), "email", "left_anti")
-    firsts = fresh.select(*[F.col(f"_first.{c}").alias(c) for c in order_by], F.lit(True).alias("_new"))
-    return valid.join(firsts, order_by, "left").withColumn(
-        "already", F.col("email").isNotNull() & F.col("_new").isNull()).drop("_new")
+    is combined before the shuffle instead of being sorted in one task. ``order_by`` need not be unique: rows that
+    arrive together are ordered by their interest, and of fully equal rows one, marked by a stored row key, is the first."""
+    valid = with_row_key(validate_contacts(batch).where("valid").drop("valid"), ROW)
+    arrival = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate([*order_by, "interest"])], F.col(ROW))
+    first = valid.where("email is not null").groupBy("email").agg(F.min(arrival).alias("first"))
+    fresh = first.join(known.select("email"), "email", "left_anti").select(F.col(f"first.{ROW}").alias(ROW), F.lit(True).alias("_new"))
+    return valid.join(fresh, ROW, "left").withColumn(
+        "already", F.col("email").isNotNull() & F.col("_new").isNull()).drop("_new", ROW)
 
 
 def summary(contacts: DataFrame) -> DataFrame:

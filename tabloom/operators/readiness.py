@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import draws
 from tabloom.functions.kinds import BOOLEAN, FLOAT, INTEGER, kinds, numeric_columns
 from tabloom.functions.small import small_frame
 from tabloom.operators.frequencies import class_counts
-from tabloom.session import spread
+from tabloom.session import materialize
 
 # Target names, forest size, test share and limits.
 TARGET_NAMES = ("target", "label", "class", "outcome", "y", "output", "result")
 TREES, SEED, TEST_SHARE, MAX_CATEGORIES, MIN_ROWS = 50, 42, 0.3, 20, 10
 WEAK_R2, WEAK_MARGIN, LOW_SCORE = 10.0, 2.0, 30.0
-MAX_LABELS = 100  # what the forest accepts
+DEPTH = 10
+#: Rows that are ranked together for the split, about.
+PART_ROWS = 100_000
 
 RESULT = """available boolean, reason string, target_column string, is_regression boolean, real_score double,
     synth_score double, majority_rate double"""
@@ -33,15 +35,16 @@ def pick_target(real: DataFrame, unique: dict[str, int], given: str | None = Non
     return (named + paired + [None])[0]
 
 
-def category_values(real: DataFrame, column: str) -> list[str] | None:
-    """Sorted values of a categorical feature, or None if the real table has more than 20."""
-    values = [r["value"] for r in class_counts(real, column).limit(MAX_CATEGORIES + 1).collect()]
-    return sorted(values) if len(values) <= MAX_CATEGORIES else None
+def category_values(real: DataFrame, column: str, most: int = MAX_CATEGORIES) -> list[str] | None:
+    """Sorted values of a categorical feature, or None if the real table has more than ``most``."""
+    values = [r["value"] for r in class_counts(real, column).limit(most + 1).collect()]
+    return sorted(values) if len(values) <= most else None
 
 
-def feature_columns(real: DataFrame, synthetic: DataFrame, target: str) -> dict[str, Column]:
-    """Feature expressions valid on both tables: numbers with gaps as 0, and one indicator per real category but the
-    first. Categories only the synthetic table has share one indicator, so the width never depends on its data."""
+def feature_columns(real: DataFrame, synthetic: DataFrame, target: str, most: int = MAX_CATEGORIES) -> dict[str, Column]:
+    """Feature expressions valid on both tables: numbers with gaps as 0, and one indicator for each category of either table
+    but the first. Columns with more than ``most`` real categories are no features (see ``left_out``); if the synthetic
+    table has more than ``most`` of its own, these share one indicator, so the width never depends on its data."""
     by_kind = kinds(real)
     made: dict[str, Column] = {}
     for c in real.columns:
@@ -51,49 +54,69 @@ def feature_columns(real: DataFrame, synthetic: DataFrame, target: str) -> dict[
         if by_kind[c] in (INTEGER, FLOAT, BOOLEAN):
             made[c] = F.coalesce(col.cast("double"), F.lit(0.0))
             continue
-        values = category_values(real, c)
+        values = category_values(real, c, most)
         if not values:
             continue
-        for v in values[1:]:
+        own = [r["value"] for r in class_counts(synthetic, c).where(~F.col("value").isin(*values)).limit(most + 1).collect()]
+        if len(own) > most:
+            made[f"{c}_unseen"] = F.coalesce((~col.cast("string").isin(*values)).cast("double"), F.lit(0.0))
+            own = []
+        for v in sorted([*values, *own])[1:]:
             made[f"{c}_{v}"] = F.coalesce((col.cast("string") == v).cast("double"), F.lit(0.0))
-        unseen = ~col.cast("string").isin(*values)
-        if not synthetic.where(unseen).isEmpty():
-            made[f"{c}_unseen"] = F.coalesce(unseen.cast("double"), F.lit(0.0))
     return made
 
 
+def left_out(real: DataFrame, synthetic: DataFrame, target: str, features: dict[str, Column]) -> list[str]:
+    """Columns that no feature is made of."""
+    used = {c for c in real.columns for f in features if f == c or f.startswith(f"{c}_")}
+    return [c for c in real.columns if c != target and c not in used]
+
+
 def label_index(real: DataFrame, synthetic: DataFrame, target: str) -> DataFrame:
-    """(value, label): every target value of either table, numbered in text order (one more than 100 at most)."""
+    """(value, label): every target value of either table, numbered in text order."""
     both = class_counts(real, target).select("value").union(class_counts(synthetic, target).select("value")).distinct()
-    values = sorted(r["value"] for r in both.limit(MAX_LABELS + 1).collect())
-    return small_frame(real.sparkSession, [(v, float(i)) for i, v in enumerate(values)], "value string, label double")
+    return both.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("double").alias("label"))
 
 
-def split_draw(seed: int, keys: list[str]) -> Column:
-    """A uniform draw per row; rows below the test share are test rows, in every class alike."""
-    return draws.uniform(seed, "split", *[F.col(f"`{k}`") for k in keys])
+def stratified_split(df: DataFrame, target: str | None, keys: list[str], seed: int = SEED) -> DataFrame:
+    """Add ``is_test``: in every class (of the whole table without a target) the 30% of rows with the smallest draws, to the row.
 
-
-def stratified_split(df: DataFrame, target: str, keys: list[str], seed: int = SEED) -> DataFrame:
-    """Add ``is_test``: the 30% of rows with the smallest draws, up to the sampling error of a per-row draw. No class
-    is gathered in one place, so a class of any size costs nothing."""
-    return df.withColumn("is_test", split_draw(seed, keys) < F.lit(TEST_SHARE))
+    Draws are hashes of the keys, or of all columns without keys. A class is ranked in buckets of the draw that are numbered
+    apart and shifted by the buckets before them, so none is gathered in one place. Null targets are a class.
+    """
+    ids = [F.col(f"`{k}`") for k in (keys or df.columns)]
+    label = F.lit("") if target is None else F.coalesce(F.concat(F.lit("="), F.col(f"`{target}`").cast("string")), F.lit(""))
+    drawn = df.withColumns({"_draw": draws.uniform(seed, "split", *ids), "_class": label})
+    drawn = drawn.withColumn("_part", F.floor(F.col("_draw") * (1 + df.count() // PART_ROWS)))
+    sizes = drawn.groupBy("_class", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_class")
+    ahead = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_class", "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"),
+                          F.round(F.sum("_n").over(whole) * F.lit(TEST_SHARE)).alias("_quota"))
+    ranked = drawn.withColumn("_rank", F.row_number().over(Window.partitionBy("_class", "_part").orderBy("_draw", *ids)))
+    return ranked.join(starts, ["_class", "_part"]).withColumn("is_test", F.col("_before") + F.col("_rank") <= F.col("_quota")).select(
+        *[F.col(f"`{c}`") for c in df.columns], "is_test")
 
 
 def _vectors(df: DataFrame, features: dict[str, Column], label: Column, *more: Column) -> DataFrame:
     named = [x.alias(f"f{i}") for i, x in enumerate(features.values())]
-    wide = df.select(label.cast("double").alias("label"), *more, *named).where(F.col("label").isNotNull())
+    wide = df.select(label, *more, *named).where(F.col("label").isNotNull())
     assembled = VectorAssembler(inputCols=[f"f{i}" for i in range(len(named))], outputCol="features").transform(wide)
     return assembled.drop(*[f"f{i}" for i in range(len(named))])
 
 
+def _refused(df: DataFrame, reason: str) -> DataFrame:
+    return small_frame(df.sparkSession, [(False, reason, None, None, None, None, None)], RESULT)
+
+
 def _unavailable(df: DataFrame, reason: str) -> DataFrame:
-    return graded(small_frame(df.sparkSession, [(False, reason, None, None, None, None, None)], RESULT))
+    return graded(_refused(df, reason).withColumn("left_out", F.lit(None).cast("string")))
 
 
 def tstr(real: DataFrame, synthetic: DataFrame, target: str | None, keys: list[str], regression: bool = False,
-         seed: int = SEED, trees: int = TREES, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """One graded row. ``keys`` identify real rows for the split; they and ``ignore`` are not used as features."""
+         seed: int = SEED, trees: int = TREES, ignore: tuple[str, ...] = (), depth: int = DEPTH, most: int = MAX_CATEGORIES) -> DataFrame:
+    """One graded row. ``keys`` identify real rows for the split; they and ``ignore`` are not used as features. Trees end at
+    ``depth`` levels (Spark allows 30), and text columns with more than ``most`` values are listed in ``left_out``."""
     drop = [c for c in (*keys, *ignore) if c != target]
     bare, synthetic = real.drop(*drop), synthetic.drop(*drop)
     if target is None or target not in real.columns:
@@ -105,56 +128,51 @@ def tstr(real: DataFrame, synthetic: DataFrame, target: str | None, keys: list[s
         return _unavailable(real, "no numeric feature column")
     if not set(numbers) & set(numeric_columns(synthetic)):
         return _unavailable(real, "no matching numeric feature column in the synthetic table")
-    features = feature_columns(bare, synthetic, target)
-    test = (split_draw(seed, keys) < TEST_SHARE).alias("is_test")
+    features = feature_columns(bare, synthetic, target, most)
+    tested = stratified_split(real, None if regression else target, keys, seed)
+    missing = ", ".join(left_out(bare, synthetic, target, features)) or None
     if regression:
-        label = F.col(f"`{target}`")
+        label = F.col(f"`{target}`").cast("double").alias("label")
     else:
-        index = label_index(bare, synthetic, target).collect()
-        if len(index) > MAX_LABELS:
-            return _unavailable(real, "the target has too many classes for a classifier")
-        label = None
-        for r in index:
-            hit = F.col(f"`{target}`").cast("string") == r["value"]
-            label = F.when(hit, r["label"]) if label is None else label.when(hit, r["label"])
-    on_real = spread(_vectors(real, features, label, test)).persist()
-    on_synthetic = spread(_vectors(synthetic, features, label)).persist()
-    try:
-        if regression:
-            return _regression(on_real, on_synthetic, target, trees, seed)
-        return _classification(on_real, on_synthetic, target, trees, seed)
-    finally:
-        on_real.unpersist()
-        on_synthetic.unpersist()
-
-
-def _classification(real: DataFrame, synthetic: DataFrame, target: str, trees: int, seed: int) -> DataFrame:
+        index = materialize(label_index(bare, synthetic, target))
+        # With the number of labels declared, a forest takes any number of classes.
+        label = F.col("label").alias("label", metadata={"ml_attr": {"name": "label", "type": "nominal", "num_vals": max(2, index.count())}})
+        tested, synthetic = (t.drop("value", "label").join(index, F.col(f"`{target}`").cast("string") == F.col("value")) for t in (tested, synthetic))
+    on_real = materialize(_vectors(tested, features, label, F.col("is_test")))
+    on_synthetic = materialize(_vectors(synthetic, features, label))
+    score = _regression if regression else _classification
+    return graded(score(on_real, on_synthetic, target, trees, seed, depth).withColumn("left_out", F.lit(missing).cast("string")))
+
+
+def _classification(real: DataFrame, synthetic: DataFrame, target: str, trees: int, seed: int, depth: int) -> DataFrame:
     tested = real.where("is_test")
     counts = {r["label"]: r["n"] for r in tested.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if real.select("label").distinct().limit(2).count() < 2:
-        return _unavailable(real, "the target has a single class")
+        return _refused(real, "the target has a single class")
+    if not counts or real.where("not is_test").isEmpty() or synthetic.isEmpty():
+        return _refused(real, "not enough rows")
     scores = []
     for training in (real.where("not is_test"), synthetic):
-        model = RandomForestClassifier(numTrees=trees, seed=seed).fit(training)
+        model = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth).fit(training)
         hit = (F.col("prediction") == F.col("label")).cast("double")
         scores.append(round(model.transform(tested).agg(F.avg(hit)).first()[0] * 100, 1))
     majority = round(max(counts.values()) / sum(counts.values()) * 100, 1)
-    return graded(small_frame(real.sparkSession, [(True, None, target, False, *scores, majority)], RESULT))
+    return small_frame(real.sparkSession, [(True, None, target, False, *scores, majority)], RESULT)
 
 
-def _regression(real: DataFrame, synthetic: DataFrame, target: str, trees: int, seed: int) -> DataFrame:
+def _regression(real: DataFrame, synthetic: DataFrame, target: str, trees: int, seed: int, depth: int) -> DataFrame:
     if real.limit(MIN_ROWS).count() < MIN_ROWS or synthetic.limit(MIN_ROWS).count() < MIN_ROWS:
-        return _unavailable(real, "not enough rows")
+        return _refused(real, "not enough rows")
     tested = real.where("is_test")
     scores = []
     for training in (real.where("not is_test"), synthetic):
-        model = RandomForestRegressor(numTrees=trees, seed=seed).fit(training)
+        model = RandomForestRegressor(numTrees=trees, seed=seed, maxDepth=depth).fit(training)
         row = model.transform(tested).agg(
             F.sum((F.col("label") - F.col("prediction")) ** 2).alias("rest"),
             (F.var_samp("label") * (F.count("label") - 1)).alias("all")).first()
         fit = 1 - row["rest"] / row["all"] if row["all"] else 0.0
         scores.append(round(max(0.0, min(1.0, fit)) * 100, 1))
-    return graded(small_frame(real.sparkSession, [(True, None, target, True, *scores, None)], RESULT))
+    return small_frame(real.sparkSession, [(True, None, target, True, *scores, None)], RESULT)
 
 
 def graded(results: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from tabloom.functions.small import small_frame
 from tabloom.operators.frequencies import value_frequencies
 from tabloom.operators.moments import Standardize, pairwise_moments
 from tabloom.operators.numeric import SCAN_WIDTH, numeric_facts
-from tabloom.session import spread
+from tabloom.session import materialize, working_copy
 
 # Weights, bands and defaults of the scores.
 WEIGHTS = (0.2, 0.5, 0.3)
@@ -120,24 +120,22 @@ def distinguishability(real: DataFrame, synthetic: DataFrame, seed: int = 42,
                          F.floor(draws.uniform(seed, "fold", *ids) * FOLDS).cast("int").alias("fold"),
                          *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)])
 
-    real_n, synth_n = real.count(), synthetic.count()
+    real_n, synth_n = real.select(F.count(F.lit(1)).alias("n")).unionAll(synthetic.select(F.count(F.lit(1)))).collect()
+    real_n, synth_n = real_n["n"], synth_n["n"]
     rows = side(real, real_keys, 1.0)
     if real_n > synth_n:
         rows = rows.where(F.col("thin") < F.lit(synth_n / real_n))
     rows = rows.unionByName(side(synthetic, synthetic_keys, 0.0))
     features = VectorAssembler(inputCols=[f"x{i}" for i in range(len(columns))], outputCol="raw").transform(rows)
-    features = spread(features.select("label", "fold", "raw")).persist()
-    try:
-        n = features.count()
-        scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(features).transform(features)
-        hits = []
-        for k in range(FOLDS):
-            fitted = LogisticRegression(maxIter=MAX_ITERATIONS, tol=TOLERANCE, regParam=1.0 / n, standardization=False).fit(
-                scaled.where(F.col("fold") != k))
-            tested = fitted.transform(scaled.where(F.col("fold") == k))
-            hits.append(tested.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
-    finally:
-        features.unpersist()
+    with working_copy(features.select("label", "fold", "raw")) as features:
+        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(features)
+        scaled = materialize(scaler.transform(features).select("label", "fold", "features"))
+    n, hits = scaled.count(), []
+    for k in range(FOLDS):  # a fit keeps its own blocks of rows in memory
+        fitted = LogisticRegression(maxIter=MAX_ITERATIONS, tol=TOLERANCE, regParam=1.0 / n, standardization=False).fit(
+            scaled.where(F.col("fold") != k))
+        tested = fitted.transform(scaled.where(F.col("fold") == k))
+        hits.append(tested.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
     accuracy = sum(hits) / FOLDS
     return round(max(0.0, min(100.0, (1 - (accuracy - 0.5) * 2) * 100)), 1)
 

@@ -2,57 +2,48 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
-import sys
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabloom.functions import draws
 from tabloom.functions.kinds import INTEGER, STRING, kinds
 from tabloom.functions.quantiles import value_at_rank
 from tabloom.functions.small import small_frame
-from tabloom.operators.indexing import dense_index
-from tabloom.session import spread
+from tabloom.operators.indexing import dense_index, with_row_key
 
 # Limits of text detection and strengths of augmentation.
-SAMPLE_ROWS, SENTENCE_WORDS, CODE_SHARE, CODE_CHARS = 200, 3.0, 0.95, 12
+SENTENCE_WORDS, CODE_SHARE, CODE_CHARS = 3.0, 0.95, 12
 PHRASE_WORDS, PHRASE_SHARE, PHRASE_CHARS = 1.5, 0.30, 6
 STRENGTH = {"low": 0.1, "medium": 0.2, "high": 0.3}
 LENGTH_WEIGHT, DIVERSITY_WEIGHT, DIVERSITY_SCALE = 0.6, 0.4, 500.0
 
-LEXICON_LIMIT = 200_000
 SALTS = 16
 DRAWS_PER_ROW = 10_000
 WORDS_OR_GAPS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def words(text: Column) -> Column:
     """Whitespace-separated words, none for a blank text."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def text_columns(df: DataFrame, order_by: list[str], unique_share: dict[str, float]) -> DataFrame:
-    """(column, avg_words, avg_chars, uniqueness, is_text) for string columns: averages over the first 200 non-null
-    texts in row order, uniqueness over the whole column."""
+def text_columns(df: DataFrame, unique_share: dict[str, float], first_rows: int | None = None, order_by: list[str] | None = None) -> DataFrame:
+    """(column, avg_words, avg_chars, uniqueness, is_text) for string columns, from one aggregate over all rows.
+
+    ``first_rows`` restricts the averages to the first non-null texts of each column in the order of ``order_by``.
+    """
     columns = [c for c, k in kinds(df).items() if k == STRING]
-    parts = None
-    for c in columns:
-        head = df.where(F.col(f"`{c}`").isNotNull()).orderBy(*order_by).limit(SAMPLE_ROWS)
-        one = head.agg(
-            F.avg(F.size(words(F.col(f"`{c}`")))).alias("avg_words"), F.avg(F.length(F.col(f"`{c}`"))).alias("avg_chars")
-        ).select(F.lit(c).alias("column"), "avg_words", "avg_chars", F.lit(float(unique_share[c])).alias("uniqueness"))
-        parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
-        return small_frame(df.sparkSession, [],
-                           "column string, avg_words double, avg_chars double, uniqueness double, is_text boolean")
+    schema = "column string, avg_words double, avg_chars double, uniqueness double"
+    if first_rows is None:
+        averages = [x for i, c in enumerate(columns) for x in (F.avg(F.size(words(F.col(f"`{c}`")))).alias(f"w{i}"), F.avg(F.length(F.col(f"`{c}`"))).alias(f"c{i}"))]
+        row = df.agg(*averages).first() if columns else None
+    else:
+        row = {}
+        for i, c in enumerate(columns):
+            head = df.where(F.col(f"`{c}`").isNotNull()).orderBy(*(order_by or [])).limit(first_rows)
+            row[f"w{i}"], row[f"c{i}"] = head.agg(F.avg(F.size(words(F.col(f"`{c}`")))), F.avg(F.length(F.col(f"`{c}`")))).first()
+    parts = small_frame(df.sparkSession, [(c, row[f"w{i}"], row[f"c{i}"], float(unique_share[c])) for i, c in enumerate(columns)], schema)
     code = (F.col("uniqueness") > CODE_SHARE) & (F.col("avg_chars") < CODE_CHARS)
     phrase = ((F.col("avg_words") >= PHRASE_WORDS) & (F.col("uniqueness") >= PHRASE_SHARE)
               & (F.col("avg_chars") >= PHRASE_CHARS))
@@ -72,92 +63,71 @@ def frequent_word_lexicon(df: DataFrame, column: str, size: int = 200, min_lette
     return small_frame(df.sparkSession, list(zip(ranked, ranked[1:] + ranked[:1])), "word string, synonym string")
 
 
-class Swap:
-    """Task side of augmentation: replace the drawn words of one text. Everything between words is kept as it is."""
-
-    def __init__(self, lexicon: dict[str, list[str]], share: float, seed: int):
-        self.lexicon, self.share, self.prefix = lexicon, share, f"{seed}|word|"
-        self.pieces = re.compile(r"[^\W_]+|[\W_]+")
-
-    def __call__(self, text: str | None, key: str) -> str | None:
-        if text is None:
-            return None
-        out = self.pieces.findall(text)
-        for at, piece in enumerate(out):
-            synonyms = self.lexicon.get(piece.lower())
-            if synonyms:
-                digest = hashlib.md5(f"{self.prefix}{key}|{at}".encode()).hexdigest()
-                if (int(digest[:13], 16) + 0.5) / 16**13 < self.share:
-                    out[at] = synonyms[int((int(digest[13:26], 16) + 0.5) / 16**13 * len(synonyms))]
-        return "".join(out)
-
-
 def augment_text(df: DataFrame, columns: list[str], keys: list[str], lexicon: DataFrame, strength: str = "medium",
-                 seed: int = 42, lexicon_limit: int = LEXICON_LIMIT) -> DataFrame:
-    """Replace a share of the words found in ``lexicon`` (word, synonym). Draws depend on (seed, keys, word position).
+                 seed: int = 42) -> DataFrame:
+    """Replace a share of the words found in ``lexicon`` (word, synonym); everything between words is kept as it is.
 
-    A lexicon of at most ``lexicon_limit`` rows is sent to the tasks and texts are rewritten where they are, without
-    a shuffle; a larger one is joined to the exploded words instead. Both give the same texts.
+    Draws depend on (seed, keys, word position), so whether a word is drawn is known before the lexicon is asked: only
+    drawn words are exploded and joined, and their synonyms are put back into the pieces of the text by position. A word
+    is spread over salts, since a common one would meet in one task; the lexicon, small beside the texts, is repeated
+    per salt, and Spark broadcasts it where its size allows. ``keys`` identify rows; rows with equal keys get equal draws.
     """
     share = STRENGTH[strength]
-    if lexicon.limit(lexicon_limit + 1).count() > lexicon_limit:
-        return _augment_by_join(df, columns, keys, lexicon, share, seed)
-    table: dict[str, list[str]] = {}
-    for r in lexicon.select(F.lower("word").alias("word"), "synonym").distinct().collect():
-        table.setdefault(r["word"], []).append(r["synonym"])
-    swap = Swap({w: sorted(s) for w, s in table.items()}, share, seed)
+    choices = lexicon.groupBy(F.lower("word").alias("word")).agg(F.array_sort(F.collect_set("synonym")).alias("synonyms"))
+    choices = choices.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    order = df.columns
+    for c in columns:
+        key = _key(keys, c)
+        drawn = F.filter(_words_with_draws(c, key, seed), lambda p: draws._unit(p["digest"], 1) < share)
+        keyed = df.withColumns({"_key": key, "_hash": F.xxhash64(F.col(f"`{c}`"))})
+        words_of = keyed.select("_key", "_hash", F.explode(drawn).alias("p")).select("_key", "_hash", "p.*")
+        salted = words_of.withColumn("salt", F.pmod(F.xxhash64("_key", "at"), F.lit(SALTS)).cast("int"))
+        pick = F.floor(draws._unit(F.col("digest"), 14) * F.size("synonyms")).cast("int")
+        found = salted.join(choices, ["word", "salt"]).select("_key", "_hash", "at", F.get("synonyms", pick).alias("piece"))
+        swaps = found.groupBy("_key", "_hash").agg(F.map_from_entries(F.collect_set(F.struct("at", "piece"))).alias("_swaps"))
+        joined = keyed.join(swaps, ["_key", "_hash"], "left")
+        parts = F.regexp_extract_all(F.col(f"`{c}`"), F.lit(WORDS_OR_GAPS), F.lit(0))
+        swapped = F.array_join(F.transform(parts, lambda p, i: F.coalesce(F.element_at("_swaps", i), p)), "")
+        df = joined.withColumn(c, F.when(F.col("_swaps").isNull(), F.col(f"`{c}`")).otherwise(swapped)).select(*[F.col(f"`{o}`") for o in order])
+    return df
 
-    @F.pandas_udf(T.StringType())
-    def rewrite(texts: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([swap(t, k) for t, k in zip(texts, key)], dtype=object)
 
-    return spread(df).withColumns({c: rewrite(F.col(f"`{c}`"), _key(keys, c)) for c in columns})
+def _words_with_draws(column: str, key: Column, seed: int) -> Column:
+    """The words of a text in lower case, each with its place among words and gaps and a digest that holds its draws."""
+    parts = F.regexp_extract_all(F.col(f"`{column}`"), F.lit(WORDS_OR_GAPS), F.lit(0))
+    placed = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("at"), F.lower(p).alias("word"))), lambda p: p["word"].rlike(r"^[\p{L}\p{N}]"))
+    digest = lambda p: F.md5(F.concat_ws("|", F.lit(f"{seed}|word"), key, p["at"].cast("string")))
+    return F.transform(placed, lambda p: F.struct(p["at"].alias("at"), p["word"].alias("word"), digest(p).alias("digest")))
 
 
 def _key(keys: list[str], column: str) -> Column:
     return F.concat_ws("|", F.lit(column), *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys])
 
 
-def _augment_by_join(df: DataFrame, columns: list[str], keys: list[str], lexicon: DataFrame, share: float,
-                     seed: int) -> DataFrame:
-    """Explode words, join the lexicon, put the texts together again. Common words would all meet in one task, so each
-    word is spread over salts and the lexicon, which is small beside the texts, is repeated per salt."""
-    choices = lexicon.groupBy(F.lower("word").alias("word")).agg(F.array_sort(F.collect_set("synonym")).alias("synonyms"))
-    choices = choices.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    for c in columns:
-        pieces = spread(df).select(*keys, F.posexplode(F.regexp_extract_all(F.col(f"`{c}`"), F.lit(WORDS_OR_GAPS), F.lit(0))).alias("at", "piece"))
-        digest = F.md5(F.concat_ws("|", F.lit(f"{seed}|word"), _key(keys, c), F.col("at").cast("string")))
-        drawn = pieces.withColumns({"word": F.lower("piece"), "digest": digest, "salt": F.pmod(F.xxhash64("at", *keys), F.lit(SALTS)).cast("int")})
-        joined = drawn.join(choices, ["word", "salt"], "left")
-        pick = F.floor(draws._unit(F.col("digest"), 14) * F.size("synonyms")).cast("int")
-        swapped = F.when(F.col("synonyms").isNotNull() & (draws._unit(F.col("digest"), 1) < share),
-                         F.get("synonyms", pick)).otherwise(F.col("piece"))
-        texts = joined.groupBy(*keys).agg(F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("at", swapped.alias("piece")))), lambda s: s["piece"]), "").alias("_text"))
-        order = df.columns
-        df = df.join(texts, keys, "left").withColumn(c, F.coalesce("_text", F.col(f"`{c}`"))).select(*order)
-    return df
-
-
 def augment_dataset(df: DataFrame, columns: list[str], n: int, key: str, lexicon: DataFrame, strength: str = "medium",
                     seed: int = 42) -> DataFrame:
     """The originals (``variant`` 0) plus augmented copies until ``n`` rows: every row gets the same number of copies, in
     order of the integer ``key``, until the total is reached. Only the key value where copying ends is looked up, so
-    rows are neither numbered nor sorted."""
+    rows are neither numbered nor sorted. Where keys are null or the last key is repeated, copies are counted out by
+    stored row keys instead, so the total is always ``n``."""
     if kinds(df)[key] != INTEGER:
         raise ValueError("augment_dataset needs an integer key (see with_row_key)")
-    size = df.count()
+    size, keyed = df.agg(F.count(F.lit(1)), F.count(f"`{key}`")).first()
     originals = df.withColumn("variant", F.lit(0))
     if n <= size or size == 0:
         return originals
     per_row = math.ceil((n - size) / size)
     full, rest = divmod(n - size, per_row)
-    last = value_at_rank(df, F.col(f"`{key}`"), full)
+    rank_by, last = key, value_at_rank(df, F.col(f"`{key}`"), full)
+    if keyed < size or (last is not None and df.where(F.col(f"`{key}`") == last).limit(2).count() > 1):
+        rank_by, df = "_row", with_row_key(df, "_row")
+        last = value_at_rank(df, F.col(rank_by), full)
+        originals = df.drop("_row").withColumn("variant", F.lit(0))
     copies = F.lit(per_row)
     if last is not None:
-        copies = F.when(F.col(f"`{key}`") < last, per_row).when(F.col(f"`{key}`") == last, rest).otherwise(0)
+        copies = F.when(F.col(f"`{rank_by}`") < last, per_row).when(F.col(f"`{rank_by}`") == last, rest).otherwise(0)
     variants = df.withColumn("_copies", copies).where("_copies > 0").withColumn(
-        "variant", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+        "variant", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_row")
     return originals.unionByName(augment_text(variants, columns, [key, "variant"], lexicon, strength, seed))
 
 

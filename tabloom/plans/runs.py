@@ -36,8 +36,8 @@ class Analysis:
 def analyse(df: DataFrame, keys: list[str], target: str | None = None, check: bool = True) -> Analysis:
     """Profile, issues, dataset facts with the chosen route, and text columns."""
     table, rejected = flat_table(df)
-    profile = profile_table(table.drop(ROW_KEY))
-    found = text.text_columns(table, keys, text.unique_shares(profile))
+    profile = profile_table(table.drop(*[k for k in keys if k == ROW_KEY]))
+    found = text.text_columns(table, text.unique_shares(profile))
     texts = [r["column"] for r in found.where("is_text").collect()]
     if check:
         refused = inference.usability(profile.frame, bool(texts)).where("refused").collect()
@@ -89,7 +89,8 @@ def _generate(table: DataFrame, n: int, keys: list[str], analysis: Analysis, fix
         target, target_type = None, None
     fitted = cleaned
     if holdout_first:
-        fitted = cleaned.where(readiness.split_draw(seed, list(key_copies)) >= readiness.TEST_SHARE)
+        by_class = target if target_type == "classification" else None
+        fitted = readiness.stratified_split(cleaned, by_class, list(key_copies), seed).where("not is_test").drop("is_test")
     with working_copy(fitted.select(*columns, *key_copies)) as real:
         made = _sample(real, columns, list(key_copies), analysis, facts_row["strategy"], target, target_type, n,
                        class_counts, seed)
@@ -103,7 +104,7 @@ def _sample(real: DataFrame, columns: list[str], keys: list[str], analysis: Anal
     numeric = [c for c in columns if by_kind[c] in (INTEGER, FLOAT)]
     facts = numeric_facts(real, numeric)
     uneven = [c for c in numeric if not facts[c].whole and not facts[c].integer]
-    places = transforms.decimal_places(real, uneven, keys or uneven)
+    places = transforms.decimal_places(real, uneven)
     if target_type == "regression":
         class_counts = None
     if analysis.profile.n_rows < BOOTSTRAP_ROWS and not class_counts:

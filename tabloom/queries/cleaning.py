@@ -203,7 +203,7 @@ def decode_discrete(spark, folder):
 
 _NOISY = unit_sql(11, "noise", "c_custkey")
 _PLACES = """(SELECT least(4, floor(quantile_cont(greatest(1, length(rtrim(split_part(cast(cast(abs(c_acctbal) AS DECIMAL(38, 12))
-    AS VARCHAR), '.', 2), '0'))), 0.5)))::INTEGER FROM (SELECT c_acctbal FROM customer ORDER BY c_custkey LIMIT 100))"""
+    AS VARCHAR), '.', 2), '0'))), 0.5)))::INTEGER FROM customer)"""
 
 
 def _noisy_customers(spark, folder):
@@ -221,7 +221,7 @@ def _noisy_customers(spark, folder):
 def restore_dtypes(spark, folder):
     real = table(spark, folder, "customer")
     facts = numeric_facts(real, ["c_nationkey", "c_acctbal"])
-    places = transforms.decimal_places(real, ["c_acctbal"], ["c_custkey"])
+    places = transforms.decimal_places(real, ["c_acctbal"])
     return transforms.restore_types(_noisy_customers(spark, folder), facts, places)
 
 

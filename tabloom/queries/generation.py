@@ -142,6 +142,15 @@ def conditional_sample_counts(spark, folder):
     return made.rows.groupBy("big").agg(F.count(F.lit(1)).alias("n"))
 
 
+@BOOK.add("conditional_many_classes", """SELECT o_custkey, greatest(1, round_even(30000 * (count(*) / (SELECT count(*) FROM orders)), 0))::BIGINT AS n
+    FROM orders GROUP BY 1""")
+def conditional_many_classes(spark, folder):
+    """A class per customer: every one keeps its share, and at least one row."""
+    rows = table(spark, folder, "orders").select("o_totalprice", "o_custkey")
+    made = classes.generate_conditional(rows, ["o_totalprice", "o_custkey"], "o_custkey", 30000, SEED)
+    return made.rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
 @BOOK.add("per_class_counts", """SELECT o_orderstatus, count(*) // 3 AS n, sum((o_totalprice BETWEEN lo AND hi)::INTEGER) // 3 AS inside
     FROM orders JOIN (SELECT o_orderstatus, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1) USING (o_orderstatus)
     GROUP BY 1""")

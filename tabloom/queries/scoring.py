@@ -186,12 +186,18 @@ def correlation_summary(spark, folder):
 _LEARN = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "big"]
 
 
-@BOOK.add("prepare_features", f"""SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax,
-    cast(l_returnflag = 'N' AS DOUBLE) AS "l_returnflag_N", cast(l_returnflag = 'R' AS DOUBLE) AS "l_returnflag_R" FROM {REAL_HALF}""")
+_FEATURES = """l_orderkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, cast(l_returnflag = 'N' AS DOUBLE) AS "l_returnflag_N",
+    cast(l_returnflag = 'R' AS DOUBLE) AS "l_returnflag_R" """
+
+
+@BOOK.add("prepare_features", f"""SELECT {_FEATURES}, 0e0 AS "l_returnflag_new" FROM {REAL_HALF}
+    UNION ALL SELECT {_FEATURES.replace("l_returnflag =", "l_partkey % 9 <> 0 AND l_returnflag =")}, cast(l_partkey % 9 = 0 AS DOUBLE) FROM {OTHER_HALF}""")
 def prepare_features(spark, folder):
+    """Both sides, one of which has a category of its own."""
     a, b = halves(spark, folder)
+    b = b.withColumn("l_returnflag", F.when(F.col("l_partkey") % 9 == 0, "new").otherwise(F.col("l_returnflag")))
     made = readiness.feature_columns(a.select(*_LEARN), b.select(*_LEARN), "big")
-    return a.select("l_orderkey", "l_partkey", *[x.alias(n) for n, x in made.items()])
+    return a.unionByName(b).select("l_orderkey", "l_partkey", *[x.alias(n) for n, x in made.items()])
 
 
 @BOOK.add("encode_labels", """SELECT value, cast(row_number() OVER (ORDER BY value) - 1 AS DOUBLE) AS label FROM (
@@ -203,7 +209,16 @@ def encode_labels(spark, folder):
     return readiness.label_index(orders, changed, "o_orderstatus")
 
 
-@BOOK.add("stratified_split", f"""SELECT o_orderkey, o_orderstatus, {unit_sql(42, 'split', 'o_orderkey')} < 0.3 AS is_test FROM orders""")
+@BOOK.add("encode_many_labels", """SELECT value, cast(row_number() OVER (ORDER BY value) - 1 AS DOUBLE) AS label FROM (
+    SELECT DISTINCT cast(o_custkey AS VARCHAR) AS value FROM orders)""")
+def encode_many_labels(spark, folder):
+    """Far more than a hundred labels."""
+    orders = table(spark, folder, "orders").select("o_custkey")
+    return readiness.label_index(orders, orders, "o_custkey")
+
+
+@BOOK.add("stratified_split", f"""SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {unit_sql(42, 'split', 'o_orderkey')}, o_orderkey)
+    <= round(count(*) OVER (PARTITION BY o_orderstatus) * 0.3e0) AS is_test FROM orders""")
 def stratified_split(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
     return readiness.stratified_split(orders, "o_orderstatus", ["o_orderkey"])

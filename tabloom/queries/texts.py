@@ -21,20 +21,20 @@ _TEXTS = {"documents": (["doc_id"], ["text", "lang", "source"], 2), "conversatio
 
 
 def _detect_sql(name: str) -> str:
-    keys, columns, _ = _TEXTS[name]
+    _, columns, _ = _TEXTS[name]
     parts = []
     for c in columns:
         parts.append(f"""SELECT '{name}' AS table_name, '{c}' AS "column", w AS avg_words, k AS avg_chars, u AS uniqueness,
             w >= 3 OR (NOT (u > 0.95 AND k < 12) AND w >= 1.5 AND u >= 0.3 AND k >= 6) AS is_text FROM (
             SELECT avg(len(list_filter(string_split_regex(x, '\\s+'), lambda t: t <> ''))) AS w, avg(length(x)) AS k,
                 (SELECT count(DISTINCT {c}) / count(*) FROM {name}) AS u
-            FROM (SELECT {c} AS x FROM {name} WHERE {c} IS NOT NULL ORDER BY {', '.join(keys)} LIMIT 200))""")
+            FROM (SELECT {c} AS x FROM {name} WHERE {c} IS NOT NULL))""")
     return union_sql(parts)
 
 
 def _detected(spark, folder, name: str):
     df = table(spark, folder, name)
-    found = text.text_columns(df, _TEXTS[name][0], text.unique_shares(profile_table(df)))
+    found = text.text_columns(df, text.unique_shares(profile_table(df)))
     return found.withColumn("table_name", F.lit(name))
 
 
@@ -88,9 +88,9 @@ def augment_text(spark, folder):
 
 @BOOK.add("augment_text_joined", f"WITH {LEXICON} SELECT doc_id, text FROM {_augmented_sql('documents', ['doc_id'], 0.3)}")
 def augment_text_joined(spark, folder):
-    """The route for lexicons too large to send to every task."""
+    """The highest strength."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    return text.augment_text(documents, ["text"], ["doc_id"], _lexicon(spark, folder), "high", SEED, lexicon_limit=0)
+    return text.augment_text(documents, ["text"], ["doc_id"], _lexicon(spark, folder), "high", SEED)
 
 
 _VARIANTS = """(SELECT doc_id, unnest(range(1, copies + 1)) AS variant, text FROM (SELECT doc_id, text,
@@ -111,6 +111,18 @@ def augment_dataset(spark, folder):
     return _augmented(spark, folder)[1]
 
 
+_WIDE = "(SELECT doc_id + 1152921504606846976 AS doc_id, text FROM documents)"
+
+
+@BOOK.add("augment_dataset_wide_keys", f"""WITH {LEXICON}, wide AS MATERIALIZED {_WIDE} SELECT doc_id, 0 AS variant, text FROM wide
+    UNION ALL SELECT doc_id, variant::INTEGER, text FROM {_augmented_sql(_VARIANTS.replace("FROM documents, ", "FROM wide, "), ['doc_id', 'variant'], 0.1)}""")
+def augment_dataset_wide_keys(spark, folder):
+    """Keys beyond 2^53 keep their order and number."""
+    documents = table(spark, folder, "documents").select((F.col("doc_id") + 2**60).alias("doc_id"), "text")
+    n = documents.count()
+    return text.augment_dataset(documents, ["text"], n + n * 3 // 2 + 7, "doc_id", _lexicon(spark, folder), "low", SEED)
+
+
 _WORDS = "unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda t: t <> ''))"
 
 
@@ -248,6 +260,16 @@ def append_if_new(spark, folder):
     return _appended(spark, folder)
 
 
+@BOOK.add("append_if_new_repeated", f"""SELECT c_custkey // 3 AS day, email, interest, email IS NOT NULL AND (email IN (SELECT email FROM {_KNOWN})
+    OR row_number() OVER (PARTITION BY email ORDER BY c_custkey // 3, interest) > 1) AS already FROM {_CLEAN} WHERE valid AND c_custkey % 5 <> 0""")
+def append_if_new_repeated(spark, folder):
+    """Three contacts arrive on each day, so the arrival does not tell them apart."""
+    contacts = _contacts(spark, folder)
+    known = ledger.validate_contacts(contacts.where("c_custkey % 5 = 0")).where("email is not null").select("email").distinct()
+    batch = contacts.where("c_custkey % 5 <> 0").select(F.floor(F.col("c_custkey") / 3).alias("day"), "email", "interest")
+    return ledger.new_contacts(batch, known, ["day"])
+
+
 @BOOK.add("contact_summary", f"SELECT count(*) AS contact_count, count(*) >= 25 AS visible FROM {_APPENDED} WHERE NOT already")
 def contact_summary(spark, folder):
     return ledger.summary(_appended(spark, folder).where("not already"))

@@ -20,6 +20,7 @@ def local_session(cores: str = "*", app: str = "tabloom") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config(PARTITIONS, "8" if cores == "*" else cores)
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -42,12 +43,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back from there.
+    """Write ``df`` once as Parquet to the shared checkpoint folder and read it from there, so that later scans read only
+    the columns they need.
 
     Used where a result feeds several actions, or where ids must not change when a lost executor is replaced.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -57,33 +60,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-SPREAD_LIMIT = 64
-SHUFFLES = ("hashpartitioning(", "rangepartitioning(", "RoundRobinPartitioning(", "SinglePartition")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-bound work a task per core where a source has fewer partitions (a few large row groups).
-
-    A table with enough partitions is left alone, so large inputs are never shuffled for this. So is one whose plan holds
-    a shuffle: it is spread already, and asking for its partitions would run that shuffle.
-    """
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if any(mark in plan for mark in SHUFFLES):
-        return df
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_LIMIT)
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+PARTITIONS = "spark.tabloom.working.partitions"
 
 
 @contextmanager
 def working_copy(df: DataFrame) -> Iterator[DataFrame]:
-    """A table to scan several times. One of few partitions (so of bounded size) is spread over the cores and cached
-    meanwhile; any larger one is used as it is, each scan reading only the columns it needs."""
-    wide = spread(df)
-    if wide is df:
-        yield df
-        return
-    wide.persist()
-    try:
-        yield wide
-    finally:
-        wide.unpersist()
+    """A table to scan several times: the table itself, or the copy the caller has asked for.
+
+    Whoever knows that a source is small but has too few partitions for the cores (one row group, one gzip file) sets
+    ``spark.tabloom.working.partitions`` in the session; it is then written once as Parquet in so many parts to the shared folder.
+    """
+    wanted = df.sparkSession.conf.get(PARTITIONS, None)
+    yield materialize(df.repartition(int(wanted))) if wanted else df

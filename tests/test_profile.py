@@ -26,7 +26,8 @@ def test_bracketed_quantiles_equal_sorting(spark):
 def test_value_at_rank(spark):
     df = spark.range(1000).select((F.col("id") * 3).alias("k"))
     assert [value_at_rank(df, F.col("k"), r) for r in (0, 7, 999)] == [0, 21, 2997]
-    assert value_at_rank(df, F.col("k"), 7, value_budget=1, bracket_limit=5, accuracy=20) == 21
+    wide = spark.range(1000).select((F.lit(2**60) + F.col("id")).alias("k")).union(spark.createDataFrame([(-(2**62),), (None,), (2**60 + 5,)], "k long"))
+    assert [value_at_rank(wide, F.col("k"), r) for r in (0, 1, 6, 7, 8, 1001, 1002)] == [-(2**62), 2**60, 2**60 + 5, 2**60 + 5, 2**60 + 6, 2**60 + 999, None]
     assert value_at_rank(df, F.col("k"), 1000) is None
 
 

@@ -14,20 +14,26 @@ def test_detection_rules(spark):
     rows = [(i, f"Title {i}th", ["New York", "San Jose"][i % 2], f"ab-{i}", f"a longer sentence of words {i % 3}", None)
             for i in range(60)]
     df = spark.createDataFrame(rows, "k long, title string, city string, code string, prose string, none string")
-    found = text.text_columns(df, ["k"], text.unique_shares(profile_table(df)))
+    found = text.text_columns(df, text.unique_shares(profile_table(df)))
     assert {r["column"] for r in found.where("is_text").collect()} == {"prose"}
     titles = df.select("k", F.concat(F.lit("Great Title "), F.floor(F.col("k") / 2).cast("string")).alias("t")).withColumn(
         "t", F.regexp_replace("t", " Title", "Title"))
-    found = text.text_columns(titles, ["k"], text.unique_shares(profile_table(titles)))
+    found = text.text_columns(titles, text.unique_shares(profile_table(titles)))
     assert found.first()["is_text"]
 
 
-def test_both_routes_agree_and_keep_everything_else(spark, lexicon):
+def test_detection_over_first_rows(spark):
+    df = spark.range(500).selectExpr("id AS k", "CASE WHEN id < 200 THEN 'a' ELSE 'many words stand in this text' END AS t")
+    assert text.text_columns(df, {"t": 0.004}).first()["is_text"]
+    assert not text.text_columns(df, {"t": 0.004}, 200, ["k"]).first()["is_text"]
+
+
+def test_augmentation_keeps_everything_else(spark, lexicon):
     rows = [(1, "Red,  red\nand BIG! "), (2, None), (3, "   "), (4, "nothing here"), (5, "été red_big " * 50)]
     df = spark.createDataFrame(rows, "k long, t string")
     sent = dict(map(tuple, text.augment_text(df, ["t"], ["k"], lexicon, "high").collect()))
-    joined = dict(map(tuple, text.augment_text(df, ["t"], ["k"], lexicon, "high", lexicon_limit=0).collect()))
-    assert sent == joined and sent[2] is None and sent[3] == "   " and sent[4] == "nothing here"
+    again = dict(map(tuple, text.augment_text(df.repartition(3), ["t"], ["k"], lexicon, "high").collect()))
+    assert sent == again and sent[2] is None and sent[3] == "   " and sent[4] == "nothing here"
     changed = sum(a != b for a, b in zip(sent[5].split(), rows[4][1].split()))
     assert 5 < changed < 60 and "scarlet" in sent[5] and "crimson" in sent[5] and "saison" in sent[5]
 
@@ -40,6 +46,13 @@ def test_dataset_growth_fills_rows_in_order(spark, lexicon):
     assert text.augment_dataset(df, ["t"], 10, "k", lexicon).count() == 10
 
 
+def test_dataset_growth_with_null_and_repeated_keys(spark, lexicon):
+    df = spark.createDataFrame([(None, "red"), (1, "big red"), (1, "big red"), (1, "red"), (None, "red")], "k long, t string")
+    for n in (6, 9, 10, 17):
+        grown = text.augment_dataset(df, ["t"], n, "k", lexicon)
+        assert grown.count() == n and grown.columns == ["k", "t", "variant"]
+
+
 def test_anchors_keep_labels_and_spread_hot_pools(spark, monkeypatch):
     monkeypatch.setattr(text, "DRAWS_PER_ROW", 10)
     df = spark.range(40).selectExpr("id AS k", "CASE WHEN id = 0 THEN 'rare' ELSE 'common' END AS label", "id * 10 AS v")
