@@ -34,6 +34,7 @@ class _Target:
     high: float
     below: int
     inside: int
+    accuracy: int
     settled: bool = False
 
 
@@ -43,17 +44,24 @@ def exact_quantiles(
     value_budget: int = VALUE_BUDGET,
     bracket_limit: int = BRACKET_LIMIT,
     accuracy: int = ACCURACY,
+    known: dict[str, tuple[int, float, float]] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Quantiles of several numeric expressions over ``df``; ``None`` where an expression has no value."""
+    """Quantiles of several numeric expressions over ``df``; ``None`` where an expression has no value.
+
+    ``known`` may give the count of every expression and bounds of its values, which saves a scan.
+    """
     if not requests:
         return {}
     names = list(requests)
     values = {n: requests[n][0].cast("double") for n in names}
-    head = df.agg(
-        *[F.count(values[n]).alias(f"n{i}") for i, n in enumerate(names)],
-        *[F.min(values[n]).alias(f"lo{i}") for i, n in enumerate(names)],
-        *[F.max(values[n]).alias(f"hi{i}") for i, n in enumerate(names)],
-    ).first()
+    if known is not None:
+        head = {f"{k}{i}": known[n][j] for i, n in enumerate(names) for j, k in enumerate(("n", "lo", "hi"))}
+    else:
+        head = df.agg(
+            *[F.count(values[n]).alias(f"n{i}") for i, n in enumerate(names)],
+            *[F.min(values[n]).alias(f"lo{i}") for i, n in enumerate(names)],
+            *[F.max(values[n]).alias(f"hi{i}") for i, n in enumerate(names)],
+        ).first()
     counts = {n: head[f"n{i}"] for i, n in enumerate(names)}
     if sum(counts.values()) <= value_budget:
         row = df.agg(*[
@@ -67,9 +75,9 @@ def exact_quantiles(
         for p in requests[n][1] if counts[n] else []:
             at = p * (counts[n] - 1)
             targets.append(_Target(n, p, values[n], math.floor(at), math.ceil(at),
-                                   head[f"lo{i}"], head[f"hi{i}"], 0, counts[n]))
+                                   head[f"lo{i}"], head[f"hi{i}"], 0, counts[n], accuracy))
     while any(not t.settled for t in targets):
-        _narrow(df, [t for t in targets if not t.settled], bracket_limit, accuracy)
+        _narrow(df, [t for t in targets if not t.settled], bracket_limit)
     picked = _order_statistics(df, targets)
     answer: dict[str, list[float | None]] = {n: [] for n in names}
     for i, t in enumerate(targets):
@@ -108,25 +116,25 @@ def value_at_rank(df: DataFrame, column: Column, rank: int) -> int | None:
     return found
 
 
-def _narrow(df: DataFrame, open_targets: list[_Target], bracket_limit: int, accuracy: int) -> None:
+def _narrow(df: DataFrame, open_targets: list[_Target], bracket_limit: int) -> None:
     """Shrink every open range once; settle those small enough, or no longer shrinking because of ties."""
     for t in open_targets:
         t.settled = t.inside <= bracket_limit or t.low == t.high
     work = [t for t in open_targets if not t.settled]
     if not work:
         return
-    slack = 2.0 / accuracy
 
     def ends(t: _Target) -> list[float]:
+        slack = 2.0 / t.accuracy
         return [max(0.0, (t.first - t.below) / t.inside - slack), min(1.0, (t.last - t.below + 1) / t.inside + slack)]
 
     # Targets that still search the same range of one expression share a sketch.
     shared: dict[tuple, list[int]] = {}
     for i, t in enumerate(work):
-        shared.setdefault((t.name, t.low, t.high), []).append(i)
+        shared.setdefault((t.name, t.low, t.high, t.accuracy), []).append(i)
     row = df.agg(*[
         F.percentile_approx(F.when(work[g[0]].value.between(work[g[0]].low, work[g[0]].high), work[g[0]].value),
-                            [p for i in g for p in ends(work[i])], accuracy).alias(f"s{k}")
+                            [p for i in g for p in ends(work[i])], work[g[0]].accuracy).alias(f"s{k}")
         for k, g in enumerate(shared.values())
     ]).first()
     sketches = {f"t{i}": row[f"s{k}"][2 * j:2 * j + 2] for k, g in enumerate(shared.values()) for j, i in enumerate(g)}
@@ -137,7 +145,10 @@ def _narrow(df: DataFrame, open_targets: list[_Target], bracket_limit: int, accu
     for i, t in enumerate(work):
         (low, high), below, inside = sketches[f"t{i}"], checks[f"b{i}"], checks[f"m{i}"]
         holds = below <= t.first and below + inside > t.last
-        if not holds or inside >= t.inside:
+        if not holds:  # the sketch was off by more than it promises: a finer one for the same range
+            t.accuracy = min(t.accuracy * 10, 10**8)
+            continue
+        if inside >= t.inside:
             t.settled = True
             continue
         t.low, t.high, t.below, t.inside = low, high, below, inside

@@ -23,6 +23,7 @@ SMALL_VOCABULARY = 10_000
 # Aggregates of about this many columns still compile to methods the JVM optimises; wider ones ran several times slower.
 # Each batch reads its own columns only, so a columnar table is read once whatever the width.
 SCAN_WIDTH = 6
+SHORT_TEXT = 32
 
 # Column types.
 CONTINUOUS, DISCRETE = "numerical_continuous", "numerical_discrete"
@@ -120,19 +121,25 @@ def _large_columns(df: DataFrame, columns: list[str], facts: dict[str, dict], nu
     """Columns with many values: each is counted on its own, reading nothing else; quantiles by bracketing."""
     parts = None
     for c in columns:
-        counted = df.select(F.col(f"`{c}`").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        # Long texts are told apart by a digest, so no text is shuffled.
+        raw = F.col(f"`{c}`")
+        value = raw if df.schema[c].dataType.simpleString() != "string" else F.when(F.length(raw) > SHORT_TEXT, F.concat(F.lit("\0"), F.md5(raw))).otherwise(raw)
+        counted = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
         one = counted.agg(F.count(F.lit(1)).alias("num_unique"), F.max("n").alias("top_count")).withColumn("column", F.lit(c))
         parts = one if parts is None else parts.unionByName(one)
     for r in parts.collect() if parts is not None else []:
         facts[r["column"]].update(num_unique=r["num_unique"], top_count=r["top_count"])
     wanted: dict[str, tuple[Column, list[float]]] = {}
+    known: dict[str, tuple[int, float, float]] = {}
     for c in columns:
         if c in numeric:
             x = F.col(f"`{c}`").cast("double")
-            wanted[c] = (x, [0.25, 0.75])
+            ends = (facts[c]["low"], facts[c]["high"])
+            wanted[c], known[c] = (x, [0.25, 0.75]), (facts[c]["present"], *ends)
             if "nonzero_median" in _needed_ranks(facts[c]):
                 wanted[f"{c}\0nonzero"] = (F.when(x != 0, x), [0.5])
-    found = exact_quantiles(df, wanted)
+                known[f"{c}\0nonzero"] = (facts[c]["present"] - facts[c]["num_zeros"], *ends)
+    found = exact_quantiles(df, wanted, known=known)
     for c in columns:
         if c in numeric:
             facts[c]["q1"], facts[c]["q3"] = found[c]

@@ -135,6 +135,72 @@ def per_class_generate(spark, folder):
     return classes.generate_per_class(rows, MODELLED, "big", {"0": half, "1": half}, SEED).rows
 
 
+def _properties(method: str, real, made, columns: list[str], pair: tuple[str, str]):
+    """Per column: number of rows, whether all lie in the real range, and whether the quartiles are within 5% of that range;
+    and whether the correlation of ``pair`` is kept within 0.1."""
+    def facts(df):
+        return df.agg(F.count(F.lit(1)).alias("n"), F.corr(*pair).alias("r"), *[
+            f for i, c in enumerate(columns) for f in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"q{i}"))]).first()
+
+    a, b = facts(real), facts(made)
+    rows = []
+    for i, c in enumerate(columns):
+        width = float(a[f"hi{i}"]) - float(a[f"lo{i}"])
+        close = all(abs(float(x) - float(y)) <= 0.05 * width for x, y in zip(a[f"q{i}"], b[f"q{i}"]))
+        rows.append((method, c, b["n"], bool(a[f"lo{i}"] <= b[f"lo{i}"] and b[f"hi{i}"] <= a[f"hi{i}"]), close, abs(a["r"] - b["r"]) <= 0.1))
+    return small_frame(real.sparkSession, rows, "method string, column string, n long, inside boolean, quartiles_close boolean, correlation_close boolean")
+
+
+_CHECKED = ["l_quantity", "l_extendedprice", "rev"]
+_TRUE_SQL = """SELECT '{method}' AS method, unnest(['l_quantity', 'l_extendedprice', 'rev']) AS "column", (SELECT count(*) FROM lineitem) AS n,
+    true AS inside, true AS quartiles_close, true AS correlation_close"""
+
+
+@BOOK.add("copula_sample_properties", _TRUE_SQL.format(method="pooled"))
+def copula_sample_properties(spark, folder):
+    return _properties("pooled", sales(spark, folder), copula_sample(spark, folder), _CHECKED, ("l_extendedprice", "rev"))
+
+
+@BOOK.add("mixture_properties", _TRUE_SQL.format(method="mixture"))
+def mixture_properties(spark, folder):
+    return _properties("mixture", sales(spark, folder), mixture_copula(spark, folder), _CHECKED, ("l_extendedprice", "rev"))
+
+
+@BOOK.add("conditional_properties", _TRUE_SQL.format(method="conditional"))
+def conditional_properties(spark, folder):
+    return _properties("conditional", sales(spark, folder), conditional_sample(spark, folder), _CHECKED, ("l_extendedprice", "rev"))
+
+
+@BOOK.add("per_class_properties", _TRUE_SQL.format(method="per class"))
+def per_class_properties(spark, folder):
+    """As many rows of each class as there are real ones."""
+    rows = sales(spark, folder)
+    real = {str(r["big"]): r["count"] for r in rows.groupBy("big").count().collect()}
+    return _properties("per class", rows, classes.generate_per_class(rows, MODELLED, "big", real, SEED).rows, _CHECKED, ("l_extendedprice", "rev"))
+
+
+@BOOK.add("generate_rows_properties", """SELECT (SELECT count(*) FROM orders) AS n, true AS prices_inside, true AS known_status, true AS known_priority""")
+def generate_rows_properties(spark, folder):
+    """The whole run: as many rows as asked for, prices within the real range, no category of its own."""
+    orders, made = table(spark, folder, "orders"), generate_rows(spark, folder)
+    ends = orders.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi")).first()
+    known = {c: [r[0] for r in orders.select(c).distinct().collect()] for c in ("o_orderstatus", "o_orderpriority")}
+    return made.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("o_totalprice").between(ends["lo"], ends["hi"])).alias("prices_inside"),
+                    F.bool_and(F.col("o_orderstatus").isin(*known["o_orderstatus"])).alias("known_status"),
+                    F.bool_and(F.col("o_orderpriority").isin(*known["o_orderpriority"])).alias("known_priority"))
+
+
+@BOOK.add("generate_rows_tiny_properties", """SELECT 2 * count(*) AS n, true AS known_names, true AS known_regions FROM nation""")
+def generate_rows_tiny_properties(spark, folder):
+    """Bootstrapped rows hold real values only."""
+    nation, made = table(spark, folder, "nation"), generate_rows_tiny(spark, folder)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c, name in (("n_name", "known_names"), ("n_regionkey", "known_regions")):
+        values = [r[0] for r in nation.select(c).distinct().collect()]
+        aggs.append(F.bool_and(F.col(c).isin(*values)).alias(name) if c in made.columns else F.lit(True).alias(name))
+    return made.agg(*aggs)
+
+
 @BOOK.add("conditional_sample_counts", f"""SELECT big, greatest(1, round_even(1000 * (count(*) / (SELECT count(*) FROM lineitem)), 0))::BIGINT AS n
     FROM {SALES} GROUP BY big""")
 def conditional_sample_counts(spark, folder):

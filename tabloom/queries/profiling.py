@@ -96,7 +96,7 @@ def _usability(spark, folder, rule: str) -> DataFrame:
     names = ("pages", "benchmark", "nation", "region_row")
     parts = []
     for name in names:
-        df = table(spark, folder, "region").where("r_regionkey = 0").select("r_name") if name == "region_row" else _source(spark, folder, name)
+        df = table(spark, folder, "region").agg(F.max("r_name").alias("r_name")) if name == "region_row" else _source(spark, folder, name)
         frame = inference.usability(profile_table(df).frame, has_text=name == "benchmark")
         parts.append(_tagged(name, frame.where(F.col("rule") == rule).select("rule", "refused")))
     return _union(parts)
@@ -106,7 +106,7 @@ def _usability_sql(rule: str) -> str:
     def wide(c: str, rel: str) -> str:
         return f"(SELECT count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) FROM {rel})"
 
-    region = "(SELECT r_name FROM region WHERE r_regionkey = 0)"
+    region = "(SELECT max(r_name) AS r_name FROM region)"
     shapes = {"pages": ("pages", ["page_id", "url"]), "benchmark": ("benchmark", ["item_id", "text"]),
               "nation": ("nation", ["n_nationkey", "n_name", "n_regionkey"]), "region_row": (region, ["r_name"])}
     parts = []

@@ -261,6 +261,24 @@ def tstr_inconclusive(spark, folder):
     return _tstr(spark, folder, "l_linestatus", False)
 
 
+@BOOK.add("tstr_properties", """SELECT kind, true AS available, true AS close, true AS scored FROM (VALUES ('classification'), ('regression')) v(kind)""")
+def tstr_properties(spark, folder):
+    """The other half of a table trains as well as the first: the scores are within 6 points and far above guessing."""
+    parts = [r.select(F.lit(kind).alias("kind"), "available", (F.abs("gap") <= 6).alias("close"), (F.col("real_score") > 60).alias("scored"))
+             for kind, r in (("classification", tstr_classification(spark, folder)), ("regression", tstr_regression(spark, folder)))]
+    return parts[0].unionByName(parts[1])
+
+
+@BOOK.add("distinguishability_properties", "SELECT true AS alike, true AS apart")
+def distinguishability_properties(spark, folder):
+    """Two halves of the customers cannot be told apart; customers with other balances can."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_acctbal")
+    odd, even = customers.where("c_custkey % 2 = 1"), customers.where("c_custkey % 2 = 0")
+    alike = scoring.distinguishability(odd, even, 42, ["c_custkey"], ["c_custkey"])
+    apart = scoring.distinguishability(odd, even.withColumn("c_acctbal", F.col("c_acctbal") + 20000), 42, ["c_custkey"], ["c_custkey"])
+    return small_frame(spark, [(alike >= 80, apart <= 20)], "alike boolean, apart boolean")
+
+
 @BOOK.add("grade_tstr", """WITH s AS (SELECT p_partkey, p_size % 2 = 0 AS is_regression, p_size * 2e0 AS real_score,
         cast(p_partkey % 101 AS DOUBLE) AS synth_score, cast(p_partkey % 60 AS DOUBLE) AS majority_rate FROM part),
     g AS (SELECT *, round(real_score - synth_score, 1) AS gap, round(abs(real_score - synth_score) / real_score * 100, 1) AS gap_pct,

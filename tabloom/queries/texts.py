@@ -152,7 +152,7 @@ def text_grade(spark, folder):
 
 # Rows anchored to real examples
 
-_PAIRED = "(SELECT doc_id, text, lang, quality FROM documents JOIN labels USING (doc_id))"
+_PAIRED = "(SELECT doc_id, text, lang, coalesce(quality, 2) AS quality FROM documents LEFT JOIN labels USING (doc_id))"
 _ANCHORS = f"""(WITH base AS (SELECT *, md5(cast(doc_id AS VARCHAR)) AS h FROM {_PAIRED}),
     p AS (SELECT *, cast(quality AS VARCHAR) AS pool, row_number() OVER (PARTITION BY quality ORDER BY h, doc_id) - 1 AS idx FROM base
         UNION ALL SELECT *, '5' AS pool, row_number() OVER (ORDER BY h, doc_id) - 1 AS idx FROM base),
@@ -165,10 +165,11 @@ _ANCHORS = f"""(WITH base AS (SELECT *, md5(cast(doc_id AS VARCHAR)) AS h FROM {
 
 
 def _anchored(spark, folder):
-    """Documents joined to their labels, and how many rows each label gets (label 5 does not occur)."""
+    """All documents with their labels (2: none), and how many rows each label gets (label 5 does not occur)."""
     documents = table(spark, folder, "documents")
     n = documents.count()
-    paired = documents.select("doc_id", "text", "lang").join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id")
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    paired = documents.select("doc_id", "text", "lang").join(labels, "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(2)))
     return paired, {"0": n, "1": n // 2, "5": 50}
 
 

@@ -5,13 +5,7 @@ from tests.compare import compare
 
 QUERIES, ORACLES = registry()
 
-# Whole runs that fit many models or profile many tables are left to tests/compare.py.
-SLOW = {"suggest_target", "select_strategy", "dataset_profile", "distinguishability", "generate_and_score", "tstr_classification",
-        "tstr_regression", "tstr_inconclusive", "mixture_copula", "pick_tstr_target", "guard_min_rows", "guard_single_constant",
-        "dataset_type", "imbalance_ratio", "classify_column_type", "detect_text_columns", "generate_rows"}
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, folder, name):
     if name in ORACLES:
         assert compare(spark, folder, name, QUERIES[name], ORACLES[name]) is None
