@@ -58,10 +58,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_column: str = "doc_id",
                          (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = ["h", "doc_id", "row"]
     bounds = splitters(rows, key, "size", shards * RANGES - 1)
-    fields = F.struct(*key)
-    table = docs.sparkSession.createDataFrame([(bounds,)], "bounds array<struct<h: long, doc_id: long, row: long>>")
-    ranged = rows.join(F.broadcast(table)).withColumn("part", range_of(fields, F.col("bounds"), len(bounds))).drop("bounds")
-    ranged = stored(ranged, "shard-ranges")
+    listed = F.array(*(F.struct(*(F.lit(v).cast("long").alias(k) for k, v in zip(key, b))) for b in bounds))
+    ranged = stored(rows.withColumn("part", range_of(F.struct(*key), listed, len(bounds))), "shard-ranges")
     # The ranges are a bounded table: their sizes are summed up in key order.
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
