@@ -190,6 +190,18 @@ def generate_rows_properties(spark, folder):
                     F.bool_and(F.col("o_orderpriority").isin(*known["o_orderpriority"])).alias("known_priority"))
 
 
+@BOOK.add("score_run_models", "SELECT true AS realistic, true AS available, 'big' AS target_column, true AS useful")
+def score_run_models(spark, folder):
+    """A run whose models are kept from the rows that test them, scored with classifiers."""
+    rows = sales(spark, folder).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "rev", "big")
+    half = rows.count() // 2
+    run = runs.generate_rows(rows, 2 * half, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], target="big", class_counts={"0": half, "1": half}, seed=SEED, holdout_first=True)
+    scores = runs.score_run(run, SEED)
+    ready = scores.readiness.first()
+    return small_frame(spark, [(scores.realism.first()["statistical_score"] > 80, ready["available"], ready["target_column"], ready["gap"] is not None and ready["gap"] < 25)],
+                       "realistic boolean, available boolean, target_column string, useful boolean")
+
+
 @BOOK.add("generate_rows_tiny_properties", """SELECT 2 * count(*) AS n, true AS known_names, true AS known_regions FROM nation""")
 def generate_rows_tiny_properties(spark, folder):
     """Bootstrapped rows hold real values only."""

@@ -89,6 +89,76 @@ def csv_round_trip(spark, folder):
     return csv_files.read_csv_folder(spark, place)[0]
 
 
+def _slices(spark, folder) -> dict[str, str]:
+    """Customers in eight parts, each written as another kind of file; names get an accent where the kind has to show it."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    accent = customers.withColumn("c_name", F.concat("c_name", F.lit(" é")))
+    hole = customers.withColumn("c_name", F.concat("c_name", F.lit(" é\x81")))
+    places = {name: shared_folder(spark, name) for name in _KINDS}
+
+    def part(df, name):
+        return df.where(F.col("c_custkey") % len(_KINDS) == list(_KINDS).index(name))
+
+    for name, sep in (("comma", ","), ("semicolon", ";"), ("tab", "\t"), ("pipe", "|")):
+        part(customers, name).write.option("header", True).option("sep", sep).csv(places[name])
+    part(accent, "cp1252").write.option("header", True).option("encoding", "ISO-8859-1").csv(places["cp1252"])
+    part(hole, "latin1").write.option("header", True).option("encoding", "ISO-8859-1").csv(places["latin1"])
+    part(accent, "utf8").write.option("header", True).csv(places["utf8"])
+    part(customers, "html").select(F.concat(F.lit("<html>"), "c_name").alias("value")).write.text(places["html"])
+    return places
+
+
+#: Encoding, separator, columns and reason of refusal of each kind.
+_KINDS = {"comma": ("UTF-8", ",", 4, None), "semicolon": ("UTF-8", ";", 4, None), "tab": ("UTF-8", "\t", 4, None), "pipe": ("UTF-8", "|", 4, None),
+          "cp1252": ("windows-1252", ",", 4, None), "latin1": ("ISO-8859-1", ",", 4, None), "utf8": ("UTF-8", ",", 4, None), "html": ("UTF-8", ",", 1, "HTML file")}
+
+
+@BOOK.add("csv_triage", union_sql([
+    f"""SELECT DISTINCT '{k}' AS kind, '{e}' AS encoding, '{d}' AS delimiter, {n} AS n_columns, {f"'{r}'" if r else 'NULL::VARCHAR'} AS reject_reason
+    FROM customer WHERE c_custkey % {len(_KINDS)} = {i}""" for i, (k, (e, d, n, r)) in enumerate(_KINDS.items())]))
+def csv_triage(spark, folder):
+    """Every file of four separators, three encodings and a web page is recognised."""
+    return _union([csv_files.triage(spark, place, "part-*").select(F.lit(name).alias("kind"), "encoding", "delimiter", "n_columns", "reject_reason").distinct()
+                   for name, place in _slices(spark, folder).items()])
+
+
+@BOOK.add("csv_kinds", union_sql([f"""SELECT '{k}' AS kind, c_custkey, c_name || '{' é' if k in ('cp1252', 'utf8') else ''}' AS c_name, c_acctbal
+    FROM customer WHERE c_custkey % {len(_KINDS)} = {i}""" for i, k in enumerate(_KINDS) if k not in ("html", "latin1")]))
+def csv_kinds(spark, folder):
+    """All rows of all kinds of files come back with their accents."""
+    return _union([csv_files.read_csv_folder(spark, place)[0].select(F.lit(name).alias("kind"), "c_custkey", "c_name", "c_acctbal")
+                   for name, place in _slices(spark, folder).items() if name not in ("html", "latin1")])
+
+
+def _lines(spark, folder, line, header: str) -> str:
+    """A CSV file of one line per customer, in order of the key behind a header. Spark's writer calls it .csv if told so."""
+    place = shared_folder(spark, "lines")
+    rows = table(spark, folder, "customer").select("c_custkey", line.alias("line"))
+    rows = spark.createDataFrame([(-1, header)], rows.schema).unionByName(rows)
+    rows.repartitionByRange(1, "c_custkey").sortWithinPartitions("c_custkey").select("line").write.option("quote", "\0").option("escapeQuotes", False).csv(place, sep="\x01")
+    return place
+
+
+@BOOK.add("csv_malformed", """SELECT 'read' AS side, c_custkey::VARCHAR AS text FROM customer WHERE c_custkey % 10 <> 0
+    UNION ALL SELECT 'left out', c_custkey || ',a,b,too many' FROM customer WHERE c_custkey % 10 = 0""")
+def csv_malformed(spark, folder):
+    """Rows with a cell too many are returned apart."""
+    key = F.col("c_custkey").cast("string")
+    place = _lines(spark, folder, F.when(F.col("c_custkey") % 10 == 0, F.concat(key, F.lit(",a,b,too many"))).otherwise(F.concat(key, F.lit(",a,b"))), "k,x,y")
+    read, out, _ = csv_files.read_csv_folder(spark, place)
+    return read.select(F.lit("read").alias("side"), F.col("k").cast("string").alias("text")).unionByName(out.select(F.lit("left out").alias("side"), F.col(out.columns[0]).alias("text")))
+
+
+@BOOK.add("csv_retry", """SELECT c_custkey AS k, CASE WHEN rank <= 19 THEN 'a;b;c' ELSE 'plain' END AS note
+    FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rank FROM customer)""")
+def csv_retry(spark, folder):
+    """The first lines speak for a semicolon, the whole file for a comma."""
+    first = table(spark, folder, "customer").select("c_custkey").orderBy("c_custkey").limit(19).agg(F.max("c_custkey")).first()[0]
+    note = F.when(F.col("c_custkey") <= first, "a;b;c").otherwise("plain")
+    read = csv_files.read_csv_folder(spark, _lines(spark, folder, F.concat(F.col("c_custkey").cast("string"), F.lit(","), note), "k,note;x;y"))[0]
+    return read.toDF("k", "note")
+
+
 # Usability
 
 

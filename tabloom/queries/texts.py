@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import ledger, text
 from tabloom.operators.profile import profile_table
+from tabloom.plans import runs
 from tabloom.queries.common import Book, table, union_sql, unit_sql
 from tabloom.session import materialize
 
@@ -199,6 +200,18 @@ def hybrid_natural_labels(spark, folder):
     return rows.select("row_id", "doc_id", "quality")
 
 
+@BOOK.add("generate_text_rows", """SELECT lang, n, true AS real_source, true AS scored FROM (SELECT 'en' AS lang, count(*) AS n FROM documents
+    UNION ALL SELECT 'de', count(*) // 2 FROM documents)""")
+def generate_text_rows(spark, folder):
+    """The text run: profile, text columns, rows anchored to real ones by language, augmented and scored."""
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    n = documents.count()
+    rows, quality = runs.generate_text_rows(documents, n + n // 2, "doc_id", _lexicon(spark, folder), "lang", {"en": n, "de": n // 2}, seed=SEED)
+    sources = [r[0] for r in documents.select("source").distinct().collect()]
+    scored = all(0 <= r["score"] <= 100 for r in quality.collect()) and "text" in {r["column"] for r in quality.collect()}
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("source").isin(*sources)).alias("real_source")).withColumn("scored", F.lit(scored))
+
+
 # Run ledger and contacts
 
 
