@@ -43,8 +43,8 @@ def missing_values(typed: DataFrame) -> DataFrame:
     numeric = F.col("col_type").isin(CONTINUOUS, DISCRETE)
     return _rows(
         typed, 1, (F.col("num_missing") > 0) & (F.col("num_missing") < F.col("n_rows")),
-        F.format_string("%d missing values (%.1f%% of rows)", "num_missing", share("num_missing")), FILL,
-        F.when(numeric, "Fill with column median").otherwise("Fill with most frequent value"),
+        F.format_string("%d gaps, %.1f%% of all cells", "num_missing", share("num_missing")), FILL,
+        F.when(numeric, "Put the median into the gaps").otherwise("Put the commonest value into the gaps"),
         _high_if(share("num_missing") > MISSING_HIGH))
 
 
@@ -58,8 +58,8 @@ def zero_inflation(typed: DataFrame) -> DataFrame:
     return _rows(
         typed, 3,
         (F.col("col_type") == CONTINUOUS) & ~F.lower("column").isin(*ZERO_IS_NORMAL) & (pct > ZERO_MIN),
-        F.format_string("%d zero values (%.1f%% of rows)", "num_zeros", F.round(pct, 1)), ZEROS,
-        F.concat(F.lit("Replace zeros with median "),
+        F.format_string("zero in %d rows, %.1f%% of all", "num_zeros", F.round(pct, 1)), ZEROS,
+        F.concat(F.lit("Put the median of the other values in place of zeros: "),
                  F.coalesce(F.format_string("%.2f", F.round("nonzero_median", 2)), F.lit("of the column"))),
         _high_if(pct > ZERO_HIGH))
 
@@ -79,7 +79,7 @@ def constant_columns(typed: DataFrame) -> DataFrame:
 def high_cardinality(typed: DataFrame) -> DataFrame:
     return _rows(
         typed, 6, F.col("col_type") == CATEGORICAL_HIGH,
-        F.format_string("%d distinct values (%.1f%% of rows)", "num_unique", share("num_unique")), DROP,
+        F.format_string("%d different values, %.1f%% of the row count", "num_unique", share("num_unique")), DROP,
         F.lit("Drop this column"), F.lit("high"))
 
 

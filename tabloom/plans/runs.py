@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,13 +44,17 @@ def analyse(df: DataFrame, keys: list[str], target: str | None = None, check: bo
         if refused:
             raise UnusableTable(refused[0]["reason"])
     report = issues.issue_report(profile.frame)
+    return Analysis(table, profile, report, _dataset(profile, report, target), texts, rejected)
+
+
+def _dataset(profile: TableProfile, report: DataFrame, target: str | None) -> DataFrame:
+    """Facts of the table with the chosen route, for the target found or given."""
     traits = table_traits(profile.frame, report).first()
     if target is None:
         dataset = inference.dataset_profile(profile.frame)
     else:
         dataset, _ = inference.override_target(profile, target)
-    dataset = dataset.withColumns({k: F.lit(traits[k]) for k in ("all_numeric", "clean")})
-    return Analysis(table, profile, report, select_strategy(dataset), texts, rejected)
+    return select_strategy(dataset.withColumns({k: F.lit(traits[k]) for k in ("all_numeric", "clean")}))
 
 
 @dataclass
@@ -67,11 +71,14 @@ def generate_rows(df: DataFrame, n: int, keys: list[str], analysis: Analysis | N
                   fix_list: list[fixes.Fix] | str | None = None, class_counts: dict[str, int] | None = None,
                   seed: int = 42, holdout_first: bool = False) -> Run:
     """Clean, fit, sample and repair. ``keys`` identify rows (they are never modelled); ``fix_list='all'`` applies
-    every reported issue's fix. ``rows`` is lazy and keyed by ``row_id``. With ``holdout_first`` the rows on which
+    every reported issue's fix. A ``target`` counts also where an ``analysis`` has found another. ``rows`` is lazy and keyed by ``row_id``. With ``holdout_first`` the rows on which
     ``score_run`` later tests models take no part in the fit."""
     table = analysis.table if analysis else flat_table(df)[0]
     with working_copy(table) as copy:
-        analysis = analysis or analyse(copy, keys, target)
+        if analysis is None:
+            analysis = analyse(copy, keys, target)
+        elif target is not None:
+            analysis = replace(analysis, dataset=_dataset(analysis.profile, analysis.issues, target))
         return _generate(copy, n, keys, analysis, fix_list, class_counts, seed, holdout_first)
 
 

@@ -262,15 +262,15 @@ def detect_datetime_strings(spark, folder):
 
 _PCT = "printf('%.1f', round({} / n_rows * 100, 1))"
 ISSUES = {
-    "issue_missing": f"""SELECT "column", num_missing || ' missing values (' || {_PCT.format('num_missing')} || '% of rows)' AS issue,
+    "issue_missing": f"""SELECT "column", num_missing || ' gaps, ' || {_PCT.format('num_missing')} || '% of all cells' AS issue,
         'fill_missing' AS fix_type, CASE WHEN col_type IN ('numerical_continuous', 'numerical_discrete')
-            THEN 'Fill with column median' ELSE 'Fill with most frequent value' END AS recommendation,
+            THEN 'Put the median into the gaps' ELSE 'Put the commonest value into the gaps' END AS recommendation,
         CASE WHEN round(num_missing / n_rows * 100, 1) > 20 THEN 'high' ELSE 'medium' END AS severity
         FROM typed WHERE num_missing > 0 AND num_missing < n_rows""",
     "issue_empty_column": """SELECT "column", 'Column holds no values' AS issue, 'drop_column' AS fix_type,
         'Drop this column' AS recommendation, 'high' AS severity FROM typed WHERE num_missing > 0 AND num_missing = n_rows""",
-    "issue_zero_inflation": f"""SELECT "column", num_zeros || ' zero values (' || {_PCT.format('num_zeros')} || '% of rows)' AS issue,
-        'fix_zeros' AS fix_type, 'Replace zeros with median ' || printf('%.2f', round(nonzero_median, 2)) AS recommendation,
+    "issue_zero_inflation": f"""SELECT "column", 'zero in ' || num_zeros || ' rows, ' || {_PCT.format('num_zeros')} || '% of all' AS issue,
+        'fix_zeros' AS fix_type, 'Put the median of the other values in place of zeros: ' || printf('%.2f', round(nonzero_median, 2)) AS recommendation,
         CASE WHEN num_zeros / n_rows * 100 > 30 THEN 'high' ELSE 'medium' END AS severity
         FROM typed WHERE col_type = 'numerical_continuous' AND num_zeros / n_rows * 100 > 10
         AND lower("column") NOT IN ('outcome', 'target', 'label', 'class', 'count', 'quantity', 'flag')""",
@@ -279,7 +279,7 @@ ISSUES = {
         FROM typed WHERE col_type IN ('numerical_continuous', 'numerical_discrete') AND num_iqr > 0""",
     "issue_constant": """SELECT "column", 'Column has a single value' AS issue, 'drop_column' AS fix_type,
         'Drop this column' AS recommendation, 'high' AS severity FROM typed WHERE num_unique = 1""",
-    "issue_high_cardinality": f"""SELECT "column", num_unique || ' distinct values (' || {_PCT.format('num_unique')} || '% of rows)' AS issue,
+    "issue_high_cardinality": f"""SELECT "column", num_unique || ' different values, ' || {_PCT.format('num_unique')} || '% of the row count' AS issue,
         'drop_column' AS fix_type, 'Drop this column' AS recommendation, 'high' AS severity
         FROM typed WHERE col_type = 'categorical_high'""",
     "issue_id_column": """SELECT "column", 'Column looks like a row identifier' AS issue, 'drop_column' AS fix_type,
