@@ -213,14 +213,16 @@ def convert(spark: SparkSession, arc: str, warc: str, min_bytes: int = 0) -> Non
     Of records with equal payloads of at least ``min_bytes`` bytes, that with the smallest key (ties and null keys: the first
     in place; null keys last) is a response and the others are revisits without a payload of their own. Smaller payloads
     are all responses. Payloads are compared by digest and length, and only places, keys and digests take part in that;
-    the first of each group is found by an aggregate, so a large group of copies is never gathered.
+    the first of each group is found by an aggregate, so a large group of copies is never gathered. The files are read
+    once for the digests and once for the records, which takes less disk than a stored copy of the records.
     """
-    records = stored(read_arc(spark, arc), "arc-records")
+    records = read_arc(spark, arc)
+    digests = stored(records.select("file", "at", "key", "digest", "n_bytes"), "arc-digests")
     place = F.struct(F.col("key").isNull().alias("none"), "key", "file", "at")
-    firsts = (records.where(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    firsts = (digests.where(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.min(place).alias("first"), F.count("*").alias("n"))
               .where("n > 1").select("digest", "n_bytes", F.col("first.file").alias("r_file"), F.col("first.at").alias("r_at")))
     same = (F.col("file") == F.col("r_file")) & (F.col("at") == F.col("r_at"))
-    again = records.select("file", "at", "digest", "n_bytes").join(firsts, ["digest", "n_bytes"]).where(~same).select("file", "at", "r_file", "r_at")
+    again = digests.select("file", "at", "digest", "n_bytes").join(firsts, ["digest", "n_bytes"]).where(~same).select("file", "at", "r_file", "r_at")
     rows = records.join(again, ["file", "at"], "left")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
