@@ -30,6 +30,7 @@ MARK, SPACE = 0x2581, 0x20
 LITERAL_MARK = 0x200000
 #: Characters that are worked on together.
 BATCH_CHARS = 1 << 20
+MAYBE_BITS = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -63,20 +64,22 @@ class Lattice:
         self.rank[ranked] = np.arange(len(ranked))
         self.longest = max(len(pieces[i]) for i in normal)
         codes = [np.array([ord(c) for c in pieces[i]], np.uint64) for i in normal]
-        keys = np.array([self.substrings(c, len(c))[0] for c in codes], np.uint64)
+        keys = np.array([list(self.substrings(c, len(c)))[-1][0] for c in codes], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(normal, np.int64)[order]
         assert (self.keys[1:] != self.keys[:-1]).all()
+        #: By the upper bits of a hash: whether any key has them. Most substrings are no pieces, and few of those pass this.
+        self.maybe = np.zeros(1 << MAYBE_BITS, bool)
+        self.maybe[self.keys >> np.uint64(64 - MAYBE_BITS)] = True
 
     @staticmethod
-    def substrings(codes: np.ndarray, length: int) -> np.ndarray:
-        """A hash of every substring of this length."""
-        n = len(codes) - length + 1
-        out = np.full(max(0, n), length, np.uint64)
-        for k in range(length):
-            out = (out ^ codes[k:k + n]) * np.uint64(_BASE)
-            out ^= out >> np.uint64(32)
-        return out
+    def substrings(codes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+        """For length 1, 2, ... the hashes of all substrings of this length."""
+        key = np.full(len(codes), _BASE, np.uint64)
+        for length in range(1, min(longest, len(codes)) + 1):
+            key = (key[:len(codes) - length + 1] ^ codes[length - 1:]) * np.uint64(_BASE)
+            key ^= key >> np.uint64(32)
+            yield key
 
 
 @cache
@@ -112,46 +115,53 @@ def distinct(codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np
     return np.arange(len(begin)), np.arange(len(begin))
 
 
-def forward(vocabulary: Lattice, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``[length - 1, last character]``: piece (-1: byte pieces) and cumulated share of the pieces that end there; and the
-    logarithm of the total weight of each stretch. The stretches follow each other in ``codes``."""
+def forward(vocabulary: Lattice, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, theta: float) -> tuple[np.ndarray, ...]:
+    """Filters stretches that follow each other in ``codes``.
+
+    Nodes stand for last characters: first the first characters of all stretches, longest stretch first, then the second ones,
+    and so on, so every step of the filter works on slices. Returns the node of each character, ``[node, length - 1]`` the
+    piece (-1: byte pieces) and the cumulated share of the pieces that end there, and the logarithm of the total weight of
+    each stretch.
+    """
     n, most = len(codes), min(vocabulary.longest, int(size.max()))
+    by_size = np.argsort(-size, kind="stable")
+    rank = np.empty(len(size), np.int64)
+    rank[by_size] = np.arange(len(size))
+    alive = np.searchsorted(-size[by_size], -np.arange(int(size.max())), side="left")  # stretches that have a t-th character
+    base = np.cumsum(alive) - alive
     offset = np.arange(n) - np.repeat(begin, size)
-    ids = np.full((most, n), -2, np.int32)
-    weight = np.full((most, n), -np.inf)
+    node = base[offset] + np.repeat(rank, size)
+    ids = np.full((n, most), -2, np.int32)
+    share = np.full((n, most), -np.inf)
     cost = theta * np.log1p(np.arange(len(vocabulary.keys) + 1))
-    wide = codes.astype(np.uint64)
-    for length in range(1, most + 1):
-        key = vocabulary.substrings(wide, length)
-        last = np.flatnonzero(offset >= length - 1)
-        key = key[last - length + 1]
+    for length, key in enumerate(vocabulary.substrings(codes.astype(np.uint64), most), 1):
+        last = np.flatnonzero((offset[length - 1:] >= length - 1) & vocabulary.maybe[key >> np.uint64(64 - MAYBE_BITS)])
+        key = key[last]
         place = np.minimum(np.searchsorted(vocabulary.keys, key), len(vocabulary.keys) - 1)
         hit = vocabulary.keys[place] == key
-        ids[length - 1, last[hit]] = vocabulary.ids[place[hit]]
-        weight[length - 1, last[hit]] = -cost[vocabulary.rank[vocabulary.ids[place[hit]]]]
-    bare = ids[0] == -2
-    ids[0, bare] = -1
+        found, at = vocabulary.ids[place[hit]], node[last[hit] + length - 1]
+        ids[at, length - 1] = found
+        share[at, length - 1] = -cost[vocabulary.rank[found]]
     utf8 = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000) * (codes != LITERAL_MARK)
-    weight[0, bare] = -cost[-1] * utf8[bare]
-    total = np.full(n, -np.inf)
-    by_size = np.argsort(-size, kind="stable")
-    ordered, starts = size[by_size], begin[by_size]
-    for t in range(int(size.max())):  # the t-th character of all stretches that have one
-        at = starts[:np.searchsorted(-ordered, -t, side="left")] + t
+    bare = np.flatnonzero(ids[node, 0] == -2)
+    ids[node[bare], 0] = -1
+    share[node[bare], 0] = -cost[-1] * utf8[bare]
+    total = np.empty(n)
+    for t, (low, width) in enumerate(zip(base.tolist(), alive.tolist())):  # the t-th character of all stretches that have one
         reach = min(t + 1, most)
-        parts = weight[:reach, at].copy()
+        parts = share[low:low + width, :reach].copy()
         for length in range(1, min(reach, t) + 1):
-            parts[length - 1] += total[at - length]
-        top = parts.max(axis=0)
-        share = np.exp(parts - top)
-        upto = np.cumsum(share, axis=0)
-        total[at] = top + np.log(upto[-1])
-        weight[:reach, at] = upto / upto[-1]
-        weight[reach:, at] = 2.0
-        final = reach - 1 - np.argmax(share[::-1] > 0, axis=0)
-        rows = np.arange(reach)[:, None]
-        weight[:reach, at] = np.where(rows >= final, 2.0, weight[:reach, at])  # the last possible piece takes any rest
-    return ids, weight, total[begin + size - 1]
+            parts[:, length - 1] += total[base[t - length]:base[t - length] + width]
+        top = parts.max(axis=1)
+        parts = np.exp(parts - top[:, None])
+        final = reach - 1 - np.argmax(parts[:, ::-1] > 0, axis=1)
+        upto = np.cumsum(parts, axis=1)
+        total[low:low + width] = top + np.log(upto[:, -1])
+        upto /= upto[:, -1:]
+        upto[np.arange(reach)[None, :] >= final[:, None]] = 2.0  # the last possible piece takes any rest
+        share[low:low + width, :reach] = upto
+        share[low:low + width, reach:] = 2.0
+    return node, ids, share, total[node[begin + size - 1]]
 
 
 def sample(vocabulary: Lattice, texts: list[str], row_keys: np.ndarray, theta: float, seed: int) -> list[np.ndarray]:
@@ -175,14 +185,14 @@ def sample(vocabulary: Lattice, texts: list[str], row_keys: np.ndarray, theta: f
         own_size = size[some][first]
         own_begin = np.cumsum(own_size) - own_size
         own_codes = part[np.repeat(begin[some][first] - base - own_begin, own_size) + np.arange(int(own_size.sum()))]
-        ids, share, _ = forward(vocabulary, own_codes, own_begin, own_size, theta)
+        node, ids, share, _ = forward(vocabulary, own_codes, own_begin, own_size, theta)
         active, left = np.arange(low, high), size.copy()
         while len(active):
-            last = own_begin[number[active - low]] + left[active] - 1
+            last = node[own_begin[number[active - low]] + left[active] - 1]
             draw = mix(stream[active] + (place[active] + left[active]).astype(np.uint64) * np.uint64(_BASE))
             u = (draw >> np.uint64(11)) * 2.0**-53
-            row = (u[None, :] >= share[:, last]).sum(axis=0)
-            found.append((begin[active] + left[active] - 1 - row, ids[row, last]))
+            row = (u[:, None] >= share[last]).sum(axis=1)
+            found.append((begin[active] + left[active] - 1 - row, ids[last, row]))
             left[active] -= row + 1
             active = active[left[active] > 0]
         low = high
