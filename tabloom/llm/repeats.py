@@ -20,24 +20,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabloom.llm.common import numbered_rows, stored
+from tabloom.llm.common import stored
 from tabloom.llm.suffixes import cover_ranks, equal_next, leading_words, sort_suffixes
 from tabloom.session import shared_folder
 
 LENGTH = 50
 #: Bytes of the short grams of which the least hash counts.
 SHORT = 24
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Codes have this many bits, and their upper part is the bucket. Different minimizers with one code only make more candidates.
 CODE_BITS = 48
 #: Bytes of text for each bucket, which bounds what a bucket's task holds; and suffixes that are sorted at once.
 BUCKET_BYTES = 4 << 20
-PART = 400_000
+PART = 200_000
 NO_ID = (1 << 63) - 1
 
 
@@ -54,36 +56,42 @@ def expand(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def blocks_of(rows: DataFrame) -> DataFrame:
-    """``rows(row, doc_id, text)`` as blocks: text, ends of the documents in it, their ids and row numbers."""
+def blocks_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``docs`` as blocks: the text, ends of the documents in it and their ids in ``data``, all columns but the text in ``rest``."""
+    order = [c for c in docs.columns if c != text_column]
+    key = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NO_ID))
+    source = docs.select(*[F.col(f"`{c}`") for c in order], F.struct(key.alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")).alias("__block"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        parts: list[pa.RecordBatch] = []
+        size = 0
 
         def block() -> pa.RecordBatch:
             nonlocal number
+            table = pa.Table.from_batches(parts).combine_chunks()
+            inner = table.column("__block").combine_chunks()
+            texts = [t or b"" for t in inner.field("text").cast(pa.binary()).to_pylist()]
             whole = b"".join(texts)
-            data = squeeze(np.frombuffer(whole, np.uint8), np.cumsum([len(t) for t in texts], dtype=np.int64), np.array(ids, np.int64), np.array(numbers, np.int64))
+            data = squeeze(np.frombuffer(whole, np.uint8), np.cumsum([len(t) for t in texts], dtype=np.int64), inner.field("id").to_numpy(zero_copy_only=False).astype(np.int64))
+            rest, sink = table.drop_columns(["__block"]).append_column("__null", inner.field("text").is_null()), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rest)
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(whole)], pa.int64()), pa.array([data], pa.binary())], ["block", "n_bytes", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(whole)], pa.int64()), pa.array([data], pa.binary()),
+                                               pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "n_bytes", "data", "rest"])
 
-        texts: list[bytes] = []
-        ids: list[int] = []
-        numbers: list[int] = []
-        size = 0
         for batch in batches:
-            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                texts.append(text or b"")
-                ids.append(NO_ID if doc_id is None else doc_id)
-                numbers.append(row)
-                size += len(texts[-1])
+            for at in range(0, batch.num_rows, 64):  # so that a block ends soon after it is full
+                parts.append(batch.slice(at, 64))
+                size += sum(len(x.as_buffer()) for x in parts[-1].column("__block").field("text") if x.is_valid)
                 if size >= BLOCK_BYTES:
                     yield block()
-                    texts, ids, numbers, size = [], [], [], 0
-        if texts:
+                    parts, size = [], 0
+        if parts:
             yield block()
 
-    return rows.select("row", "doc_id", "text").mapInArrow(packed, "block long, n_bytes long, data binary")
+    return source.mapInArrow(packed, "block long, n_bytes long, data binary, rest binary")
 
 
 def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
@@ -101,14 +109,14 @@ def runs_of(text: bytes, ends: np.ndarray, code_bits: int) -> tuple[np.ndarray,
         return none, none, none.astype(np.uint64), none
     begins = np.r_[0, ends[:-1]]
     long = ends - begins >= LENGTH
-    edge = np.zeros(n + 1, np.int32)
+    edge = np.zeros(n + 1, np.int8)
     np.add.at(edge, begins[long], 1)
     np.add.at(edge, ends[long] - LENGTH + 1, -1)
-    real = np.cumsum(edge)[:n - LENGTH + 1] > 0
-    least = np.empty(n - LENGTH + 1, np.uint64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    inside, before, was_real = 0, np.zeros(1, np.uint64), False
     step = 1 << 18
-    for at in range(0, len(least), step):  # a part at a time stays in the processor's cache
-        upto = min(len(least), at + step)
+    for at in range(0, n - LENGTH + 1, step):  # a part at a time stays in the processor's cache
+        upto = min(n - LENGTH + 1, at + step)
         size = upto - at + width - 1
         code = np.zeros(size, np.uint64)
         for k in range(0, SHORT, 8):
@@ -121,12 +129,25 @@ def runs_of(text: bytes, ends: np.ndarray, code_bits: int) -> tuple[np.ndarray,
         while 2 * have <= width:
             code = np.minimum(code[:-have], code[have:])
             have *= 2
-        least[at:upto] = np.minimum(code[:upto - at], code[width - have:][:upto - at])
-    change = least[1:] != least[:-1]
-    start = np.flatnonzero(real & np.r_[True, change | ~real[:-1]])
-    stop = np.flatnonzero(real & np.r_[change | ~real[1:], True])
-    mixed = least[start] * np.uint64(0x94D049BB133111EB)  # the least hashes crowd at the low end; this spreads them
-    return start, stop - start + 1, mixed >> np.uint64(64 - code_bits), np.searchsorted(ends, start, side="right")
+        least = np.minimum(code[:upto - at], code[width - have:][:upto - at])
+        real = inside + np.cumsum(edge[at:upto], dtype=np.int32) > 0
+        fresh = np.r_[least[:1] != before, least[1:] != least[:-1]]
+        starts = np.flatnonzero(real & (fresh | ~np.r_[was_real, real[:-1]]))
+        stops = np.flatnonzero(~real & np.r_[was_real, real[:-1]])  # one past the last gram of a document
+        found.append((starts + at, least[starts], stops + at))
+        inside, before, was_real = inside + int(edge[at:upto].sum(dtype=np.int32)), least[-1:], bool(real[-1])
+    start, value = (np.concatenate([f[k] for f in found]) for k in range(2))
+    closed = np.r_[np.concatenate([f[2] for f in found]), n - LENGTH + 1]
+    # A run ends where the next one starts or where its document has no further gram.
+    stop = np.minimum(np.r_[start[1:], n], closed[np.searchsorted(closed, start, side="right")]) if len(start) else none
+    mixed = value * np.uint64(0x94D049BB133111EB)  # the least hashes crowd at the low end; this spreads them
+    return start, stop - start, mixed >> np.uint64(64 - code_bits), np.searchsorted(ends, start, side="right")
+
+
+def small(numbers: np.ndarray) -> np.ndarray:
+    """The same numbers (none negative) in the narrowest type."""
+    most = int(numbers.max(initial=0))
+    return numbers.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
 
 
 def split_by_bucket(codes: np.ndarray, bits: int, code_bits: int) -> Iterator[tuple[int, slice]]:
@@ -155,7 +176,7 @@ def shared_codes(blocks: DataFrame, bits: int, code_bits: int) -> DataFrame:
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(batch.column("block").to_pylist(), batch.column("data")):
-                text, ends, _, _ = expand(data.as_py())
+                text, ends, _ = expand(data.as_py())
                 codes = np.unique(runs_of(text.tobytes(), ends, code_bits)[2])
                 parts = list(split_by_bucket(codes, bits, code_bits))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()),
@@ -186,6 +207,7 @@ def candidates(blocks: DataFrame, shared: DataFrame, bits: int, code_bits: int)
 
     The grams of the distinct strings are numbered; a string that occurs again in a block, in a larger document, is settled there.
     """
+    size = -(-(code_bits - bits) // 8)
     joined = blocks.select("block", "data").join(shared.groupBy("block").agg(F.collect_list("codes").alias("codes")), "block", "left")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +218,7 @@ def candidates(blocks: DataFrame, shared: DataFrame, bits: int, code_bits: int)
                                                   pa.array([r[1] for r in rows], pa.binary())], ["block", "bucket", "data"])
 
     def of_block(data: bytes, codes: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-        text, ends, ids, _ = expand(data)
+        text, ends, ids = expand(data)
         text = text.tobytes()
         start, grams, code, doc = runs_of(text, ends, code_bits)
         owner = ids[doc]
@@ -216,13 +238,14 @@ def candidates(blocks: DataFrame, shared: DataFrame, bits: int, code_bits: int)
         lead = use[place]
         base = np.cumsum(grams[lead]) - grams[lead]
         again = owner[use] > owner[lead][string]
-        yield -1, squeeze(start[use].astype(np.uint32), grams[use].astype(np.uint32), base[string].astype(np.uint32), again.astype(np.uint8))
+        yield -1, squeeze(small(start[use]), small(grams[use]), small(base[string]), again.astype(np.uint8))
         by_code = np.argsort(code[lead], kind="stable")
         strings = list(known)
         sorted_lead = lead[by_code]
         for bucket, part in split_by_bucket(code[sorted_lead], bits, code_bits):
             which, own = by_code[part], sorted_lead[part]
-            yield bucket, squeeze(code[own], owner[own].astype(np.int64), grams[own].astype(np.uint32), base[which].astype(np.uint32),
+            ids_here, whose = np.unique(owner[own], return_inverse=True)
+            yield bucket, squeeze(np.frombuffer(as_bytes(code[own], size), np.uint8), ids_here, small(whose), small(grams[own]), small(base[which]),
                                   np.frombuffer(b"".join([strings[w] for w in which.tolist()]), np.uint8))
 
     return joined.mapInArrow(found, "block long, bucket long, data binary")
@@ -242,15 +265,19 @@ def repeated_grams(text: bytes, begin: np.ndarray, grams: np.ndarray, owner: np.
     return smaller
 
 
-def settled(strings: DataFrame) -> DataFrame:
+def settled(strings: DataFrame, bits: int, code_bits: int) -> DataFrame:
     """``(block, flags)``: ranges of gram numbers of a block that occur in a smaller document, in several rows."""
+    size = -(-(code_bits - bits) // 8)
 
     def answered(table: pa.Table) -> pa.Table:
         numbers = table.column("block").to_numpy()
         parts = [expand(x.as_py()) for x in table.column("data")]
-        code, owner, grams, base = (np.concatenate([p[k] for p in parts]).astype(np.uint64 if k == 0 else np.int64) for k in range(4))
-        which = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        text = b"".join([p[4].tobytes() for p in parts])
+        code = np.concatenate([from_bytes(p[0].tobytes(), size) for p in parts])  # of one bucket, so the lower bits tell them apart
+        owner = np.concatenate([p[1][p[2]] for p in parts])
+        grams, base = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (3, 4))
+        which = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
+        text = b"".join([p[5].tobytes() for p in parts])
+        del parts
         begin = np.cumsum(grams + LENGTH - 1) - (grams + LENGTH - 1)
         order = np.argsort(code, kind="stable")
         change = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
@@ -278,28 +305,30 @@ def settled(strings: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.r_[True, from_block[1:] != from_block[:-1]]) if len(from_block) else np.zeros(0, np.int64)
         bounds = list(zip(first, np.r_[first[1:], len(from_block)])) if len(first) else []
         return pa.table({"block": pa.array(numbers[from_block[first]], pa.int64()),
-                         "flags": pa.array([squeeze(low[a:b].astype(np.uint32), high[a:b].astype(np.uint32)) for a, b in bounds], pa.binary())})
+                         "flags": pa.array([squeeze(small(low[a:b]), small(high[a:b])) for a, b in bounds], pa.binary())})
 
     return strings.groupBy("bucket").applyInArrow(answered, "block long, flags binary")
 
 
 def removed_bytes(text: bytes, places: list[np.ndarray], flags: list[list[np.ndarray]]) -> np.ndarray:
     """Which bytes of a block go."""
-    start, grams, base, again = (p.astype(np.int64) for p in places)
+    start, grams, base, again = places
+    start, grams, base = (x.astype(np.int64) for x in (start, grams, base))
     n_grams = int((base + grams).max(initial=0))
     edge = np.zeros(n_grams + 1, np.int32)
     for low, high in flags:
         np.add.at(edge, low, 1)
         np.add.at(edge, high, -1)
     flagged = np.cumsum(edge)[:n_grams] > 0
-    whose = np.repeat(np.arange(len(start)), grams)
-    number = np.arange(len(whose)) - np.repeat(np.cumsum(grams) - grams, grams)
-    goes = flagged[base[whose] + number] | (again[whose] > 0)
-    at = start[whose[goes]] + number[goes]
+    first = np.cumsum(grams) - grams
+    number = np.arange(int(grams.sum())) - np.repeat(first, grams)
+    goes = flagged[np.repeat(base, grams) + number] | np.repeat(again > 0, grams)
+    at = (np.repeat(start, grams) + number)[goes]
+    del number, goes
     cover = np.zeros(len(text) + 1, np.int32)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + LENGTH, -1)
-    return np.cumsum(cover)[:len(text)] > 0
+    return np.cumsum(cover, dtype=np.int32)[:len(text)] > 0
 
 
 def whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -312,71 +341,82 @@ def whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.repeat(whole, np.diff(np.r_[first, len(text)]))
 
 
-RESULT = "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(rows: DataFrame, with_text: bool = False, code_bits: int = CODE_BITS) -> DataFrame:
-    """Results per row of ``rows(row, doc_id, text)``, which must be a stored table; ``text`` is what is left, by whole characters."""
-    tasks = rows.sparkSession.sparkContext.defaultParallelism
-    blocks = blocks_of(rows)
-    blocks = bucketed(blocks, "text_blocks", max(8, min(4096, 4 * tasks)))
+def remove_repeats(docs: DataFrame, id_column: str, text_column: str, with_text: bool = False, code_bits: int = CODE_BITS) -> DataFrame:
+    """All columns of ``docs`` but the text, and the results of each document; on request also ``left``: what is left of the
+    text by whole characters (a null text stays null)."""
+    spark = docs.sparkSession
+    # As many buckets as shuffle partitions, so that the other side of a join is dealt out alike and this side stays in place.
+    blocks = bucketed(blocks_of(docs, id_column, text_column), "text_blocks", int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(4, min(24, int(total // BUCKET_BYTES).bit_length()))
-    shared = shared_codes(blocks, bits, code_bits)
-    found = stored(candidates(blocks, shared, bits, code_bits), "candidates")
-    flags = settled(found.where("bucket >= 0"))
+    shared = stored(shared_codes(blocks, bits, code_bits), "shared-codes")
+    # The strings go straight into a shuffle. Their places are found again for the last step: that takes less disk than
+    # writing all of it, and a block gives the same numbers each time.
+    found = candidates(blocks, shared, bits, code_bits)
+    flags = settled(found.where("bucket >= 0"), bits, code_bits)
     places = found.where("bucket = -1").select("block", F.col("data").alias("places"))
-    joined = (blocks.select("block", "data").join(places, "block")
+    joined = (blocks.select("block", "data", "rest").join(places, "block")
               .join(flags.groupBy("block").agg(F.collect_list("flags").alias("flags")), "block", "left"))
+    names = [x.split()[0] for x in RESULT.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, place, flag in zip(batch.column("data"), batch.column("places"), batch.column("flags")):
-                text, ends, _, numbers = expand(data.as_py())
+            for data, rest, place, flag in zip(*(batch.column(c) for c in ("data", "rest", "places", "flags"))):
+                text, ends, _ = expand(data.as_py())
+                others = pa.ipc.open_stream(rest.as_py()).read_all()
                 gone = removed_bytes(text.tobytes(), expand(place.as_py()), [expand(f) for f in flag.as_py() or []])
-                begins = np.r_[0, ends[:-1]] if len(ends) else ends
+                begins = np.r_[0, ends[:-1]]
                 rises = gone & np.r_[True, ~gone[:-1]] if len(gone) else gone
                 at = begins[begins < len(text)]
                 rises[at] = gone[at]
-                total, spans = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(rises)]
-                kept = text[~gone].tobytes()
-                kept_ends = ends - total[ends]
-                left = [kept[a:b] for a, b in zip(np.r_[0, kept_ends[:-1]].tolist(), kept_ends.tolist())]
-                columns = [numbers, ends - begins, total[ends] - total[begins], spans[ends] - spans[begins]]
-                made = [*(pa.array(c.astype(np.int64)) for c in columns), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
+                total, spans = (np.r_[np.int64(0), np.cumsum(x, dtype=np.int32)] for x in (gone, rises))
+                left = pieces(text, gone, ends)
+                table = others.drop_columns(["__null"])
+                for name, column in zip(names, (ends - begins, total[ends] - total[begins], spans[ends] - spans[begins])):
+                    table = table.append_column(name, pa.array(column.astype(np.int64)))
+                table = table.append_column(names[-1], pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()))
                 if with_text:
-                    whole = whole_characters(text, gone)
-                    kept, total = text[~whole].tobytes(), np.r_[0, np.cumsum(whole)]
-                    kept_ends = ends - total[ends]
-                    made.append(pa.array([kept[a:b].decode() for a, b in zip(np.r_[0, kept_ends[:-1]].tolist(), kept_ends.tolist())], pa.string()))
-                yield pa.RecordBatch.from_arrays(made, [x.split()[0] for x in schema.split(", ")])
+                    texts = pa.array([x.decode() for x in pieces(text, whole_characters(text, gone), ends)], pa.string())
+                    table = table.append_column("left", pc.if_else(others.column("__null"), pa.scalar(None, pa.string()), texts))
+                yield from table.to_batches()
 
-    schema = RESULT + (", text string" if with_text else "")
+    schema = T.StructType([f for f in docs.schema if f.name != text_column])
+    for x in (RESULT + (", left string" if with_text else "")).split(", "):
+        schema = schema.add(*x.split())
     return joined.mapInArrow(cut, schema)
 
 
-def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pieces(text: np.ndarray, gone: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The bytes that stay, by document."""
+    kept = text[~gone].tobytes()
+    upto = ends - np.r_[0, np.cumsum(gone)][ends]
+    return [kept[a:b] for a, b in zip(np.r_[0, upto[:-1]].tolist(), upto.tolist())]
+
+
+def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", code_bits: int = CODE_BITS) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per document; see the module.
 
     A null text is empty, a null id counts as larger than any other, documents with the same id (repeated rows too) do not
     remove each other's bytes, and an empty table gives no rows. Other columns are not read.
     """
-    rows = numbered_rows(docs, "documents", F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return remove_repeats(rows).join(rows.select("row", "doc_id"), "row").drop("row").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    bare = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
+    return remove_repeats(bare, "doc_id", "text", code_bits=code_bits)
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs`` with the repeated passages cut out of the text, by whole characters.
 
     Rows of which nothing is left go; rows that were empty stay. ``length_column``, if there is one, gets the new number of
-    characters. All other columns are as they were.
+    characters where a text changed. All other columns are as they were, whatever they are called.
     """
-    names = docs.columns
-    packed = numbered_rows(docs, "documents", F.struct(*(F.col(f"`{c}`") for c in names)).alias("own"))
-    own = lambda c: F.col("own").getField(c)
-    rows = packed.select("row", own(id_column).cast("long").alias("doc_id"), own(text_column).cast("string").alias("text"))
-    left = remove_repeats(rows, with_text=True).select("row", F.col("text").alias("left"), "n_removed")
-    joined = packed.join(left, "row").where((F.col("n_removed") == 0) | (F.col("left") != ""))
-    new = F.when(F.col("n_removed") > 0, F.col("left")).otherwise(own(text_column))
-    changed = {text_column: new} | ({length_column: F.when(F.col("n_removed") > 0, F.char_length("left")).otherwise(own(length_column))} if length_column in names else {})
-    return joined.select(*(changed.get(c, own(c)).cast(docs.schema[c].dataType).alias(c) for c in names))
+    others = [c for c in docs.columns if c != text_column]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(f"`{text_column}`").alias("__text"))
+    left = remove_repeats(renamed, f"c{others.index(id_column)}", "__text", with_text=True)
+    left = left.where("n_removed = 0 OR left <> ''")
+    made = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_column: F.col("left").cast(docs.schema[text_column].dataType)}
+    if length_column in others:
+        made[length_column] = F.when(F.col("n_removed") > 0, F.char_length("left")).otherwise(made[length_column]).cast(docs.schema[length_column].dataType)
+    return left.select(*[made[c].alias(c) for c in docs.columns])
