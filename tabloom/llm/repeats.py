@@ -313,32 +313,38 @@ def settled(strings: DataFrame, bits: int, code_bits: int) -> DataFrame:
 def removed_bytes(text: bytes, places: list[np.ndarray], flags: list[list[np.ndarray]]) -> np.ndarray:
     """Which bytes of a block go."""
     start, grams, base, again = places
-    start, grams, base = (x.astype(np.int64) for x in (start, grams, base))
+    start, grams, base = (x.astype(np.int32) for x in (start, grams, base))  # a block has far fewer bytes and grams
     n_grams = int((base + grams).max(initial=0))
-    edge = np.zeros(n_grams + 1, np.int32)
+    edge = np.zeros(n_grams + 1, np.int8)
     for low, high in flags:
         np.add.at(edge, low, 1)
         np.add.at(edge, high, -1)
-    flagged = np.cumsum(edge)[:n_grams] > 0
+    flagged = np.cumsum(edge[:-1], dtype=np.int8) > 0  # every gram is flagged once at most
     first = np.cumsum(grams) - grams
-    number = np.arange(int(grams.sum())) - np.repeat(first, grams)
+    number = np.arange(int(grams.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), grams)
     goes = flagged[np.repeat(base, grams) + number] | np.repeat(again > 0, grams)
     at = (np.repeat(start, grams) + number)[goes]
     del number, goes
-    cover = np.zeros(len(text) + 1, np.int32)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, at + LENGTH, -1)
-    return np.cumsum(cover, dtype=np.int32)[:len(text)] > 0
+    # A gram starts at each place once at most, so no byte lies in more than LENGTH of them.
+    edge = np.zeros(len(text) + 1, np.int8)
+    edge[at] += 1
+    edge[at + LENGTH] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
 
 
 def whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
     """The same marks without those on characters of which a byte stays."""
-    if not len(text):
-        return gone
-    first = np.flatnonzero((text & 0xC0) != 0x80)
-    first = np.unique(np.r_[0, first])
-    whole = np.logical_and.reduceat(gone, first)
-    return np.repeat(whole, np.diff(np.r_[first, len(text)]))
+    edge = np.diff(np.r_[False, gone, False].view(np.int8))
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inner = lambda at: (text[np.minimum(at, len(text) - 1)] & 0xC0 == 0x80) & (at < len(text))
+    for _ in range(3):  # a character has three bytes after its first at most
+        start = start + inner(start)
+        stop = stop - inner(stop)
+    start, stop = start[start < stop], stop[start < stop]
+    edge[:] = 0
+    edge[start] = 1
+    edge[stop] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -372,7 +378,7 @@ def remove_repeats(docs: DataFrame, id_column: str, text_column: str, with_text:
                 rises = gone & np.r_[True, ~gone[:-1]] if len(gone) else gone
                 at = begins[begins < len(text)]
                 rises[at] = gone[at]
-                total, spans = (np.r_[np.int64(0), np.cumsum(x, dtype=np.int32)] for x in (gone, rises))
+                total, spans = (np.r_[np.int32(0), np.cumsum(x, dtype=np.int32)] for x in (gone, rises))
                 left = pieces(text, gone, ends)
                 table = others.drop_columns(["__null"])
                 for name, column in zip(names, (ends - begins, total[ends] - total[begins], spans[ends] - spans[begins])):
@@ -392,7 +398,7 @@ def remove_repeats(docs: DataFrame, id_column: str, text_column: str, with_text:
 def pieces(text: np.ndarray, gone: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """The bytes that stay, by document."""
     kept = text[~gone].tobytes()
-    upto = ends - np.r_[0, np.cumsum(gone)][ends]
+    upto = ends - np.r_[np.int32(0), np.cumsum(gone, dtype=np.int32)][ends]
     return [kept[a:b] for a, b in zip(np.r_[0, upto[:-1]].tolist(), upto.tolist())]
 
 
