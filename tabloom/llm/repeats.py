@@ -202,8 +202,8 @@ def shared_codes(blocks: DataFrame, bits: int, code_bits: int) -> DataFrame:
     return blocks.select("block", "data").mapInArrow(sent, "bucket long, block long, codes binary").groupBy("bucket").applyInArrow(answered, "block long, codes binary")
 
 
-def candidates(blocks: DataFrame, shared: DataFrame, bits: int, code_bits: int) -> DataFrame:
-    """``(block, bucket, data)``: the strings of each block for each bucket, and with bucket -1 where they occur in the block.
+def candidates(blocks: DataFrame, shared: DataFrame, bits: int, code_bits: int, places: bool) -> DataFrame:
+    """``(block, bucket, data)``: the strings of each block for each bucket or, as ``places``, where they occur in the block.
 
     The grams of the distinct strings are numbered; a string that occurs again in a block, in a larger document, is settled there.
     """
@@ -238,7 +238,9 @@ def candidates(blocks: DataFrame, shared: DataFrame, bits: int, code_bits: int)
         lead = use[place]
         base = np.cumsum(grams[lead]) - grams[lead]
         again = owner[use] > owner[lead][string]
-        yield -1, squeeze(small(start[use]), small(grams[use]), small(base[string]), again.astype(np.uint8))
+        if places:
+            yield -1, squeeze(small(start[use]), small(grams[use]), small(base[string]), again.astype(np.uint8))
+            return
         by_code = np.argsort(code[lead], kind="stable")
         strings = list(known)
         sorted_lead = lead[by_code]
@@ -361,9 +363,8 @@ def remove_repeats(docs: DataFrame, id_column: str, text_column: str, with_text:
     shared = stored(shared_codes(blocks, bits, code_bits), "shared-codes")
     # The strings go straight into a shuffle. Their places are found again for the last step: that takes less disk than
     # writing all of it, and a block gives the same numbers each time.
-    found = candidates(blocks, shared, bits, code_bits)
-    flags = settled(found.where("bucket >= 0"), bits, code_bits)
-    places = found.where("bucket = -1").select("block", F.col("data").alias("places"))
+    flags = settled(candidates(blocks, shared, bits, code_bits, False), bits, code_bits)
+    places = candidates(blocks, shared, bits, code_bits, True).select("block", F.col("data").alias("places"))
     joined = (blocks.select("block", "data", "rest").join(places, "block")
               .join(flags.groupBy("block").agg(F.collect_list("flags").alias("flags")), "block", "left"))
     names = [x.split()[0] for x in RESULT.split(", ")]
