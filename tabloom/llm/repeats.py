@@ -8,7 +8,8 @@ A byte goes if it lies in a string of ``LENGTH`` bytes (a gram) that also starts
 3. For shared codes, a block sends the runs of grams with that code: each distinct string of bytes once, with the
    smallest id that it has there. All occurrences of a gram meet in the bucket of its code.
 4. A bucket sorts the suffixes of its strings, one bounded part at a time, with a difference cover (see ``suffixes``), finds
-   the grams that are equal, and answers which of them occur in a smaller document.
+   the grams that are equal, and answers which of them occur in a smaller document. The grams of a code with more than
+   ``PART`` of them are dealt out one by one instead, by a hash of the whole gram, each once for a block with its smallest id.
 5. The blocks mark the bytes of these grams and give what is left.
 """
 
@@ -40,6 +41,8 @@ CODE_BITS = 48
 #: Bytes of text for each bucket, which bounds what a bucket's task holds; and suffixes that are sorted at once.
 BUCKET_BYTES = 4 << 20
 PART = 200_000
+#: A block tells how many distinct grams a code has if there are more than this; a run seldom has more.
+LISTED = 32
 NO_ID = (1 << 63) - 1
 
 
@@ -169,18 +172,75 @@ def from_bytes(data: bytes, size: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def words_at(text: bytes, at: np.ndarray) -> Iterator[np.ndarray]:
+    """The bytes of the grams that begin at ``at``, eight at a time."""
+    words = np.ndarray((max(0, len(text) - 7),), "<u8", text, strides=(1,))
+    for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
+        yield words[at + k].astype(np.uint64)
+
+
+def gram_hash(text: bytes, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), np.uint64)
+    for word in words_at(text, at):
+        out ^= word
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ out >> np.uint64(32)
+
+
+def gram_starts(start: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Where each gram of the runs begins."""
+    return np.repeat(start, grams) + np.arange(int(grams.sum())) - np.repeat(np.cumsum(grams) - grams, grams)
+
+
+def first_equal(text: bytes, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For each gram the index of the first one that equals it; ``codes`` are the grams' hashes. The hash only proposes, so grams
+    that differ are never taken for one (then an equal one may be missed, which only sends it twice)."""
+    order = np.argsort(codes, kind="stable")
+    opens = np.r_[True, codes[order][1:] != codes[order][:-1]] if len(order) else np.zeros(0, bool)
+    first = np.empty(len(at), np.int64)
+    first[order] = order[np.flatnonzero(opens)][np.cumsum(opens) - 1] if len(order) else order
+    equal = np.ones(len(at), bool)
+    for own, other in zip(words_at(text, at), words_at(text, at[first])):
+        equal &= own == other
+    return np.where(equal, first, np.arange(len(at)))
+
+
+def many_grams(text: bytes, start: np.ndarray, grams: np.ndarray, which: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes (by their index ``which`` of each run) with more than LISTED grams, and how many distinct ones they have."""
+    many = np.bincount(which, grams, n_codes) > LISTED
+    runs = many[which]
+    hashes = gram_hash(text, gram_starts(start[runs], grams[runs]))
+    once = np.unique(hashes, return_index=True)[1]  # equal grams have equal codes
+    distinct = np.bincount(np.repeat(which[runs], grams[runs])[once], minlength=n_codes)
+    return np.flatnonzero(many), distinct[many]
+
+
 def shared_codes(blocks: DataFrame, bits: int, code_bits: int) -> DataFrame:
-    """``(block, codes)``: for each block the codes that it shares with another block, in several rows."""
+    """``(block, codes, hot, n_hot)``: for each block the codes that it shares with another block, in several rows.
+
+    ``hot`` are those of them that may have more than PART distinct grams, counted block by block, over all blocks. The sum of
+    ``n_hot`` is no less than the number of grams that all blocks together send for hot codes.
+    """
     size = -(-(code_bits - bits) // 8)  # the bucket's number stands for the upper bits
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(batch.column("block").to_pylist(), batch.column("data")):
                 text, ends, _ = expand(data.as_py())
-                codes = np.unique(runs_of(text.tobytes(), ends, code_bits)[2])
+                text = text.tobytes()
+                start, grams, code, _ = runs_of(text, ends, code_bits)
+                codes, which = np.unique(code, return_inverse=True)
+                at, amount = many_grams(text, start, grams, which, len(codes))
                 parts = list(split_by_bucket(codes, bits, code_bits))
+                counts = []
+                for _, s in parts:
+                    own = slice(*np.searchsorted(at, [s.start, s.stop]))
+                    counts.append(np.stack([at[own] - s.start, amount[own]]).astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()),
-                                                  pa.array([as_bytes(codes[s], size) for _, s in parts], pa.binary())], ["bucket", "block", "codes"])
+                                                  pa.array([as_bytes(codes[s], size) for _, s in parts], pa.binary()), pa.array(counts, pa.binary())],
+                                                 ["bucket", "block", "codes", "counts"])
 
     def answered(table: pa.Table) -> pa.Table:
         numbers = table.column("block").to_numpy()
@@ -188,36 +248,50 @@ def shared_codes(blocks: DataFrame, bits: int, code_bits: int) -> DataFrame:
         parts = [from_bytes(x.as_py(), size) | upper for x in table.column("codes")]
         sizes = [len(p) for p in parts]
         codes, which = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+        amount = np.full(len(codes), LISTED, np.int64)
+        for base, listed in zip(np.cumsum(sizes) - sizes, table.column("counts")):
+            at, n = np.frombuffer(listed.as_py(), "<u4").reshape(2, -1).astype(np.int64)
+            amount[base + at] = n
         order = np.argsort(codes, kind="stable")
-        codes, which = codes[order], which[order]
+        codes, which, amount = codes[order], which[order], amount[order]
         same = codes[1:] == codes[:-1]
         common = np.r_[same, False] | np.r_[False, same]
-        codes, which = codes[common], which[common]
+        codes, which, amount = codes[common], which[common], amount[common]
+        change = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+        totals = np.add.reduceat(amount, change) if len(codes) else change
+        hot = np.repeat(totals > PART, np.diff(np.r_[change, len(codes)]))
         back = np.argsort(which, kind="stable")
-        codes, which = codes[back], which[back]
+        codes, which, hot = codes[back], which[back], hot[back]
         first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.zeros(0, np.int64)
-        pieces = np.split(codes, first[1:]) if len(which) else []
-        return pa.table({"block": pa.array(numbers[which[first]] if len(which) else [], pa.int64()), "codes": pa.array([as_bytes(p, code_bits // 8) for p in pieces], pa.binary())})
+        bounds = list(zip(first, np.r_[first[1:], len(codes)])) if len(which) else []
+        n_hot = np.zeros(len(first), np.int64)
+        n_hot[:1] = totals[totals > PART].sum()
+        return pa.table({"block": pa.array(numbers[which[first]] if len(which) else [], pa.int64()),
+                         "codes": pa.array([as_bytes(codes[a:b], code_bits // 8) for a, b in bounds], pa.binary()),
+                         "hot": pa.array([as_bytes(codes[a:b][hot[a:b]], code_bits // 8) for a, b in bounds], pa.binary()), "n_hot": pa.array(n_hot)})
 
-    return blocks.select("block", "data").mapInArrow(sent, "bucket long, block long, codes binary").groupBy("bucket").applyInArrow(answered, "block long, codes binary")
+    found = blocks.select("block", "data").mapInArrow(sent, "bucket long, block long, codes binary, counts binary")
+    return found.groupBy("bucket").applyInArrow(answered, "block long, codes binary, hot binary, n_hot long")
 
 
-def candidates(blocks: DataFrame, shared: DataFrame, bits: int, code_bits: int, places: bool) -> DataFrame:
+def candidates(blocks: DataFrame, shared: DataFrame, bits: int, code_bits: int, places: bool, deals: int = 1) -> DataFrame:
     """``(block, bucket, data)``: the strings of each block for each bucket or, as ``places``, where they occur in the block.
 
     The grams of the distinct strings are numbered; a string that occurs again in a block, in a larger document, is settled there.
+    Strings of hot codes are sent as their distinct grams, in ``deals`` further buckets; a gram that occurs again in them
+    (a twin) gets the answer of the first, which has the smallest id of the block.
     """
     size = -(-(code_bits - bits) // 8)
-    joined = blocks.select("block", "data").join(shared.groupBy("block").agg(F.collect_list("codes").alias("codes")), "block", "left")
+    joined = blocks.select("block", "data").join(shared.groupBy("block").agg(F.collect_list("codes").alias("codes"), F.collect_list("hot").alias("hot")), "block", "left")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, data, codes in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("codes")):
-                rows = list(of_block(data.as_py(), [from_bytes(c, code_bits // 8) for c in codes.as_py() or []]))
+            for number, data, *lists in zip(batch.column("block").to_pylist(), *(batch.column(c) for c in ("data", "codes", "hot"))):
+                rows = list(of_block(data.as_py(), *([from_bytes(c, code_bits // 8) for c in x.as_py() or []] for x in lists)))
                 yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
                                                   pa.array([r[1] for r in rows], pa.binary())], ["block", "bucket", "data"])
 
-    def of_block(data: bytes, codes: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    def of_block(data: bytes, codes: list[np.ndarray], hot: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
         text, ends, ids = expand(data)
         text = text.tobytes()
         start, grams, code, doc = runs_of(text, ends, code_bits)
@@ -238,10 +312,27 @@ def candidates(blocks: DataFrame, shared: DataFrame, bits: int, code_bits: int,
         lead = use[place]
         base = np.cumsum(grams[lead]) - grams[lead]
         again = owner[use] > owner[lead][string]
+        dealt = np.isin(code[lead], np.concatenate(hot)) if hot else np.zeros(len(lead), bool)
+        loose = lead[dealt]
+        at, gram, whose = gram_starts(start[loose], grams[loose]), gram_starts(base[dealt], grams[loose]), np.repeat(owner[loose], grams[loose])
+        hashes = gram_hash(text, at)
+        first_one = first_equal(text, at, hashes)  # owners ascend, so the first has the smallest id
         if places:
-            yield -1, squeeze(small(start[use]), small(grams[use]), small(base[string]), again.astype(np.uint8))
+            twin = np.flatnonzero(first_one != np.arange(len(at)))
+            yield -1, squeeze(small(start[use]), small(grams[use]), small(base[string]), again.astype(np.uint8), small(gram[twin]),
+                              small(gram[first_one[twin]]), (whose[twin] > whose[first_one[twin]]).astype(np.uint8))
             return
+        send = np.flatnonzero(first_one == np.arange(len(at)))
+        deal = (hashes[send] % np.uint64(deals)).astype(np.int64)
+        by_deal = np.argsort(deal, kind="stable")
+        send, deal = send[by_deal], deal[by_deal]
+        first = np.flatnonzero(np.r_[True, deal[1:] != deal[:-1]]) if len(deal) else []
+        for a, b in zip(first, np.r_[first[1:], len(deal)].astype(np.int64) if len(first) else []):
+            own = send[a:b]
+            ids_here, holder = np.unique(whose[own], return_inverse=True)
+            yield (1 << bits) + int(deal[a]), squeeze(ids_here, small(holder), small(gram[own]), np.frombuffer(b"".join([text[p:p + LENGTH] for p in at[own].tolist()]), np.uint8))
         by_code = np.argsort(code[lead], kind="stable")
+        by_code = by_code[~dealt[by_code]]
         strings = list(known)
         sorted_lead = lead[by_code]
         for bucket, part in split_by_bucket(code[sorted_lead], bits, code_bits):
@@ -267,6 +358,19 @@ def repeated_grams(text: bytes, begin: np.ndarray, grams: np.ndarray, owner: np.
     return smaller
 
 
+def repeated_alone(text: bytes, owner: np.ndarray) -> np.ndarray:
+    """For all grams that stand in ``text`` one after the other: whether an equal one has a smaller owner."""
+    keys = list(words_at(text, np.arange(len(owner)) * LENGTH))
+    order = np.lexsort(keys)
+    differs = np.zeros(len(owner) - 1, bool)
+    for k in keys:
+        differs |= k[order][1:] != k[order][:-1]
+    first = np.flatnonzero(np.r_[True, differs])
+    smaller = np.empty(len(owner), bool)
+    smaller[order] = np.repeat(np.minimum.reduceat(owner[order], first), np.diff(np.r_[first, len(owner)])) < owner[order]
+    return smaller
+
+
 def settled(strings: DataFrame, bits: int, code_bits: int) -> DataFrame:
     """``(block, flags)``: ranges of gram numbers of a block that occur in a smaller document, in several rows."""
     size = -(-(code_bits - bits) // 8)
@@ -274,6 +378,11 @@ def settled(strings: DataFrame, bits: int, code_bits: int) -> DataFrame:
     def answered(table: pa.Table) -> pa.Table:
         numbers = table.column("block").to_numpy()
         parts = [expand(x.as_py()) for x in table.column("data")]
+        if table.column("bucket")[0].as_py() >> bits:  # grams of hot codes
+            owner, number = np.concatenate([p[0][p[1]] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int64)
+            from_block = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+            smaller = repeated_alone(b"".join([p[3].tobytes() for p in parts]), owner)
+            return by_block(numbers, from_block[smaller], number[smaller], number[smaller] + 1)
         code = np.concatenate([from_bytes(p[0].tobytes(), size) for p in parts])  # of one bucket, so the lower bits tell them apart
         owner = np.concatenate([p[1][p[2]] for p in parts])
         grams, base = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (3, 4))
@@ -301,7 +410,9 @@ def settled(strings: DataFrame, bits: int, code_bits: int) -> DataFrame:
             opens = np.flatnonzero(smaller & (np.r_[True, ~smaller[:-1]] | (number == 0)))
             closes = np.flatnonzero(smaller & (np.r_[~smaller[1:], True] | (number == grams[whose] - 1)))
             out.append((which[whose[opens]], base[whose[opens]] + number[opens], base[whose[opens]] + number[closes] + 1))
-        from_block, low, high = (np.concatenate([o[k] for o in out]) for k in range(3))
+        return by_block(numbers, *(np.concatenate([o[k] for o in out]) for k in range(3)))
+
+    def by_block(numbers: np.ndarray, from_block: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
         back = np.argsort(from_block, kind="stable")
         from_block, low, high = from_block[back], low[back], high[back]
         first = np.flatnonzero(np.r_[True, from_block[1:] != from_block[:-1]]) if len(from_block) else np.zeros(0, np.int64)
@@ -314,7 +425,7 @@ def settled(strings: DataFrame, bits: int, code_bits: int) -> DataFrame:
 
 def removed_bytes(text: bytes, places: list[np.ndarray], flags: list[list[np.ndarray]]) -> np.ndarray:
     """Which bytes of a block go."""
-    start, grams, base, again = places
+    start, grams, base, again, twin, of, larger = places
     start, grams, base = (x.astype(np.int32) for x in (start, grams, base))  # a block has far fewer bytes and grams
     n_grams = int((base + grams).max(initial=0))
     edge = np.zeros(n_grams + 1, np.int8)
@@ -322,6 +433,7 @@ def removed_bytes(text: bytes, places: list[np.ndarray], flags: list[list[np.nda
         np.add.at(edge, low, 1)
         np.add.at(edge, high, -1)
     flagged = np.cumsum(edge[:-1], dtype=np.int8) > 0  # every gram is flagged once at most
+    flagged[twin] = flagged[of] | (larger > 0)
     first = np.cumsum(grams) - grams
     number = np.arange(int(grams.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), grams)
     goes = flagged[np.repeat(base, grams) + number] | np.repeat(again > 0, grams)
@@ -363,7 +475,8 @@ def remove_repeats(docs: DataFrame, id_column: str, text_column: str, with_text:
     shared = stored(shared_codes(blocks, bits, code_bits), "shared-codes")
     # The strings go straight into a shuffle. Their places are found again for the last step: that takes less disk than
     # writing all of it, and a block gives the same numbers each time.
-    flags = settled(candidates(blocks, shared, bits, code_bits, False), bits, code_bits)
+    deals = int(shared.agg(F.sum("n_hot")).first()[0] or 0) // PART + 1
+    flags = settled(candidates(blocks, shared, bits, code_bits, False, deals), bits, code_bits)
     places = candidates(blocks, shared, bits, code_bits, True).select("block", F.col("data").alias("places"))
     joined = (blocks.select("block", "data", "rest").join(places, "block")
               .join(flags.groupBy("block").agg(F.collect_list("flags").alias("flags")), "block", "left"))

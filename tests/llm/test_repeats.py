@@ -107,3 +107,23 @@ def test_small_tables(spark):
     assert repeats.repeats(frame(spark, [])).count() == 0
     assert repeats.without_repeats(frame(spark, [])).count() == 0
     assert Counter(map(tuple, repeats.repeats(frame(spark, [(1, None)])).collect())) == Counter(plain([(1, None)]))
+
+
+def test_a_hot_code_is_split(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(repeats, "PART", 500)
+    rng = np.random.default_rng(6)
+    foreign = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, 60))
+    rows = [(int(rng.integers(0, 300)), foreign()[:k % 40] + "a passage that a third of all documents have in common, be it short" + foreign()) for k in range(400)]
+    rows += rows[:40] + [(400 + k, "z" * (60 + k)) for k in range(30)]
+    sizes, settled = Counter(), repeats.settled
+
+    def seen(strings, *rest):
+        for r in strings.collect():
+            sizes[r.bucket] += sum(x.nbytes for x in repeats.expand(r.data))
+        return settled(strings, *rest)
+
+    monkeypatch.setattr(repeats, "settled", seen)
+    got = repeats.repeats(frame(spark, rows).repartition(4)).collect()
+    assert Counter(map(tuple, got)) == Counter(plain(rows))
+    assert max(sizes.values()) < 0.15 * sum(sizes.values())
