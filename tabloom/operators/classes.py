@@ -13,6 +13,7 @@ from tabloom.functions.kinds import FLOAT, INTEGER, kinds
 from tabloom.functions.small import small_frame
 from tabloom.operators.copula import (GROUP, CopulaModel, fit_copula, proportional_counts, sample_copula)
 from tabloom.operators.frequencies import class_counts
+from tabloom.operators.keyed_copula import KeyedModel, fit_keyed, sample_keyed, with_starts
 from tabloom.operators.numeric import numeric_facts
 from tabloom.session import materialize
 
@@ -55,7 +56,7 @@ def class_plan(df: DataFrame, target: str, requested: dict[str, int]) -> DataFra
 @dataclass
 class Generated:
     rows: DataFrame
-    model: CopulaModel | None
+    model: CopulaModel | KeyedModel | None
     strategy: str
     skipped: list[dict]
 
@@ -77,16 +78,21 @@ def generate_per_class(df: DataFrame, columns: list[str], target: str, counts: d
 
 def generate_conditional(df: DataFrame, columns: list[str], target: str, n: int, seed: int = 42) -> Generated:
     """Rows per class in proportion to the real shares. Classes with enough rows have their own model; the rest
-    share one pooled model. The driver holds the plan and a grid per class with a model, at any number of classes."""
-    plan = {r["value"]: (r["real"], r["rows"]) for r in allocation(df, target, n).orderBy("value").collect()}
-    large = [v for v, (real, _) in plan.items() if real >= MIN_CLASS_ROWS]
+    share one pooled model. Plan and models are tables keyed by class; the driver holds neither."""
+    plan = with_starts(allocation(df, target, n))
+    total = plan.agg(F.sum("real")).first()[0] or 0
+    # At most 100 classes can hold 1% each; their rows need no join.
+    hot = [r["value"] for r in plan.where((F.col("real") >= MIN_CLASS_ROWS) & (100 * F.col("real") >= total)).collect()]
     key, others = F.col(f"`{target}`").cast("string"), [c for c in columns if c != target]
-    known = small_frame(df.sparkSession, [(v,) for v in large], "_class string")
-    keyed = df.where(key.isNotNull()).withColumn("_value", key).join(known, F.col("_value") == F.col("_class"), "left")
-    model = fit_copula(keyed, others, group=F.coalesce(F.concat(F.lit("class:"), "_class"), F.lit("rest")))
-    own = set(large)
-    models = {v: f"class:{v}" if v in own else "rest" for v in plan}
-    rows = sample_copula(df.sparkSession, model, {v: m for v, (_, m) in plan.items()}, seed, models)
+    valued = df.where(key.isNotNull()).select(*[F.col(f"`{c}`") for c in others], key.alias("_value"))
+    own = plan.where(F.col("real") >= MIN_CLASS_ROWS).select(F.col("value").alias("_value"), F.lit(True).alias("_own"))
+    by_class = F.concat(F.lit("class:"), "_value")
+    common = valued.where(F.col("_value").isin(hot)).withColumn(GROUP, by_class)
+    scarce = valued.where(~F.col("_value").isin(hot)).join(own, "_value", "left").withColumn(GROUP, F.when(F.col("_own"), by_class).otherwise("rest"))
+    parts = [x.select(*[F.col(f"`{c}`") for c in others], GROUP) for x in (common, scarce)]
+    model = fit_keyed(materialize(parts[0].unionByName(parts[1])), others, ["rest", *(f"class:{v}" for v in hot)])
+    group = F.when(F.col("real") >= MIN_CLASS_ROWS, F.concat(F.lit("class:"), "value")).otherwise("rest")
+    rows = sample_keyed(model, plan.withColumn(GROUP, group), seed)
     rows = rows.withColumn(target, F.col(GROUP).cast(df.schema[target].dataType)).drop(GROUP)
     return Generated(rows.select("row_id", *columns), model, "conditional", [])
 

@@ -114,12 +114,13 @@ def _fit_categories(df: DataFrame, categorical: list[str], groups: dict, sizes:
     for r in rows:
         found.setdefault((str(r[GROUP]), r["column"]), []).append((r["value"], r["n"]))
     for (g, c), pairs in found.items():
-        pairs.sort(key=lambda p: (-p[1], p[0]))
-        total = sum(n for _, n in pairs)
-        m = groups[g][c]
-        m.values = [v for v, _ in pairs]
-        m.upper = (np.cumsum([n for _, n in pairs]) / total).tolist()
-        m.missing = 1 - total / sizes[g]
+        groups[g][c] = category_marginal(pairs, sizes[g])
+
+
+def category_marginal(pairs: list[tuple[str, int]], size: int) -> Marginal:
+    pairs = sorted(pairs, key=lambda p: (-p[1], p[0]))
+    total = sum(n for _, n in pairs)
+    return Marginal(values=[v for v, _ in pairs], upper=(np.cumsum([n for _, n in pairs]) / total).tolist(), missing=1 - total / size)
 
 
 class ScoreTask:
@@ -159,13 +160,17 @@ def fit_dependence(df: DataFrame, model: CopulaModel) -> CopulaModel:
 
 
 def set_dependence(model: CopulaModel, group: str, matrix: np.ndarray) -> None:
-    """Repair to a valid correlation matrix (eigenvalues clipped, unit diagonal) and keep its Cholesky factor."""
+    model.correlation[group] = matrix
+    model.factor[group] = cholesky_factor(matrix)
+
+
+def cholesky_factor(matrix: np.ndarray) -> np.ndarray:
+    """Repair to a valid correlation matrix (eigenvalues clipped, unit diagonal) and give its Cholesky factor."""
     values, vectors = np.linalg.eigh(matrix)
     repaired = vectors @ np.diag(np.maximum(values, MIN_EIGENVALUE)) @ vectors.T
     scale = np.sqrt(np.diag(repaired))
     repaired = repaired / np.outer(scale, scale)
-    model.correlation[group] = matrix
-    model.factor[group] = np.linalg.cholesky(repaired + MIN_EIGENVALUE * np.eye(len(matrix)))
+    return np.linalg.cholesky(repaired + MIN_EIGENVALUE * np.eye(len(matrix)))
 
 
 def fit_copula(df: DataFrame, columns: list[str], group: Column | None = None) -> CopulaModel:

@@ -92,6 +92,27 @@ def test_conditional_gives_small_classes_their_rows(spark):
     assert {r["c"]: r["count"] for r in rows.groupBy("c").count().collect()} == {"few": 8, "two": 4, "many": 988}
 
 
+def test_conditional_keeps_classes_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(copula, "MAX_CATEGORIES", 500)
+    df = spark.range(3000).selectExpr("IF(id % 50 = 0, NULL, pow(id % 97, 2) + id % 7) AS x", "concat('t', id % 13) AS t", "id % 97 AS y", "IF(id < 1200, 7, IF(id < 2900, id % 120, id)) AS c")
+    plan = {r["value"]: (r["real"], r["rows"]) for r in classes.allocation(df, "c", 30_000).orderBy("value").collect()}
+    kind, most = type(df), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: most.append(collect(self)) or most[-1])
+    made = classes.generate_conditional(df, ["x", "t", "y", "c"], "c", 30_000)
+    assert max(map(len, most)) <= 100 < len(plan)
+    monkeypatch.undo()
+    got = made.rows.orderBy("row_id").toPandas()
+
+    own = [v for v, (real, _) in plan.items() if real >= classes.MIN_CLASS_ROWS]
+    group = F.when(F.col("c").cast("string").isin(own), F.concat(F.lit("class:"), F.col("c").cast("string"))).otherwise("rest")
+    model = copula.fit_copula(df, ["x", "t", "y"], group)
+    want = copula.sample_copula(spark, model, {v: m for v, (_, m) in plan.items()}, 42, {v: f"class:{v}" if v in own else "rest" for v in plan}).orderBy("row_id").toPandas()
+    assert list(got["row_id"]) == list(want["row_id"]) and list(got["c"].astype(str)) == list(want[copula.GROUP])
+    assert all(np.allclose(got[k], want[k], equal_nan=True) for k in ("x", "y")) and list(got["t"]) == list(want["t"])
+    assert abs(made.model.median("x") - model.median("x")) < 1e-9
+
+
 def test_proportional_counts_are_exact():
     counts = copula.proportional_counts({"a": 1, "b": 1, "c": 1}, 10)
     assert sum(counts.values()) == 10 and max(counts.values()) - min(counts.values()) == 1
