@@ -7,6 +7,9 @@ their due times (ties in queue order). After any number of tokens a queue then i
 difference is the deficit that passes from window to window. As the order depends on the weights and queue lengths alone,
 every task can compute the state at the start of any window without playing the windows before it, and deficits
 carry over the borders of partitions too. A queue that runs dry leaves its share to the others.
+
+Every source has a queue. Tasks know them by their weights and lengths only: queues of one weight are served alike until they are
+dry, so counts of queues by weight and length give all sums, and different lengths are few (they add up to the tokens).
 """
 
 from __future__ import annotations
@@ -20,12 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.small import small_frame
 from tabloom.llm.common import id_and_text, stored, texts_of
 from tabloom.llm.tokens import byte_pairs
 
-#: Sources with a queue of their own, at most: those with the most rows. All others share one further queue, in which they stand mixed
-#: as they are stored. This bounds what every task must know of the mixture.
-QUEUES = 64
 #: Weights are rounded to parts of this; products with token counts up to 2^45 stay within 64 bits.
 SCALE = 1 << 16
 
@@ -100,6 +101,100 @@ class Schedule:
         return tuple(x[some] for x in (index, start - begin[index], end - start, at, offset))
 
 
+class Queues:
+    """The same order as ``Schedule`` for any number of queues that are numbered by ascending weight and then descending length,
+    from how many queues have each weight and length."""
+
+    def __init__(self, weights: list[int], lengths: list[int], counts: list[int]):
+        order = np.lexsort((-np.array(lengths, np.int64), np.array(weights, np.int64)))
+        weight, length, count = (np.array(x, np.int64)[order] for x in (weights, lengths, counts))
+        opens = np.flatnonzero(np.r_[True, weight[1:] != weight[:-1]]) if len(weight) else np.zeros(0, np.int64)
+        self.weight, self.groups = weight[opens], []
+        for a, b in zip(opens, np.r_[opens[1:], len(weight)].astype(np.int64)):
+            n, size = count[a:b], length[a:b]
+            self.groups.append((int(weight[a]), int((2 * size[0] - 1) * SCALE // weight[a]), -size, np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * size)]))
+        self.base = np.cumsum([0, *(int(g[3][-1]) for g in self.groups)])
+        self.all, self.total = int(self.base[-1]), int((length * count).sum())
+        self.weights, self.end = int((weight * count).sum()), max([g[1] for g in self.groups], default=0)
+
+    def upto(self, time: np.ndarray, queue: np.ndarray | int) -> np.ndarray:
+        """Tokens of the queues before ``queue`` that are due at ``time`` or earlier."""
+        out = np.zeros(len(time), np.int64)
+        for base, (weight, last, minus, n, tokens) in zip(self.base, self.groups):
+            odd = ((np.minimum(time, last) + 1) * weight - 1) // SCALE
+            each = np.where(time >= last, -minus[0], np.minimum(-minus[0], (odd + 1) // 2))
+            longer = n[np.searchsorted(minus, -each, side="left")]
+            first = np.clip(queue - base, 0, n[-1])
+            cut = np.minimum(first, longer)
+            out += cut * each
+            for upper, sign in ((first, 1), (cut, -1)):  # what is left are whole queues
+                k = np.minimum(np.searchsorted(n, upper, side="right") - 1, len(minus) - 1)
+                out += sign * (tokens[k] - (upper - n[k]) * minus[k])
+        return out
+
+    def rank(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """How many tokens are served before this one."""
+        time = (2 * token + 1) * SCALE // self.weight[np.searchsorted(self.base, queue, side="right") - 1]
+        return self.upto(time - 1, self.all) + self.upto(time, queue) + token - self.upto(time - 1, queue + 1)
+
+    def moments(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last time at which no more than ``count`` tokens are due, and how many of the next moment's are among them."""
+        guess, slack = 2 * count * SCALE // self.weights, 4 * (self.all + 2) * SCALE // self.weights + 4
+        low, high = np.clip(guess - slack, -1, self.end), np.clip(guess + slack, -1, self.end)
+        wrong = (self.upto(low, self.all) > count) | ((high < self.end) & (self.upto(high + 1, self.all) <= count))
+        low[wrong], high[wrong] = -1, self.end
+        while (low < high).any():
+            middle = (low + high + 1) >> 1
+            fits = self.upto(middle, self.all) <= count
+            low, high = np.where(fits, middle, low), np.where(fits, high, middle - 1)
+        return low, count - self.upto(low, self.all)
+
+    def before(self, time: np.ndarray, left: np.ndarray, queue: np.ndarray) -> np.ndarray:
+        """Tokens of the queues before ``queue`` among those served up to such a moment."""
+        sure = self.upto(time, queue)
+        return sure + np.minimum(left, self.upto(time + 1, queue) - sure)
+
+    def pieces(self, queue: np.ndarray, begin: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+        """Cuts stretches of queues at window ends: index of the stretch, start in it, length, window, and place in the window."""
+        if not len(queue):
+            return (np.zeros(0, np.int64),) * 5
+        first = self.rank(queue, begin) // window
+        times = self.rank(queue, begin + length - 1) // window - first + 1
+        index = np.repeat(np.arange(len(queue)), times)
+        at = first[index] + np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
+        used, place = np.unique(np.concatenate([at, at + 1]), return_inverse=True)
+        time, left = self.moments(np.minimum(used * window, self.total))
+        q = queue[index]
+        (lower, opens), (higher, closes) = (
+            (before, self.before(time[k], left[k], q + 1) - before) for k in (place[:len(at)], place[len(at):]) for before in (self.before(time[k], left[k], q),))
+        start = np.maximum(opens, begin[index])
+        end = np.minimum(closes, begin[index] + length[index])
+        some = end > start
+        return tuple(x[some] for x in (index, start - begin[index], end - start, at, higher - lower + start - opens))
+
+
+def numbered_queues(sums: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """A stored table ``(source, length, weight, queue)`` from token counts ``(source, n)``, numbered as ``Queues`` wants it.
+
+    Ranges of queues are numbered alone and shifted by the sizes of those before.
+    """
+    lengths = sums.groupBy("source").agg(F.sum("n").alias("length"))
+    if weights is None:
+        shares = lengths.withColumn("share", F.col("length").cast("double"))
+    else:
+        named = small_frame(sums.sparkSession, [(k, float(v)) for k, v in weights.items()], "source string, share double")
+        shares = lengths.join(F.broadcast(named), "source", "left").fillna(0.0, ["share"])
+    shares = stored(shares, "queue-lengths")
+    total = max(shares.agg(F.sum("share")).first()[0] or 0.0, 1e-300)
+    weighted = shares.select("source", "length", F.greatest(F.lit(1), F.rint(F.col("share") / F.lit(total) * F.lit(SCALE))).cast("long").alias("weight"))
+    order = ["weight", F.desc("length"), "source"]
+    ranged = stored(weighted.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "queue-ranges")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    bases = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return stored(ranged.withColumn("inside", inside).join(F.broadcast(bases), "part").select("source", "length", "weight", (F.col("base") + F.col("inside")).alias("queue")), "queues")
+
+
 def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k", end_id: int = 1, weights: dict[str, float] | None = None,
          id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids`` on request).
@@ -111,40 +206,33 @@ def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k", e
     """
     spark = docs.sparkSession
     source = F.coalesce(F.col(source_column).cast("string"), F.lit(""))
-    largest = docs.groupBy(source.alias("source")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES).collect()
-    number = {r.source: k for k, r in enumerate(largest)}
     texts = id_and_text(docs, id_column, text_column, source.alias("source"))
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, before = TaskContext.get().partitionId(), np.zeros(QUEUES + 1, np.int64)
+        block, before = TaskContext.get().partitionId(), {}
         encode = byte_pairs(tokenizer)
         narrow = np.uint16 if encode.size <= 1 << 16 and end_id < 1 << 16 else np.uint32
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                queues = np.array([number.get(s, QUEUES) for s in part.column("source").to_pylist()], np.int64)
                 ids = [np.array([*encode.ids(t), end_id], narrow) for t in texts_of(part.column("text"))]
                 n = np.array([len(x) for x in ids], np.int64)
-                begin = np.zeros(len(n), np.int64)
-                for q in np.unique(queues):
-                    own = queues == q
-                    begin[own] = before[q] + np.cumsum(n[own]) - n[own]
-                    before[q] += n[own].sum()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.full(len(n), block, np.int64)), pa.array(queues), pa.array(n),
-                                                  pa.array(begin), pa.array([x.tobytes() for x in ids], pa.binary())],
-                                                 ["doc_id", "block", "queue", "n", "begin", "ids"])
-
-    kept = stored(texts.mapInArrow(tokenized, "doc_id long, block long, queue long, n long, begin long, ids binary"), "tokens")
-    # Block totals are one row per task and queue; their running sums place every block in its queues.
-    sums = kept.groupBy("block", "queue").agg(F.sum("n").alias("n"))
-    ahead = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stored(sums.select("block", "queue", "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")), "queue-blocks")
-    totals = dict(bases.groupBy("queue").agg(F.sum("n")).collect())
-    lengths = [totals.get(k, 0) for k in range(QUEUES + 1)]
-    targets = None
-    if weights is not None:
-        targets = [weights.get(r.source, 0.0) for r in largest] + [0.0] * (QUEUES + 1 - len(largest))
-    schedule = spark.sparkContext.broadcast(Schedule(lengths, targets))
+                begin = []
+                for name, size in zip(part.column("source").to_pylist(), n.tolist()):
+                    begin.append(before.get(name, 0))
+                    before[name] = begin[-1] + size
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.full(len(n), block, np.int64)), part.column("source"), pa.array(n),
+                                                  pa.array(begin, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                                                 ["doc_id", "block", "source", "n", "begin", "ids"])
+
+    kept = stored(texts.mapInArrow(tokenized, "doc_id long, block long, source string, n long, begin long, ids binary"), "tokens")
+    # Block totals are one row per task and source; their running sums place every block in its queues.
+    sums = stored(kept.groupBy("block", "source").agg(F.sum("n").alias("n")), "queue-blocks")
+    queues = numbered_queues(sums, weights)
+    ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("block", "source", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")).join(queues.select("source", "queue"), "source")
+    alike = queues.groupBy("weight", "length").agg(F.count("*").alias("n")).collect()
+    schedule = spark.sparkContext.broadcast(Queues([r.weight for r in alike], [r.length for r in alike], [r.n for r in alike]))
     narrow = 2 if byte_pairs(tokenizer).size <= 1 << 16 and end_id < 1 << 16 else 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +250,6 @@ def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k", e
                     columns["ids"] = pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in own], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    placed = kept.join(bases.select("block", "queue", "base"), ["block", "queue"]).select("doc_id", "queue", "n", "begin", "base", "ids")
+    placed = kept.join(stored(bases, "queue-bases"), ["block", "source"]).select("doc_id", "queue", "n", "begin", "base", "ids")
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue long"
     return placed.mapInArrow(cut, kinds + (", ids array<long>" if with_ids else ""))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tabloom.llm.packing import Schedule, pack
+from tabloom.llm.packing import Queues, Schedule, pack
 from tabloom.llm.tokens import byte_pairs
 
 SCHEMA = "source string, doc_id long, text string, queue int, `sequence_id` string, block string"
@@ -130,3 +130,35 @@ def test_empty_null_and_repeated(spark):
 def test_more_sources_than_queues(spark, sources):
     rows = [(f"s{k % sources}", k, f"text {k}", 1, "", "") for k in range(300)]
     checked(pack(spark.createDataFrame(rows, SCHEMA), window=32, with_ids=True).collect(), {k: t for _, k, t, *_ in rows}, 32)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([1, 1, 2, 3, 9]), st.integers(1, 40)), min_size=1, max_size=30), st.integers(1, 50))
+def test_queues_equal_the_schedule(pairs, window):
+    plain = Schedule([n for _, n in pairs], [w for w, _ in pairs])
+    order = np.lexsort((-plain.length, plain.weight))
+    plain = Schedule(plain.length[order].tolist(), np.array([w for w, _ in pairs])[order].tolist())
+    queue, begin = np.arange(len(pairs)), np.zeros(len(pairs), np.int64)
+    want = plain.pieces(queue, begin, plain.length, window)
+    got = Queues(plain.weight.tolist(), plain.length.tolist(), [1] * len(pairs)).pieces(queue, begin, plain.length, window)
+    kinds, n = np.unique(np.stack([plain.weight, plain.length]), axis=1, return_counts=True)
+    again = Queues(*kinds.tolist(), n.tolist()).pieces(queue, begin, plain.length, window)
+    assert [x.tolist() for x in want] == [x.tolist() for x in got] == [x.tolist() for x in again]
+
+
+def test_every_source_has_its_queue(spark):
+    rows = [(f"s{k:03}", k, "word " * (40 if k % 2 else 120), 1, "", "") for k in range(150)]  # stored by source
+    got = pack(spark.createDataFrame(rows, SCHEMA).coalesce(1), window=600, with_ids=True).collect()
+    grid = checked(got, {r[1]: r[2] for r in rows}, 600)
+    sizes = {r.doc_id: r.doc_tokens for r in got}
+    for own in list(grid.values())[:-2]:
+        for k, n in sizes.items():
+            assert abs(sum(r.length for r in own if r.doc_id == k) - 600 * n / sum(sizes.values())) <= 2.5
+
+
+def test_a_named_source_keeps_its_weight(spark):
+    rows = [(f"s{k % 90:03}", k, "some words", 1, "", "") for k in range(900)] + [("z", 1000, "word " * 3000, 1, "", "")]
+    got = pack(spark.createDataFrame(rows, SCHEMA), window=100, weights={"z": 0.5, "s000": 0.5}, with_ids=True).collect()
+    grid = checked(got, {r[1]: r[2] for r in rows}, 100)
+    assert sum(r.length for r in grid[0] if r.doc_id == 1000) >= 49 - 10  # 30 tokens of s000 are all it has
+    assert sum(r.length for r in grid[1] if r.doc_id == 1000) >= 90
