@@ -8,6 +8,7 @@ features carry a monotonic constraint: more symbols, capitals or repetition can
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -162,19 +163,28 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
           label_column: str = "quality", rows: int = TRAIN_ROWS) -> Trees | None:
     """Fit the trees to at most ``rows`` labelled documents; None if fewer than 50 are found or all have one label.
 
-    A document with several labels counts with the lowest. Null ids and null labels are left out.
+    A document with several labels counts with the lowest; of several rows with its id, the text with the smallest digest counts.
+    Null ids and null labels are left out.
     """
     chosen = (labels.where(F.col(label_id).isNotNull() & F.col(label_column).isNotNull())
               .groupBy(F.col(label_id).cast("long").alias("label_id")).agg(F.min(F.col(label_column).cast("double")).alias("label"))
               .orderBy(F.xxhash64("label_id"), "label_id").limit(rows))
-    found = id_and_text(docs, id_column, text_column).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label", "text")
+    found = id_and_text(docs, id_column, text_column).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "label", "text")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[bytes, float, list[float]]] = {}
         for batch in batches:
-            x = [measure(t)[1] for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
-
-    sample = sorted(found.mapInArrow(measured, "label double, x array<double>").limit(2 * rows).collect(), key=lambda r: (r.label, r.x))
+            for key, label, text in zip(batch.column("label_id").to_pylist(), batch.column("label").to_pylist(), text_bytes(batch.column("text"))):
+                digest = hashlib.blake2b(text, digest_size=16).digest()
+                if key not in best or digest < best[key][0]:
+                    best[key] = digest, label, measure(text)[1]
+        columns = zip(*((k, *v) for k, v in best.items())) if best else [()] * 4
+        kinds = pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["label_id", "digest", "label", "x"])
+
+    firsts = found.mapInArrow(measured, "label_id long, digest binary, label double, x array<double>")
+    one_each = firsts.groupBy("label_id").agg(F.min(F.struct("digest", "label", "x")).alias("one")).select("one.label", "one.x")
+    sample = sorted(one_each.collect(), key=lambda r: (r.label, r.x))
     y = np.array([r.label > 0.5 for r in sample], float)
     if len(y) < 50 or y.min() == y.max():
         return None

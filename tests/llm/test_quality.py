@@ -84,3 +84,13 @@ def test_edge_cases(spark):
     assert quality.assess(df.limit(0), None).count() == 0
     assert Counter(map(tuple, quality.keep_good(df, None).collect())) == Counter([rows[3], rows[5], *rows[6:]])
     assert quality.train(df, spark.createDataFrame([(None, 1), (3, None)], "doc_id long, quality int")) is None
+
+
+def test_a_repeated_labelled_id_counts_once(spark):
+    clean = lambda k: " ".join(f"word{(k * 7 + j * j) % 91}" for j in range(40))
+    texts = [(0, clean(0))] * 3000 + [(k, clean(k) if k % 2 == 0 else clean(k) + " #$% !!! ABC" * 20) for k in range(1, 100)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(k, k % 2 ^ 1) for k in range(100)], "doc_id long, quality int")
+    trees = quality.train(docs, labels, rows=100)
+    other = quality.train(docs.dropDuplicates().repartition(5), labels, rows=100)
+    assert trees is not None and np.array_equal(trees.value, other.value) and np.array_equal(trees.threshold, other.threshold)
