@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import chat, minhash, packing, quality, repeats, sampled_pieces, sharding, simhash, token_counts, warc
+from tabloom.llm import alignment, chat, lexical, minhash, neighbours, packing, quality, repeats, sampled_pieces, sharding, simhash, token_counts, warc
 from tabloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,35 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(docs, quality.train(docs, table(spark, folder, "labels"))).drop("score")
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), "byte_bpe_50k", "piece_bpe_32k.model")
+
+
+def op12_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return neighbours.classify(docs, neighbours.train(docs, table(spark, folder, "labels")), threshold=0.3)
+
+
+def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), most=50)
+
+
+#: Strings of ASCII letters and digits and of characters beyond ASCII; only A to Z change their case.
+SQL_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')"""
+
+SQL_LEXICAL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {SQL_TERMS} AS terms FROM documents),
+s AS (SELECT r, doc_id, len(terms) AS n, terms FROM d WHERE len(terms) > 0),
+c AS (SELECT count(*) AS all_docs, sum(n)::BIGINT AS all_terms FROM s),
+i AS (SELECT DISTINCT item_id, unnest({SQL_TERMS}) AS term FROM benchmark),
+o AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM s) WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM o, c GROUP BY term, all_docs),
+p AS (SELECT item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * all_docs) // all_terms))))::BIGINT AS score
+  FROM o JOIN w USING (term) JOIN i USING (term) JOIN s USING (r), c GROUP BY item_id, r),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM p JOIN s USING (r) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 50"""
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_chat, op3_sharding, op4_packing, op5_token_counts, op6_simhash, op7_repeats, op8_minhash,
-                                                 op9_sampled_pieces, op10_quality)}
-ORACLES: dict[str, str] = {"op1_warc": SQL_WARC, "op2_chat": SQL_CHAT}
+                                                 op9_sampled_pieces, op10_quality,
+                                                 op11_alignment, op12_neighbours, op13_lexical)}
+ORACLES: dict[str, str] = {"op1_warc": SQL_WARC, "op2_chat": SQL_CHAT, "op13_lexical": SQL_LEXICAL}
