@@ -4,24 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import FeatureHasher, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.kinds import FLOAT, INTEGER, kinds
 from tabloom.functions.small import small_frame
-from tabloom.operators.copula import (GROUP, CopulaModel, fit_copula, proportional_counts, sample_copula)
+from tabloom.operators.copula import GROUP, CopulaModel, fit_copula, proportional_counts, sample_copula
 from tabloom.operators.frequencies import class_counts
-from tabloom.operators.keyed_copula import KeyedModel, fit_keyed, sample_keyed, with_starts
-from tabloom.operators.numeric import numeric_facts
+from tabloom.operators.keyed_copula import KeyedModel, fit_keyed, jobs_of, sample_keyed, with_starts
+from tabloom.operators.modes import LEAST_ROWS, grouping
+from tabloom.operators.scarce import condition, sample_scarce
 from tabloom.session import materialize
 
 # Least number of real rows a class needs.
 MIN_CLASS_ROWS = 10
-CLUSTERS = 8
-#: Indicator columns that the categories of all text columns are hashed into for clustering.
-HASHED_CATEGORIES = 64
+#: A class with one in so many of the rows or more is large: at most this many classes are.
+LARGE_CLASSES = 100
 
 
 def allocation(df: DataFrame, target: str, n: int) -> DataFrame:
@@ -42,90 +39,122 @@ def balance_plan(classes: DataFrame, n: int) -> DataFrame:
         "value", (base + F.when(F.col("i") < F.lit(n) - base * F.col("k"), 1).otherwise(0)).alias("rows"))
 
 
-def class_plan(df: DataFrame, target: str, requested: dict[str, int]) -> DataFrame:
+def class_plan(df: DataFrame, target: str, requested: dict[str, int] | DataFrame) -> DataFrame:
     """Check a request against the real rows: (value, requested, real_examples, skipped). Only positive counts of the
-    request take part; a class with fewer than ten real rows is skipped."""
-    rows = [(str(v), int(n)) for v, n in requested.items() if n and n > 0]
-    wanted = small_frame(df.sparkSession, rows, "value string, requested long")
-    real = class_counts(df, target).where(F.col("value").isin(*[v for v, _ in rows]))
-    return F.broadcast(wanted).join(real, "value", "left").select(
+    request take part; a class with fewer than ten real rows is skipped. A request of any size is a table (value, requested)."""
+    if isinstance(requested, DataFrame):
+        wanted = requested.select(F.col("value").cast("string"), F.col("requested").cast("long")).where("requested > 0")
+    else:
+        rows = [(str(v), int(n)) for v, n in requested.items() if n and n > 0]
+        wanted = small_frame(df.sparkSession, rows, "value string, requested long")
+    return wanted.join(class_counts(df, target), "value", "left").select(
         "value", "requested", F.coalesce("n", F.lit(0)).alias("real_examples"),
         (F.coalesce("n", F.lit(0)) < MIN_CLASS_ROWS).alias("skipped"))
 
 
 @dataclass
-class Generated:
-    rows: DataFrame
-    model: CopulaModel | KeyedModel | None
-    strategy: str
-    skipped: list[dict]
+class ClassModels:
+    """The models behind rows generated by class: the large classes and the pool of scarce ones, and all others."""
+
+    numeric: list[str]
+    parts: list[CopulaModel | KeyedModel]
+
+    def median(self, column: str) -> float:
+        """Size-weighted median over the classes, used to fill gaps of whole-number columns."""
+        sizes = [sum(m.sizes.values()) if isinstance(m, CopulaModel) else m.size for m in self.parts]
+        return sum(n * m.median(column) for n, m in zip(sizes, self.parts)) / sum(sizes)
 
 
-def generate_per_class(df: DataFrame, columns: list[str], target: str, counts: dict[str, int], seed: int = 42) -> Generated:
-    """Exact row counts per class, each class from its own marginals and dependence (all fitted in one grouped job)."""
-    plan = class_plan(df, target, counts).collect()
-    skipped = [{"class_value": r["value"], "requested": r["requested"], "real_examples": r["real_examples"]}
-               for r in plan if r["skipped"]]
-    usable = {r["value"]: r["requested"] for r in plan if not r["skipped"]}
-    if not usable:
+@dataclass
+class Generated:
+    rows: DataFrame | None
+    model: CopulaModel | ClassModels | None
+    strategy: str
+    skipped: list[dict] | DataFrame
+
+
+def generate_per_class(df: DataFrame, columns: list[str], target: str, counts: dict[str, int] | DataFrame, seed: int = 42) -> Generated:
+    """Exact row counts per class, each class from its own marginals and dependence. ``counts`` of any number of classes is a table
+    (value, requested), and what was skipped is then a table too."""
+    plan = class_plan(df, target, counts)
+    if isinstance(counts, DataFrame):
+        plan = materialize(plan)
+        skipped = plan.where("skipped").select(F.col("value").alias("class_value"), "requested", "real_examples")
+    else:
+        rows = plan.collect()  # no more than were asked for
+        plan = small_frame(df.sparkSession, [tuple(r) for r in rows], "value string, requested long, real_examples long, skipped boolean")
+        skipped = [{"class_value": r["value"], "requested": r["requested"], "real_examples": r["real_examples"]} for r in rows if r["skipped"]]
+    usable = with_starts(plan.where(~F.col("skipped")).select("value", F.col("real_examples").alias("real"), F.col("requested").alias("rows")))
+    if usable.isEmpty():
         return Generated(None, None, "per_class", skipped)
-    key = F.col(f"`{target}`").cast("string")
-    model = fit_copula(df.where(key.isin(*usable)), [c for c in columns if c != target], group=key)
-    rows = sample_copula(df.sparkSession, model, usable, seed)
-    rows = rows.withColumn(target, F.col(GROUP).cast(df.schema[target].dataType)).drop(GROUP)
-    return Generated(rows.select("row_id", *columns), model, "per_class", skipped)
+    return _by_class(df, columns, target, usable, seed, "per_class", skipped)
 
 
 def generate_conditional(df: DataFrame, columns: list[str], target: str, n: int, seed: int = 42) -> Generated:
-    """Rows per class in proportion to the real shares. Classes with enough rows have their own model; the rest
-    share one pooled model. Plan and models are tables keyed by class; the driver holds neither."""
-    plan = with_starts(allocation(df, target, n))
+    """Rows per class in proportion to the real shares. Classes with enough rows have their own model; the others share one
+    that is conditioned on the class."""
+    return _by_class(df, columns, target, with_starts(allocation(df, target, n)), seed, "conditional", [])
+
+
+def _by_class(df: DataFrame, columns: list[str], target: str, plan: DataFrame, seed: int, strategy: str, skipped: list[dict] | DataFrame) -> Generated:
+    """Rows for each (value, real, rows, start) of ``plan``.
+
+    Large classes and the pool of all scarce ones are few, and fitted where their rows are. Every other class holds less than 1% of the
+    rows; plan and models of those are tables keyed by class. So the driver holds no list that grows with the classes.
+    """
+    spark, rest = df.sparkSession, "rest"
+    enough = F.col("real") >= MIN_CLASS_ROWS
     total = plan.agg(F.sum("real")).first()[0] or 0
-    # At most 100 classes can hold 1% each; their rows need no join.
-    hot = [r["value"] for r in plan.where((F.col("real") >= MIN_CLASS_ROWS) & (100 * F.col("real") >= total)).collect()]
+    large = {r["value"]: r for r in plan.where(enough & (LARGE_CLASSES * F.col("real") >= total)).collect()}
+    small = plan.where(~F.col("value").isin(*large))
+    size = small.agg(F.count_if(enough).alias("keyed"), F.count_if(~enough).alias("scarce")).first()
     key, others = F.col(f"`{target}`").cast("string"), [c for c in columns if c != target]
-    valued = df.where(key.isNotNull()).select(*[F.col(f"`{c}`") for c in others], key.alias("_value"))
-    own = plan.where(F.col("real") >= MIN_CLASS_ROWS).select(F.col("value").alias("_value"), F.lit(True).alias("_own"))
-    by_class = F.concat(F.lit("class:"), "_value")
-    common = valued.where(F.col("_value").isin(hot)).withColumn(GROUP, by_class)
-    scarce = valued.where(~F.col("_value").isin(hot)).join(own, "_value", "left").withColumn(GROUP, F.when(F.col("_own"), by_class).otherwise("rest"))
-    parts = [x.select(*[F.col(f"`{c}`") for c in others], GROUP) for x in (common, scarce)]
-    model = fit_keyed(materialize(parts[0].unionByName(parts[1])), others, ["rest", *(f"class:{v}" for v in hot)])
-    group = F.when(F.col("real") >= MIN_CLASS_ROWS, F.concat(F.lit("class:"), "value")).otherwise("rest")
-    rows = sample_keyed(model, plan.withColumn(GROUP, group), seed)
+    if not others:
+        ids = jobs_of(plan).select(F.explode(F.sequence("low", F.col("high") - 1)).alias("row_id"), F.col("value").cast(df.schema[target].dataType).alias(target))
+        return Generated(ids, ClassModels([], []), strategy, skipped)
+    names = [F.col(f"`{c}`") for c in others]
+    valued = df.where(key.isNotNull()).select(*names, key.alias("_value"))
+    fitted = valued.where(F.col("_value").isin(*large)).withColumn(GROUP, F.col("_value")) if large else None
+    if size["keyed"] or size["scarce"]:
+        # The join keeps the rows of planned classes alone; no class here has more than 1% of them.
+        found = materialize(valued.where(~F.col("_value").isin(*large)).join(small.select(F.col("value").alias("_value"), enough.alias("_own")), "_value"))
+        if size["scarce"]:
+            pool = found.where(~F.col("_own")).drop("_own").withColumn(GROUP, F.lit(rest))
+            fitted = pool if fitted is None else fitted.withColumn(GROUP, F.concat(F.lit("class:"), GROUP)).unionByName(pool)
+    parts, made = [], []
+    if fitted is not None:
+        model = fit_copula(fitted, others, F.col(GROUP))
+        parts.append(model)
+        if size["scarce"]:
+            means = condition(pool, model, rest)
+            made.append(sample_scarce(model, small.where(~enough), means, rest, seed))
+        if large:
+            models = {v: f"class:{v}" for v in large} if size["scarce"] else None
+            made.append(sample_copula(spark, model, {v: r["rows"] for v, r in large.items()}, seed, models, {v: r["start"] for v, r in large.items()}))
+    if size["keyed"]:
+        keyed = fit_keyed(found.where("_own").select(*names, F.col("_value").alias(GROUP)), others)
+        parts.append(keyed)
+        made.append(sample_keyed(keyed, small.where(enough).withColumn(GROUP, F.col("value")), seed))
+    rows = made[0]
+    for more in made[1:]:
+        rows = rows.unionByName(more)
     rows = rows.withColumn(target, F.col(GROUP).cast(df.schema[target].dataType)).drop(GROUP)
-    return Generated(rows.select("row_id", *columns), model, "conditional", [])
-
-
-def cluster_rows(df: DataFrame, columns: list[str], k: int = CLUSTERS, seed: int = 42) -> DataFrame:
-    """Add a cluster number: k-means on standardised numbers and hashed indicators of all categories."""
-    by_kind = kinds(df)
-    numeric = [c for c in columns if by_kind[c] in (INTEGER, FLOAT)]
-    facts = numeric_facts(df, numeric)
-    made = {}
-    for i, c in enumerate(numeric):
-        made[f"_f{i}"] = F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(facts[c].mean or 0.0))
-    texts = [c for c in columns if c not in numeric]
-    made |= {f"_g{i}": F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for i, c in enumerate(texts)}
-    if not made:
-        return df.withColumn("cluster", F.lit(0))
-    wide, parts = df.withColumns(made), [f"_f{i}" for i in range(len(numeric))]
-    if texts:
-        hasher = FeatureHasher(inputCols=[f"_g{i}" for i in range(len(texts))], outputCol="_h", numFeatures=HASHED_CATEGORIES)
-        wide, parts = hasher.transform(wide), [*parts, "_h"]
-    ready = VectorAssembler(inputCols=parts, outputCol="_raw").transform(wide).drop(*made, "_h")
-    scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True).fit(ready)
-    scaled = scaler.transform(ready)
-    model = KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="cluster", maxIter=10).fit(scaled)
-    return model.transform(scaled).drop("_raw", "_scaled")
-
-
-def generate_mixture(df: DataFrame, columns: list[str], n: int, k: int = CLUSTERS, seed: int = 42) -> Generated:
-    """A copula per cluster, which follows several modes and shapes a single copula cannot."""
-    clustered = materialize(cluster_rows(df.select(*[F.col(f"`{c}`") for c in columns]), columns, k, seed))
-    model = fit_copula(clustered, columns, group=F.col("cluster"))
+    return Generated(rows.select("row_id", *[F.col(f"`{c}`") for c in columns]), ClassModels(parts[0].numeric, parts), strategy, skipped)
+
+
+def generate_mixture(df: DataFrame, columns: list[str], n: int, seed: int = 42) -> Generated:
+    """A copula for each group of rows with the same modes, which follows several peaks and shapes a single copula cannot.
+
+    Groups with fewer than ``LEAST_ROWS`` rows share one model. At most ``modes.MOST_GROUPS`` groups reach the driver.
+    """
+    bare = df.select(*[F.col(f"`{c}`") for c in columns])
+    grouped = bare.withColumn("_modes", grouping(bare, columns))
+    sizes = grouped.groupBy("_modes").count().collect()
+    few = [r["_modes"] for r in sizes if r["count"] < LEAST_ROWS]
+    group = F.when(F.col("_modes").isin(*few), "rest").otherwise(F.concat(F.lit("modes:"), "_modes")) if few else F.col("_modes")
+    model = fit_copula(grouped, columns, group=group)
     rows = sample_copula(df.sparkSession, model, proportional_counts(model.sizes, n), seed).drop(GROUP)
-    return Generated(rows.select("row_id", *columns), model, "mixture", [])
+    return Generated(rows.select("row_id", *[F.col(f"`{c}`") for c in columns]), model, "mixture", [])
 
 
 def generate_pooled(df: DataFrame, columns: list[str], n: int, seed: int = 42) -> Generated:

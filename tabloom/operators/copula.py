@@ -22,28 +22,35 @@ from pyspark.sql import types as T
 
 from tabloom.functions import draws, gaussian
 from tabloom.functions.kinds import FLOAT, INTEGER, kinds
+from tabloom.functions.small import small_frame
+from tabloom.operators import tails
 from tabloom.operators.moments import pairwise_correlation
+from tabloom.operators.tails import GROUP
 from tabloom.session import working_copy
 
 GRID = 100
 ACCURACY = 10_000
 MIN_EIGENVALUE = 1e-8
-MAX_CATEGORIES = 100_000
-GROUP = "_group"
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass
 class Marginal:
-    """One column within one group. Numeric: ``grid`` of quantiles. Category: ``values`` with ``upper`` cumulative
-    shares. ``missing`` is the share of nulls."""
+    """One column within one group. Numeric: ``grid`` of quantiles. Category: frequent ``values`` with ``upper`` cumulative
+    shares; the share above them belongs to ``tail_values`` rare ones. ``missing`` is the share of nulls."""
 
     grid: list[float] = field(default_factory=list)
     values: list[str] = field(default_factory=list)
     upper: list[float] = field(default_factory=list)
+    tail_values: int = 0
     missing: float = 0.0
 
+    @property
+    def head(self) -> float:
+        """Share of the frequent values."""
+        return (self.upper[-1] if self.upper else 0.0) if self.tail_values else 1.0
+
     def knots(self) -> tuple[list[float], list[float]]:
         """Distinct grid values with the mean probability of each run of equal ones."""
         grid = np.asarray(self.grid)
@@ -64,6 +71,9 @@ class CopulaModel:
     sizes: dict[str, int]
     correlation: dict[str, np.ndarray] = field(default_factory=dict)
     factor: dict[str, np.ndarray] = field(default_factory=dict)
+    #: Categorical columns that have a tail in any group, and the values of the tails.
+    wide: list[str] = field(default_factory=list)
+    tails: DataFrame | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -83,44 +93,42 @@ def fit_marginals(df: DataFrame, numeric: list[str], categorical: list[str], exa
     """
     by_type = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     probs = [i / GRID for i in range(GRID + 1)]
-    sizes = {str(r[GROUP]): r["count"] for r in df.groupBy(GROUP).count().collect()}
-    groups: dict[str, dict[str, Marginal]] = {g: {c: Marginal() for c in numeric + categorical} for g in sizes}
-
-    aggs: list[Column] = []
+    aggs: list[Column] = [F.count(F.lit(1)).alias("size")]
     for i, c in enumerate(numeric):
         x = F.col(f"`{c}`").cast("double")
         grid = (F.percentile(x, F.array(*[F.lit(p) for p in probs])) if exact
                 else F.percentile_approx(x, probs, ACCURACY))
         aggs += [grid.alias(f"g{i}"), F.count(x).alias(f"n{i}")]
-    if aggs:
-        for r in df.groupBy(GROUP).agg(*aggs).collect():
-            for i, c in enumerate(numeric):
-                m = groups[str(r[GROUP])][c]
-                m.grid = list(r[f"g{i}"]) if r[f"n{i}"] else []
-                m.missing = 1 - r[f"n{i}"] / sizes[str(r[GROUP])]
-    if categorical:
-        _fit_categories(df, categorical, groups, sizes)
-    return CopulaModel(numeric, categorical, by_type, groups, sizes)
-
-
-def _fit_categories(df: DataFrame, categorical: list[str], groups: dict, sizes: dict[str, int]) -> None:
-    long = df.select(GROUP, *[F.col(f"`{c}`").cast("string").alias(c) for c in categorical]).unpivot(
-        [GROUP], categorical, "column", "value")
-    counts = long.where("value is not null").groupBy(GROUP, "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories in {categorical}: merge rare ones first (group_rare)")
-    found: dict[tuple[str, str], list[tuple[str, int]]] = {}
-    for r in rows:
-        found.setdefault((str(r[GROUP]), r["column"]), []).append((r["value"], r["n"]))
-    for (g, c), pairs in found.items():
-        groups[g][c] = category_marginal(pairs, sizes[g])
-
-
-def category_marginal(pairs: list[tuple[str, int]], size: int) -> Marginal:
+    aggs += [F.count(F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(categorical)]
+    found = {str(r[GROUP]): r for r in df.groupBy(GROUP).agg(*aggs).collect()}
+    sizes = {g: r["size"] for g, r in found.items()}
+    groups: dict[str, dict[str, Marginal]] = {g: {c: Marginal() for c in numeric + categorical} for g in sizes}
+    for g, r in found.items():
+        for i, c in enumerate(numeric):
+            groups[g][c] = Marginal(grid=list(r[f"g{i}"]) if r[f"n{i}"] else [], missing=1 - r[f"n{i}"] / sizes[g])
+    model = CopulaModel(numeric, categorical, by_type, groups, sizes)
+    present = [(g, c, r[f"c{i}"]) for g, r in found.items() for i, c in enumerate(categorical) if r[f"c{i}"]]
+    if present:
+        _fit_categories(df, model, small_frame(df.sparkSession, present, f"{GROUP} string, column string, present long"))
+    return model
+
+
+def _fit_categories(df: DataFrame, model: CopulaModel, present: DataFrame) -> None:
+    """Frequent values to the driver, at most ``tails.HEAD`` a group and column; a tail stays a table."""
+    counts, present = tails.category_counts(df, model.categorical), F.broadcast(present)
+    for r in tails.listed(counts, present).collect():
+        marginal = category_marginal([(p["value"], p["n"]) for p in r["pairs"]], model.sizes[str(r[GROUP])], r["tail_n"], r["tail_values"])
+        model.groups[str(r[GROUP])][r["column"]] = marginal
+    model.wide = [c for c in model.categorical if any(m[c].tail_values for m in model.groups.values())]
+    if model.wide:
+        model.tails = tails.tail_table(tails.category_counts(df, model.wide), present)
+
+
+def category_marginal(pairs: list[tuple[str, int]], size: int, tail_n: int = 0, tail_values: int = 0) -> Marginal:
     pairs = sorted(pairs, key=lambda p: (-p[1], p[0]))
-    total = sum(n for _, n in pairs)
-    return Marginal(values=[v for v, _ in pairs], upper=(np.cumsum([n for _, n in pairs]) / total).tolist(), missing=1 - total / size)
+    total = sum(n for _, n in pairs) + tail_n
+    return Marginal(values=[v for v, _ in pairs], upper=(np.cumsum([n for _, n in pairs]) / total).tolist(), tail_values=tail_values,
+                    missing=1 - total / size)
 
 
 class ScoreTask:
@@ -129,7 +137,8 @@ class ScoreTask:
     def __init__(self, model: CopulaModel):
         self.numeric, self.categorical = len(model.numeric), len(model.categorical)
         self.knots = {g: [m[c].knots() if m[c].grid else ([], []) for c in model.numeric] for g, m in model.groups.items()}
-        self.values = {g: [(m[c].values, m[c].middles()) for c in model.categorical] for g, m in model.groups.items()}
+        self.values = {g: [(m[c].values, m[c].middles(), m[c].head) for c in model.categorical] for g, m in model.groups.items()}
+        self.place = {model.categorical.index(c): self.numeric + self.categorical + i for i, c in enumerate(model.wide)}
 
     def __call__(self, group: str, table: pa.Table) -> np.ndarray:
         """Scores as a (rows, columns) matrix with NaN for nulls."""
@@ -138,17 +147,23 @@ class ScoreTask:
             if x:
                 raw = table.column(j).to_numpy(zero_copy_only=False)
                 units[:, j] = np.where(np.isnan(raw), np.nan, np.interp(raw, x, u))
-        for j, (values, middles) in enumerate(self.values[group], start=self.numeric):
+        for k, (values, middles, head) in enumerate(self.values[group]):
+            j = self.numeric + k
             if values:
                 place = pc.index_in(table.column(j), value_set=pa.array(values, pa.string()))
                 known = np.asarray(middles + [np.nan])
                 units[:, j] = known[place.fill_null(len(middles)).to_numpy(zero_copy_only=False)]
+            if head < 1:
+                rare = np.isnan(units[:, j]) & table.column(j).is_valid().to_numpy(zero_copy_only=False)
+                units[rare, j] = head + (1 - head) * table.column(self.place[k]).to_numpy(zero_copy_only=False)[rare]
         return gaussian.inverse_cdf(units)
 
 
-def score_input(df: DataFrame, model: CopulaModel) -> DataFrame:
+def score_input(df: DataFrame, model: CopulaModel, *more: Column) -> DataFrame:
+    """What ``ScoreTask`` reads: numbers, categories, and the place in the tail for columns that have one; then ``more`` columns."""
     return df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(model.numeric)],
-                     *[F.col(f"`{c}`").cast("string").alias(f"w{i}") for i, c in enumerate(model.categorical)], GROUP)
+                     *[F.col(f"`{c}`").cast("string").alias(f"w{i}") for i, c in enumerate(model.categorical)],
+                     *[tails.place_of(F.col(f"`{c}`").cast("string")).alias(f"h{i}") for i, c in enumerate(model.wide)], *more, GROUP)
 
 
 def fit_dependence(df: DataFrame, model: CopulaModel) -> CopulaModel:
@@ -175,7 +190,7 @@ def cholesky_factor(matrix: np.ndarray) -> np.ndarray:
 
 def fit_copula(df: DataFrame, columns: list[str], group: Column | None = None) -> CopulaModel:
     """Fit marginals and dependence of ``columns``, per ``group`` if given. Numeric columns get a quantile grid, all
-    others are categories."""
+    others are categories. The driver holds the grids and frequent values of every group, so groups must be few."""
     by_kind = kinds(df)
     numeric = [c for c in columns if by_kind[c] in (INTEGER, FLOAT)]
     categorical = [c for c in columns if c not in numeric]
@@ -186,31 +201,42 @@ def fit_copula(df: DataFrame, columns: list[str], group: Column | None = None) -
 
 
 class SampleTask:
-    """Task side of sampling: latent normals, dependence, then each column's inverse marginal."""
+    """Task side of sampling: latent normals, dependence, then each column's inverse marginal.
 
-    def __init__(self, model: CopulaModel, counts: dict[str, int], seed: int, models: dict[str, str] | None = None):
+    ``starts`` are the row ids at which the rows of each group begin; they follow each other if it is not given."""
+
+    def __init__(self, model: CopulaModel, counts: dict[str, int], seed: int, models: dict[str, str] | None = None,
+                 starts: dict[str, int] | None = None):
         self.groups = list(counts)
         self.model_of = {g: (models or {}).get(g, g) for g in counts}
         used = set(self.model_of.values())
         self.ends = np.cumsum(list(counts.values()))
+        self.shift = {g: starts[g] - (end - counts[g]) if starts else 0 for g, end in zip(counts, self.ends)}
         self.columns, self.numeric, self.seed = model.columns, len(model.numeric), seed
         self.factor = {g: model.factor[g] for g in used}
         self.marginals = {g: [model.groups[g][c] for c in self.columns] for g in used}
         self.gaps = {c for c in self.columns if any(model.groups[g][c].missing > 0 for g in used)}
+        self.wide = model.wide
 
     def __call__(self, batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            latent = np.column_stack([draws.array_normal(self.seed, f"latent:{k}", ids) for k in range(len(self.columns))])
             place = np.searchsorted(self.ends, ids, side="right")
             for g in np.unique(place):
-                rows = place == g
-                yield self._group_rows(self.groups[g], ids[rows], latent[rows])
+                name = self.groups[g]
+                mine = ids[place == g] + self.shift[name]
+                yield self.rows(name, mine, self.latent(mine))
+
+    def latent(self, ids: np.ndarray) -> np.ndarray:
+        return np.column_stack([draws.array_normal(self.seed, f"latent:{k}", ids) for k in range(len(self.columns))])
 
-    def _group_rows(self, group: str, ids: np.ndarray, latent: np.ndarray) -> pa.RecordBatch:
-        units = gaussian.cdf(latent @ self.factor[self.model_of[group]].T)
+    def rows(self, group: str, ids: np.ndarray, latent: np.ndarray, centers: np.ndarray | float = 0.0) -> pa.RecordBatch:
+        """Rows of one group; ``centers`` are the means of their scores."""
+        fitted = self.model_of[group]
+        units = gaussian.cdf(latent @ self.factor[fitted].T + centers)
         arrays = [pa.array(ids, pa.int64()), pa.array([group] * len(ids), pa.string())]
-        for j, (c, m) in enumerate(zip(self.columns, self.marginals[self.model_of[group]])):
+        tail: dict[str, list[pa.Array]] = {}
+        for j, (c, m) in enumerate(zip(self.columns, self.marginals[fitted])):
             u = units[:, j]
             empty = np.zeros(len(ids), bool)
             if c in self.gaps:
@@ -218,28 +244,48 @@ class SampleTask:
             if j < self.numeric:
                 x = np.interp(u, np.arange(GRID + 1) / GRID, m.grid) if m.grid else np.zeros(len(ids))
                 arrays.append(pa.array(x, pa.float64(), mask=empty | (not m.grid)))
-            elif m.values:
+                continue
+            rare = (u > m.head) & ~empty if m.tail_values else np.zeros(len(ids), bool)
+            if m.values:
                 at = np.minimum(np.searchsorted(m.upper, u, side="left"), len(m.values) - 1)
-                arrays.append(pa.DictionaryArray.from_arrays(pa.array(at, pa.int32(), mask=empty),
+                arrays.append(pa.DictionaryArray.from_arrays(pa.array(at, pa.int32(), mask=empty | rare),
                                                              pa.array(m.values, pa.string())).cast(pa.string()))
             else:
                 arrays.append(pa.nulls(len(ids), pa.string()))
-        return pa.RecordBatch.from_arrays(arrays, names=["row_id", GROUP, *self.columns])
+            if c in self.wide:
+                t = np.clip((u - m.head) / max(1 - m.head, 1e-12), 0, 1 - 2**-53)
+                cut = np.where(rare, np.floor(t * max(m.tail_values, 1)), -1 - ids % tails.IDLE).astype(np.int64)
+                tail[c] = [pa.array(t, pa.float64(), mask=~rare), pa.array(cut)]
+        names = ["row_id", GROUP, *self.columns]
+        if self.wide:
+            arrays += [pa.array([fitted] * len(ids), pa.string()), *(a for c in self.wide for a in tail[c])]
+            names += ["_fitted", *(f"{k}:{c}" for c in self.wide for k in ("_tail", "_slice"))]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def sample_schema(numeric: list[str], categorical: list[str], wide: list[str]) -> T.StructType:
+    return T.StructType(
+        [T.StructField("row_id", T.LongType()), T.StructField(GROUP, T.StringType())]
+        + [T.StructField(c, T.DoubleType()) for c in numeric] + [T.StructField(c, T.StringType()) for c in categorical]
+        + [T.StructField("_fitted", T.StringType())] * bool(wide)
+        + [f for c in wide for f in (T.StructField(f"_tail:{c}", T.DoubleType()), T.StructField(f"_slice:{c}", T.LongType()))])
+
+
+def finished(rows: DataFrame, model: CopulaModel) -> DataFrame:
+    """Sampled rows with their tail values and the types of the real columns."""
+    filled = tails.fill_tails(rows, model.tails, model.wide) if model.wide else rows
+    return filled.withColumns({c: F.col(f"`{c}`").cast(model.types[c]) for c in model.categorical})
 
 
 def sample_copula(spark: SparkSession, model: CopulaModel, counts: dict[str, int], seed: int = 42,
-                  models: dict[str, str] | None = None) -> DataFrame:
+                  models: dict[str, str] | None = None, starts: dict[str, int] | None = None) -> DataFrame:
     """Rows keyed by ``row_id`` with ``counts[group]`` rows per group; ``models`` names the fitted group that serves a
-    group without a model of its own. Every draw depends only on seed and row id, so
+    group without a model of its own, ``starts`` the first row id of each group. Every draw depends only on seed and row id, so
     the rows are the same under any partitioning and after any retry."""
     counts = {g: n for g, n in counts.items() if n > 0}
-    task = SampleTask(model, counts, seed, models)
-    schema = T.StructType(
-        [T.StructField("row_id", T.LongType()), T.StructField(GROUP, T.StringType())]
-        + [T.StructField(c, T.DoubleType()) for c in model.numeric]
-        + [T.StructField(c, T.StringType()) for c in model.categorical])
-    rows = spark.range(sum(counts.values())).mapInArrow(lambda batches: task(batches), schema)
-    return rows.withColumns({c: F.col(f"`{c}`").cast(model.types[c]) for c in model.categorical})
+    task = SampleTask(model, counts, seed, models, starts)
+    rows = spark.range(sum(counts.values())).mapInArrow(lambda batches: task(batches), sample_schema(model.numeric, model.categorical, model.wide))
+    return finished(rows, model)
 
 
 def proportional_counts(sizes: dict[str, int], n: int) -> dict[str, int]:

@@ -51,3 +51,16 @@ def dense_index(df: DataFrame, keys: list[str], within: str | None = None, name:
     pools = sizes.groupBy("_pool").agg(F.sum("_n").alias("size"))
     dropped = ["_digest", "_bucket", "_start", "_row", "_pool"]
     return numbered.drop(*dropped), pools.withColumnRenamed("_pool", within or "pool")
+
+
+def with_running_sum(df: DataFrame, order: list[str], amount: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``amount`` over all rows before a row in ``order``, which must be unique.
+
+    Rows are cut into ranges of the order; each range is summed alone and shifted by the sums of those before it.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    bases = ranged.groupBy("_part").agg(F.sum(amount).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn(name, F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(F.broadcast(bases), "_part").withColumn(
+        name, F.col(name) + F.col("_base")).drop("_part", "_base")

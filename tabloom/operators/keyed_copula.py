@@ -1,30 +1,32 @@
 """Copulas of any number of groups: plan, grids, category shares and factors stay tables keyed by group.
 
 The parameters of a group reach the rows they belong to by the same hash partition, sorted in front of them, so a
-task holds one group at a time and the driver none. Rows of large groups are dealt over ``SALTS`` seats, each with its copy of
-the parameters. Only sums of products leave the tasks of the fit; they are factorised group by group.
+task holds one group at a time and the driver none. It serves groups that hold a small share of the rows each; the few
+large ones are fitted without a shuffle by ``copula``. Only sums of products leave the tasks of the fit.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabloom.functions import draws
 from tabloom.functions.kinds import FLOAT, INTEGER, kinds
-from tabloom.operators.copula import ACCURACY, GRID, GROUP, CopulaModel, Marginal, SampleTask, ScoreTask, category_marginal, cholesky_factor, score_input
+from tabloom.operators import tails
+from tabloom.operators.copula import (ACCURACY, GRID, GROUP, CopulaModel, Marginal, SampleTask, ScoreTask, category_marginal, cholesky_factor, finished,
+                                      sample_schema, score_input)
+from tabloom.operators.indexing import with_running_sum
 from tabloom.operators.moments import MomentTask
 from tabloom.session import materialize
 
+#: Seats that the generated rows of a group with many of them are dealt over.
 SALTS = 64
 #: Generated rows that a task holds at once.
 CHUNK = 10_000
@@ -40,6 +42,12 @@ class KeyedModel:
     categorical: list[str]
     types: dict[str, str]
     table: DataFrame
+    wide: list[str] = field(default_factory=list)
+    tails: DataFrame | None = None
+
+    @cached_property
+    def size(self) -> int:
+        return self.table.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
     @cached_property
     def _medians(self) -> dict[str, float]:
@@ -51,15 +59,15 @@ class KeyedModel:
         return self._medians[column]
 
 
-def one_group(params: dict, numeric: list[str], categorical: list[str]) -> CopulaModel:
+def one_group(params: dict, numeric: list[str], categorical: list[str], wide: list[str]) -> CopulaModel:
     """The model of a single group, in a task."""
     name, size = params["name"], params["size"]
     found = {c: Marginal() for c in numeric + categorical}
     for c, grid, n in zip(numeric, params["grids"], params["present"]):
         found[c] = Marginal(grid=grid if n else [], missing=1 - n / size)
     for entry in params["shares"] or []:
-        found[entry["column"]] = category_marginal([(p["value"], p["n"]) for p in entry["pairs"]], size)
-    model = CopulaModel(numeric, categorical, {}, {name: found}, {name: size})
+        found[entry["column"]] = category_marginal([(p["value"], p["n"]) for p in entry["pairs"]], size, entry["tail_n"], entry["tail_values"])
+    model = CopulaModel(numeric, categorical, {}, {name: found}, {name: size}, wide=wide)
     if params.get("factor"):
         model.factor[name] = np.array(params["factor"]).reshape(len(found), len(found))
     return model
@@ -94,8 +102,8 @@ def correlation(sums: np.ndarray) -> np.ndarray:
     return upper + upper.T + np.eye(len(n))
 
 
-def fit_keyed(rows: DataFrame, columns: list[str], large: list[str]) -> KeyedModel:
-    """Fit ``columns`` per GROUP. ``large`` names the groups whose rows are spread over many tasks."""
+def fit_keyed(rows: DataFrame, columns: list[str]) -> KeyedModel:
+    """Fit ``columns`` per GROUP; a group's rows are brought to one task."""
     by_kind = kinds(rows)
     numeric = [c for c in columns if by_kind[c] in (INTEGER, FLOAT)]
     categorical = [c for c in columns if c not in numeric]
@@ -104,88 +112,96 @@ def fit_keyed(rows: DataFrame, columns: list[str], large: list[str]) -> KeyedMod
 
     numbers = [F.col(f"`{c}`").cast("double") for c in numeric]
     grids = rows.groupBy(GROUP).agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(x, probs, ACCURACY).alias(f"g{i}") for i, x in enumerate(numbers)],
-                                    *[F.count(x).alias(f"n{i}") for i, x in enumerate(numbers)])
-    shares = "array<struct<column: string, pairs: array<struct<value: string, n: bigint>>>>"
+                                    *[F.count(x).alias(f"n{i}") for i, x in enumerate(numbers)], *[F.count(F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(categorical)])
+    shares, present = "array<struct<column: string, pairs: array<struct<value: string, n: bigint>>, tail_n: bigint, tail_values: bigint>>", None
     if categorical:
-        long = rows.select(GROUP, *[F.col(f"`{c}`").cast("string").alias(c) for c in categorical]).unpivot([GROUP], categorical, "column", "value")
-        counts = long.where("value IS NOT NULL").groupBy(GROUP, "column", "value").agg(F.count(F.lit(1)).alias("n"))
-        pairs = counts.groupBy(GROUP, "column").agg(F.collect_list(F.struct("value", "n")).alias("pairs"))
-        grids = grids.join(pairs.groupBy(GROUP).agg(F.collect_list(F.struct("column", "pairs")).alias("shares")), GROUP, "left")
+        grids = materialize(grids)
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("present")) for i, c in enumerate(categorical)]))
+        present = grids.select(GROUP, each.alias("each")).select(GROUP, "each.*")
+        lists = tails.listed(tails.category_counts(rows, categorical), present)
+        grids = grids.join(lists.groupBy(GROUP).agg(F.collect_list(F.struct("column", "pairs", "tail_n", "tail_values")).alias("shares")), GROUP, "left")
     else:
         grids = grids.withColumn("shares", F.lit(None))
     parts = [F.col(GROUP).alias("name"), F.col("size"), F.array(*[f"g{i}" for i in range(len(numeric))]).cast("array<array<double>>").alias("grids"),
              F.array(*[f"n{i}" for i in range(len(numeric))]).cast("array<bigint>").alias("present"), F.col("shares").cast(shares).alias("shares")]
     marginals = materialize(grids.select(GROUP, "size", F.struct(*parts).alias("params")))
-
     model = CopulaModel(numeric, categorical, types, {}, {})
-    inputs = score_input(rows, model)
-    spread = F.col(GROUP).isin(large)
-    salted = inputs.withColumn("_salt", F.when(spread, F.monotonically_increasing_id() % SALTS).otherwise(0).cast("int"))
-    seats = marginals.select(GROUP, F.explode(F.when(spread, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    if categorical:
+        entries = marginals.select(F.explode("params.shares").alias("entry")).where("entry.tail_values > 0")
+        tailed = {r[0] for r in entries.select("entry.column").distinct().collect()}
+        model.wide = [c for c in categorical if c in tailed]
+        if model.wide:
+            model.tails = tails.tail_table(tails.category_counts(rows, model.wide), present)
+
+    salted = score_input(rows, model).withColumn("_salt", F.lit(0))
+    seats = marginals.select(GROUP, F.lit(0).alias("_salt"))
+    wide = model.wide
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, score, sums = None, None, None
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([sums.tobytes()], pa.binary())], [GROUP, "sums"])
+
+        def row() -> pa.RecordBatch:
+            factor = cholesky_factor(correlation(sums)).ravel()
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([factor.tolist()], pa.list_(pa.float64()))], [GROUP, "factor"])
+
         for params, batch in by_params(batches):
             if params is not None:
                 if name is not None:
                     yield row()
-                name, score, sums = params["name"], ScoreTask(one_group(params, numeric, categorical)), np.zeros((6, width, width))
+                name, score, sums = params["name"], ScoreTask(one_group(params, numeric, categorical, wide)), np.zeros((6, width, width))
             if batch.num_rows:
                 sums += MomentTask._sums(score(name, pa.Table.from_batches([batch.select(batch.schema.names[3:])])))
         if name is not None:
             yield row()
 
-    def factorised(table: pa.Table) -> pa.Table:
-        sums = sum(np.frombuffer(x.as_py()).reshape(6, width, width) for x in table.column("sums"))
-        factor = cholesky_factor(correlation(sums))
-        return pa.table({GROUP: table.column(GROUP).combine_chunks()[:1], "factor": pa.array([factor.ravel().tolist()], pa.list_(pa.float64()))})
-
-    sums = beside_params(salted, marginals, seats).mapInArrow(summed, f"{GROUP} string, sums binary")
-    factors = sums.groupBy(GROUP).applyInArrow(factorised, f"{GROUP} string, factor array<double>")
-    table = marginals.join(factors, GROUP).withColumn("params", F.col("params").withField("factor", F.col("factor"))).drop("factor")
-    return KeyedModel(numeric, categorical, types, materialize(table))
+    found = beside_params(salted, marginals, seats).mapInArrow(factors, f"{GROUP} string, factor array<double>")
+    table = marginals.join(found, GROUP).withColumn("params", F.col("params").withField("factor", F.col("factor"))).drop("factor")
+    return KeyedModel(numeric, categorical, types, materialize(table), model.wide, model.tails)
 
 
 def with_starts(plan: DataFrame) -> DataFrame:
-    """Add ``start``: the sum of ``rows`` of all smaller values. Ranges of values are summed alone and shifted by those before."""
-    ranged = materialize(plan.repartitionByRange("value").withColumn("_part", F.spark_partition_id()))
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
-    bases = ranged.groupBy("_part").agg(F.sum("rows").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return materialize(ranged.withColumn("start", F.coalesce(F.sum("rows").over(inside), F.lit(0))).join(F.broadcast(bases), "_part")
-                       .withColumn("start", F.col("start") + F.col("_base")).drop("_part", "_base"))
+    """Add ``start``: the sum of ``rows`` of all smaller values."""
+    return materialize(with_running_sum(plan, ["value"], "rows", "start"))
+
+
+def jobs_of(plan: DataFrame, *more: Column | str) -> DataFrame:
+    """Ranges of row ids (value, low, high), of ``CHUNK`` rows at most, for each (value, rows, start) of ``plan``; and the seat of a range."""
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK)))
+    return plan.where("rows > 0").select("*", chunk.alias("_k")).select(
+        *more, F.pmod(F.when(F.col("rows") > CHUNK, F.col("_k")).otherwise(F.xxhash64("value")), F.lit(SALTS)).cast("int").alias("_salt"), "value",
+        (F.col("start") + F.col("_k") * CHUNK).alias("low"), F.least(F.col("start") + F.col("rows"), F.col("start") + (F.col("_k") + 1) * CHUNK).alias("high"))
+
+
+def ids_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row ids of the jobs in ``batch`` and the place of each id's job, ``CHUNK`` ids or one job at a time."""
+    low, high = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("low", "high"))
+    at = 0
+    while at < batch.num_rows:
+        sizes = high[at:] - low[at:]
+        end = at + max(1, int(np.searchsorted(np.cumsum(sizes), CHUNK, side="right")))
+        sizes = sizes[:end - at]
+        yield np.repeat(low[at:end] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum())), np.repeat(np.arange(at, end), sizes)
+        at = end
+
+
+def named(batch: pa.RecordBatch, values: pa.Array, place: np.ndarray) -> pa.RecordBatch:
+    """Generated rows with the value of their job as GROUP."""
+    return pa.RecordBatch.from_arrays([batch.column(0), values.take(pa.array(place)), *batch.columns[2:]], names=batch.schema.names)
 
 
 def sample_keyed(model: KeyedModel, plan: DataFrame, seed: int = 42) -> DataFrame:
     """Rows keyed by ``row_id`` for each (value, rows, start) of ``plan``, from the model of its GROUP, with the value as GROUP.
     Every draw depends only on seed and row id."""
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK)))
-    jobs = plan.select("*", chunk.alias("_k")).select(
-        GROUP, F.pmod(F.when(F.col("rows") > CHUNK, F.col("_k")).otherwise(F.xxhash64("value")), F.lit(SALTS)).cast("int").alias("_salt"), "value",
-        (F.col("start") + F.col("_k") * CHUNK).alias("low"), F.least(F.col("start") + F.col("rows"), F.col("start") + (F.col("_k") + 1) * CHUNK).alias("high"))
-    numeric, categorical, types = model.numeric, model.categorical, model.types
-    columns = numeric + categorical
+    numeric, categorical, wide = model.numeric, model.categorical, model.wide
+    jobs = jobs_of(plan, GROUP)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, task = None, None
         for params, batch in by_params(batches):
             if params is not None:
-                name, task = params["name"], SampleTask(one_group(params, numeric, categorical), {params["name"]: 1}, seed)
-            values, low, high = batch.column("value"), batch.column("low").to_numpy(zero_copy_only=False), batch.column("high").to_numpy(zero_copy_only=False)
-            at = 0
-            while at < batch.num_rows:
-                sizes = (high[at:] - low[at:]).astype(np.int64)
-                end = at + max(1, int(np.searchsorted(np.cumsum(sizes), CHUNK, side="right")))
-                sizes = sizes[:end - at]
-                ids = np.repeat(low[at:end].astype(np.int64) - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-                latent = np.column_stack([draws.array_normal(seed, f"latent:{k}", ids) for k in range(len(columns))])
-                out = task._group_rows(name, ids, latent)
-                whose = values.take(pa.array(np.repeat(np.arange(at, end), sizes)))
-                yield pa.RecordBatch.from_arrays([out.column(0), whose, *out.columns[2:]], names=out.schema.names)
-                at = end
-
-    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField(GROUP, T.StringType())]
-                          + [T.StructField(c, T.DoubleType()) for c in numeric] + [T.StructField(c, T.StringType()) for c in categorical])
-    rows = beside_params(jobs, model.table, jobs.select(GROUP, "_salt").distinct()).mapInArrow(made, schema)
-    return rows.withColumns({c: F.col(f"`{c}`").cast(types[c]) for c in categorical})
+                name, task = params["name"], SampleTask(one_group(params, numeric, categorical, wide), {params["name"]: 1}, seed)
+            for ids, place in ids_of(batch):
+                yield named(task.rows(name, ids, task.latent(ids)), batch.column("value"), place)
+
+    rows = beside_params(jobs, model.table, jobs.select(GROUP, "_salt").distinct()).mapInArrow(made, sample_schema(numeric, categorical, wide))
+    return finished(rows, model)

@@ -135,9 +135,14 @@ def per_class_generate(spark, folder):
     return classes.generate_per_class(rows, MODELLED, "big", {"0": half, "1": half}, SEED).rows
 
 
+def _near(made, real, tolerance):
+    """The real number if the generated one is within the tolerance of it, else the generated one."""
+    return float(real) if made is not None and abs(made - real) <= tolerance else made
+
+
 def _properties(method: str, real, made, columns: list[str], pair: tuple[str, str]):
-    """Per column: number of rows, whether all lie in the real range, and whether the quartiles are within 5% of that range;
-    and whether the correlation of ``pair`` is kept within 0.1."""
+    """Per column: number of rows, whether all lie in the real range, the quartiles (the real ones if those of the rows are within
+    5% of the range of them) and the correlation of ``pair`` (the real one if that of the rows is within 0.1 of it)."""
     def facts(df):
         return df.agg(F.count(F.lit(1)).alias("n"), F.corr(*pair).alias("r"), *[
             f for i, c in enumerate(columns) for f in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"q{i}"))]).first()
@@ -146,32 +151,35 @@ def _properties(method: str, real, made, columns: list[str], pair: tuple[str, st
     rows = []
     for i, c in enumerate(columns):
         width = float(a[f"hi{i}"]) - float(a[f"lo{i}"])
-        close = all(abs(float(x) - float(y)) <= 0.05 * width for x, y in zip(a[f"q{i}"], b[f"q{i}"]))
-        rows.append((method, c, b["n"], bool(a[f"lo{i}"] <= b[f"lo{i}"] and b[f"hi{i}"] <= a[f"hi{i}"]), close, abs(a["r"] - b["r"]) <= 0.1))
-    return small_frame(real.sparkSession, rows, "method string, column string, n long, inside boolean, quartiles_close boolean, correlation_close boolean")
+        quartiles = [round(_near(float(y), float(x), 0.05 * width), 2) for x, y in zip(a[f"q{i}"], b[f"q{i}"])]
+        rows.append((method, c, b["n"], bool(a[f"lo{i}"] <= b[f"lo{i}"] and b[f"hi{i}"] <= a[f"hi{i}"]), *quartiles, round(_near(b["r"], a["r"], 0.1), 6)))
+    return small_frame(real.sparkSession, rows, "method string, column string, n long, inside boolean, q1 double, q2 double, q3 double, r double")
 
 
 _CHECKED = ["l_quantity", "l_extendedprice", "rev"]
-_TRUE_SQL = """SELECT '{method}' AS method, unnest(['l_quantity', 'l_extendedprice', 'rev']) AS "column", (SELECT count(*) FROM lineitem) AS n,
-    true AS inside, true AS quartiles_close, true AS correlation_close"""
 
 
-@BOOK.add("copula_sample_properties", _TRUE_SQL.format(method="pooled"))
+def _real_sql(method: str) -> str:
+    return union_sql([f"""SELECT '{method}' AS method, '{c}' AS "column", count(*) AS n, true AS inside, {', '.join(f'round(quantile_cont({c}, {p}), 2)::DOUBLE AS q{k}' for k, p in ((1, 0.25), (2, 0.5), (3, 0.75)))},
+        round(corr(l_extendedprice, rev), 6) AS r FROM {SALES}""" for c in _CHECKED])
+
+
+@BOOK.add("copula_sample_properties", _real_sql("pooled"))
 def copula_sample_properties(spark, folder):
     return _properties("pooled", sales(spark, folder), copula_sample(spark, folder), _CHECKED, ("l_extendedprice", "rev"))
 
 
-@BOOK.add("mixture_properties", _TRUE_SQL.format(method="mixture"))
+@BOOK.add("mixture_properties", _real_sql("mixture"))
 def mixture_properties(spark, folder):
     return _properties("mixture", sales(spark, folder), mixture_copula(spark, folder), _CHECKED, ("l_extendedprice", "rev"))
 
 
-@BOOK.add("conditional_properties", _TRUE_SQL.format(method="conditional"))
+@BOOK.add("conditional_properties", _real_sql("conditional"))
 def conditional_properties(spark, folder):
     return _properties("conditional", sales(spark, folder), conditional_sample(spark, folder), _CHECKED, ("l_extendedprice", "rev"))
 
 
-@BOOK.add("per_class_properties", _TRUE_SQL.format(method="per class"))
+@BOOK.add("per_class_properties", _real_sql("per class"))
 def per_class_properties(spark, folder):
     """As many rows of each class as there are real ones."""
     rows = sales(spark, folder)
@@ -179,6 +187,82 @@ def per_class_properties(spark, folder):
     return _properties("per class", rows, classes.generate_per_class(rows, MODELLED, "big", real, SEED).rows, _CHECKED, ("l_extendedprice", "rev"))
 
 
+def _items(spark, folder):
+    """Sales with a text column of nearly as many values as rows; the first line of an order has a value that all share."""
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price_cents")
+    return sales(spark, folder).withColumn("item", F.when(F.col("l_linenumber") > 1, line).otherwise("first"))
+
+
+_ITEMS = f"""(SELECT *, CASE WHEN l_linenumber > 1 THEN concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, price_cents) ELSE 'first' END AS item FROM {SALES})"""
+
+
+@BOOK.add("copula_many_categories", f"""WITH c AS (SELECT item, count(*) AS k, sum(count(*)) OVER () AS n FROM {_ITEMS} GROUP BY item)
+    SELECT max(n)::BIGINT AS "rows", max(n)::BIGINT AS known, round(max(k / n) FILTER (item = 'first'), 6) AS first_share,
+        round(sum(1 - pow(1 - k / n, n)), 4) AS different FROM c""")
+def copula_many_categories(spark, folder):
+    """As many rows as there are real ones: only known values, the frequent one with its share (within 0.01), and as many different
+    ones as draws with the real shares give on average (within 1%)."""
+    real = _items(spark, folder)
+    made = classes.generate_pooled(real, ["item", "l_quantity"], real.count(), SEED).rows
+    counts = real.groupBy("item").agg(F.count(F.lit(1)).alias("k"))
+    n = real.count()
+    want = counts.agg(F.max(F.when(F.col("item") == "first", F.col("k") / n)), F.sum(1 - F.pow(1 - F.col("k") / n, F.lit(n)))).first()
+    drawn = made.groupBy("item").agg(F.count(F.lit(1)).alias("m")).join(counts, "item", "left")
+    got = drawn.agg(F.sum("m"), F.sum(F.when(F.col("k").isNotNull(), F.col("m"))), F.max(F.when(F.col("item") == "first", F.col("m"))), F.count(F.lit(1))).first()
+    row = (got[0], got[1], round(_near(got[2] / n, want[0], 0.01), 6), round(_near(got[3], want[1], 0.01 * want[1]), 4))
+    return small_frame(spark, [row], "rows long, known long, first_share double, different double")
+
+
+@BOOK.add("per_class_many_categories", f"""SELECT big, count(*) AS n, count(*) AS known FROM {_ITEMS} GROUP BY big""")
+def per_class_many_categories(spark, folder):
+    """Requested as a table. Every generated value is one of its own class."""
+    real = _items(spark, folder)
+    wanted = real.groupBy(F.col("big").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("requested"))
+    made = classes.generate_per_class(real, ["item", "l_quantity", "big"], "big", wanted, SEED).rows
+    return made.join(real.select("big", "item", F.lit(1).alias("one")).distinct(), ["big", "item"], "left").groupBy("big").agg(
+        F.count(F.lit(1)).alias("n"), F.count("one").alias("known"))
+
+
+@BOOK.add("conditional_scarce_classes", """WITH c AS (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY 1 HAVING count(*) < 10),
+    r AS (SELECT c.*, greatest(1, round_even(200000 * (n / (SELECT count(*) FROM orders)), 0))::BIGINT AS "rows" FROM c)
+    SELECT count(*) AS classes, sum("rows")::BIGINT AS "rows", round(avg(abs(m - (SELECT avg(o_totalprice) FROM orders JOIN c USING (o_custkey)))), 2) AS pooled_error, true AS closer,
+        true AS ordered FROM r""")
+def conditional_scarce_classes(spark, folder):
+    """Customers with fewer than ten orders: the mean error of the class means if all had the pooled mean, whether that of the generated
+    rows is less than half of it, and whether generated and real means correlate by 0.9."""
+    orders = table(spark, folder, "orders").select("o_totalprice", "o_orderpriority", "o_custkey")
+    made = classes.generate_conditional(orders, ["o_totalprice", "o_orderpriority", "o_custkey"], "o_custkey", 200_000, SEED).rows
+    real = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("m"), F.sum("o_totalprice").alias("s")).where("n < 10")
+    got = made.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("rows"), F.avg("o_totalprice").alias("made"))
+    both = real.join(got, "o_custkey").crossJoin(F.broadcast(real.agg((F.sum("s") / F.sum("n")).alias("pooled"))))
+    pooled, mine = F.avg(F.abs(F.col("m") - F.col("pooled"))), F.avg(F.abs(F.col("m") - F.col("made")))
+    return both.agg(F.count(F.lit(1)).alias("classes"), F.sum("rows").alias("rows"), F.round(pooled, 2).alias("pooled_error"), (mine < pooled / 2).alias("closer"),
+                    (F.corr("m", "made") > 0.9).alias("ordered"))
+
+
+_PEAKS = f"(SELECT l_linenumber % 2 AS side, l_extendedprice + 400000 * (l_linenumber % 2) AS x, (1 - 2 * (l_linenumber % 2)) * rev AS y FROM {SALES})"
+
+
+@BOOK.add("mixture_two_peaks", f"""SELECT (x >= 300000)::INTEGER AS upper, count(*) AS n, round(quantile_cont(x, 0.1), 4) AS low, round(quantile_cont(x, 0.9), 4) AS high,
+    round(corr(x, y), 6) AS r, 0::BIGINT AS between FROM {_PEAKS} GROUP BY 1""")
+def mixture_two_peaks(spark, folder):
+    """A column with two peaks whose dependence on another turns from one to the other: both keep their size, width (within 5%) and
+    correlation (within 0.1), and nothing lies between them."""
+    rows = sales(spark, folder)
+    side = F.col("l_linenumber") % 2
+    real = rows.select((F.col("l_extendedprice") + 400000 * side).alias("x"), ((1 - 2 * side) * F.col("rev")).alias("y"))
+    made = classes.generate_mixture(real, ["x", "y"], rows.count(), seed=SEED).rows
+    ends = real.agg(F.max(F.when(F.col("x") < 300000, F.col("x"))), F.min(F.when(F.col("x") >= 300000, F.col("x")))).first()
+    facts = [F.count(F.lit(1)).alias("n"), F.percentile("x", F.array(F.lit(0.1), F.lit(0.9))).alias("q"), F.corr("x", "y").alias("r"),
+             F.count_if((F.col("x") > ends[0]) & (F.col("x") < ends[1])).alias("between")]
+    want, got = ({r["upper"]: r for r in d.groupBy((F.col("x") >= 300000).cast("int").alias("upper")).agg(*facts).collect()} for d in (real, made))
+    out = []
+    for side, w in want.items():
+        g, width = got[side], w["q"][1] - w["q"][0]
+        out.append((side, g["n"], *(round(_near(a, b, 0.05 * width), 4) for a, b in zip(g["q"], w["q"])), round(_near(g["r"], w["r"], 0.1), 6), g["between"]))
+    return small_frame(spark, out, "upper int, n long, low double, high double, r double, between long")
+
+
 @BOOK.add("generate_rows_properties", """SELECT (SELECT count(*) FROM orders) AS n, true AS prices_inside, true AS known_status, true AS known_priority""")
 def generate_rows_properties(spark, folder):
     """The whole run: as many rows as asked for, prices within the real range, no category of its own."""

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tabloom.functions import draws, gaussian
-from tabloom.operators import classes, copula, scoring, transforms
+from tabloom.operators import classes, copula, indexing, modes, scoring, tails, transforms
 from tabloom.operators.fixes import Fix, apply_fixes
 from tabloom.operators.indexing import dense_index, with_row_key
 from tabloom.operators.numeric import Facts, numeric_facts
@@ -93,7 +93,6 @@ def test_conditional_gives_small_classes_their_rows(spark):
 
 
 def test_conditional_keeps_classes_off_the_driver(spark, monkeypatch):
-    monkeypatch.setattr(copula, "MAX_CATEGORIES", 500)
     df = spark.range(3000).selectExpr("IF(id % 50 = 0, NULL, pow(id % 97, 2) + id % 7) AS x", "concat('t', id % 13) AS t", "id % 97 AS y", "IF(id < 1200, 7, IF(id < 2900, id % 120, id)) AS c")
     plan = {r["value"]: (r["real"], r["rows"]) for r in classes.allocation(df, "c", 30_000).orderBy("value").collect()}
     kind, most = type(df), []
@@ -105,12 +104,114 @@ def test_conditional_keeps_classes_off_the_driver(spark, monkeypatch):
     got = made.rows.orderBy("row_id").toPandas()
 
     own = [v for v, (real, _) in plan.items() if real >= classes.MIN_CLASS_ROWS]
-    group = F.when(F.col("c").cast("string").isin(own), F.concat(F.lit("class:"), F.col("c").cast("string"))).otherwise("rest")
-    model = copula.fit_copula(df, ["x", "t", "y"], group)
-    want = copula.sample_copula(spark, model, {v: m for v, (_, m) in plan.items()}, 42, {v: f"class:{v}" if v in own else "rest" for v in plan}).orderBy("row_id").toPandas()
+    key = F.col("c").cast("string")
+    model = copula.fit_copula(df.where(key.isin(own)), ["x", "t", "y"], key)
+    starts = dict(zip(plan, np.cumsum([0, *(m for _, m in plan.values())]).tolist()))
+    want = copula.sample_copula(spark, model, {v: plan[v][1] for v in own}, 42, starts=starts).orderBy("row_id").toPandas()
+    assert got["c"].astype(str).value_counts().to_dict() == {v: m for v, (_, m) in plan.items()} and list(got["row_id"]) == list(range(len(got)))
+    got = got[got["c"].astype(str).isin(own)].reset_index()
     assert list(got["row_id"]) == list(want["row_id"]) and list(got["c"].astype(str)) == list(want[copula.GROUP])
     assert all(np.allclose(got[k], want[k], equal_nan=True) for k in ("x", "y")) and list(got["t"]) == list(want["t"])
-    assert abs(made.model.median("x") - model.median("x")) < 1e-9
+
+
+def test_scarce_classes_keep_their_place(spark):
+    """Classes of five rows each with means far apart; two columns that follow them, one against the other."""
+    df = spark.range(1000).selectExpr("id AS k", "cast(id % 200 AS string) AS c", "(id % 200) * 10D + id % 5 AS x", "5000 - (id % 200) * 20D + (id * 7) % 11 AS y", "concat('v', id % 3) AS t")
+    made = classes.generate_conditional(df, ["x", "y", "t", "c"], "c", 20_000)
+    means = [F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")]
+    real, got = (d.groupBy("c").agg(*means).toPandas().set_index("c").sort_index() for d in (df, made.rows))
+    assert list(got["n"]) == [100] * 200
+    for k in "xy":
+        assert np.corrcoef(real[k], got[k])[0, 1] > 0.99
+        assert abs(got[k] - real[k]).mean() < 0.1 * abs(real[k] - real[k].mean()).mean()
+    again = classes.generate_conditional(df.repartition(5), ["x", "y", "t", "c"], "c", 20_000).rows.orderBy("row_id").toPandas()
+    first = made.rows.orderBy("row_id").toPandas()
+    assert all(np.allclose(first[k], again[k]) for k in "xy") and list(first["c"]) == list(again["c"]) and list(first["t"]) == list(again["t"])
+
+
+def test_a_class_alone(spark):
+    df = spark.range(40).selectExpr("IF(id < 30, 'a', concat('b', id)) AS c")
+    rows = classes.generate_conditional(df, ["c"], "c", 400).rows
+    assert {r["c"]: r["count"] for r in rows.groupBy("c").count().collect()} == {"a": 300} | {f"b{i}": 10 for i in range(30, 40)}
+
+
+@pytest.fixture
+def short_head(monkeypatch):
+    monkeypatch.setattr(tails, "HEAD", 8)
+
+
+def _shares(df, column):
+    n = df.where(f"{column} IS NOT NULL").count()
+    return {r[0]: r["count"] / n for r in df.where(f"{column} IS NOT NULL").groupBy(column).count().collect()}
+
+
+def test_tail_values_keep_their_shares(spark, short_head):
+    """One value has half of the rows, 39 rare ones have shares from 1 to 39 parts, a twentieth is missing."""
+    df = spark.range(20_000).selectExpr("id * 1.0 AS x", "CASE WHEN id % 20 = 0 THEN NULL WHEN id % 2 = 0 THEN 'hot' ELSE concat('v', floor(sqrt(id % 1600))) END AS v")
+    model = copula.fit_copula(df, ["x", "v"])
+    assert model.groups[""]["v"].values == ["hot"] and model.groups[""]["v"].tail_values == 39 and model.wide == ["v"]
+    made = classes.generate_pooled(df, ["x", "v"], 40_000).rows
+    assert made.count() == 40_000 and made.select("row_id").distinct().count() == 40_000
+    assert abs(made.where("v IS NULL").count() / 40_000 - 0.05) < 0.005
+    real, got = _shares(df, "v"), _shares(made, "v")
+    assert set(got) == set(real) and max(abs(real[v] - got[v]) for v in real) < 0.012
+
+
+def test_tails_of_many_classes(spark, short_head):
+    """Every class has values of its own, by each of the three ways a class is modelled."""
+    df = spark.range(6000).selectExpr("id % 7 * 1.0 AS x", "CASE WHEN id < 3000 THEN 'big' WHEN id < 5900 THEN concat('m', id % 145) ELSE concat('s', id % 20) END AS c", "id").selectExpr("x", "c", "concat(c, '-', id % 30) AS v")
+    made = classes.generate_conditional(df, ["x", "v", "c"], "c", 12_000)
+    bad = made.rows.where("v IS NULL OR (c NOT LIKE 's%' AND NOT startswith(v, concat(c, '-')))").count()
+    assert bad == 0 and made.rows.count() == 12_000 and len(made.model.parts) == 2
+    assert made.rows.join(df.select("v").distinct(), "v", "left_anti").isEmpty()
+    own = classes.generate_per_class(df, ["x", "v", "c"], "c", {"big": 500, "m1": 300, "s1": 4})
+    assert own.skipped == [{"class_value": "s1", "requested": 4, "real_examples": 5}]
+    assert {r["c"]: r["count"] for r in own.rows.groupBy("c").count().collect()} == {"big": 500, "m1": 300}
+    assert own.rows.where("NOT startswith(v, concat(c, '-'))").isEmpty()
+
+
+def test_request_as_a_table(spark):
+    df = spark.range(4000).selectExpr("id % 9 * 1.0 AS x", "concat('c', id % 300) AS c")
+    wanted = spark.range(310).selectExpr("concat('c', id) AS value", "id % 4 AS requested")
+    made = classes.generate_per_class(df, ["x", "c"], "c", wanted)
+    assert {r["c"]: r["count"] for r in made.rows.groupBy("c").count().collect()} == {f"c{i}": i % 4 for i in range(300) if i % 4}
+    assert sorted(r["class_value"] for r in made.skipped.collect()) == sorted(f"c{i}" for i in range(300, 310) if i % 4)
+
+
+def test_running_sums(spark):
+    df = spark.range(1000).selectExpr("id % 10 AS a", "id AS b", "id % 7 AS n")
+    rows = sorted(map(tuple, indexing.with_running_sum(df, ["a", "b"], "n", "s").collect()))
+    assert [r[3] for r in rows] == np.cumsum([0, *(r[2] for r in rows)])[:-1].tolist()
+
+
+def test_modes():
+    rng = np.random.default_rng(5)
+    quantiles = lambda x: np.quantile(x, (np.arange(1000) + 0.5) / 1000)
+    assert modes.dips(quantiles(rng.normal(0, 1, 50_000))) == []
+    assert modes.dips(quantiles(rng.uniform(0, 1, 50_000))) == []
+    assert modes.dips(quantiles(rng.exponential(1, 50_000))) == []
+    assert modes.dips(np.full(1000, 3.0)) == [] and modes.dips(np.zeros(0)) == []
+    (cut,) = modes.dips(quantiles(np.concatenate([rng.normal(0, 1, 30_000), rng.normal(10, 2, 20_000)])))
+    assert 2 < cut < 7
+    first, second = modes.dips(quantiles(np.concatenate([rng.normal(0, 1, 30_000), rng.normal(10, 1, 9_000), rng.uniform(40, 50, 20_000)])))
+    assert 2 < first < 8 and 13 < second < 40
+
+
+def test_mixture_follows_peaks_and_turns(spark):
+    """Two peaks with opposite dependence on another column: a single copula would see none."""
+    df = spark.range(8000).selectExpr("IF(id % 2 = 0, 0, 1000) + (id * 7919) % 101 AS x", "IF(id % 2 = 0, 1, -1) * ((id * 7919) % 101) + (id * 31) % 17 AS y", "(id * 13) % 97 AS z")
+    made = classes.generate_mixture(df, ["x", "y", "z"], 8000)
+    assert len(made.model.sizes) == 2 and made.rows.count() == 8000
+    assert made.rows.where("x > 110 AND x < 990").count() == 0
+    for side, sign in (("x < 500", 1), ("x > 500", -1)):
+        want, got = (d.where(side).agg(F.count("*"), F.corr("x", "y")).first() for d in (df, made.rows))
+        assert got[0] == want[0] and sign * got[1] > 0.9 and abs(got[1] - want[1]) < 0.05
+
+
+def test_mixture_without_modes_is_one_copula(spark):
+    df = spark.range(500).selectExpr("(id * 37) % 500 * 1.0 AS x", "cast(NULL AS double) AS e", "'k' AS t")
+    made = classes.generate_mixture(df, ["x", "e", "t"], 300)
+    assert list(made.model.sizes.values()) == [500] and made.rows.count() == 300
 
 
 def test_proportional_counts_are_exact():
