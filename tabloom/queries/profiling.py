@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.small import small_frame
@@ -89,12 +89,13 @@ def csv_round_trip(spark, folder):
     return csv_files.read_csv_folder(spark, place)[0]
 
 
-def _slices(spark, folder) -> dict[str, str]:
-    """Customers in eight parts, each written as another kind of file; names get an accent where the kind has to show it."""
+def _slices(spark, folder) -> tuple[str, dict[str, str]]:
+    """A folder of customers in eight parts, each written as another kind of file; names get an accent where the kind has to show it."""
     customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     accent = customers.withColumn("c_name", F.concat("c_name", F.lit(" é")))
     hole = customers.withColumn("c_name", F.concat("c_name", F.lit(" é\x81")))
-    places = {name: shared_folder(spark, name) for name in _KINDS}
+    base = shared_folder(spark, "kinds")
+    places = {name: f"{base}/kind={name}" for name in _KINDS}
 
     def part(df, name):
         return df.where(F.col("c_custkey") % len(_KINDS) == list(_KINDS).index(name))
@@ -105,7 +106,7 @@ def _slices(spark, folder) -> dict[str, str]:
     part(hole, "latin1").write.option("header", True).option("encoding", "ISO-8859-1").csv(places["latin1"])
     part(accent, "utf8").write.option("header", True).csv(places["utf8"])
     part(customers, "html").select(F.concat(F.lit("<html>"), "c_name").alias("value")).write.text(places["html"])
-    return places
+    return base, places
 
 
 #: Encoding, separator, columns and reason of refusal of each kind.
@@ -119,24 +120,69 @@ _KINDS = {"comma": ("UTF-8", ",", 4, None), "semicolon": ("UTF-8", ";", 4, None)
 def csv_triage(spark, folder):
     """Every file of four separators, three encodings and a web page is recognised."""
     return _union([csv_files.triage(spark, place, "part-*").select(F.lit(name).alias("kind"), "encoding", "delimiter", "n_columns", "reject_reason").distinct()
-                   for name, place in _slices(spark, folder).items()])
+                   for name, place in _slices(spark, folder)[1].items()])
 
 
-@BOOK.add("csv_kinds", union_sql([f"""SELECT '{k}' AS kind, c_custkey, c_name || '{' é' if k in ('cp1252', 'utf8') else ''}' AS c_name, c_acctbal
-    FROM customer WHERE c_custkey % {len(_KINDS)} = {i}""" for i, k in enumerate(_KINDS) if k not in ("html", "latin1")]))
+_MARKS = {"cp1252": "' é'", "utf8": "' é'", "latin1": "' é' || chr(129)"}
+
+
+@BOOK.add("csv_kinds", union_sql([f"""SELECT c_custkey, c_name || {_MARKS.get(k, "''")} AS c_name, c_acctbal, c_mktsegment
+    FROM customer WHERE c_custkey % {len(_KINDS)} = {i}""" for i, k in enumerate(_KINDS) if k != "html"]))
 def csv_kinds(spark, folder):
-    """All rows of all kinds of files come back with their accents."""
-    return _union([csv_files.read_csv_folder(spark, place)[0].select(F.lit(name).alias("kind"), "c_custkey", "c_name", "c_acctbal")
-                   for name, place in _slices(spark, folder).items() if name not in ("html", "latin1")])
+    """One folder of all kinds: every row of the readable ones comes back with its accents."""
+    return csv_files.read_csv_folder(spark, _slices(spark, folder)[0], pattern="part-*")[0]
+
+
+@BOOK.add("csv_many_files", """SELECT c_custkey, c_name, c_acctbal FROM customer""")
+def csv_many_files(spark, folder):
+    """A file for about every five customers, half of them with the columns in another order."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal").withColumn("file", F.floor(F.col("c_custkey") / 5).cast("long"))
+    base = shared_folder(spark, "many")
+    for side, columns in (("even", ["c_custkey", "c_name", "c_acctbal"]), ("odd", ["c_acctbal", "c_custkey", "c_name"])):
+        part = customers.where(F.pmod("file", F.lit(2)) == int(side == "odd")).repartition("file")
+        part.select(*columns, "file").write.partitionBy("file").option("header", True).csv(f"{base}/side={side}")
+    return csv_files.read_csv_folder(spark, base)[0].select("c_custkey", "c_name", "c_acctbal")
+
+
+def _texts_sql(rel: str) -> str:
+    return f"SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN c_name || ', \"' || c_mktsegment || '\"' ELSE 'NULLS' END AS note, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal FROM {rel}"
+
+
+@BOOK.add("csv_ordered", f"""WITH t AS ({_texts_sql('customer')}), n AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM t)
+    SELECT c_custkey, note, c_acctbal FROM n""")
+def csv_ordered(spark, folder):
+    """Nulls, empty texts and quotes come back as they were, from files that follow each other in the order of the key."""
+    rows = spark.sql(_texts_sql("{customer}"), customer=table(spark, folder, "customer"))
+    place = shared_folder(spark, "ordered")
+    csv_files.write_ordered(rows, place, ["c_custkey"], rows_per_file=500)
+    return csv_files.read_ordered(spark, place, rows.schema)
+
+
+@BOOK.add("csv_order_kept", "SELECT count(*) AS n, 0::BIGINT AS out_of_order, true AS bounded FROM customer")
+def csv_order_kept(spark, folder):
+    """Ranges of the key in files of at most 500 rows: no two files overlap when taken by their names."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name")
+    place = shared_folder(spark, "ordered")
+    csv_files.write_ordered(customers.orderBy(F.desc("c_name")), place, ["c_custkey"], rows_per_file=500)
+    read = csv_files.read_ordered(spark, place, customers.schema).withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+    files = read.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high"))
+    before = files.withColumn("last", F.max("high").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each file
+    return before.agg(F.sum("n").alias("n"), F.count_if(F.col("low") <= F.col("last")).alias("out_of_order"), (F.max("n") <= 500).alias("bounded"))
 
 
 def _lines(spark, folder, line, header: str) -> str:
-    """A CSV file of one line per customer, in order of the key behind a header. Spark's writer calls it .csv if told so."""
-    place = shared_folder(spark, "lines")
+    """CSV files of one line per customer, each with the customers of one ``file`` in order of the key behind a header."""
+    base = shared_folder(spark, "lines")
     rows = table(spark, folder, "customer").select("c_custkey", line.alias("line"))
-    rows = spark.createDataFrame([(-1, header)], rows.schema).unionByName(rows)
-    rows.repartitionByRange(1, "c_custkey").sortWithinPartitions("c_custkey").select("line").write.option("quote", "\0").option("escapeQuotes", False).csv(place, sep="\x01")
-    return place
+    files = _line_files(rows)
+    heads = spark.range(files).select(F.col("id").alias("file"), F.lit(-1).alias("c_custkey"), F.lit(header).alias("line"))
+    rows = rows.withColumn("file", F.col("c_custkey") % files).unionByName(heads)
+    rows.repartition("file").sortWithinPartitions("file", "c_custkey").select("line", "file").write.partitionBy("file").option("quote", "\0").option("escapeQuotes", False).csv(base, sep="\x01")
+    return base
+
+
+def _line_files(customers) -> int:
+    return customers.count() // 5000 + 2
 
 
 @BOOK.add("csv_malformed", """SELECT 'read' AS side, c_custkey::VARCHAR AS text FROM customer WHERE c_custkey % 10 <> 0
@@ -150,11 +196,15 @@ def csv_malformed(spark, folder):
 
 
 @BOOK.add("csv_retry", """SELECT c_custkey AS k, CASE WHEN rank <= 19 THEN 'a;b;c' ELSE 'plain' END AS note
-    FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rank FROM customer)""")
+    FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey % (SELECT count(*) // 5000 + 2 FROM customer) ORDER BY c_custkey) AS rank FROM customer)""")
 def csv_retry(spark, folder):
-    """The first lines speak for a semicolon, the whole file for a comma."""
-    first = table(spark, folder, "customer").select("c_custkey").orderBy("c_custkey").limit(19).agg(F.max("c_custkey")).first()[0]
-    note = F.when(F.col("c_custkey") <= first, "a;b;c").otherwise("plain")
+    """The first lines of each file speak for a semicolon, the whole file for a comma."""
+    customers = table(spark, folder, "customer")
+    files = _line_files(customers)
+    inside = Window.partitionBy(F.col("c_custkey") % files).orderBy("c_custkey")
+    early = customers.select("c_custkey", F.row_number().over(inside).alias("rank")).where("rank = 19").select((F.col("c_custkey") % files).alias("file"), F.col("c_custkey").alias("last"))
+    last = F.create_map(*[F.lit(x) for r in early.collect() for x in (r["file"], r["last"])])  # a row for each file
+    note = F.when(F.col("c_custkey") <= last[F.col("c_custkey") % files], "a;b;c").otherwise("plain")
     read = csv_files.read_csv_folder(spark, _lines(spark, folder, F.concat(F.col("c_custkey").cast("string"), F.lit(","), note), "k,note;x;y"))[0]
     return read.toDF("k", "note")
 
