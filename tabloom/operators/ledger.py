@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.operators.indexing import with_row_key
+from tabloom.session import materialize
 
 ROW = "_arrival"
+BATCH = "batch"
+#: Columns of the run ledger.
+RUNS = "run_id string, strategy string, rows long"
 
 # Starting totals, the visibility threshold and the address pattern.
 SEED_ROWS, SEED_DATASETS, VISIBLE_FROM = 18450, 47, 25
@@ -15,6 +23,38 @@ EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 INTEREST_CHARS, RECENT = 80, 5
 
 
+def commit(rows: DataFrame, path: str, batch: str) -> None:
+    """Append ``rows`` as one batch of the table at ``path``. A batch that is committed again, after a failure or by mistake, takes its
+    own place instead of being added twice; no other batch is touched."""
+    if not re.fullmatch(r"[\w.-]+", batch):
+        raise ValueError(f"not a batch name: {batch!r}")
+    rows.withColumn(BATCH, F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+
+
+def committed(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """All rows of all batches with their ``batch``; none if nothing was ever committed."""
+    fields = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = T.StructType([*fields.fields, T.StructField(BATCH, T.StringType())])
+    try:
+        return spark.read.schema(whole).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], whole)
+
+
+def append_contacts(contacts: DataFrame, path: str, batch: str, order_by: list[str]) -> DataFrame:
+    """Append the new contacts of a batch to the table at ``path``; gives all valid ones with ``already``, as ``new_contacts`` does.
+
+    What the same batch has written before does not count as known, so a repeated batch changes nothing. Batches are appended one
+    after the other, not at the same time.
+    """
+    known = committed(contacts.sparkSession, path, contacts.schema).where((F.col(BATCH) != batch) & F.col("email").isNotNull())
+    marked = materialize(new_contacts(contacts, known.select("email").distinct(), order_by))
+    commit(marked.where("NOT already").drop("already").select(*contacts.columns), path, batch)
+    return marked
+
+
 def totals(runs: DataFrame, rows: str = "rows") -> DataFrame:
     """Cumulative rows and runs; runs without rows add nothing to the rows."""
     positive = F.when(F.col(rows) > 0, F.col(rows).cast("long"))

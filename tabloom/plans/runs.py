@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.kinds import FLOAT, INTEGER, flat_table, kinds
 from tabloom.functions.small import small_frame
-from tabloom.operators import classes, clean, fixes, inference, issues, readiness, scoring, text, transforms
+from tabloom.operators import classes, clean, fixes, inference, issues, ledger, readiness, scoring, text, transforms
 from tabloom.operators.bootstrap import bootstrap_rows
 from tabloom.operators.numeric import numeric_facts
 from tabloom.operators.profile import BOOLEAN_TYPE, TableProfile, profile_table
@@ -69,17 +69,29 @@ class Run:
 
 def generate_rows(df: DataFrame, n: int, keys: list[str], analysis: Analysis | None = None, target: str | None = None,
                   fix_list: list[fixes.Fix] | str | None = None, class_counts: dict[str, int] | None = None,
-                  seed: int = 42, holdout_first: bool = False) -> Run:
+                  seed: int = 42, holdout_first: bool = False, ledger_path: str | None = None, run_id: str | None = None) -> Run:
     """Clean, fit, sample and repair. ``keys`` identify rows (they are never modelled); ``fix_list='all'`` applies
     every reported issue's fix. A ``target`` counts also where an ``analysis`` has found another. ``rows`` is lazy and keyed by ``row_id``. With ``holdout_first`` the rows on which
-    ``score_run`` later tests models take no part in the fit."""
+    ``score_run`` later tests models take no part in the fit. With a ``ledger_path`` the rows are written once, counted, and
+    the run is entered there under its ``run_id``."""
+    if ledger_path is not None and not run_id:
+        raise ValueError("a run is entered under its run_id")
     table = analysis.table if analysis else flat_table(df)[0]
     with working_copy(table) as copy:
         if analysis is None:
             analysis = analyse(copy, keys, target)
         elif target is not None:
             analysis = replace(analysis, dataset=_dataset(analysis.profile, analysis.issues, target))
-        return _generate(copy, n, keys, analysis, fix_list, class_counts, seed, holdout_first)
+        run = _generate(copy, n, keys, analysis, fix_list, class_counts, seed, holdout_first)
+        return run if ledger_path is None else replace(run, rows=_entered(run.rows, run.strategy, ledger_path, run_id))
+
+
+def _entered(rows: DataFrame, strategy: str, ledger_path: str, run_id: str) -> DataFrame:
+    """The rows, written once, after the run has been entered in the ledger."""
+    rows = materialize(rows)
+    entry = small_frame(rows.sparkSession, [(run_id, strategy, rows.count())], ledger.RUNS)
+    ledger.commit(entry, ledger_path, run_id)
+    return rows
 
 
 def _generate(table: DataFrame, n: int, keys: list[str], analysis: Analysis, fix_list: list[fixes.Fix] | str | None,
@@ -178,8 +190,9 @@ def score_run(run: Run, seed: int = 42, with_models: bool = True) -> Scores:
 
 
 def generate_text_rows(df: DataFrame, n: int, key: str, lexicon: DataFrame, label: str | None = None,
-                       counts: dict[str, int] | None = None, strength: str = "medium", seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Text rows and their quality per column. A table with text columns only gets augmented copies of its rows; any
+                       counts: dict[str, int] | DataFrame | None = None, strength: str = "medium", seed: int = 42,
+                       ledger_path: str | None = None, run_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Text rows and their quality per column, entered in the ledger as ``generate_rows`` does. A table with text columns only gets augmented copies of its rows; any
     other gets rows anchored to real ones, by label if there is one."""
     analysis = analyse(df, [key])
     if not analysis.text_columns:
@@ -192,5 +205,5 @@ def generate_text_rows(df: DataFrame, n: int, key: str, lexicon: DataFrame, labe
     else:
         label = label or analysis.dataset.first()["target_column"]
         rows = text.hybrid_generate(analysis.table, analysis.text_columns, n, [key], lexicon, label, counts, strength, seed)
-    rows = materialize(rows)
+    rows = materialize(rows) if ledger_path is None else _entered(rows, "text" if not others else "hybrid text", ledger_path, run_id)
     return rows, text.text_quality(analysis.table, rows, analysis.text_columns)

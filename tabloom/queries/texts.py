@@ -10,7 +10,7 @@ from tabloom.operators import ledger, text
 from tabloom.operators.profile import profile_table
 from tabloom.plans import runs
 from tabloom.queries.common import Book, table, union_sql, unit_sql
-from tabloom.session import materialize
+from tabloom.session import materialize, shared_folder
 
 BOOK = Book()
 SEED = 42
@@ -287,3 +287,41 @@ def append_if_new_repeated(spark, folder):
 @BOOK.add("contact_summary", f"SELECT count(*) AS contact_count, count(*) >= 25 AS visible FROM {_APPENDED} WHERE NOT already")
 def contact_summary(spark, folder):
     return ledger.summary(_appended(spark, folder).where("not already"))
+
+
+@BOOK.add("run_ledger_append", f"""SELECT (coalesce(sum("rows") FILTER ("rows" > 0), 0) + 18450)::BIGINT AS total_rows, count(*) + 47 AS total_datasets,
+    count(DISTINCT kind) AS batches FROM {_RUNS}""")
+def run_ledger_append(spark, folder):
+    """Runs appended in a batch for each kind, two batches twice; the totals are read back from the table."""
+    log, place = _runs(spark, folder), shared_folder(spark, "ledger")
+    kinds = sorted(r[0] for r in log.select("kind").distinct().collect())
+    for kind in [*kinds, kinds[0], kinds[-1]]:
+        ledger.commit(log.where(F.col("kind") == kind), place, kind)
+    entered = ledger.committed(spark, place, log.schema)
+    return ledger.totals(entered).withColumn("batches", entered.agg(F.count_distinct(ledger.BATCH)).scalar())
+
+
+@BOOK.add("run_ledger_entries", """SELECT run_id, strategy, n AS "rows", total_rows, total_datasets FROM
+    (SELECT count(*) AS n, 18450 + count(*) + count(*) * 2 AS total_rows, 49::BIGINT AS total_datasets FROM nation),
+    (VALUES ('first', 'bootstrap'), ('second', 'bootstrap')) r(run_id, strategy) WHERE run_id = 'first'
+    UNION ALL SELECT 'second', 'bootstrap', 2 * count(*), 18450 + count(*) + count(*) * 2, 49::BIGINT FROM nation""")
+def run_ledger_entries(spark, folder):
+    """Two whole runs on one ledger, the first repeated under its name."""
+    nation, place = table(spark, folder, "nation"), shared_folder(spark, "ledger")
+    n = nation.count()
+    for name, rows in (("first", n), ("second", 2 * n), ("first", n)):
+        runs.generate_rows(nation, rows, ["n_nationkey"], seed=SEED, ledger_path=place, run_id=name)
+    entered = ledger.committed(spark, place, ledger.RUNS)
+    return entered.drop(ledger.BATCH).crossJoin(F.broadcast(ledger.totals(entered)))
+
+
+_ARRIVED = f"""(SELECT c_custkey, email, interest, c_custkey % 5 AS day, row_number() OVER (PARTITION BY email ORDER BY c_custkey % 5, c_custkey) AS rank FROM {_CLEAN} WHERE valid)"""
+
+
+@BOOK.add("append_contacts", f"SELECT c_custkey, email, interest, 'day-' || day AS batch FROM {_ARRIVED} WHERE email IS NULL OR rank = 1")
+def append_contacts(spark, folder):
+    """Contacts appended in a batch a day, two days twice; the table is read back."""
+    contacts, place = _contacts(spark, folder), shared_folder(spark, "contacts")
+    for day in (0, 1, 2, 1, 3, 4, 0):
+        ledger.append_contacts(contacts.where(F.col("c_custkey") % 5 == day), place, f"day-{day}", ["c_custkey"])
+    return ledger.committed(spark, place, contacts.schema)
