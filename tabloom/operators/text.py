@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import sys
+from itertools import accumulate
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +16,10 @@ from tabloom.functions import draws
 from tabloom.functions.kinds import INTEGER, STRING, kinds
 from tabloom.functions.quantiles import value_at_rank
 from tabloom.functions.small import small_frame
+from tabloom.operators.frequencies import class_counts
 from tabloom.operators.indexing import dense_index, with_row_key
+from tabloom.operators.keyed_copula import CHUNK, with_starts
+from tabloom.session import materialize
 
 # Limits of text detection and strengths of augmentation.
 SENTENCE_WORDS, CODE_SHARE, CODE_CHARS = 3.0, 0.95, 12
@@ -21,8 +29,14 @@ LENGTH_WEIGHT, DIVERSITY_WEIGHT, DIVERSITY_SCALE = 0.6, 0.4, 500.0
 
 SALTS = 16
 DRAWS_PER_ROW = 10_000
+#: A lexicon of so many bytes or less is broadcast; an entry and each synonym count so many beside their text.
+TABLE_BYTES = 32 << 20
+ENTRY_BYTES = 100
 WORDS_OR_GAPS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words, none for a blank text."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -64,16 +78,69 @@ def frequent_word_lexicon(df: DataFrame, column: str, size: int = 200, min_lette
 
 
 def augment_text(df: DataFrame, columns: list[str], keys: list[str], lexicon: DataFrame, strength: str = "medium",
-                 seed: int = 42) -> DataFrame:
+                 seed: int = 42, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Replace a share of the words found in ``lexicon`` (word, synonym); everything between words is kept as it is.
 
-    Draws depend on (seed, keys, word position), so whether a word is drawn is known before the lexicon is asked: only
-    drawn words are exploded and joined, and their synonyms are put back into the pieces of the text by position. A word
-    is spread over salts, since a common one would meet in one task; the lexicon, small beside the texts, is repeated
-    per salt, and Spark broadcasts it where its size allows. ``keys`` identify rows; rows with equal keys get equal draws.
+    Draws depend on (seed, keys, word position), so whether a word is drawn is known before the lexicon is asked. A lexicon
+    of at most ``table_bytes`` bytes, which is measured first, is broadcast, and texts stay where they are; a larger one is joined with the drawn words.
+    Both give the same rows. ``keys`` identify rows; rows with equal keys get equal draws.
     """
-    share = STRENGTH[strength]
     choices = lexicon.groupBy(F.lower("word").alias("word")).agg(F.array_sort(F.collect_set("synonym")).alias("synonyms"))
+    entry = ENTRY_BYTES + F.octet_length("word") + F.aggregate("synonyms", F.lit(0), lambda n, x: n + ENTRY_BYTES + F.octet_length(x))
+    if (choices.agg(F.sum(entry.cast("long"))).first()[0] or 0) <= table_bytes:
+        return _augment_in_place(df, columns, keys, choices, STRENGTH[strength], seed)
+    return _augment_by_join(df, columns, keys, choices, STRENGTH[strength], seed)
+
+
+class SwapTask:
+    """Task side of augmentation with a lexicon at hand."""
+
+    def __init__(self, order: list[str], columns: list[str], synonyms, share: float, seed: int):
+        self.order, self.columns, self.synonyms, self.seed = order, columns, synonyms, seed
+        # A draw of 13 hex digits is below the share if the number they spell is below this.
+        self.least = math.ceil(share * draws.SCALE - 0.5)
+
+    def __call__(self, batches):
+        for batch in batches:
+            made = {c: self._texts(batch.column(f"_key{i}").to_pylist(), batch.column(f"_parts{i}").to_pylist(), batch.column(f"_first{i}").to_pylist())
+                    for i, c in enumerate(self.columns)}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in self.order], names=self.order)
+
+    def _texts(self, keys: list[str], texts: list[list[str] | None], firsts: list[int | None]) -> pa.Array:
+        known, md5, least = self.synonyms.value, hashlib.md5, self.least
+        out = []
+        for key, parts, first in zip(keys, texts, firsts):
+            if parts is None:
+                out.append(None)
+                continue
+            row = md5(f"{self.seed}|word|{key}|".encode())
+            for at in range(first, len(parts), 2):
+                drawn = row.copy()
+                drawn.update(b"%d" % at)
+                digest = drawn.digest()
+                if int.from_bytes(digest[:7], "big") >> 4 < least and (found := known.get(parts[at].lower())):
+                    second = (int.from_bytes(digest[6:13], "big") & (1 << 52) - 1) + 0.5
+                    parts[at] = found[math.floor(second / draws.SCALE * len(found))]
+            out.append("".join(parts))
+        return pa.array(out, pa.string())
+
+
+def _augment_in_place(df: DataFrame, columns: list[str], keys: list[str], choices: DataFrame, share: float, seed: int) -> DataFrame:
+    """Words and gaps alternate, so only the place of the first word goes along with the pieces of a text."""
+    synonyms = df.sparkSession.sparkContext.broadcast({r["word"]: r["synonyms"] for r in choices.collect()})  # its bytes are checked
+    task = SwapTask(df.columns, columns, synonyms, share, seed)
+    pieces = {}
+    for i, c in enumerate(columns):
+        parts = F.regexp_extract_all(F.col(f"`{c}`"), F.lit(WORDS_OR_GAPS), F.lit(0))
+        first = F.when(F.col(f"`{c}`").rlike(r"^[\p{L}\p{N}]"), 0).otherwise(1)
+        pieces |= {f"_key{i}": _key(keys, c), f"_parts{i}": parts, f"_first{i}": first}
+    wide = df.withColumns(pieces).drop(*columns)
+    return wide.mapInArrow(lambda batches: task(batches), df.schema)
+
+
+def _augment_by_join(df: DataFrame, columns: list[str], keys: list[str], choices: DataFrame, share: float, seed: int) -> DataFrame:
+    """Only drawn words are exploded and joined, and their synonyms are put back into the pieces of the text by position. A word
+    is spread over salts, since a common one would meet in one task; the lexicon is repeated per salt."""
     choices = choices.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     order = df.columns
     for c in columns:
@@ -166,70 +233,67 @@ def _long(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns]).unpivot([], columns, "column", "text").where("text is not null")
 
 
-def anchored_rows(df: DataFrame, n: int, keys: list[str], label: str | None = None, counts: dict[str, int] | None = None,
+def anchored_rows(df: DataFrame, n: int, keys: list[str], label: str | None = None, counts: dict[str, int] | DataFrame | None = None,
                   seed: int = 42) -> DataFrame:
     """``n`` output rows (``row_id``), each a whole copy of a random real row.
 
-    Without ``counts`` labels follow the real distribution, which is the same as drawing any real row. With ``counts``
-    each label gets its number of rows, drawn from the real rows of that label; a label no real row has draws from all.
+    Without ``counts`` labels follow the real distribution, which is the same as drawing any real row. With ``counts``, a dict or for any
+    number of labels a table (value, rows), each label gets its number of rows (in the order of the dict, or of the values), drawn from the
+    real rows of that label; a label no real row has draws from all.
     """
-    if label is None or not counts:
-        return _draw(df, df.sparkSession.range(n).withColumnRenamed("id", "row_id"), keys, None, {}, seed)
-    counts = {str(v): m for v, m in counts.items() if m > 0}
-    present = df.where(F.col(f"`{label}`").cast("string").isin(*counts))
-    known = {r[0] for r in present.select(F.col(f"`{label}`").cast("string")).distinct().collect()}
-    ids = df.sparkSession.range(sum(counts.values())).withColumnRenamed("id", "row_id").withColumn(
-        "_label", _label_of(counts))
-    answer = None
-    if known:
-        rows = present.withColumn("_label", F.col(f"`{label}`").cast("string"))
-        answer = _draw(rows, ids.where(F.col("_label").isin(*known)), keys, "_label",
-                       {v: m for v, m in counts.items() if v in known}, seed)
-    if len(known) < len(counts):
-        rest = _draw(df, ids.where(~F.col("_label").isin(*known)) if known else ids, keys, None, {}, seed)
-        answer = rest if answer is None else answer.unionByName(rest)
-    return answer
-
-
-def _label_of(counts: dict[str, int]) -> Column:
-    """Label of an output row: consecutive ranges of the wanted lengths."""
-    end, label = 0, None
-    for v, m in counts.items():
-        end += m
-        test = F.col("row_id") < end
-        label = F.when(test, F.lit(v)) if label is None else label.when(test, F.lit(v))
-    return label
-
-
-def _draw(df: DataFrame, ids: DataFrame, keys: list[str], pool: str | None, counts: dict[str, int], seed: int) -> DataFrame:
-    """Join each output row to the real row of a drawn number within its pool. Where few real rows serve many
+    if label is None or counts is None or isinstance(counts, dict) and not counts:
+        whole = small_frame(df.sparkSession, [("", n, 0)], "value string, rows long, start long")
+        return _draw(df, whole, keys, None, seed)
+    if isinstance(counts, dict):
+        wanted = [(str(v), int(m)) for v, m in counts.items() if m > 0]
+        starts = accumulate([0, *(m for _, m in wanted)])
+        plan = small_frame(df.sparkSession, [(*w, start) for w, start in zip(wanted, starts)], "value string, rows long, start long")
+    else:
+        plan = with_starts(counts.where("rows > 0").select(F.col("value").cast("string").alias("value"), F.col("rows").cast("long").alias("rows")))
+    labelled = df.withColumn("_label", F.col(f"`{label}`").cast("string"))
+    found = class_counts(df, label).select("value", F.lit(True).alias("_real"))
+    plan = materialize(plan.join(found, "value", "left"))
+    answer = _draw(labelled, plan.where("_real").drop("_real"), keys, "_label", seed)
+    strangers = plan.where(F.col("_real").isNull()).drop("_real")
+    return answer if strangers.isEmpty() else answer.unionByName(_draw(df, strangers, keys, None, seed))
+
+
+def _draw(df: DataFrame, plan: DataFrame, keys: list[str], pool: str | None, seed: int) -> DataFrame:
+    """Join each output row of ``plan`` (value, rows, start) to the real row of a drawn number within its pool. Where few real rows serve many
     output rows, the real rows are repeated over salts so that their draws spread over tasks."""
+    if pool is not None:
+        df = df.join(plan.select(F.col("value").alias(pool)), pool, "left_semi")
     indexed, sizes = dense_index(df, keys, within=pool)
-    size = {r[0]: r[1] for r in sizes.collect()}
+    if pool is None:
+        size = sizes.first()
+        sized = plan.withColumn("_n", F.lit(size["size"] if size else 0).cast("long"))
+        needed = F.lit(plan.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    else:
+        sized = plan.join(sizes.select(F.col(pool).alias("value"), F.col("size").cast("long").alias("_n")), "value")
+        needed = F.col("rows")
+    sized = materialize(sized.withColumn("_salts", (1 + F.floor(needed / (F.greatest(F.lit(1), "_n") * DRAWS_PER_ROW))).cast("int")))
+    jobs = sized.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK))))
+    low = F.col("start") + F.col("_k") * CHUNK
+    # Ranges of row ids are dealt out before they become rows.
+    ranges = jobs.select("value", "_n", "_salts", low.alias("low"), F.least(F.col("start") + F.col("rows"), low + CHUNK).alias("high")).repartition("low")
+    ids = ranges.select("value", "_n", "_salts", F.explode(F.sequence("low", F.col("high") - 1)).alias("row_id"))
     u = draws.uniform(seed, "anchor", F.col("row_id"))
+    drawn = ids.select("row_id", "value", F.floor(u * F.col("_n")).alias("idx"), F.pmod(F.col("row_id"), F.col("_salts")).cast("int").alias("_salt"))
+    on = ["idx", "_salt"]
     if pool is None:
-        total = size.get("", 0)
-        salts = F.lit(1 + ids.count() // max(1, total * DRAWS_PER_ROW))
-        drawn, rows = ids.withColumn("_n", F.lit(total)), indexed
-        on = ["idx", "_salt"]
+        drawn, copies = drawn.drop("value"), F.lit(sized.agg(F.coalesce(F.max("_salts"), F.lit(1))).first()[0])
     else:
-        salts, room = None, None
-        for v, s in size.items():
-            here = F.col("_label") == v
-            repeat, rows_of = F.lit(1 + counts[v] // (s * DRAWS_PER_ROW)), F.lit(s)
-            salts = F.when(here, repeat) if salts is None else salts.when(here, repeat)
-            room = F.when(here, rows_of) if room is None else room.when(here, rows_of)
-        drawn, rows = ids.withColumn("_n", room), indexed
-        on = ["_label", "idx", "_salt"]
-    drawn = drawn.withColumns({"idx": F.floor(u * F.col("_n")), "_salt": F.pmod(F.col("row_id"), salts).cast("int")})
-    rows = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))))
-    needed = [c for c in drawn.columns if c not in ("_n",) and (pool is not None or c != "_label")]
-    columns = [c for c in df.columns if c != "_label"]
-    return drawn.select(*needed).join(rows, on).select("row_id", *[F.col(f"`{c}`") for c in columns])
+        drawn, on = drawn.withColumnRenamed("value", pool), [pool, *on]
+        many = sized.where("_salts > 1").select(F.col("value").alias(pool), "_salts")
+        copies = F.lit(1)
+        if not many.isEmpty():
+            indexed, copies = indexed.join(many, pool, "left"), F.coalesce("_salts", F.lit(1))
+    rows = indexed.withColumn("_salt", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))))
+    return drawn.join(rows, on).select("row_id", *[F.col(f"`{c}`") for c in df.columns if c != pool])
 
 
 def hybrid_generate(df: DataFrame, columns: list[str], n: int, keys: list[str], lexicon: DataFrame,
-                    label: str | None = None, counts: dict[str, int] | None = None, strength: str = "medium",
+                    label: str | None = None, counts: dict[str, int] | DataFrame | None = None, strength: str = "medium",
                     seed: int = 42) -> DataFrame:
     """Anchored rows whose text columns are augmented; every other value stays that of the real row."""
     rows = anchored_rows(df, n, keys, label, counts, seed)

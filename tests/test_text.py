@@ -63,6 +63,30 @@ def test_anchors_keep_labels_and_spread_hot_pools(spark, monkeypatch):
     assert all(r["v"] == r["k"] * 10 for r in rows)
 
 
+def test_augmentation_by_join_gives_the_same_rows(spark, lexicon):
+    rows = [(1, "Red,  red\nand BIG! ", "big"), (2, None, "red red"), (3, "   ", None), (4, "", "x"), (5, "été red_big ÉTÉ " * 50, "3 big 4 big"), (5, "red", ""), (None, "-red big", "red")]
+    df = spark.createDataFrame(rows, "k long, t string, u string").withColumn("more", F.create_map(F.lit("a"), F.array("k")))
+    place = lambda d: sorted(map(repr, d.collect()))
+    here, joined = (text.augment_text(df, ["t", "u"], ["k"], lexicon, "high", table_bytes=n) for n in (text.TABLE_BYTES, 0))
+    assert here.schema == joined.schema == df.schema and place(here) == place(joined) != place(df)
+    none = text.augment_text(df, ["t"], ["k"], lexicon.limit(0))
+    assert place(none) == place(df)
+
+
+def test_anchors_for_labels_in_a_table(spark):
+    df = spark.range(600).selectExpr("id AS k", "concat('l', id % 150) AS label", "id * 10 AS v")
+    wanted = spark.range(160).selectExpr("concat('l', id) AS value", "1 + id % 3 AS rows")
+    rows = text.anchored_rows(df, 0, ["k"], "label", wanted).collect()
+    asked = {r["value"]: r["rows"] for r in wanted.collect()}
+    assert sorted(r["row_id"] for r in rows) == list(range(sum(asked.values())))
+    at, label_of = 0, {}
+    for v in sorted(asked):
+        label_of |= dict.fromkeys(range(at, at + asked[v]), v)
+        at += asked[v]
+    assert all(r["label"] == label_of[r["row_id"]] for r in rows if int(label_of[r["row_id"]][1:]) < 150)
+    assert all(r["v"] == r["k"] * 10 for r in rows)
+
+
 def test_quality_of_unchanged_text(spark):
     df = spark.createDataFrame([("a b c",), ("d",)], "t string")
     row = text.text_quality(df, df, ["t"]).first()
@@ -96,3 +120,26 @@ def test_readiness_reasons(spark):
     assert "no numeric" in reason(df, df, "y")
     assert "lacks" in reason(df, df.drop("y"), "y")
     assert "single class" in reason(df.withColumn("y", F.lit(1)).withColumn("n", F.col("k")), df.withColumn("n", F.col("k")).withColumn("y", F.lit(1)), "y")
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    place = str(tmp_path / "contacts")
+    day = lambda *rows: spark.createDataFrame([(k, e, "x") for k, e in rows], "k int, email string, interest string")
+    first, second = day((1, "a@b.co"), (2, "A@b.co "), (3, None), (4, "no address")), day((5, "a@b.co"), (6, "c@d.co"))
+    assert ledger.committed(spark, place, first.schema).isEmpty()
+    marks = ledger.append_contacts(first, place, "one", ["k"])
+    assert {r["k"]: r["already"] for r in marks.collect()} == {1: False, 2: True, 3: False}
+    ledger.append_contacts(second, place, "two", ["k"])
+    held = {(1, "a@b.co", "one"), (3, None, "one"), (6, "c@d.co", "two")}
+    for again, name in ((first, "one"), (second, "two"), (first, "one")):
+        ledger.append_contacts(again, place, name, ["k"])
+        assert {(r["k"], r["email"], r["batch"]) for r in ledger.committed(spark, place, first.schema).collect()} == held
+    ledger.append_contacts(day(), place, "three", ["k"])
+    assert ledger.committed(spark, place, first.schema).count() == 3
+
+
+def test_batch_names(spark, tmp_path):
+    with pytest.raises(ValueError):
+        ledger.commit(spark.range(1), str(tmp_path), "a/b")
+    ledger.commit(spark.range(3), str(tmp_path / "t"), "007")
+    assert {r["batch"] for r in ledger.committed(spark, str(tmp_path / "t"), "id long").collect()} == {"007"}
