@@ -151,7 +151,7 @@ def _properties(method: str, real, made, columns: list[str], pair: tuple[str, st
     rows = []
     for i, c in enumerate(columns):
         width = float(a[f"hi{i}"]) - float(a[f"lo{i}"])
-        quartiles = [round(_near(float(y), float(x), 0.05 * width), 2) for x, y in zip(a[f"q{i}"], b[f"q{i}"])]
+        quartiles = [round(_near(float(y), float(x), 0.05 * width), 6) for x, y in zip(a[f"q{i}"], b[f"q{i}"])]
         rows.append((method, c, b["n"], bool(a[f"lo{i}"] <= b[f"lo{i}"] and b[f"hi{i}"] <= a[f"hi{i}"]), *quartiles, round(_near(b["r"], a["r"], 0.1), 6)))
     return small_frame(real.sparkSession, rows, "method string, column string, n long, inside boolean, q1 double, q2 double, q3 double, r double")
 
@@ -160,7 +160,7 @@ _CHECKED = ["l_quantity", "l_extendedprice", "rev"]
 
 
 def _real_sql(method: str) -> str:
-    return union_sql([f"""SELECT '{method}' AS method, '{c}' AS "column", count(*) AS n, true AS inside, {', '.join(f'round(quantile_cont({c}, {p}), 2)::DOUBLE AS q{k}' for k, p in ((1, 0.25), (2, 0.5), (3, 0.75)))},
+    return union_sql([f"""SELECT '{method}' AS method, '{c}' AS "column", count(*) AS n, true AS inside, {', '.join(f'round(quantile_cont({c}, {p}), 6)::DOUBLE AS q{k}' for k, p in ((1, 0.25), (2, 0.5), (3, 0.75)))},
         round(corr(l_extendedprice, rev), 6) AS r FROM {SALES}""" for c in _CHECKED])
 
 
