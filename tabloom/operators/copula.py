@@ -24,13 +24,15 @@ from tabloom.functions import draws, gaussian
 from tabloom.functions.kinds import FLOAT, INTEGER, kinds
 from tabloom.functions.small import small_frame
 from tabloom.operators import tails
-from tabloom.operators.moments import pairwise_correlation
+from tabloom.operators.moments import CELLS, pairwise_correlation
 from tabloom.operators.tails import GROUP
 from tabloom.session import working_copy
 
 GRID = 100
 ACCURACY = 10_000
 MIN_EIGENVALUE = 1e-8
+#: Columns whose marginals are fitted in one scan.
+SCAN_COLUMNS = 100
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -93,14 +95,20 @@ def fit_marginals(df: DataFrame, numeric: list[str], categorical: list[str], exa
     """
     by_type = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     probs = [i / GRID for i in range(GRID + 1)]
-    aggs: list[Column] = [F.count(F.lit(1)).alias("size")]
-    for i, c in enumerate(numeric):
-        x = F.col(f"`{c}`").cast("double")
-        grid = (F.percentile(x, F.array(*[F.lit(p) for p in probs])) if exact
-                else F.percentile_approx(x, probs, ACCURACY))
-        aggs += [grid.alias(f"g{i}"), F.count(x).alias(f"n{i}")]
-    aggs += [F.count(F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(categorical)]
-    found = {str(r[GROUP]): r for r in df.groupBy(GROUP).agg(*aggs).collect()}
+    found: dict[str, dict] = {}
+    columns = [*((i, c, True) for i, c in enumerate(numeric)), *((i, c, False) for i, c in enumerate(categorical))]
+    for start in range(0, max(1, len(columns)), SCAN_COLUMNS):  # a wide table in several scans of its own columns
+        aggs: list[Column] = [F.count(F.lit(1)).alias("size")]
+        for i, c, number in columns[start:start + SCAN_COLUMNS]:
+            if not number:
+                aggs.append(F.count(F.col(f"`{c}`").cast("string")).alias(f"c{i}"))
+                continue
+            x = F.col(f"`{c}`").cast("double")
+            grid = (F.percentile(x, F.array(*[F.lit(p) for p in probs])) if exact
+                    else F.percentile_approx(x, probs, ACCURACY))
+            aggs += [grid.alias(f"g{i}"), F.count(x).alias(f"n{i}")]
+        for r in df.groupBy(GROUP).agg(*aggs).collect():
+            found.setdefault(str(r[GROUP]), {}).update(r.asDict())
     sizes = {g: r["size"] for g, r in found.items()}
     groups: dict[str, dict[str, Marginal]] = {g: {c: Marginal() for c in numeric + categorical} for g in sizes}
     for g, r in found.items():
@@ -217,6 +225,7 @@ class SampleTask:
         self.marginals = {g: [model.groups[g][c] for c in self.columns] for g in used}
         self.gaps = {c for c in self.columns if any(model.groups[g][c].missing > 0 for g in used)}
         self.wide = model.wide
+        self.step = max(1, CELLS // max(1, len(self.columns)))
 
     def __call__(self, batches):
         for batch in batches:
@@ -225,7 +234,9 @@ class SampleTask:
             for g in np.unique(place):
                 name = self.groups[g]
                 mine = ids[place == g] + self.shift[name]
-                yield self.rows(name, mine, self.latent(mine))
+                for at in range(0, len(mine), self.step):
+                    part = mine[at:at + self.step]
+                    yield self.rows(name, part, self.latent(part))
 
     def latent(self, ids: np.ndarray) -> np.ndarray:
         return np.column_stack([draws.array_normal(self.seed, f"latent:{k}", ids) for k in range(len(self.columns))])

@@ -1,13 +1,16 @@
 """Pairwise correlation of many columns in one scan, with pairwise treatment of missing values.
 
 Every task adds up counts, sums and products of its rows as small matrices (a matrix product per Arrow batch); the
-matrices of all tasks are then summed by group and pair. No pair of rows and no row itself is ever shuffled.
+matrices of all tasks are then summed by group and pair. No pair of rows and no row itself is ever shuffled. The matrix of a wide
+table is made in strips of ``TILE`` columns, a scan each, so a task holds a strip and never the whole.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of a strip, and numbers of a batch that are worked on at a time.
+TILE = 256
+CELLS = 2_000_000
+#: Rows of sums that a task hands over at a time.
+BLOCK = 65_536
 SCHEMA = "grp string, a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -24,35 +32,40 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 class MomentTask:
     """Task side: ``score(group, table)`` gives a float matrix with NaN for missing, one column per measure."""
 
-    def __init__(self, score: Callable[[str, pa.Table], np.ndarray], group: str):
-        self.score, self.group = score, group
+    def __init__(self, score: Callable[[str, pa.Table], np.ndarray], group: str, width: int, strip: tuple[int, int] | None = None):
+        self.score, self.group, self.strip = score, group, slice(*(strip or (0, width)))
+        self.step = max(1, CELLS // max(1, width))
 
     def __call__(self, batches):
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            keys = table.column(self.group)
-            names = pc.unique(keys).to_pylist()
-            for name in names:
-                part = table if len(names) == 1 else table.filter(pc.equal(keys, name))
-                sums = self._sums(self.score(name, part))
-                totals[name] = totals[name] + sums if name in totals else sums
+            for at in range(0, batch.num_rows, self.step):
+                table = pa.Table.from_batches([batch.slice(at, self.step)])
+                keys = table.column(self.group)
+                names = pc.unique(keys).to_pylist()
+                for name in names:
+                    part = table if len(names) == 1 else table.filter(pc.equal(keys, name))
+                    sums = self._sums(self.score(name, part), self.strip)
+                    totals[name] = totals[name] + sums if name in totals else sums
         for name, sums in totals.items():
-            yield self._rows(name, sums)
+            yield from self._rows(name, sums)
 
     @staticmethod
-    def _sums(x: np.ndarray) -> np.ndarray:
+    def _sums(x: np.ndarray, strip: slice = slice(None)) -> np.ndarray:
+        """Counts, sums and products of the columns of ``strip`` with all columns."""
         present = ~np.isnan(x)
         x, mask = np.where(present, x, 0.0), present.astype(np.float64)
         square = x * x
-        return np.stack([mask.T @ mask, x.T @ mask, mask.T @ x, square.T @ mask, mask.T @ square, x.T @ x])
+        x_s, mask_s, square_s = x[:, strip], mask[:, strip], square[:, strip]
+        return np.stack([mask_s.T @ mask, x_s.T @ mask, mask_s.T @ x, square_s.T @ mask, mask_s.T @ square, x_s.T @ x])
 
-    @staticmethod
-    def _rows(name: str, sums: np.ndarray) -> pa.RecordBatch:
-        a, b = np.triu_indices(sums.shape[1], k=1)
-        arrays = [pa.array([name] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32())]
-        arrays += [pa.array(sums[i][a, b]) for i in range(6)]
-        return pa.RecordBatch.from_arrays(arrays, names=["grp", "a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
+    def _rows(self, name: str, sums: np.ndarray):
+        a, b = np.nonzero(np.arange(sums.shape[2])[None, :] > np.arange(sums.shape[1])[:, None] + self.strip.start)
+        for at in range(0, len(a), BLOCK):
+            i, j = a[at:at + BLOCK], b[at:at + BLOCK]
+            arrays = [pa.array([name], pa.string()).take(pa.array(np.zeros(len(i), np.int32))), pa.array(i + self.strip.start, pa.int32()), pa.array(j, pa.int32())]
+            arrays += [pa.array(sums[k][i, j]) for k in range(6)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["grp", "a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
 
 
 class Standardize:
@@ -66,10 +79,42 @@ class Standardize:
         return (np.column_stack(columns).astype(np.float64) - self.centers) / self.scales
 
 
-def pairwise_moments(df: DataFrame, score: Callable, group: str) -> DataFrame:
+def centers(df: DataFrame, columns: list[str]) -> Standardize:
+    """Means and deviations of any number of columns from one scan, near enough to standardise them."""
+    width = len(columns)
+
+    def summed(batches):
+        n, total, square, shift = np.zeros(width), np.zeros(width), np.zeros(width), None
+        for batch in batches:
+            for at in range(0, batch.num_rows, max(1, CELLS // width)):
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.slice(at, max(1, CELLS // width)).columns]).astype(np.float64)
+                x[~np.isfinite(x)] = np.nan
+                shift = np.nan_to_num(x[0]) if shift is None else shift
+                x, present = np.nan_to_num(x - shift), ~np.isnan(x)
+                n, total, square = n + present.sum(axis=0), total + (x * present).sum(axis=0), square + (x * x * present).sum(axis=0)
+        if shift is not None:
+            mean = np.divide(total, n, out=np.zeros(width), where=n > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(n), pa.array(mean + shift), pa.array(np.maximum(square - n * mean * mean, 0))], ["i", "n", "m", "q"])
+
+    parts = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).mapInArrow(summed, "i long, n double, m double, q double")
+    whole = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum("q").alias("q"), F.min(F.when(F.col("n") > 0, F.col("m"))).alias("low"),
+                                   F.max(F.when(F.col("n") > 0, F.col("m"))).alias("high")).collect()  # a row for each column
+    center, scale = np.zeros(width), np.ones(width)
+    for r in whole:
+        if r["n"]:
+            center[r["i"]] = r["s"] / r["n"]
+            scale[r["i"]] = max(math.sqrt(r["q"] / r["n"]), r["high"] - r["low"]) or 1.0
+    return Standardize(center.tolist(), scale.tolist())
+
+
+def pairwise_moments(df: DataFrame, score: Callable, group: str, width: int) -> DataFrame:
     """(grp, a, b, corr) for a < b; ``corr`` is null where a side does not vary over the rows both have."""
-    task = MomentTask(score, group)
-    sums = df.mapInArrow(lambda batches: task(batches), SCHEMA).groupBy("grp", "a", "b").agg(
+    def strip(low: int) -> DataFrame:
+        task = MomentTask(score, group, width, (low, min(low + TILE, width)))
+        return df.mapInArrow(lambda batches: task(batches), SCHEMA)
+
+    strips = [strip(low) for low in range(0, max(width, 1), TILE)]
+    sums = reduce(lambda x, y: x.unionAll(y), strips).groupBy("grp", "a", "b").agg(
         *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
     var_a, var_b = (F.col("n") * F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") for c in "ab")
     floor = F.lit(1e-9) * F.col("n") * F.col("n")
@@ -81,7 +126,9 @@ def pairwise_moments(df: DataFrame, score: Callable, group: str) -> DataFrame:
 def pairwise_correlation(df: DataFrame, score: Callable, width: int, group: str, groups: list[str]) -> dict[str, np.ndarray]:
     """Correlation matrix per group, 0 where undefined (a width x width matrix per group reaches the driver)."""
     matrices = {g: np.eye(width) for g in groups}
-    for r in pairwise_moments(df, score, group).collect():
-        value = max(-1.0, min(1.0, r["corr"])) if r["corr"] is not None else 0.0
-        matrices[r["grp"]][r["a"], r["b"]] = matrices[r["grp"]][r["b"], r["a"]] = value
+    found = pairwise_moments(df, score, group, width).toArrow()
+    for name in groups:
+        mine = found.filter(pc.equal(found["grp"], name))
+        a, b = mine["a"].to_numpy(), mine["b"].to_numpy()
+        matrices[name][a, b] = matrices[name][b, a] = np.clip(np.nan_to_num(mine["corr"].to_numpy()), -1.0, 1.0)
     return matrices

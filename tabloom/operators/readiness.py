@@ -12,6 +12,7 @@ from tabloom.functions import draws
 from tabloom.functions.kinds import BOOLEAN, FLOAT, INTEGER, kinds, numeric_columns
 from tabloom.functions.small import small_frame
 from tabloom.operators.frequencies import class_counts
+from tabloom.operators.indexing import with_running_sum
 from tabloom.session import materialize
 
 # Target names, forest size, test share and limits.
@@ -73,9 +74,9 @@ def left_out(real: DataFrame, synthetic: DataFrame, target: str, features: dict[
 
 
 def label_index(real: DataFrame, synthetic: DataFrame, target: str) -> DataFrame:
-    """(value, label): every target value of either table, numbered in text order."""
+    """(value, label): every target value of either table, numbered in text order. Ranges of values are numbered apart and shifted."""
     both = class_counts(real, target).select("value").union(class_counts(synthetic, target).select("value")).distinct()
-    return both.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("double").alias("label"))
+    return with_running_sum(both.withColumn("_one", F.lit(1)), ["value"], "_one", "label").select("value", F.col("label").cast("double").alias("label"))
 
 
 def stratified_split(df: DataFrame, target: str | None, keys: list[str], seed: int = SEED) -> DataFrame:
@@ -153,7 +154,7 @@ def _classification(real: DataFrame, synthetic: DataFrame, target: str, trees: i
         return _refused(real, "not enough rows")
     scores = []
     for training in (real.where("not is_test"), synthetic):
-        model = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth).fit(training)
+        model = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth, cacheNodeIds=True).fit(training)
         hit = (F.col("prediction") == F.col("label")).cast("double")
         scores.append(round(model.transform(tested).agg(F.avg(hit)).first()[0] * 100, 1))
     majority = round(max(counts.values()) / sum(counts.values()) * 100, 1)
@@ -166,7 +167,7 @@ def _regression(real: DataFrame, synthetic: DataFrame, target: str, trees: int,
     tested = real.where("is_test")
     scores = []
     for training in (real.where("not is_test"), synthetic):
-        model = RandomForestRegressor(numTrees=trees, seed=seed, maxDepth=depth).fit(training)
+        model = RandomForestRegressor(numTrees=trees, seed=seed, maxDepth=depth, cacheNodeIds=True).fit(training)
         row = model.transform(tested).agg(
             F.sum((F.col("label") - F.col("prediction")) ** 2).alias("rest"),
             (F.var_samp("label") * (F.count("label") - 1)).alias("all")).first()

@@ -16,7 +16,7 @@ from tabloom.functions import draws
 from tabloom.functions.kinds import FLOAT, INTEGER, STRING, kinds, numeric_columns
 from tabloom.functions.small import small_frame
 from tabloom.operators.frequencies import value_frequencies
-from tabloom.operators.moments import Standardize, pairwise_moments
+from tabloom.operators.moments import centers, pairwise_moments
 from tabloom.operators.numeric import SCAN_WIDTH, numeric_facts
 from tabloom.session import materialize, working_copy
 
@@ -245,18 +245,17 @@ def correlations(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     columns = shared_numeric(real, synthetic)
     if len(columns) < 2:
         return small_frame(real.sparkSession, [], "a string, b string, real double, synth double, diff double")
-    names = F.array(*[F.lit(c) for c in columns])
-
     def side(df: DataFrame, name: str) -> DataFrame:
-        facts = numeric_facts(df, columns)
-        score = Standardize([facts[c].mean or 0.0 for c in columns], [facts[c].std or 1.0 for c in columns])
         wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)], F.lit("").alias("grp"))
-        return pairwise_moments(wide, score, "grp").select("a", "b", F.round(F.coalesce("corr", F.lit(0.0)), 3).alias(name))
+        return pairwise_moments(wide, centers(df, columns), "grp", len(columns)).select("a", "b", F.round(F.coalesce("corr", F.lit(0.0)), 3).alias(name))
 
-    pairs = small_frame(real.sparkSession, [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))],
-                        "a int, b int")
+    spark, d = real.sparkSession, len(columns)
+    pairs = spark.range(d * d).select(F.floor(F.col("id") / d).cast("int").alias("a"), (F.col("id") % d).cast("int").alias("b")).where("a < b")
     both = pairs.join(side(real, "real"), ["a", "b"], "left").join(side(synthetic, "synth"), ["a", "b"], "left").fillna(0.0)
-    return both.select(names[F.col("a")].alias("a"), names[F.col("b")].alias("b"), "real", "synth",
+    names = small_frame(spark, list(enumerate(columns)), "i int, name string")  # a row for each column
+    for k in "ab":
+        both = both.join(F.broadcast(names.toDF(k, f"name_{k}")), k)
+    return both.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "real", "synth",
                        F.round(F.abs(F.col("real") - F.col("synth")), 3).alias("diff"))
 
 

@@ -11,6 +11,7 @@ from tabloom.operators import readiness, scoring
 from tabloom.operators.profile import profile_table
 from tabloom.queries.common import (COLUMNS, DIRTY, OTHER_HALF, REAL_HALF, ROW_KEYS, Book, dirty_orders, facts_sql,
                                     halves, table, union_sql, unit_sql)
+from tabloom.session import materialize
 
 BOOK = Book()
 SCORED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "rev", "big"]
@@ -175,6 +176,24 @@ def correlation_compare(spark, folder):
     return scoring.correlations(a, b)
 
 
+def _wide_sql(k: int) -> str:
+    return f"((l_orderkey * {k + 1} + l_partkey) % {k + 11}) * 1e0 + l_quantity * {k % 7}"
+
+
+_WIDE = 300
+_WIDE_PAIRS = [(0, 1), (0, 299), (6, 13), (255, 256), (254, 298), (256, 263), (298, 299)]
+
+
+@BOOK.add("correlation_wide", union_sql([f"""SELECT 'x{i}' AS a, 'x{j}' AS b, r AS real, s AS synth, round(abs(r - s), 3) AS diff FROM
+    (SELECT round(corr({_wide_sql(i)}, {_wide_sql(j)}), 3) AS r FROM {REAL_HALF}), (SELECT round(corr({_wide_sql(i)}, {_wide_sql(j)}), 3) AS s FROM {OTHER_HALF})"""
+    for i, j in _WIDE_PAIRS]))
+def correlation_wide(spark, folder):
+    """Three hundred columns, made in strips; a few of all pairs are compared."""
+    a, b = (materialize(half.select(*[F.expr(_wide_sql(k)).alias(f"x{k}") for k in range(_WIDE)])) for half in halves(spark, folder))
+    wanted = [(F.col("a") == f"x{i}") & (F.col("b") == f"x{j}") for i, j in _WIDE_PAIRS]
+    return scoring.correlations(a, b).where(reduce(lambda x, y: x | y, wanted))
+
+
 @BOOK.add("correlation_summary", f"""SELECT avg_diff, CASE WHEN avg_diff < 0.1 THEN 'Excellent' WHEN avg_diff < 0.2 THEN 'Good'
     WHEN avg_diff < 0.3 THEN 'Fair' ELSE 'Poor' END AS grade FROM (SELECT round(avg(diff), 3) AS avg_diff FROM ({_correlation_sql()}))""")
 def correlation_summary(spark, folder):

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tabloom.functions import draws, gaussian
-from tabloom.operators import classes, copula, indexing, modes, scoring, tails, transforms
+from tabloom.operators import classes, copula, indexing, modes, moments, scoring, tails, transforms
 from tabloom.operators.fixes import Fix, apply_fixes
 from tabloom.operators.indexing import dense_index, with_row_key
 from tabloom.operators.numeric import Facts, numeric_facts
@@ -259,6 +259,31 @@ def test_correlation_with_gaps_constants_and_offsets(spark):
     assert found["a", "c"] == 0.0 and found["b", "c"] == 0.0
 
 
+def test_strips_give_the_same_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 11)) @ rng.normal(size=(11, 11)) + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"c{i} double" for i in range(11)))
+    whole = {(r["a"], r["b"]): r["real"] for r in scoring.correlations(df, df).collect()}
+    monkeypatch.setattr(moments, "TILE", 4)
+    monkeypatch.setattr(moments, "CELLS", 100)
+    monkeypatch.setattr(moments, "BLOCK", 7)
+    strips = {(r["a"], r["b"]): r["real"] for r in scoring.correlations(df, df).collect()}
+    assert len(strips) == 55 and strips == whole
+    for i, j in ((0, 1), (3, 9), (10, 4)):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert abs(strips[f"c{min(i, j)}", f"c{max(i, j)}"] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 6e-4
+
+
+def test_sampling_a_wide_table_in_parts(spark, monkeypatch):
+    df = spark.range(400).selectExpr(*[f"(id * {k + 3}) % 101 + id AS c{k}" for k in range(9)], "concat('t', id % 3) AS t")
+    want = classes.generate_pooled(df, df.columns, 500).rows.orderBy("row_id").toPandas()
+    for module, name, value in ((copula, "CELLS", 70), (copula, "SCAN_COLUMNS", 4), (moments, "TILE", 3)):
+        monkeypatch.setattr(module, name, value)
+    got = classes.generate_pooled(df, df.columns, 500).rows.orderBy("row_id").toPandas()
+    assert all(np.allclose(want[c], got[c]) for c in df.columns[:-1]) and list(want["t"]) == list(got["t"])
+
+
 def _facts(low, high, std=1.0, whole=False, between=5):
     return Facts(10, 0, (low + high) / 2, std, low, high, 0.0, whole, whole, between)
 
