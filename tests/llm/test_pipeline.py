@@ -74,5 +74,39 @@ def test_stages(spark, folder):
 def test_run_and_registration(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def _words(k, n=60):
+    return " ".join(f"w{k}q{i * 104729 % 99991}x" for i in range(n)) + "."
+
+
+def test_odd_documents(spark, folder):
+    """Nulls, empty and equal texts, ties and columns with the names that the stages use."""
+    texts = [(1, _words(1)), (2, _words(2)), (3, _words(1)), (3, _words(3)), (3, _words(3)), (4, None), (5, ""), (6, "too short"), (7, "again " * 80), (8, _words(2).upper()),
+             (9, _words(9, 30) + " " + _words(1, 25)), (10, _words(10, 20_000)), (None, _words(11)), (None, _words(1))]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, row long, component_id string, label_id int, queue string, left string, n_removed int, length int"
+    rows = [(i, t, "en", None if k % 3 else f"s{k % 2}", None if t is None else len(t), 0, "c", k, "q", "l", k, k) for k, (i, t) in enumerate(texts)]
+    docs, names = spark.createDataFrame(rows, columns), [c.split()[0] for c in columns.split(", ")]
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    kept = stages[0](spark, docs, folder)
+    assert kept.columns == names and sorted(r.queue + str(r.length) for r in kept.collect()) == sorted(f"q{k}" for k, (i, t) in enumerate(texts) if t and i not in (6, 7))
+    one = stages[1](spark, kept, folder)
+    got = sorted(((r.doc_id is None, r.doc_id, r.length) for r in one.collect()), key=str)
+    assert one.columns == names and len({i for _, i, _ in got}) == len(got) and {i for _, i, _ in got} == {1, 2, 3, 9, 10, None}
+    cut = stages[2](spark, one, folder)
+    left = {r.doc_id: r for r in cut.collect()}
+    assert cut.columns == names and set(left) == {1, 2, 3, 9, 10, None}
+    assert left[9].text == _words(9, 30) + left[9].text[len(_words(9, 30)):] and len(left[9].text) < len(_words(9, 30)) + 20 and left[9].n_chars == len(left[9].text)
+    assert all(left[k].text == t for k, t in ((1, _words(1)), (2, _words(2)), (10, _words(10, 20_000))))
+    pieces = stages[3](spark, cut, folder).collect()
+    assert {r.doc_id for r in pieces} == set(left) and sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
+
+
+def test_empty_table(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, folder)
+        assert docs.count() == 0 and docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert corpus_pipeline.STAGES[3][1](spark, docs, folder).count() == 0
