@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,9 @@ from tabloom.llm.common import id_and_text, stored, texts_of
 from tabloom.llm.token_counts import pieces_of
 from tabloom.llm.tokens import byte_pairs
 
-#: Remembered windows of a Python worker; beyond this many it starts anew. It has no influence on results.
+#: Remembered windows, and words, of a Python worker; beyond this many only the first half stays. It has no influence on results.
 MEMORY = 250_000
-#: Windows of more tokens than this are worked out each time.
+#: Windows of more tokens and words of more characters than this are worked out each time.
 LONGEST = 64
 #: Texts are read in stretches of about this many characters that end before a single space between two other characters:
 #: neither tokenizer has a token across such a place.
@@ -37,8 +39,14 @@ LONE_SPACE = re.compile(r"(?<=[^\s\x00-\x20▁]) (?=[^\s\x00-\x20▁])")
 HEAD = 1 << 18
 
 MARK = "▁"
-#: Ids of B are below this; a pair is one number ``a * WIDTH + b``.
+#: Ids of B are below ``WIDTH``; a pair is one number ``a * WIDTH + b``. Where ids of both stand together, those of B come after ``OFFSET``.
 WIDTH = 1 << 17
+OFFSET = 1 << 16
+
+
+def first_half(known: dict) -> dict:
+    """What was remembered first: most of it is frequent."""
+    return dict(islice(known.items(), MEMORY // 2))
 
 
 class Vocabularies:
@@ -55,11 +63,16 @@ class Vocabularies:
         for k in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(k)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace(MARK, " ").encode())
-        if len(self.b_bytes) > WIDTH:
-            raise ValueError(f"{b} has more than {WIDTH} tokens")
+        if len(self.a_bytes) > OFFSET or len(self.b_bytes) > WIDTH:
+            raise ValueError(f"{a} has more than {OFFSET} tokens or {b} more than {WIDTH}")
         self.a_length, self.b_length = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
-        self.a_spaced, self.b_spaced = (np.array([x[:1] == b" " for x in v]) for v in (self.a_bytes, self.b_bytes))
-        self.windows: dict[tuple[bytes, bytes], tuple[int, bytes, bytes]] = {}
+        both = [*self.a_bytes, *[b""] * (OFFSET - len(self.a_bytes)), *self.b_bytes]
+        self.length, self.spaced = np.array([len(x) for x in both], np.int64), np.array([x[:1] == b" " for x in both])
+        #: Each id as text with the sign after it: a comma, or at the end of a group a bar after A and a semicolon after B.
+        self.printed = [b"%d%s" % (k, end) for size, last in ((OFFSET, b"|"), (len(self.b_bytes), b";")) for k in range(size) for end in (b",", last)]
+        self.printed_length = np.array([len(x) for x in self.printed], np.int64)
+        self.words: dict[str, bytes] = {}
+        self.windows: dict[bytes, tuple[int, bytes, bytes]] = {}
 
     def stretches(self, text: str) -> Iterator[str]:
         """Parts of a text with the space between them left out, which both tokenizers put before a text again.
@@ -73,44 +86,77 @@ class Vocabularies:
             at = found.end()
         yield text[at:]
 
-    def window(self, key: tuple[bytes, bytes]) -> tuple[int, bytes, bytes]:
-        """Number of groups, the groups as text, and the linked pairs of a window, worked out from its ids."""
-        a, b = (np.frombuffer(k, np.uint32).tolist() for k in key)
-        groups, pairs = [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = self.a_length[a[0]], self.b_length[b[0]]
-        while True:
-            pairs.append(a[i] * WIDTH + b[j])
-            shared = end_a == end_b
-            if shared:
-                groups.append(",".join(map(str, a[first_a:i + 1])) + "|" + ",".join(map(str, b[first_b:j + 1])))
-                first_a, first_b = i + 1, j + 1
-            forward_a, forward_b = end_a <= end_b, end_b <= end_a
-            if forward_a:
-                i += 1
-                if i == len(a):
-                    break
-                end_a += self.a_length[a[i]]
-            if forward_b:
-                j += 1
-                end_b += self.b_length[b[j]]
-        return len(groups), ";".join(groups).encode(), np.array(pairs, np.int64).tobytes()
-
-    def cut(self, text: str) -> tuple[int, int, list[tuple[bytes, bytes]]] | None:
-        """Numbers of tokens and the windows of one stretch; None if the tokens of A or B do not spell it."""
-        a, b = np.array(self.a.plain(" " + text), np.uint32), np.array(self.b.encode(text, num_threads=1), np.uint32)
+    def tokenised(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Ids of A and, ``OFFSET`` higher, of B of one stretch, and both behind each other part by part.
+
+        No token crosses a lone space of a model that can be cut, so what stands between two of them is encoded once and remembered.
+        """
+        parts = LONE_SPACE.split(text) if self.cuts else [text]
+        known = self.words
+        found = list(map(known.get, parts))
+        new = list({p for p, ids in zip(parts, found) if ids is None})
+        if new:
+            if len(known) > MEMORY:
+                known = self.words = first_half(known)
+            plain = self.a.plain
+            fresh = {p: array("I", plain(" " + p) + [k + OFFSET for k in ids]).tobytes() for p, ids in zip(new, self.b.encode(new, num_threads=1))}
+            found = [fresh[p] if ids is None else ids for p, ids in zip(parts, found)]
+            known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
+        both = np.frombuffer(b"".join(found), np.uint32)
+        of_a = both < OFFSET
+        return both[of_a], both[~of_a], found
+
+    def work_out(self, keys: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        """Number of groups, the groups as text, and the linked pairs of each window, worked out from the ids of all of them at once:
+        windows one after the other are aligned like one text, as each ends with both tokenizers."""
+        both = np.frombuffer(b"".join(keys), np.uint32).astype(np.int64)
+        of_a = both < OFFSET
+        a, b = both[of_a], both[~of_a] - OFFSET
+        end_a, end_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        first, last = np.searchsorted(end_b, end_a - self.a_length[a], side="right"), np.searchsorted(end_b, end_a)
+        links = last - first + 1
+        before = np.cumsum(links)
+        pairs = np.repeat(a, links) * WIDTH + b[np.arange(before[-1]) + np.repeat(first - before + links, links)]
+        shared_a, shared_b = end_b[last] == end_a, np.zeros(len(b), bool)
+        shared_b[last[shared_a]] = True
+        group_a, group_b = (np.cumsum(x) - x for x in (shared_a, shared_b))
+        # The tokens in the order of the text: those of A before those of B in each group.
+        code = np.empty(len(both), np.int64)
+        code[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = 2 * a + shared_a
+        code[np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")] = 2 * (b + OFFSET) + shared_b
+        text = b"".join(map(self.printed.__getitem__, code.tolist()))
+        to_token = np.cumsum([len(k) // 4 for k in keys])
+        to_a = np.cumsum(of_a)[to_token - 1]
+        groups = np.diff(np.cumsum(shared_a)[to_a - 1], prepend=0).tolist()
+        to_text, to_link = np.cumsum(self.printed_length[code])[to_token - 1].tolist(), (8 * before[to_a - 1]).tolist()
+        raw = pairs.tobytes()
+        return [(n, text[i:k - 1], raw[j:m]) for n, i, k, j, m in zip(groups, [0, *to_text], to_text, [0, *to_link], to_link)]
+
+    def cut(self, text: str) -> tuple[int, int, list[bytes]] | None:
+        """Numbers of tokens and the windows of one stretch, each as its ids of A and then of B; None if the tokens of A or B do not spell it."""
+        if self.cuts and MARK in text:
+            return None  # a mark of the text would read as a space
+        a, b, parts = self.tokenised(text)
         whole = (" " + text).encode()
-        if b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole:
+        end_a, end_b = np.cumsum(self.a_length[a]), np.cumsum(self.length[b])
+        # Ids of A are merged bytes of the text, and those of a model that can be cut merged pieces, so their lengths tell.
+        if end_a[-1] != len(whole) or end_b[-1] != len(whole) or not self.cuts and b"".join(map(self.b_bytes.__getitem__, (b - OFFSET).tolist())) != whole:
             return None
-        end_a, end_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
         at_b = np.searchsorted(end_b, end_a)
         last_a = np.flatnonzero(end_b[at_b] == end_a)
         last_b = at_b[last_a]
         anchor = np.ones(len(last_a), bool)
-        anchor[:-1] = self.a_spaced[a[last_a[:-1] + 1]] & self.b_spaced[b[last_b[:-1] + 1]]
-        to_a, to_b = ((4 * (x[anchor] + 1)).tolist() for x in (last_a, last_b))
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        return len(a), len(b), [(raw_a[i:k], raw_b[j:m]) for i, k, j, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+        anchor[:-1] = self.spaced[a[last_a[:-1] + 1]] & self.spaced[b[last_b[:-1] + 1]]
+        to_a, to_b = last_a[anchor] + 1, last_b[anchor] + 1
+        if len(to_a) == len(parts) and np.array_equal(4 * (to_a + to_b), np.cumsum([len(x) for x in parts])):
+            return len(a), len(b), parts  # the anchors are where the parts end
+        # The ids of a window of A and those of B behind each other, window by window.
+        ids = np.empty(len(a) + len(b), np.uint32)
+        ids[np.arange(len(a)) + np.repeat(np.append(0, to_b[:-1]), np.diff(to_a, prepend=0))] = a
+        ids[np.arange(len(b)) + np.repeat(to_a, np.diff(to_b, prepend=0))] = b
+        ends = (4 * (to_a + to_b)).tolist()
+        raw = ids.tobytes()
+        return len(a), len(b), [raw[i:j] for i, j in zip([0, *ends], ends)]
 
     def align(self, text: str) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """Numbers of tokens of A and B, of groups and links, the digest of the groups, the different pairs and their links."""
@@ -121,14 +167,14 @@ class Vocabularies:
                 return NOTHING
             n_a, n_b = n_a + found[0], n_b + found[1]
             if len(known) > MEMORY:
-                known.clear()
-            done = []
-            for key in found[2]:
-                if (window := known.get(key)) is None:
-                    window = self.window(key)
-                    if len(key[0]) <= 4 * LONGEST:
-                        known[key] = window
-                done.append(window)
+                known = self.windows = first_half(known)
+            keys = found[2]
+            done = list(map(known.get, keys))
+            new = list({key for key, window in zip(keys, done) if window is None})
+            if new:
+                fresh = dict(zip(new, self.work_out(new)))
+                done = [window or fresh[key] for key, window in zip(keys, done)]
+                known.update((key, window) for key, window in fresh.items() if len(key) <= 4 * LONGEST)
             counts, texts, links = zip(*done)
             n_groups += sum(counts)
             digest.update(b";" * (number > 0) + b";".join(texts))
