@@ -19,7 +19,7 @@ from tabloom.functions.small import small_frame
 from tabloom.operators.frequencies import class_counts
 from tabloom.operators.indexing import dense_index, with_row_key
 from tabloom.operators.keyed_copula import CHUNK, with_starts
-from tabloom.session import materialize
+from tabloom.session import materialize, working_copy
 
 # Limits of text detection and strengths of augmentation.
 SENTENCE_WORDS, CODE_SHARE, CODE_CHARS = 3.0, 0.95, 12
@@ -71,7 +71,8 @@ def unique_shares(profile) -> dict[str, float]:
 def frequent_word_lexicon(df: DataFrame, column: str, size: int = 200, min_letters: int = 4) -> DataFrame:
     """A lexicon made from the texts themselves, for tests and demos without a thesaurus: each of the most frequent
     words maps to the next frequent one."""
-    tokens = df.select(F.explode(F.regexp_extract_all(F.lower(f"`{column}`"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word"))
+    with working_copy(df.select(F.col(f"`{column}`"))) as texts:
+        tokens = texts.select(F.explode(F.regexp_extract_all(F.lower(f"`{column}`"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word"))
     top = tokens.where(F.length("word") >= min_letters).groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
     ranked = [r["word"] for r in top.collect()]
     return small_frame(df.sparkSession, list(zip(ranked, ranked[1:] + ranked[:1])), "word string, synonym string")
@@ -134,8 +135,8 @@ def _augment_in_place(df: DataFrame, columns: list[str], keys: list[str], choice
         parts = F.regexp_extract_all(F.col(f"`{c}`"), F.lit(WORDS_OR_GAPS), F.lit(0))
         first = F.when(F.col(f"`{c}`").rlike(r"^[\p{L}\p{N}]"), 0).otherwise(1)
         pieces |= {f"_key{i}": _key(keys, c), f"_parts{i}": parts, f"_first{i}": first}
-    wide = df.withColumns(pieces).drop(*columns)
-    return wide.mapInArrow(lambda batches: task(batches), df.schema)
+    with working_copy(df) as rows:
+        return rows.withColumns(pieces).drop(*columns).mapInArrow(lambda batches: task(batches), df.schema)
 
 
 def _augment_by_join(df: DataFrame, columns: list[str], keys: list[str], choices: DataFrame, share: float, seed: int) -> DataFrame:
@@ -208,6 +209,8 @@ def text_quality(original: DataFrame, augmented: DataFrame, columns: list[str])
         exploded = _long(df, columns).select("column", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
         return exploded.where("word <> ''").distinct()
 
+    with working_copy(original.select(*[F.col(f"`{c}`") for c in columns])) as copy:
+        original = copy
     known, used = vocabulary(original), vocabulary(augmented)
     known_n = known.groupBy("column").agg(F.count(F.lit(1)).alias("known"))
     fresh_n = used.join(known, ["column", "word"], "left_anti").groupBy("column").agg(F.count(F.lit(1)).alias("fresh"))
