@@ -1,15 +1,17 @@
 """Mixture-controlled packing: every window is filled from the sources in the target token proportions.
 
-Deficit round-robin serves queues in turn; a queue earns its share of each round, is served whole tokens, and carries
-what is left over (its deficit) into the next round. Here a document's tokens may be cut, so a queue's service is known
-in closed form: token j of a queue with weight w is due at virtual time (j + 1/2) / w, and tokens are served in the order of
-their due times (ties in queue order). After any number of tokens a queue then is within about one token of its share: this
-difference is the deficit that passes from window to window. As the order depends on the weights and queue lengths alone,
-every task can compute the state at the start of any window without playing the windows before it, and deficits
-carry over the borders of partitions too. A queue that runs dry leaves its share to the others.
-
-Every source has a queue. Tasks know them by their weights and lengths only: queues of one weight are served alike until they are
-dry, so counts of queues by weight and length give all sums, and different lengths are few (they add up to the tokens).
+Deficit round-robin: queues are visited in turn, round after round. At each visit a queue earns its share of a quantum of tokens; once it has
+earned a whole one, its next ``quantum`` tokens (at its end the rest) are served and paid for, and what it has left, its
+deficit, goes into the next round. Rounds run on over the ends of windows, so deficits pass from window to window, and a
+queue is always within about a quantum of its share. Queues of one weight begin with deficits spread evenly over a quantum, so they
+are not all served in the same round. A queue that runs dry leaves its share to the others.
+
+What a queue has been served after a round follows from its weight, its first deficit and its length. So every task can compute where a
+quantum of tokens stands without playing the rounds before it, and deficits carry over the borders of partitions too.
+
+Every source has a queue. Tasks know them by their weights and lengths only: queues of one weight have earned one of two
+amounts after a round, so counts of queues by weight and length give all sums. Weights add up to ``SCALE``, but for those that are raised to
+one, so different weights are a few hundred at most, and different lengths are few (they add up to the tokens).
 """
 
 from __future__ import annotations
@@ -27,150 +29,84 @@ from tabloom.functions.small import small_frame
 from tabloom.llm.common import id_and_text, stored, texts_of
 from tabloom.llm.tokens import byte_pairs
 
-#: Weights are rounded to parts of this; products with token counts up to 2^45 stay within 64 bits.
+#: Weights are rounded to parts of this; products with numbers of quanta up to 2^45 stay within 64 bits.
 SCALE = 1 << 16
 
 
-class Schedule:
-    """The order in which tokens of queues with given lengths and weights are served."""
-
-    def __init__(self, lengths: list[int], weights: list[float] | None = None):
-        busy = np.flatnonzero(np.array(lengths, np.int64))
-        self.number = np.searchsorted(busy, np.arange(len(lengths)))  # empty queues need no place
-        self.length = np.array(lengths, np.int64)[busy]
-        share = np.array(lengths if weights is None else weights, float)[busy]
-        self.weight = np.maximum(1, np.rint(share / max(share.sum(), 1e-300) * SCALE)).astype(np.int64)
-        self.last = self.due(np.arange(len(busy)), self.length - 1)
-        self.total = int(self.length.sum())
-
-    def due(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """The virtual time at which a token is due, rounded down to a whole number."""
-        return (2 * token + 1) * SCALE // self.weight[queue]
-
-    def served(self, time: np.ndarray) -> np.ndarray:
-        """``[time, queue]``: tokens due at ``time`` or earlier."""
-        capped = np.minimum(time[:, None], self.last[None, :])
-        odd = ((capped + 1) * self.weight - 1) // SCALE
-        return np.where(time[:, None] >= self.last, self.length, np.minimum(self.length, (odd + 1) // 2))
-
-    def rank(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """How many tokens are served before this one."""
-        time = self.due(queue, token)
-        before, now = self.served(time - 1), self.served(time)
-        lower = np.arange(len(self.length))[None, :] < queue[:, None]
-        rows = np.arange(len(queue))
-        return before.sum(axis=1) + ((now - before) * lower).sum(axis=1) + token - before[rows, queue]
-
-    def state(self, count: np.ndarray) -> np.ndarray:
-        """``[count, queue]``: tokens of each queue among the first ``count`` tokens served."""
-        end = int(self.last.max(initial=0))
-        # While no queue is dry, all together are served weight.sum() / (2 * SCALE) tokens in a unit of time, give or take one each.
-        guess, slack = 2 * count * SCALE // self.weight.sum(), 4 * (len(self.length) + 2) * SCALE // int(self.weight.sum()) + 4
-        low, high = np.clip(guess - slack, -1, end), np.clip(guess + slack, -1, end)
-        wrong = (self.served(low).sum(axis=1) > count) | ((high < end) & (self.served(high + 1).sum(axis=1) <= count))
-        low[wrong], high[wrong] = -1, end
-        while (low < high).any():  # the last time at which no more than count tokens are due
-            middle = (low + high + 1) >> 1
-            fits = self.served(middle).sum(axis=1) <= count
-            low, high = np.where(fits, middle, low), np.where(fits, high, middle - 1)
-        sure = self.served(low)
-        more = self.served(low + 1) - sure
-        before = np.cumsum(more, axis=1) - more
-        left = count - sure.sum(axis=1)
-        return sure + np.clip(left[:, None] - before, 0, more)
-
-    def pieces(self, queue: np.ndarray, begin: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-        """Cuts stretches of queues at window ends: index of the stretch, start in it, length, window, and place in the window."""
-        if not len(queue):
-            return (np.zeros(0, np.int64),) * 5
-        queue = self.number[queue]
-        first = self.rank(queue, begin) // window
-        last = self.rank(queue, begin + length - 1) // window
-        times = last - first + 1
-        index = np.repeat(np.arange(len(queue)), times)
-        at = first[index] + np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
-        used, place = np.unique(np.concatenate([at, at + 1]), return_inverse=True)
-        states = self.state(np.minimum(used * window, self.total))
-        opens, closes = states[place[:len(at)]], states[place[len(at):]]
-        rows, q = np.arange(len(index)), queue[index]
-        start = np.maximum(opens[rows, q], begin[index])
-        end = np.minimum(closes[rows, q], begin[index] + length[index])
-        quota = closes - opens
-        offset = np.cumsum(quota, axis=1)[rows, q] - quota[rows, q] + start - opens[rows, q]
-        some = end > start
-        return tuple(x[some] for x in (index, start - begin[index], end - start, at, offset))
-
-
 class Queues:
-    """The same order as ``Schedule`` for any number of queues that are numbered by ascending weight and then descending length,
-    from how many queues have each weight and length."""
+    """Deficit round-robin over queues that are numbered by ascending weight and then descending length, from how many queues have each
+    weight and length.
+
+    In a round a queue of weight w earns w parts of a quantum, of which ``SCALE`` are a whole one.
+    """
 
-    def __init__(self, weights: list[int], lengths: list[int], counts: list[int]):
+    def __init__(self, weights: list[int], lengths: list[int], counts: list[int], quantum: int):
         order = np.lexsort((-np.array(lengths, np.int64), np.array(weights, np.int64)))
         weight, length, count = (np.array(x, np.int64)[order] for x in (weights, lengths, counts))
         opens = np.flatnonzero(np.r_[True, weight[1:] != weight[:-1]]) if len(weight) else np.zeros(0, np.int64)
-        self.weight, self.groups = weight[opens], []
+        self.quantum, self.weight, self.groups = quantum, weight[opens], []
         for a, b in zip(opens, np.r_[opens[1:], len(weight)].astype(np.int64)):
             n, size = count[a:b], length[a:b]
-            self.groups.append((int(weight[a]), int((2 * size[0] - 1) * SCALE // weight[a]), -size, np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * size)]))
+            quanta = -(-int(size[0]) // quantum)
+            self.groups.append((int(weight[a]), -(-quanta * SCALE // int(weight[a])), -size, np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * size)]))
         self.base = np.cumsum([0, *(int(g[3][-1]) for g in self.groups)])
-        self.all, self.total = int(self.base[-1]), int((length * count).sum())
-        self.weights, self.end = int((weight * count).sum()), max([g[1] for g in self.groups], default=0)
+        self.all = int(self.base[-1])
 
-    def upto(self, time: np.ndarray, queue: np.ndarray | int) -> np.ndarray:
-        """Tokens of the queues before ``queue`` that are due at ``time`` or earlier."""
-        out = np.zeros(len(time), np.int64)
+    def upto(self, turn: np.ndarray, queue: np.ndarray | int) -> np.ndarray:
+        """Tokens that the queues before ``queue`` are served in the rounds up to ``turn``."""
+        out = np.zeros(len(turn), np.int64)
         for base, (weight, last, minus, n, tokens) in zip(self.base, self.groups):
-            odd = ((np.minimum(time, last) + 1) * weight - 1) // SCALE
-            each = np.where(time >= last, -minus[0], np.minimum(-minus[0], (odd + 1) // 2))
-            longer = n[np.searchsorted(minus, -each, side="left")]
-            first = np.clip(queue - base, 0, n[-1])
-            cut = np.minimum(first, longer)
-            out += cut * each
-            for upper, sign in ((first, 1), (cut, -1)):  # what is left are whole queues
-                k = np.minimum(np.searchsorted(n, upper, side="right") - 1, len(minus) - 1)
-                out += sign * (tokens[k] - (upper - n[k]) * minus[k])
+            earned = np.minimum(turn, last) * weight
+            whole, part = earned // SCALE, earned % SCALE
+            members = int(n[-1])
+            first = np.clip(queue - base, 0, members)
+            # First deficits grow with the number, so the queues from here on have one quantum more.
+            ahead = np.minimum(first, np.maximum(0, -((SCALE - 2 * members * (SCALE - part)) // (2 * SCALE))))
+
+            def served(upper: np.ndarray, quanta: np.ndarray) -> np.ndarray:
+                each = np.minimum(-minus[0], quanta * self.quantum)
+                cut = np.minimum(upper, n[np.searchsorted(minus, -each, side="left")])
+                total = cut * each
+                for end, sign in ((upper, 1), (cut, -1)):  # what is left are whole queues
+                    k = np.minimum(np.searchsorted(n, end, side="right") - 1, len(minus) - 1)
+                    total += sign * (tokens[k] - (end - n[k]) * minus[k])
+                return total
+
+            out += served(ahead, whole) + served(first, whole + 1) - served(ahead, whole + 1)
         return out
 
-    def rank(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """How many tokens are served before this one."""
-        time = (2 * token + 1) * SCALE // self.weight[np.searchsorted(self.base, queue, side="right") - 1]
-        return self.upto(time - 1, self.all) + self.upto(time, queue) + token - self.upto(time - 1, queue + 1)
-
-    def moments(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The last time at which no more than ``count`` tokens are due, and how many of the next moment's are among them."""
-        guess, slack = 2 * count * SCALE // self.weights, 4 * (self.all + 2) * SCALE // self.weights + 4
-        low, high = np.clip(guess - slack, -1, self.end), np.clip(guess + slack, -1, self.end)
-        wrong = (self.upto(low, self.all) > count) | ((high < self.end) & (self.upto(high + 1, self.all) <= count))
-        low[wrong], high[wrong] = -1, self.end
-        while (low < high).any():
-            middle = (low + high + 1) >> 1
-            fits = self.upto(middle, self.all) <= count
-            low, high = np.where(fits, middle, low), np.where(fits, high, middle - 1)
-        return low, count - self.upto(low, self.all)
-
-    def before(self, time: np.ndarray, left: np.ndarray, queue: np.ndarray) -> np.ndarray:
-        """Tokens of the queues before ``queue`` among those served up to such a moment."""
-        sure = self.upto(time, queue)
-        return sure + np.minimum(left, self.upto(time + 1, queue) - sure)
+    def place(self, queue: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """How many tokens are served before the quantum of that number of a queue."""
+        group = np.searchsorted(self.base, queue, side="right") - 1
+        deficit = (2 * (queue - self.base[group]) + 1) * SCALE // (2 * np.diff(self.base)[group])
+        turn = -((deficit - (number + 1) * SCALE) // self.weight[group])
+        return self.upto(turn - 1, self.all) + self.upto(turn, queue) + number * self.quantum - self.upto(turn - 1, queue + 1)
 
     def pieces(self, queue: np.ndarray, begin: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-        """Cuts stretches of queues at window ends: index of the stretch, start in it, length, window, and place in the window."""
+        """Cuts stretches of queues where quanta and windows end: index of the stretch, start in it, length, window, and place in the window."""
         if not len(queue):
             return (np.zeros(0, np.int64),) * 5
-        first = self.rank(queue, begin) // window
-        times = self.rank(queue, begin + length - 1) // window - first + 1
-        index = np.repeat(np.arange(len(queue)), times)
-        at = first[index] + np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
-        used, place = np.unique(np.concatenate([at, at + 1]), return_inverse=True)
-        time, left = self.moments(np.minimum(used * window, self.total))
-        q = queue[index]
-        (lower, opens), (higher, closes) = (
-            (before, self.before(time[k], left[k], q + 1) - before) for k in (place[:len(at)], place[len(at):]) for before in (self.before(time[k], left[k], q),))
-        start = np.maximum(opens, begin[index])
-        end = np.minimum(closes, begin[index] + length[index])
-        some = end > start
-        return tuple(x[some] for x in (index, start - begin[index], end - start, at, higher - lower + start - opens))
+        index, number = spread(begin // self.quantum, (begin + length - 1) // self.quantum)
+        different, which = np.unique(np.stack([queue[index], number]), axis=1, return_inverse=True)
+        start = np.maximum(begin[index], number * self.quantum)
+        end = np.minimum((begin + length)[index], (number + 1) * self.quantum)
+        at = self.place(*different)[which.ravel()] + start - number * self.quantum
+        start -= begin[index]
+        end -= begin[index]
+        # Quanta that follow each other in the output as well are one piece.
+        opens = np.r_[True, (index[1:] != index[:-1]) | (at[1:] != at[:-1] + (end - start)[:-1])]
+        index, start, at, end = index[opens], start[opens], at[opens], end[np.r_[opens[1:], True]]
+        row, sequence = spread(at // window, (at + end - start - 1) // window)
+        low = np.maximum(at[row], sequence * window)
+        high = np.minimum((at + end - start)[row], (sequence + 1) * window)
+        return index[row], start[row] + low - at[row], high - low, sequence, low - sequence * window
+
+
+def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the numbers from ``first`` to ``last``: row and number."""
+    times = last - first + 1
+    row = np.repeat(np.arange(len(first)), times)
+    return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
 
 
 def numbered_queues(sums: DataFrame, weights: dict[str, float] | None) -> DataFrame:
@@ -195,13 +131,14 @@ def numbered_queues(sums: DataFrame, weights: dict[str, float] | None) -> DataFr
     return stored(ranged.withColumn("inside", inside).join(F.broadcast(bases), "part").select("source", "length", "weight", (F.col("base") + F.col("inside")).alias("queue")), "queues")
 
 
-def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k", end_id: int = 1, weights: dict[str, float] | None = None,
+def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k", end_id: int = 1, weights: dict[str, float] | None = None, quantum: int = 256,
          id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids`` on request).
 
     A document is its token ids and then ``end_id``; a null or empty text is the end id alone. Null ids stay null, repeated rows are
     packed each, a null source is a source like any other, and no rows give no pieces. ``weights`` are target shares by
     source (null: ''); sources that are not named get 0 and so come last. By default the targets are the shares of the corpus.
+    ``quantum`` tokens are served at once: fewer follow the targets more closely and cut documents more often.
     All sequences but the last are full. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -232,7 +169,7 @@ def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "byte_bpe_50k", e
     ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("block", "source", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")).join(queues.select("source", "queue"), "source")
     alike = queues.groupBy("weight", "length").agg(F.count("*").alias("n")).collect()
-    schedule = spark.sparkContext.broadcast(Queues([r.weight for r in alike], [r.length for r in alike], [r.n for r in alike]))
+    schedule = spark.sparkContext.broadcast(Queues([r.weight for r in alike], [r.length for r in alike], [r.n for r in alike], quantum))
     narrow = 2 if byte_pairs(tokenizer).size <= 1 << 16 and end_id < 1 << 16 else 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
