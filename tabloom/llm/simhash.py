@@ -9,6 +9,7 @@ before the whole distance is counted.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import id_and_text, numbered_rows, stored, text_bytes
+from tabloom.llm.common import BLANKS, id_and_text, numbered_rows, stored, text_bytes
 from tabloom.llm.components import components
 
 SEGMENTS = 8
@@ -26,22 +27,37 @@ SEED = 42
 BLOCK = 2048
 #: Groups up to this size give all their links, larger ones a tree that spans each linked set.
 SMALL = 16
+#: Bytes of a text whose shingles are hashed at once.
+STRETCH = 1 << 20
+BLANK = re.compile(b"[" + BLANKS + b"]")
+
+
+def stretches(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about ``STRETCH`` bytes that end before a blank, so no word is cut."""
+    at = 0
+    while at < len(text):
+        blank = BLANK.search(text, at + STRETCH)
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
-    """Bits set in more than half of the shingle hashes; 0 for a text without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    """Bits set in more than half of the shingle hashes; 0 for a text without words. Only the words and hashes of a stretch are held."""
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(b" ".join(w), SEED) for w in zip(*(words[k:] for k in range(shingle)))])
-    n = len(hashes) // 8
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(n, 8), axis=1)
-    ones = np.zeros(64, np.int64)
-    for start in range(0, n, 255):  # sums of 255 bits fit into a byte
-        ones += np.add.reduce(bits[start:start + 255], axis=0, dtype=np.uint8)
+    words, n, ones = [], 0, np.zeros(64, np.int64)
+    for stretch in stretches(text):
+        words += stretch.lower().split()
+        hashes = b"".join([digest(b" ".join(w), SEED) for w in zip(*(words[k:] for k in range(shingle)))])
+        if not hashes:
+            continue
+        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+        for start in range(0, len(bits), 255):  # sums of 255 bits fit into a byte
+            ones += np.add.reduce(bits[start:start + 255], axis=0, dtype=np.uint8)
+        n += len(bits)
+        words = words[len(words) - shingle + 1:]
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 

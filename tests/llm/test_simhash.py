@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -48,6 +49,25 @@ def test_fingerprint_of_long_text():
     assert simhash.fingerprint(text.encode(), 3) == plain_fingerprint(text, 3)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from(list("aB1 \n\x0bÉ漢")), max_size=80), st.integers(1, 4), st.integers(1, 30))
+def test_fingerprint_in_stretches(text, width, stretch):
+    whole, simhash.STRETCH = simhash.STRETCH, stretch
+    try:
+        assert simhash.fingerprint(text.encode(), width) == plain_fingerprint(text, width)
+    finally:
+        simhash.STRETCH = whole
+
+
+def test_fingerprint_of_ten_million_words_in_bounded_memory():
+    text = b"one two three four five six seven eight nine ten " * 1_000_000
+    tracemalloc.start()
+    simhash.fingerprint(text, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=7), st.integers(0, 7))
 def test_close_pairs_share_a_key_and_keep_its_budgets(a, flips, distance):
