@@ -9,8 +9,13 @@ narrowed range are grouped and ranked. Each round is one scan whose shuffle hold
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ VALUE_BUDGET = 500_000
 BRACKET_LIMIT = 100_000
 ACCURACY = 10_000
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass
 class _Target:
@@ -90,6 +97,100 @@ def exact_quantiles(
     return answer
 
 
+def grouped_quantiles(df: DataFrame, group: str, requests: dict[str, tuple[Column, list[float]]], value_budget: int = VALUE_BUDGET,
+                      accuracy: int = ACCURACY) -> dict[str, dict[str, list[float | None]]]:
+    """Quantiles of several numeric expressions for each of a few groups, as ``percentile`` gives them; any number of them costs three scans.
+
+    Beyond the budget a sketch proposes cuts close to every wanted rank. The values between two cuts are counted, which tells exactly
+    where each rank lies however good the sketch is, and only the values of those stretches are grouped and ranked. Null groups are the
+    text ``None``.
+    """
+    names = list(requests)
+    named = df.select(F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("None")).alias("grp"), *[requests[n][0].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+    counts = {r["grp"]: r for r in named.groupBy("grp").agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(names))]).collect()}
+    small = sum(r[f"n{i}"] for r in counts.values() for i in range(len(names))) <= value_budget
+
+    def sketched(i: int) -> Column:
+        probs = requests[names[i]][1]
+        if small:
+            return F.percentile(f"x{i}", F.array(*[F.lit(float(p)) for p in probs]))
+        slack = 2.0 / accuracy
+        near = sorted({e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))})
+        return F.percentile_approx(f"x{i}", near, accuracy)
+
+    found = {r["grp"]: r for r in named.groupBy("grp").agg(*[sketched(i).alias(f"q{i}") for i in range(len(names))]).collect()}
+    if small:
+        return {g: {n: list(r[f"q{i}"]) if r[f"q{i}"] is not None else [None] * len(requests[n][1]) for i, n in enumerate(names)} for g, r in found.items()}
+    cuts = {(g, i): np.unique([x for x in r[f"q{i}"] or [] if not math.isnan(x)]) for g, r in found.items() for i in range(len(names))}
+    counting, width = _Stretches(cuts, len(names)), "grp string, x int, stretch int, n long"
+    held: dict[tuple, dict[int, int]] = {}
+    for r in named.mapInArrow(lambda batches: counting(batches), width).groupBy("grp", "x", "stretch").agg(F.sum("n").alias("n")).collect():
+        held.setdefault((r["grp"], r["x"]), {})[r["stretch"]] = r["n"]
+    ranks: dict[tuple, set[int]] = {}
+    for g, i in cuts:
+        for p in requests[names[i]][1] if counts[g][f"n{i}"] else []:
+            at = p * (counts[g][f"n{i}"] - 1)
+            ranks.setdefault((g, i), set()).update((math.floor(at), math.ceil(at)))
+    wanted = []
+    for (g, i), mine in ranks.items():
+        stretches = sorted(held[g, i].items())
+        upto = np.cumsum([n for _, n in stretches])
+        for rank in sorted(mine):
+            k = int(np.searchsorted(upto, rank, side="right"))
+            wanted.append((g, i, stretches[k][0], rank, rank - int(upto[k] - stretches[k][1])))
+    picking = _Stretches(cuts, len(names), {key: np.array(sorted({w[2] for w in wanted if w[:2] == key})) for key in cuts})
+    counted = named.mapInArrow(lambda batches: picking(batches), "grp string, x int, stretch int, v double, n long").groupBy("grp", "x", "stretch", "v").agg(F.sum("n").alias("n"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("grp", "x", "stretch").orderBy("v")))
+    places = small_frame(df.sparkSession, wanted, "grp string, x int, stretch int, rank long, place long")
+    hit = upto.join(F.broadcast(places), ["grp", "x", "stretch"]).where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place")))
+    value = {(r["grp"], r["x"], r["rank"]): r["v"] for r in hit.select("grp", "x", "rank", "v").collect()}
+    answer: dict[str, dict[str, list[float | None]]] = {g: {} for g in counts}
+    for g, i in cuts:
+        n = counts[g][f"n{i}"]
+        answer[g][names[i]] = [_between(value, (g, i), p * (n - 1)) if n else None for p in requests[names[i]][1]]
+    return answer
+
+
+def _between(value: dict[tuple, float], key: tuple, at: float) -> float:
+    low, high = math.floor(at), math.ceil(at)
+    first, last = value[*key, low], value[*key, high]
+    return first if first == last or low == high else (high - at) * first + (at - low) * last
+
+
+class _Stretches:
+    """Task side of ``grouped_quantiles``: counts the values between each two cuts, or the different values of the ``kept`` stretches."""
+
+    def __init__(self, cuts: dict[tuple[str, int], np.ndarray], width: int, kept: dict[tuple[str, int], np.ndarray] | None = None):
+        self.cuts, self.width, self.kept = cuts, width, kept
+
+    def __call__(self, batches):
+        totals: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            keys = batch.column(0)
+            for g in pc.unique(keys).to_pylist():
+                part = batch.filter(pc.equal(keys, g))
+                for i in range(self.width):
+                    x = part.column(i + 1).drop_null().to_numpy(zero_copy_only=False)
+                    at = np.searchsorted(self.cuts[g, i], x, side="left")
+                    if self.kept is None:
+                        n = np.bincount(at, minlength=len(self.cuts[g, i]) + 1)
+                        totals[g, i] = totals[g, i] + n if (g, i) in totals else n
+                        continue
+                    v, n = np.unique(x[np.isin(at, self.kept[g, i])], return_counts=True)
+                    if len(v):
+                        yield self._rows(g, i, np.searchsorted(self.cuts[g, i], v, side="left"), n, v)
+        for (g, i), n in totals.items():
+            some = np.nonzero(n)[0]
+            yield self._rows(g, i, some, n[some])
+
+    @staticmethod
+    def _rows(g: str, i: int, stretch: np.ndarray, n: np.ndarray, v: np.ndarray | None = None) -> pa.RecordBatch:
+        columns = {"grp": pa.array([g] * len(n), pa.string()), "x": pa.array(np.full(len(n), i), pa.int32()), "stretch": pa.array(stretch, pa.int32())}
+        if v is not None:
+            columns["v"] = pa.array(v, pa.float64())
+        return pa.RecordBatch.from_pydict({**columns, "n": pa.array(n, pa.int64())})
+
+
 DIGIT_BITS = 16
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions import draws, gaussian
 from tabloom.functions.kinds import FLOAT, INTEGER, kinds
+from tabloom.functions.quantiles import grouped_quantiles
 from tabloom.functions.small import small_frame
 from tabloom.operators import tails
 from tabloom.operators.moments import CELLS, pairwise_correlation
@@ -91,7 +92,7 @@ def fit_marginals(df: DataFrame, numeric: list[str], categorical: list[str], exa
     """Grids and category shares per group, in one grouped aggregation and one grouped count.
 
     At every size the grid comes from a mergeable quantile sketch whose rank error is 1 in ``ACCURACY``; category shares
-    are exact counts. ``exact`` asks for interpolated quantiles, which keep the distinct values of a group in one buffer.
+    are exact counts. ``exact`` asks for interpolated quantiles, which take two more scans and a shuffle of the values near them.
     """
     by_type = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     probs = [i / GRID for i in range(GRID + 1)]
@@ -104,11 +105,15 @@ def fit_marginals(df: DataFrame, numeric: list[str], categorical: list[str], exa
                 aggs.append(F.count(F.col(f"`{c}`").cast("string")).alias(f"c{i}"))
                 continue
             x = F.col(f"`{c}`").cast("double")
-            grid = (F.percentile(x, F.array(*[F.lit(p) for p in probs])) if exact
-                    else F.percentile_approx(x, probs, ACCURACY))
-            aggs += [grid.alias(f"g{i}"), F.count(x).alias(f"n{i}")]
+            if not exact:
+                aggs.append(F.percentile_approx(x, probs, ACCURACY).alias(f"g{i}"))
+            aggs.append(F.count(x).alias(f"n{i}"))
         for r in df.groupBy(GROUP).agg(*aggs).collect():
             found.setdefault(str(r[GROUP]), {}).update(r.asDict())
+        if exact:
+            grids = grouped_quantiles(df, GROUP, {f"g{i}": (F.col(f"`{c}`"), probs) for i, c, number in columns[start:start + SCAN_COLUMNS] if number})
+            for g, mine in grids.items():
+                found[g].update(mine)
     sizes = {g: r["size"] for g, r in found.items()}
     groups: dict[str, dict[str, Marginal]] = {g: {c: Marginal() for c in numeric + categorical} for g in sizes}
     for g, r in found.items():
