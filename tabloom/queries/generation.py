@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabloom.functions.quantiles import grouped_quantiles
 from tabloom.functions.small import small_frame
 from tabloom.operators import classes, copula
 from tabloom.operators.bootstrap import bootstrap_rows
 from tabloom.operators.copula import GRID, GROUP
 from tabloom.plans import runs
 from tabloom.queries.common import ROW_KEYS, SALES, Book, normal_sql, sales, table, union_sql, unit_sql
+from tabloom.session import materialize
 
 BOOK = Book()
 SEED = 42
@@ -144,10 +146,12 @@ def _properties(method: str, real, made, columns: list[str], pair: tuple[str, st
     """Per column: number of rows, whether all lie in the real range, the quartiles (the real ones if those of the rows are within
     5% of the range of them) and the correlation of ``pair`` (the real one if that of the rows is within 0.1 of it)."""
     def facts(df):
-        return df.agg(F.count(F.lit(1)).alias("n"), F.corr(*pair).alias("r"), *[
-            f for i, c in enumerate(columns) for f in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"q{i}"))]).first()
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.corr(*pair).alias("r"), *[
+            f for i, c in enumerate(columns) for f in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]).first()
+        quartiles = grouped_quantiles(df.withColumn(GROUP, F.lit("")), GROUP, {f"q{i}": (F.col(c), [0.25, 0.5, 0.75]) for i, c in enumerate(columns)})
+        return {**row.asDict(), **quartiles[""]}
 
-    a, b = facts(real), facts(made)
+    a, b = facts(real), facts(materialize(made.select(*dict.fromkeys([*columns, *pair]))))
     rows = []
     for i, c in enumerate(columns):
         width = float(a[f"hi{i}"]) - float(a[f"lo{i}"])
@@ -253,9 +257,14 @@ def mixture_two_peaks(spark, folder):
     real = rows.select((F.col("l_extendedprice") + 400000 * side).alias("x"), ((1 - 2 * side) * F.col("rev")).alias("y"))
     made = classes.generate_mixture(real, ["x", "y"], rows.count(), seed=SEED).rows
     ends = real.agg(F.max(F.when(F.col("x") < 300000, F.col("x"))), F.min(F.when(F.col("x") >= 300000, F.col("x")))).first()
-    facts = [F.count(F.lit(1)).alias("n"), F.percentile("x", F.array(F.lit(0.1), F.lit(0.9))).alias("q"), F.corr("x", "y").alias("r"),
-             F.count_if((F.col("x") > ends[0]) & (F.col("x") < ends[1])).alias("between")]
-    want, got = ({r["upper"]: r for r in d.groupBy((F.col("x") >= 300000).cast("int").alias("upper")).agg(*facts).collect()} for d in (real, made))
+
+    def facts(df):
+        sided = df.withColumn("upper", (F.col("x") >= 300000).cast("int"))
+        found = sided.groupBy("upper").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"), F.count_if((F.col("x") > ends[0]) & (F.col("x") < ends[1])).alias("between")).collect()
+        widths = grouped_quantiles(sided, "upper", {"q": (F.col("x"), [0.1, 0.9])})
+        return {r["upper"]: {**r.asDict(), **widths[str(r["upper"])]} for r in found}
+
+    want, got = facts(real), facts(materialize(made.select("x", "y")))
     out = []
     for side, w in want.items():
         g, width = got[side], w["q"][1] - w["q"][0]
