@@ -2,7 +2,7 @@
 
 Every task adds up counts, sums and products of its rows as small matrices (a matrix product per Arrow batch); the
 matrices of all tasks are then summed by group and pair. No pair of rows and no row itself is ever shuffled. The matrix of a wide
-table is made in strips of ``TILE`` columns, a scan each, so a task holds a strip and never the whole.
+table is made in strips of ``TILE`` columns, and a scan makes as many strips as a task can hold.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Columns of a strip, and numbers of a batch that are worked on at a time.
 TILE = 256
+#: Sums of a kind that a task holds at a time: a scan makes as many strips as fit.
+SUMS = 1 << 20
 CELLS = 2_000_000
 #: Rows of sums that a task hands over at a time.
 BLOCK = 65_536
@@ -32,12 +34,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 class MomentTask:
     """Task side: ``score(group, table)`` gives a float matrix with NaN for missing, one column per measure."""
 
-    def __init__(self, score: Callable[[str, pa.Table], np.ndarray], group: str, width: int, strip: tuple[int, int] | None = None):
-        self.score, self.group, self.strip = score, group, slice(*(strip or (0, width)))
+    def __init__(self, score: Callable[[str, pa.Table], np.ndarray], group: str, width: int, strips: list[tuple[int, int]] | None = None):
+        self.score, self.group, self.strips = score, group, [slice(*s) for s in strips or [(0, width)]]
         self.step = max(1, CELLS // max(1, width))
 
     def __call__(self, batches):
-        totals: dict[str, np.ndarray] = {}
+        totals: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, self.step):
                 table = pa.Table.from_batches([batch.slice(at, self.step)])
@@ -45,25 +47,45 @@ class MomentTask:
                 names = pc.unique(keys).to_pylist()
                 for name in names:
                     part = table if len(names) == 1 else table.filter(pc.equal(keys, name))
-                    sums = self._sums(self.score(name, part), self.strip)
-                    totals[name] = totals[name] + sums if name in totals else sums
-        for name, sums in totals.items():
-            yield from self._rows(name, sums)
+                    scores = self.score(name, part)
+                    for k, strip in enumerate(self.strips):
+                        sums = self._sums(scores[:, strip.start:], slice(0, strip.stop - strip.start))  # no pair is made twice
+                        if (name, k) in totals:
+                            totals[name, k] += sums
+                        else:
+                            totals[name, k] = sums
+        for (name, k), sums in totals.items():
+            yield from self._rows(name, sums, self.strips[k].start)
 
     @staticmethod
     def _sums(x: np.ndarray, strip: slice = slice(None)) -> np.ndarray:
-        """Counts, sums and products of the columns of ``strip`` with all columns."""
-        present = ~np.isnan(x)
-        x, mask = np.where(present, x, 0.0), present.astype(np.float64)
-        square = x * x
-        x_s, mask_s, square_s = x[:, strip], mask[:, strip], square[:, strip]
-        return np.stack([mask_s.T @ mask, x_s.T @ mask, mask_s.T @ x, square_s.T @ mask, mask_s.T @ square, x_s.T @ x])
-
-    def _rows(self, name: str, sums: np.ndarray):
-        a, b = np.nonzero(np.arange(sums.shape[2])[None, :] > np.arange(sums.shape[1])[:, None] + self.strip.start)
+        """Counts, sums and products of the columns of ``strip`` with all columns. What a column loses where another one is missing
+        is taken off for the columns with gaps alone."""
+        absent = np.isnan(x)
+        gaps = np.flatnonzero(absent.any(axis=0))
+        if len(gaps):
+            x = np.where(absent, 0.0, x)
+        square, n, width = x * x, float(len(x)), x.shape[1]
+        sums, squares = x.sum(axis=0), square.sum(axis=0)
+        inside = np.arange(width)[strip]
+        out = np.empty((6, len(inside), width))
+        out[0], out[1], out[2], out[3], out[4] = n, sums[strip][:, None], sums, squares[strip][:, None], squares
+        out[5] = x[:, strip].T @ x
+        if len(gaps):
+            mask = (~absent).astype(np.float64)
+            mine = np.flatnonzero(np.isin(inside, gaps))
+            held = inside[mine]
+            out[0][:, gaps], out[0][mine] = mask[:, strip].T @ mask[:, gaps], mask[:, held].T @ mask
+            out[1][:, gaps], out[3][:, gaps] = x[:, strip].T @ mask[:, gaps], square[:, strip].T @ mask[:, gaps]
+            out[2][mine], out[4][mine] = mask[:, held].T @ x, mask[:, held].T @ square
+        return out
+
+    @staticmethod
+    def _rows(name: str, sums: np.ndarray, start: int):
+        a, b = np.nonzero(np.arange(sums.shape[2])[None, :] > np.arange(sums.shape[1])[:, None])
         for at in range(0, len(a), BLOCK):
             i, j = a[at:at + BLOCK], b[at:at + BLOCK]
-            arrays = [pa.array([name], pa.string()).take(pa.array(np.zeros(len(i), np.int32))), pa.array(i + self.strip.start, pa.int32()), pa.array(j, pa.int32())]
+            arrays = [pa.array([name], pa.string()).take(pa.array(np.zeros(len(i), np.int32))), pa.array(i + start, pa.int32()), pa.array(j + start, pa.int32())]
             arrays += [pa.array(sums[k][i, j]) for k in range(6)]
             yield pa.RecordBatch.from_arrays(arrays, names=["grp", "a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
 
@@ -88,10 +110,12 @@ def centers(df: DataFrame, columns: list[str]) -> Standardize:
         for batch in batches:
             for at in range(0, batch.num_rows, max(1, CELLS // width)):
                 x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.slice(at, max(1, CELLS // width)).columns]).astype(np.float64)
-                x[~np.isfinite(x)] = np.nan
-                shift = np.nan_to_num(x[0]) if shift is None else shift
-                x, present = np.nan_to_num(x - shift), ~np.isnan(x)
-                n, total, square = n + present.sum(axis=0), total + (x * present).sum(axis=0), square + (x * x * present).sum(axis=0)
+                present = np.isfinite(x)
+                shift = np.where(present[0], x[0], 0.0) if shift is None else shift
+                x = x - shift
+                if not present.all():
+                    x[~present] = 0.0
+                n, total, square = n + present.sum(axis=0), total + x.sum(axis=0), square + np.einsum("ij,ij->j", x, x)
         if shift is not None:
             mean = np.divide(total, n, out=np.zeros(width), where=n > 0)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(n), pa.array(mean + shift), pa.array(np.maximum(square - n * mean * mean, 0))], ["i", "n", "m", "q"])
@@ -109,12 +133,14 @@ def centers(df: DataFrame, columns: list[str]) -> Standardize:
 
 def pairwise_moments(df: DataFrame, score: Callable, group: str, width: int) -> DataFrame:
     """(grp, a, b, corr) for a < b; ``corr`` is null where a side does not vary over the rows both have."""
-    def strip(low: int) -> DataFrame:
-        task = MomentTask(score, group, width, (low, min(low + TILE, width)))
+    def scan(strips: list[tuple[int, int]]) -> DataFrame:
+        task = MomentTask(score, group, width, strips)
         return df.mapInArrow(lambda batches: task(batches), SCHEMA)
 
-    strips = [strip(low) for low in range(0, max(width, 1), TILE)]
-    sums = reduce(lambda x, y: x.unionAll(y), strips).groupBy("grp", "a", "b").agg(
+    strips = [(low, min(low + TILE, width)) for low in range(0, max(width, 1), TILE)]
+    most = max(1, SUMS // max(1, TILE * width))
+    scans = [scan(strips[at:at + most]) for at in range(0, len(strips), most)]
+    sums = reduce(lambda x, y: x.unionAll(y), scans).groupBy("grp", "a", "b").agg(
         *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
     var_a, var_b = (F.col("n") * F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") for c in "ab")
     floor = F.lit(1e-9) * F.col("n") * F.col("n")
