@@ -7,6 +7,7 @@ import math
 import sys
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ DRAWS_PER_ROW = 10_000
 #: A lexicon of so many bytes or less is broadcast; an entry and each synonym count so many beside their text.
 TABLE_BYTES = 32 << 20
 ENTRY_BYTES = 100
+#: Bytes of new texts that a task hands over at a time, and words it remembers.
+BLOCK_BYTES, REMEMBERED = 4 << 20, 100_000
 WORDS_OR_GAPS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -98,32 +101,60 @@ class SwapTask:
 
     def __init__(self, order: list[str], columns: list[str], synonyms, share: float, seed: int):
         self.order, self.columns, self.synonyms, self.seed = order, columns, synonyms, seed
+        self.seen: dict[str, list[str] | None] = {}
         # A draw of 13 hex digits is below the share if the number they spell is below this.
         self.least = math.ceil(share * draws.SCALE - 0.5)
 
     def __call__(self, batches):
         for batch in batches:
-            made = {c: self._texts(batch.column(f"_key{i}").to_pylist(), batch.column(f"_parts{i}").to_pylist(), batch.column(f"_first{i}").to_pylist())
-                    for i, c in enumerate(self.columns)}
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in self.order], names=self.order)
-
-    def _texts(self, keys: list[str], texts: list[list[str] | None], firsts: list[int | None]) -> pa.Array:
-        known, md5, least = self.synonyms.value, hashlib.md5, self.least
-        out = []
-        for key, parts, first in zip(keys, texts, firsts):
-            if parts is None:
-                out.append(None)
+            at, texts, size = 0, {c: [] for c in self.columns}, 0
+            pieces = [(c, batch.column(f"_key{i}"), batch.column(f"_first{i}"), _Pieces(batch.column(f"_parts{i}"))) for i, c in enumerate(self.columns)]
+            for row in range(batch.num_rows):
+                for c, keys, firsts, parts in pieces:
+                    text = self._text(keys[row].as_py(), firsts[row].as_py(), *parts.of(row)) if parts.valid[row] else None
+                    texts[c].append(text)
+                    size += len(text or b"")
+                if size >= BLOCK_BYTES or row + 1 == batch.num_rows:
+                    made = {c: pa.array(t, pa.binary()).cast(pa.string()) for c, t in texts.items()}
+                    yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c).slice(at, row + 1 - at) for c in self.order], names=self.order)
+                    at, texts, size = row + 1, {c: [] for c in self.columns}, 0
+
+    def _text(self, key: str, first: int, raw: bytes, ends: list[int]) -> bytes:
+        """Only words of the lexicon are drawn; the draws of all others change nothing."""
+        known, seen, least, md5 = self.synonyms.value, self.seen, self.least, hashlib.md5
+        start, out, done = f"{self.seed}|word|{key}|".encode(), [], 0
+        for at in range(first, len(ends) - 1, 2):
+            word = raw[ends[at]:ends[at + 1]]
+            if word in seen:
+                found = seen[word]
+            else:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                found = seen[word] = known.get(word.decode().lower())
+            if found is None:
                 continue
-            row = md5(f"{self.seed}|word|{key}|".encode())
-            for at in range(first, len(parts), 2):
-                drawn = row.copy()
-                drawn.update(b"%d" % at)
-                digest = drawn.digest()
-                if int.from_bytes(digest[:7], "big") >> 4 < least and (found := known.get(parts[at].lower())):
-                    second = (int.from_bytes(digest[6:13], "big") & (1 << 52) - 1) + 0.5
-                    parts[at] = found[math.floor(second / draws.SCALE * len(found))]
-            out.append("".join(parts))
-        return pa.array(out, pa.string())
+            digest = md5(start + b"%d" % at).digest()
+            if int.from_bytes(digest[:7], "big") >> 4 < least:
+                second = (int.from_bytes(digest[6:13], "big") & (1 << 52) - 1) + 0.5
+                out += raw[done:ends[at]], found[math.floor(second / draws.SCALE * len(found))].encode()
+                done = ends[at + 1]
+        return b"".join([*out, raw[done:]])
+
+
+class _Pieces:
+    """The words and gaps of each row as the bytes of the whole text and the places where they end, without a string for each."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.valid, self.rows = lists.is_valid().to_pylist(), lists.offsets.to_numpy()
+        texts = lists.values
+        _, ends, self.data = texts.buffers()
+        self.ends = np.frombuffer(ends, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset:] if ends else np.zeros(1, np.int32)
+
+    def of(self, row: int) -> tuple[bytes, list[int]]:
+        ends = self.ends[self.rows[row]:self.rows[row + 1] + 1]
+        first = int(ends[0])
+        raw = self.data.slice(first, int(ends[-1]) - first).to_pybytes() if self.data else b""
+        return raw, (ends - first).tolist()
 
 
 def _augment_in_place(df: DataFrame, columns: list[str], keys: list[str], choices: DataFrame, share: float, seed: int) -> DataFrame:
@@ -206,12 +237,12 @@ def text_quality(original: DataFrame, augmented: DataFrame, columns: list[str])
         return _long(df, columns).groupBy("column").agg(F.avg(F.length("text")).alias(name))
 
     def vocabulary(df: DataFrame) -> DataFrame:
-        exploded = _long(df, columns).select("column", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
+        exploded = _long(df, columns).select("column", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word"))
         return exploded.where("word <> ''").distinct()
 
     with working_copy(original.select(*[F.col(f"`{c}`") for c in columns])) as copy:
         original = copy
-    known, used = vocabulary(original), vocabulary(augmented)
+    known, used = materialize(vocabulary(original)), vocabulary(augmented)
     known_n = known.groupBy("column").agg(F.count(F.lit(1)).alias("known"))
     fresh_n = used.join(known, ["column", "word"], "left_anti").groupBy("column").agg(F.count(F.lit(1)).alias("fresh"))
     rows = lengths(original, "before").join(lengths(augmented, "after"), "column", "left").join(
