@@ -17,6 +17,8 @@ HEAD = 1000
 GROUP = "_group"
 #: Keys that rows without a tail value spread over in the interval join, where they find nothing.
 IDLE = 4096
+#: Tails whose totals are broadcast. More of them are joined by their group, which then holds a small share of the rows each.
+FEW_TAILS = 10_000
 
 
 def place_of(value: Column) -> Column:
@@ -46,7 +48,9 @@ def tail_table(counts: DataFrame, present: DataFrame) -> DataFrame:
     """
     rare = counts.join(present, [GROUP, "column"]).where(F.col("n") * HEAD < F.col("present")).drop("present")
     summed = materialize(with_running_sum(rare.withColumn("_place", place_of(F.col("value"))), [GROUP, "column", "_place", "value"], "n", "_before"))
-    tails = summed.groupBy(GROUP, "column").agg(F.min("_before").alias("_first"), F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_k"))
+    tails = materialize(summed.groupBy(GROUP, "column").agg(F.min("_before").alias("_first"), F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_k")))
+    if tails.count() <= FEW_TAILS:  # by a shuffle the values of a long tail would all meet in one task
+        tails = F.broadcast(tails)
     ends = [((F.col(x) - F.col("_first")) / F.col("_total")).alias(a) for x, a in (("_before", "lower"), ("_after", "upper"))]
     cut = summed.withColumn("_after", F.col("_before") + F.col("n")).join(tails, [GROUP, "column"]).select(GROUP, "column", "value", "_k", *ends)
     slices = F.sequence(F.floor(F.col("lower") * F.col("_k")), F.least(F.floor(F.col("upper") * F.col("_k")), F.col("_k") - 1))
