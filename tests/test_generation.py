@@ -275,6 +275,31 @@ def test_strips_give_the_same_matrix(spark, monkeypatch):
         assert abs(strips[f"c{min(i, j)}", f"c{max(i, j)}"] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 6e-4
 
 
+def test_one_scan_makes_strips_with_the_products_of_gaps_alone():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 7))
+    x[rng.random(200) < 0.3, 2] = np.nan
+    x[rng.random(200) < 0.3, 5] = np.nan
+    task = moments.MomentTask(lambda _, t: x, "grp", 7, [(0, 3), (3, 7)])
+    batch = pa.RecordBatch.from_pydict({"grp": [""] * 200})
+    found = {(r["a"], r["b"]): r for out in task([batch]) for r in out.to_pylist()}
+    assert sorted(found) == [(i, j) for i in range(7) for j in range(i + 1, 7)]
+    for (i, j), r in found.items():
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        a, b = x[both, i], x[both, j]
+        want = [both.sum(), a.sum(), b.sum(), (a * a).sum(), (b * b).sum(), (a * b).sum()]
+        assert np.allclose([r[k] for k in ("n", "sa", "sb", "saa", "sbb", "sab")], want)
+
+
+def test_long_tails_get_their_totals_by_broadcast_or_by_group(spark, monkeypatch):
+    counts = spark.range(5000).selectExpr("concat('g', id % 2) AS _group", "'c' AS column", "concat('v', id) AS value", "1 + id % 3 AS n")
+    present = counts.groupBy("_group", "column").agg(F.sum("n").alias("present"))
+    order = ["_group", "column", "value", "slice"]
+    want = [tuple(r) for r in tails.tail_table(counts, present).orderBy(order).collect()]
+    monkeypatch.setattr(tails, "FEW_TAILS", 0)
+    assert [tuple(r) for r in tails.tail_table(counts, present).orderBy(order).collect()] == want and len(want) >= 5000
+
+
 def test_sampling_a_wide_table_in_parts(spark, monkeypatch):
     df = spark.range(400).selectExpr(*[f"(id * {k + 3}) % 101 + id AS c{k}" for k in range(9)], "concat('t', id % 3) AS t")
     want = classes.generate_pooled(df, df.columns, 500).rows.orderBy("row_id").toPandas()

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,27 @@ def test_batch_names(spark, tmp_path):
         ledger.commit(spark.range(1), str(tmp_path), "a/b")
     ledger.commit(spark.range(3), str(tmp_path / "t"), "007")
     assert {r["batch"] for r in ledger.committed(spark, str(tmp_path / "t"), "id long").collect()} == {"007"}
+
+
+def test_texts_leave_a_task_in_blocks(monkeypatch):
+    monkeypatch.setattr(text, "BLOCK_BYTES", 20)
+    known = type("Known", (), {"value": {"red": ["scarlet"], "été": ["saison"]}})
+    task = text.SwapTask(["k", "t"], ["t"], known, 1.0, 42)
+    pieces = [["Red", " ", "big", "  "], None, [], ["- ", "été", "\n", "RED"], ["x"] * 1]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(6)), "_key0": ["t"] * 6, "_parts0": pa.array([["skipped"], *pieces], pa.list_(pa.string())),
+                                        "_first0": pa.array([0, 0, None, 1, 1, 0], pa.int32())}).slice(1)
+    out = list(task([batch]))
+    assert [r["t"] for b in out for r in b.to_pylist()] == ["scarlet big  ", None, "", "- saison\nscarlet", "x"]
+    assert [r["k"] for b in out for r in b.to_pylist()] == [1, 2, 3, 4, 5] and len(out) > 1
+
+
+def test_forests_learn_from_cells_instead_of_rows(spark):
+    rows = spark.range(6000).selectExpr("CAST(id % 6 AS DOUBLE) AS f0", "CAST(id AS DOUBLE) AS f1", "CAST((id % 6) > 2 AS DOUBLE) AS label")
+    cuts = readiness.bin_cuts(rows, ["f0", "f1"])
+    assert cuts[0] == [0.5, 1.5, 2.5, 3.5, 4.5] and len(cuts[1]) == 31
+    for regression in (False, True):
+        found = readiness.cells(rows, cuts, regression).collect()
+        assert len(found) == 6 * 32 and sum(r["n"] for r in found) == 6000
+        assert all(r["label"] == float(r["features"][0] > 2) and r["spread"] == 0.0 for r in found)
+    spread = readiness.cells(rows.withColumn("label", F.col("f1")), [[], []], True).collect()
+    assert [r["n"] for r in spread] == [6000] and abs(spread[0]["spread"] - 6000 * (6000**2 - 1) / 12) < 1
