@@ -168,3 +168,15 @@ def test_forests_learn_from_cells_instead_of_rows(spark):
         assert all(r["label"] == float(r["features"][0] > 2) and r["spread"] == 0.0 for r in found)
     spread = readiness.cells(rows.withColumn("label", F.col("f1")), [[], []], True).collect()
     assert [r["n"] for r in spread] == [6000] and abs(spread[0]["spread"] - 6000 * (6000**2 - 1) / 12) < 1
+
+
+@pytest.mark.parametrize("regression", [False, True])
+def test_forests_on_cells_score_as_on_rows(spark, monkeypatch, regression):
+    rows = spark.range(3000).selectExpr("id AS k", "CAST(id * 7919 % 1000 AS DOUBLE) AS x", "CAST(id % 5 AS DOUBLE) AS z").selectExpr(
+        "*", "2 * x + 100 * z AS y" if regression else "CAST(x + 100 * z > 700 AS INT) AS y")
+    score = lambda: readiness.tstr(rows, rows.where("k % 2 = 0"), "y", ["k"], regression, trees=10, depth=5).first()
+    whole = score()
+    monkeypatch.setattr(readiness, "ROW_BUDGET", 0)
+    binned = score()
+    assert binned["available"] and binned["majority_rate"] == whole["majority_rate"]
+    assert all(abs(binned[c] - whole[c]) < 4 and binned[c] > 85 for c in ("real_score", "synth_score"))
