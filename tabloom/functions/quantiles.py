@@ -1,9 +1,10 @@
 """Exact quantiles (linear interpolation between order statistics) at any size.
 
 Small inputs use Spark's ``percentile`` directly. That aggregate keeps every distinct value in one buffer, so
-beyond a value budget the order statistics are bracketed instead: a mergeable quantile sketch narrows each target to
-a value range with a known rank error, one exact count checks the range, and only the values left inside the
-narrowed range are grouped and ranked. Each round is one scan whose shuffle holds sketches and counts, never rows.
+beyond a value budget the order statistics are bracketed instead: exact counts of bins of equal width narrow each target to
+the bin that holds it. Where a bin still holds too many values, a mergeable quantile sketch proposes a closer range and one exact
+count checks it. Only the values left inside the narrowed range are grouped and ranked. The shuffle of a round holds sketches and
+counts, never rows.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 import sys
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from tabloom.functions.small import small_frame
 VALUE_BUDGET = 500_000
 BRACKET_LIMIT = 100_000
 ACCURACY = 10_000
+#: Bins of a round over all expressions, and at least so many for each.
+BINS, LEAST_BINS = 1 << 16, 64
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -83,6 +87,7 @@ def exact_quantiles(
             at = p * (counts[n] - 1)
             targets.append(_Target(n, p, values[n], math.floor(at), math.ceil(at),
                                    head[f"lo{i}"], head[f"hi{i}"], 0, counts[n], accuracy))
+    _count_bins(df, [t for t in targets if t.inside > bracket_limit])
     while any(not t.settled for t in targets):
         _narrow(df, [t for t in targets if not t.settled], bracket_limit)
     picked = _order_statistics(df, targets)
@@ -217,6 +222,33 @@ def value_at_rank(df: DataFrame, column: Column, rank: int) -> int | None:
     return found
 
 
+def _count_bins(df: DataFrame, targets: list[_Target]) -> None:
+    """Shrink every range to the bins of equal width that hold its order statistics.
+
+    The bin of a value never falls as the value grows, rounding included, so the counts are exact ranks, and least and largest
+    value of a bin are the ends of a range that holds the bin's values alone.
+    """
+    shared: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        if math.isfinite(t.high - t.low) and t.high > t.low:
+            shared.setdefault((t.name, t.low, t.high), []).append(t)
+    bins, parts = max(LEAST_BINS, BINS // max(1, len(shared))), None
+    for k, ((_, low, high), mine) in enumerate(shared.items()):
+        values = df.select(mine[0].value.alias("v")).where(F.col("v").between(low, high))
+        place = F.floor((F.col("v") - F.lit(low)) / F.lit(high - low) * F.lit(bins))
+        one = values.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).withColumn("k", F.lit(k))
+        parts = one if parts is None else parts.unionByName(one)
+    counted: dict[int, list] = {}
+    for r in parts.collect() if parts is not None else []:  # a row for each bin
+        counted.setdefault(r["k"], []).append((r["bin"], r["n"], r["low"], r["high"]))
+    for k, mine in enumerate(shared.values()):
+        rows = sorted(counted[k])
+        upto = np.cumsum([n for _, n, _, _ in rows])
+        for t in mine:
+            a, b = (int(np.searchsorted(upto, rank, side="right")) for rank in (t.first, t.last))
+            t.low, t.high, t.below, t.inside = rows[a][2], rows[b][3], int(upto[a]) - rows[a][1], int(upto[b] - upto[a]) + rows[a][1]
+
+
 def _narrow(df: DataFrame, open_targets: list[_Target], bracket_limit: int) -> None:
     """Shrink every open range once; settle those small enough, or no longer shrinking because of ties."""
     for t in open_targets:
@@ -257,17 +289,20 @@ def _narrow(df: DataFrame, open_targets: list[_Target], bracket_limit: int) -> N
 
 def _order_statistics(df: DataFrame, targets: list[_Target]) -> dict[int, tuple[float, float]]:
     """Group the values left in each range and find the two wanted ranks among their running counts."""
-    cells = F.array(*[
-        F.when(t.value.between(t.low, t.high), F.struct(F.lit(i).alias("t"), t.value.alias("v")))
-        for i, t in enumerate(targets)
-    ])
+    known = {i: (t.low, t.high) for i, t in enumerate(targets) if t.low == t.high}
+    ranged = [(i, t) for i, t in enumerate(targets) if i not in known]
+    if not ranged:
+        return known
+    inside = [t.value.between(t.low, t.high) for _, t in ranged]
+    cells = F.array(*[F.when(held, F.struct(F.lit(i).alias("t"), t.value.alias("v"))) for held, (i, t) in zip(inside, ranged)])
     counted = (
-        df.select(F.explode(F.array_compact(cells)).alias("cell"))
+        df.where(reduce(lambda a, b: a | b, inside))  # most rows are in no range
+        .select(F.explode(F.array_compact(cells)).alias("cell"))
         .groupBy("cell.t", "cell.v").agg(F.count(F.lit(1)).alias("n"))
     )
     upto = F.sum("n").over(Window.partitionBy("t").orderBy("v"))
     wanted = small_frame(
-        df.sparkSession, [(i, t.first - t.below, t.last - t.below) for i, t in enumerate(targets)], "t int, first long, last long")
+        df.sparkSession, [(i, t.first - t.below, t.last - t.below) for i, t in ranged], "t int, first long, last long")
     rows = (
         counted.withColumn("upto", upto).join(F.broadcast(wanted), "t")
         .groupBy("t").agg(
@@ -275,4 +310,4 @@ def _order_statistics(df: DataFrame, targets: list[_Target]) -> dict[int, tuple[
             F.min(F.when(F.col("upto") > F.col("last"), F.col("v"))).alias("last"))
         .collect()
     )
-    return {r["t"]: (r["first"], r["last"]) for r in rows}
+    return known | {r["t"]: (r["first"], r["last"]) for r in rows}

@@ -22,7 +22,7 @@ from tabloom.session import working_copy
 SMALL_VOCABULARY = 10_000
 # Aggregates of about this many columns still compile to methods the JVM optimises; wider ones ran several times slower.
 # Each batch reads its own columns only, so a columnar table is read once whatever the width.
-SCAN_WIDTH = 6
+SCAN_WIDTH = 3
 SHORT_TEXT = 32
 
 # Column types.
@@ -213,7 +213,7 @@ def _profile_rows(df: DataFrame) -> list[tuple]:
         if f["present"] >= 4 and f["q3"] > f["q1"]:
             reach = IQR_FENCE * (f["q3"] - f["q1"])
             outliers.append((c, "num_iqr_outliers", (x < F.lit(f["q1"] - reach)) | (x > F.lit(f["q3"] + reach))))
-    for batch in _batches(outliers, 8 * SCAN_WIDTH):
+    for batch in _batches(outliers, 16 * SCAN_WIDTH):
         row = df.agg(*[F.count_if(cond).alias(f"o{i}") for i, (_, _, cond) in enumerate(batch)]).first()
         for i, (c, field, _) in enumerate(batch):
             facts[c][field] = row[f"o{i}"]

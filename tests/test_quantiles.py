@@ -1,8 +1,10 @@
 from functools import partial
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tabloom.functions.quantiles import grouped_quantiles
+from tabloom.functions import quantiles
+from tabloom.functions.quantiles import exact_quantiles, grouped_quantiles
 from tabloom.operators import copula
 from tabloom.queries import generation
 
@@ -32,3 +34,18 @@ def test_exact_grids_and_properties_without_a_buffer_of_all_values(spark, folder
     for module in (copula, generation):
         monkeypatch.setattr(module, "grouped_quantiles", partial(grouped_quantiles, value_budget=0))
     assert answers() == short
+
+
+def test_counted_bins_hold_the_ranks_without_a_sketch(spark, monkeypatch):
+    values = np.concatenate([np.random.default_rng(2).normal(50, 9, 6000), np.zeros(3900), [-700.0, 2500.0]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+    requests = {"x": (F.col("x"), PROBS), "nonzero": (F.when(F.col("x") != 0, F.col("x")), [0.5]), "same": (F.lit(4.0), [0.5])}
+    want = {"x": np.quantile(values, PROBS), "nonzero": [np.median(values[values != 0])], "same": [4.0]}
+    with monkeypatch.context() as patch:
+        patch.delattr(quantiles.F, "percentile_approx")
+        found = exact_quantiles(df, requests, value_budget=0, bracket_limit=100)
+    far = np.concatenate([values, [-1e308, 1e308, 1e300, float("inf")]])  # one bin for nearly all, and a width that is no number
+    wide = spark.createDataFrame([(float(v),) for v in far], "x double")
+    sketched = [exact_quantiles(rows, {"x": (F.col("x"), PROBS[:-1])}, value_budget=0, bracket_limit=100)["x"] for rows in (wide, wide.where("x < 1e307"))]
+    assert all(np.allclose(found[n], want[n], rtol=1e-12) for n in want)
+    assert all(np.allclose(x, np.quantile(v, PROBS[:-1]), rtol=1e-12) for x, v in zip(sketched, (far, far[far < 1e307])))
