@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ from tabloom.functions.small import small_frame
 from tabloom.operators.frequencies import value_frequencies
 from tabloom.operators.moments import centers, pairwise_moments
 from tabloom.operators.numeric import SCAN_WIDTH, numeric_facts
-from tabloom.session import materialize, working_copy
+from tabloom.session import materialize
 
 # Weights, bands and defaults of the scores.
 WEIGHTS = (0.2, 0.5, 0.3)
@@ -126,16 +126,22 @@ def distinguishability(real: DataFrame, synthetic: DataFrame, seed: int = 42,
     if real_n > synth_n:
         rows = rows.where(F.col("thin") < F.lit(synth_n / real_n))
     rows = rows.unionByName(side(synthetic, synthetic_keys, 0.0))
-    features = VectorAssembler(inputCols=[f"x{i}" for i in range(len(columns))], outputCol="raw").transform(rows)
-    with working_copy(features.select("label", "fold", "raw")) as features:
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(features)
-        scaled = materialize(scaler.transform(features).select("label", "fold", "features"))
-    n, hits = scaled.count(), []
+    names = [f"x{i}" for i in range(len(columns))]
+    rows = materialize(rows.select("label", "fold", *names))  # plain numbers: draws are made once, and vectors only where a fit reads them
+    n, hits = rows.count(), []
+    facts = {}
+    for at in range(0, len(names), SCAN_WIDTH):
+        batch = names[at:at + SCAN_WIDTH]
+        facts |= rows.agg(*[F.avg(x).alias(f"m{x}") for x in batch], *[F.stddev_samp(x).alias(f"s{x}") for x in batch]).first().asDict()
+    scaled = rows.select("label", "fold", *[((F.col(x) - F.lit(facts[f"m{x}"])) * F.lit(1 / facts[f"s{x}"] if facts[f"s{x}"] else 0.0)).alias(x) for x in names])
+    features = VectorAssembler(inputCols=names, outputCol="features").transform(scaled).select("label", "fold", "features")
+    tested = features
     for k in range(FOLDS):  # a fit keeps its own blocks of rows in memory
         fitted = LogisticRegression(maxIter=MAX_ITERATIONS, tol=TOLERANCE, regParam=1.0 / n, standardization=False).fit(
-            scaled.where(F.col("fold") != k))
-        tested = fitted.transform(scaled.where(F.col("fold") == k))
-        hits.append(tested.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
+            features.where(F.col("fold") != k))
+        tested = fitted.setPredictionCol(f"p{k}").setRawPredictionCol("").setProbabilityCol("").transform(tested)
+        hits.append(F.avg(F.when(F.col("fold") == k, (F.col(f"p{k}") == F.col("label")).cast("double"))).alias(f"h{k}"))
+    hits = tested.agg(*hits).first()  # all folds are tested in one scan
     accuracy = sum(hits) / FOLDS
     return round(max(0.0, min(100.0, (1 - (accuracy - 0.5) * 2) * 100)), 1)
 

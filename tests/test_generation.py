@@ -340,3 +340,12 @@ def test_scores_stay_between_0_and_100(spark, values):
     for score in (scoring.statistical_similarity, scoring.coverage):
         got = score(a, b).first()[0]
         assert got is None or 0 <= got <= 100
+
+
+def test_rows_to_tell_apart_are_kept_as_plain_numbers(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(scoring, "materialize", lambda df, put=scoring.materialize: kept.append(df.dtypes) or put(df))
+    rows = spark.range(3000).select("id", (F.col("id") % 97).alias("a"), F.sin("id").alias("b"), F.lit(2.5).alias("c"))
+    assert scoring.distinguishability(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 42, ["id"], ["id"]) > 85
+    assert scoring.distinguishability(rows, rows.withColumn("b", F.col("b") + 3), 42, ["id"], ["id"]) < 5
+    assert kept == [[("label", "double"), ("fold", "int"), ("x0", "double"), ("x1", "double"), ("x2", "double")]] * 2
