@@ -155,6 +155,10 @@ class ScoreTask:
 
     def __call__(self, group: str, table: pa.Table) -> np.ndarray:
         """Scores as a (rows, columns) matrix with NaN for nulls."""
+        return gaussian.inverse_cdf(self.units(group, table))
+
+    def units(self, group: str, table: pa.Table | pa.RecordBatch) -> np.ndarray:
+        """The places of the values among those of their group, in [0, 1]."""
         units = np.full((table.num_rows, self.numeric + self.categorical), np.nan)
         for j, (x, u) in enumerate(self.knots[group]):
             if x:
@@ -169,7 +173,7 @@ class ScoreTask:
             if head < 1:
                 rare = np.isnan(units[:, j]) & table.column(j).is_valid().to_numpy(zero_copy_only=False)
                 units[rare, j] = head + (1 - head) * table.column(self.place[k]).to_numpy(zero_copy_only=False)[rare]
-        return gaussian.inverse_cdf(units)
+        return units
 
 
 def score_input(df: DataFrame, model: CopulaModel, *more: Column) -> DataFrame:
@@ -193,12 +197,12 @@ def set_dependence(model: CopulaModel, group: str, matrix: np.ndarray) -> None:
 
 
 def cholesky_factor(matrix: np.ndarray) -> np.ndarray:
-    """Repair to a valid correlation matrix (eigenvalues clipped, unit diagonal) and give its Cholesky factor."""
+    """Repair to a valid correlation matrix (eigenvalues clipped, unit diagonal) and give its Cholesky factor; of one matrix or a stack."""
     values, vectors = np.linalg.eigh(matrix)
-    repaired = vectors @ np.diag(np.maximum(values, MIN_EIGENVALUE)) @ vectors.T
-    scale = np.sqrt(np.diag(repaired))
-    repaired = repaired / np.outer(scale, scale)
-    return np.linalg.cholesky(repaired + MIN_EIGENVALUE * np.eye(len(matrix)))
+    repaired = (vectors * np.maximum(values, MIN_EIGENVALUE)[..., None, :]) @ vectors.swapaxes(-1, -2)
+    scale = np.sqrt(np.diagonal(repaired, axis1=-2, axis2=-1))
+    repaired = repaired / (scale[..., :, None] * scale[..., None, :])
+    return np.linalg.cholesky(repaired + MIN_EIGENVALUE * np.eye(matrix.shape[-1]))
 
 
 def fit_copula(df: DataFrame, columns: list[str], group: Column | None = None) -> CopulaModel:

@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions import gaussian
 from tabloom.functions.kinds import FLOAT, INTEGER, kinds
 from tabloom.operators import tails
 from tabloom.operators.copula import (ACCURACY, GRID, GROUP, CopulaModel, Marginal, SampleTask, ScoreTask, category_marginal, cholesky_factor, finished,
@@ -30,6 +31,8 @@ from tabloom.session import materialize
 SALTS = 64
 #: Generated rows that a task holds at once.
 CHUNK = 10_000
+#: Numbers of the matrices or scores of several groups that a task works on at once.
+STACK = 1 << 16
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -68,7 +71,7 @@ def one_group(params: dict, numeric: list[str], categorical: list[str], wide: li
     for entry in params["shares"] or []:
         found[entry["column"]] = category_marginal([(p["value"], p["n"]) for p in entry["pairs"]], size, entry["tail_n"], entry["tail_values"])
     model = CopulaModel(numeric, categorical, {}, {name: found}, {name: size}, wide=wide)
-    if params.get("factor"):
+    if params.get("factor") is not None and len(params["factor"]):
         model.factor[name] = np.array(params["factor"]).reshape(len(found), len(found))
     return model
 
@@ -88,18 +91,35 @@ def by_params(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict | None,
         at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
         if not len(at) or at[0]:
             yield None, batch.slice(0, int(at[0]) if len(at) else batch.num_rows)
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), batch.num_rows]):
-            yield column[a].as_py(), batch.slice(a + 1, b - a - 1)
+        heads = plain_params(column.take(pa.array(at))) if len(at) else []
+        for params, a, b in zip(heads, at.tolist(), [*at[1:].tolist(), batch.num_rows]):
+            yield params, batch.slice(a + 1, b - a - 1)
+
+
+def plain_params(column: pa.StructArray) -> Iterator[dict]:
+    """The parameters of many groups as Python values; lists of numbers are taken from the buffers, as number by number they cost most of a task."""
+    fields = [f.name for f in column.type]
+    grids, factor = column.field("grids"), column.field("factor") if "factor" in fields else None
+    cuts, ends, numbers = grids.offsets.to_pylist(), grids.values.offsets.to_pylist(), grids.values.values.to_numpy(zero_copy_only=False)
+    rest = {f: column.field(f).to_pylist() for f in fields if f not in ("grids", "factor")}
+    if factor is not None:
+        own, entries = factor.offsets.to_pylist(), factor.values.to_numpy(zero_copy_only=False)
+    for i in range(len(column)):
+        params = {f: values[i] for f, values in rest.items()}
+        params["grids"] = [numbers[ends[j]:ends[j + 1]].tolist() for j in range(cuts[i], cuts[i + 1])]
+        if factor is not None:
+            params["factor"] = entries[own[i]:own[i + 1]]
+        yield params
 
 
 def correlation(sums: np.ndarray) -> np.ndarray:
-    """Correlation matrix from sums of products, 0 where a side does not vary over the rows both have."""
+    """Correlation matrices from sums of products, 0 where a side does not vary over the rows both have."""
     n, sa, sb, saa, sbb, sab = sums
     var_a, var_b, floor = n * saa - sa * sa, n * sbb - sb * sb, 1e-9 * n * n
     sure = (n > 1) & (var_a > floor) & (var_b > floor)
     root = np.sqrt(np.where(sure, var_a, 1.0)) * np.sqrt(np.where(sure, var_b, 1.0))
     upper = np.triu(np.clip(np.where(sure, (n * sab - sa * sb) / root, 0.0), -1.0, 1.0), 1)
-    return upper + upper.T + np.eye(len(n))
+    return upper + upper.swapaxes(-1, -2) + np.eye(n.shape[-1])
 
 
 def fit_keyed(rows: DataFrame, columns: list[str]) -> KeyedModel:
@@ -138,20 +158,36 @@ def fit_keyed(rows: DataFrame, columns: list[str]) -> KeyedModel:
     wide = model.wide
 
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, score, sums = None, None, None
+        names, totals, waiting, held = [], [], [], 0  # what costs the same for a group as for many is done for many at a time
+
+        def settle() -> None:
+            scores = np.split(gaussian.inverse_cdf(np.concatenate([u for _, u in waiting])), np.cumsum([len(u) for _, u in waiting])[:-1])
+            for (k, _), mine in zip(waiting, scores):
+                totals[k] += MomentTask._sums(mine)
+            waiting.clear()
 
         def row() -> pa.RecordBatch:
-            factor = cholesky_factor(correlation(sums)).ravel()
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([factor.tolist()], pa.list_(pa.float64()))], [GROUP, "factor"])
+            if waiting:
+                settle()
+            flat = cholesky_factor(correlation(np.stack(totals, axis=1))).reshape(-1)
+            each = pa.array(np.arange(len(names) + 1) * width * width, pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.ListArray.from_arrays(each, pa.array(flat))], [GROUP, "factor"])
 
         for params, batch in by_params(batches):
             if params is not None:
-                if name is not None:
+                if len(names) * width * width >= STACK:
                     yield row()
-                name, score, sums = params["name"], ScoreTask(one_group(params, numeric, categorical, wide)), np.zeros((6, width, width))
+                    names, totals, held = [], [], 0
+                names.append(params["name"])
+                totals.append(np.zeros((6, width, width)))
+                score = ScoreTask(one_group(params, numeric, categorical, wide))
             if batch.num_rows:
-                sums += MomentTask._sums(score(name, pa.Table.from_batches([batch.select(batch.schema.names[3:])])))
-        if name is not None:
+                waiting.append((len(names) - 1, score.units(names[-1], batch.select(batch.schema.names[3:]))))
+                held += batch.num_rows * width
+                if held >= STACK:
+                    settle()
+                    held = 0
+        if names:
             yield row()
 
     found = beside_params(salted, marginals, seats).mapInArrow(factors, f"{GROUP} string, factor array<double>")
@@ -196,12 +232,25 @@ def sample_keyed(model: KeyedModel, plan: DataFrame, seed: int = 42) -> DataFram
     jobs = jobs_of(plan, GROUP)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, task = None, None
+        name, task, waiting, held = None, None, [], 0
+
+        def block() -> pa.RecordBatch:
+            """The rows of all jobs that wait: their draws depend on seed and row id alone, so they are made at once."""
+            latent = np.split(waiting[0][1].latent(np.concatenate([w[2] for w in waiting])), np.cumsum([len(w[2]) for w in waiting])[:-1])
+            parts = [named(task.rows(name, ids, mine), values, place) for (name, task, ids, values, place), mine in zip(waiting, latent)]
+            return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
         for params, batch in by_params(batches):
             if params is not None:
                 name, task = params["name"], SampleTask(one_group(params, numeric, categorical, wide), {params["name"]: 1}, seed)
             for ids, place in ids_of(batch):
-                yield named(task.rows(name, ids, task.latent(ids)), batch.column("value"), place)
+                waiting.append((name, task, ids, batch.column("value"), place))
+                held += len(ids)
+                if held >= CHUNK:
+                    yield block()
+                    waiting, held = [], 0
+        if held:
+            yield block()
 
     rows = beside_params(jobs, model.table, jobs.select(GROUP, "_salt").distinct()).mapInArrow(made, sample_schema(numeric, categorical, wide))
     return finished(rows, model)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tabloom.functions import draws, gaussian
-from tabloom.operators import classes, copula, indexing, modes, moments, scoring, tails, transforms
+from tabloom.operators import classes, copula, indexing, keyed_copula, modes, moments, scoring, tails, transforms
 from tabloom.operators.fixes import Fix, apply_fixes
 from tabloom.operators.indexing import dense_index, with_row_key
 from tabloom.operators.numeric import Facts, numeric_facts
@@ -349,3 +349,27 @@ def test_rows_to_tell_apart_are_kept_as_plain_numbers(spark, monkeypatch):
     assert scoring.distinguishability(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), 42, ["id"], ["id"]) > 85
     assert scoring.distinguishability(rows, rows.withColumn("b", F.col("b") + 3), 42, ["id"], ["id"]) < 5
     assert kept == [[("label", "double"), ("fold", "int"), ("x0", "double"), ("x1", "double"), ("x2", "double")]] * 2
+
+
+def test_parameters_and_factors_of_many_groups_at_once():
+    numbers = pa.list_(pa.float64())
+    kind = pa.struct([("name", pa.string()), ("size", pa.int64()), ("grids", pa.list_(numbers)), ("present", pa.list_(pa.int64())), ("factor", numbers)])
+    rows = [{"name": n, "size": 3, "grids": [[1.0, 2.0, k], [0.5]][:k], "present": [3], "factor": [1.0] * k} for n, k in (("a", 1), ("b", 2), ("c", 0))]
+    column = pa.array(rows[:1] * 2 + rows, kind).slice(2).take(pa.array([0, 2, 1]))
+    assert [r | {"factor": list(r["factor"])} for r in keyed_copula.plain_params(column)] == [rows[0], rows[2], rows[1]]
+    x = np.random.default_rng(1).normal(size=(5, 40, 3))
+    x[1, :, 0], x[2, :5, 1] = 7.0, np.nan
+    sums = [moments.MomentTask._sums(one) for one in x]
+    alone = [copula.cholesky_factor(keyed_copula.correlation(one)) for one in sums]
+    assert np.allclose(copula.cholesky_factor(keyed_copula.correlation(np.stack(sums, axis=1))), alone, atol=1e-12)
+
+
+def test_classes_over_many_blocks_are_those_of_one(spark, monkeypatch):
+    rows = spark.range(900).select(F.concat(F.lit("c"), F.col("id") % 45).alias("c"), F.sin("id").alias("x"), F.cos("id").alias("y"))
+    found = []
+    for stack in (1, keyed_copula.STACK):
+        monkeypatch.setattr(keyed_copula, "STACK", stack)
+        monkeypatch.setattr(classes, "LARGE_CLASSES", 2)
+        made = classes.generate_conditional(rows, ["x", "y", "c"], "c", 500, 7)
+        found.append([(r["row_id"], r["c"], round(r["x"], 9), round(r["y"], 9)) for r in made.rows.orderBy("row_id").collect()])
+    assert found[0] == found[1] and len(found[0]) == 495
