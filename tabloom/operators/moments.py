@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Columns of a strip, and numbers of a batch that are worked on at a time.
@@ -26,6 +26,8 @@ SUMS = 1 << 20
 CELLS = 2_000_000
 #: Rows of sums that a task hands over at a time.
 BLOCK = 65_536
+#: Columns beyond which their expressions may exceed a method.
+MANY = 30
 SCHEMA = "grp string, a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -90,15 +92,30 @@ class MomentTask:
             yield pa.RecordBatch.from_arrays(arrays, names=["grp", "a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
 
 
+def number_rows(df: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """The numbers of a row as one array ``x``, then ``more``: Spark asks each field for its size after each row it hands to Python, and an array
+    is one field, which needs no stacking there. The expressions of many columns exceed a method if their stage is compiled as one; Spark
+    compiles them apart where any column has a function over an array, here ``gap``."""
+    numbers = [F.col(f"`{c}`").cast("double") for c in columns]
+    apart = [F.exists(F.array(numbers[0]), lambda x: x.isNull()).alias("gap")] if len(columns) > MANY else []
+    return df.select(F.array(*numbers).alias("x"), *more, *apart)
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """The rows of an array column, NaN for null."""
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
+
+
 class Standardize:
-    """Scores for plain columns: centred and scaled, which keeps the sums of squares accurate."""
+    """Scores for plain columns, which come as one array: centred and scaled, which keeps the sums of squares accurate."""
 
     def __init__(self, centers: list[float], scales: list[float]):
-        self.centers, self.scales = centers, scales
+        self.centers, self.scales = np.asarray(centers), np.asarray(scales)
 
     def __call__(self, group: str, table: pa.Table) -> np.ndarray:
-        columns = [table.column(j).to_numpy(zero_copy_only=False) for j in range(len(self.centers))]
-        return (np.column_stack(columns).astype(np.float64) - self.centers) / self.scales
+        x = matrix(table.column(0), len(self.centers)) - self.centers
+        x /= self.scales
+        return x
 
 
 def centers(df: DataFrame, columns: list[str]) -> Standardize:
@@ -109,7 +126,7 @@ def centers(df: DataFrame, columns: list[str]) -> Standardize:
         n, total, square, shift = np.zeros(width), np.zeros(width), np.zeros(width), None
         for batch in batches:
             for at in range(0, batch.num_rows, max(1, CELLS // width)):
-                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.slice(at, max(1, CELLS // width)).columns]).astype(np.float64)
+                x = matrix(batch.column(0).slice(at, max(1, CELLS // width)), width)
                 present = np.isfinite(x)
                 shift = np.where(present[0], x[0], 0.0) if shift is None else shift
                 x = x - shift
@@ -120,7 +137,7 @@ def centers(df: DataFrame, columns: list[str]) -> Standardize:
             mean = np.divide(total, n, out=np.zeros(width), where=n > 0)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(n), pa.array(mean + shift), pa.array(np.maximum(square - n * mean * mean, 0))], ["i", "n", "m", "q"])
 
-    parts = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).mapInArrow(summed, "i long, n double, m double, q double")
+    parts = number_rows(df, columns).mapInArrow(summed, "i long, n double, m double, q double")
     whole = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum("q").alias("q"), F.min(F.when(F.col("n") > 0, F.col("m"))).alias("low"),
                                    F.max(F.when(F.col("n") > 0, F.col("m"))).alias("high")).collect()  # a row for each column
     center, scale = np.zeros(width), np.ones(width)

@@ -16,7 +16,7 @@ from tabloom.functions import draws
 from tabloom.functions.kinds import FLOAT, INTEGER, STRING, kinds, numeric_columns
 from tabloom.functions.small import small_frame
 from tabloom.operators.frequencies import value_frequencies
-from tabloom.operators.moments import centers, pairwise_moments
+from tabloom.operators.moments import centers, number_rows, pairwise_moments
 from tabloom.operators.numeric import SCAN_WIDTH, numeric_facts
 from tabloom.session import materialize
 
@@ -252,7 +252,7 @@ def correlations(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     if len(columns) < 2:
         return small_frame(real.sparkSession, [], "a string, b string, real double, synth double, diff double")
     def side(df: DataFrame, name: str) -> DataFrame:
-        wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)], F.lit("").alias("grp"))
+        wide = number_rows(df, columns, F.lit("").alias("grp"))
         return pairwise_moments(wide, centers(df, columns), "grp", len(columns)).select("a", "b", F.round(F.coalesce("corr", F.lit(0.0)), 3).alias(name))
 
     spark, d = real.sparkSession, len(columns)
