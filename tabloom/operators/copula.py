@@ -27,7 +27,7 @@ from tabloom.functions.small import small_frame
 from tabloom.operators import tails
 from tabloom.operators.moments import CELLS, pairwise_correlation
 from tabloom.operators.tails import GROUP
-from tabloom.session import working_copy
+from tabloom.session import discard, materialize, working_copy
 
 GRID = 100
 ACCURACY = 10_000
@@ -128,13 +128,14 @@ def fit_marginals(df: DataFrame, numeric: list[str], categorical: list[str], exa
 
 def _fit_categories(df: DataFrame, model: CopulaModel, present: DataFrame) -> None:
     """Frequent values to the driver, at most ``tails.HEAD`` a group and column; a tail stays a table."""
-    counts, present = tails.category_counts(df, model.categorical), F.broadcast(present)
+    counts, present = materialize(tails.category_counts(df, model.categorical)), F.broadcast(present)
     for r in tails.listed(counts, present).collect():
         marginal = category_marginal([(p["value"], p["n"]) for p in r["pairs"]], model.sizes[str(r[GROUP])], r["tail_n"], r["tail_values"])
         model.groups[str(r[GROUP])][r["column"]] = marginal
     model.wide = [c for c in model.categorical if any(m[c].tail_values for m in model.groups.values())]
     if model.wide:
-        model.tails = tails.tail_table(tails.category_counts(df, model.wide), present)
+        model.tails = tails.tail_table(counts.where(F.col("column").isin(*model.wide)), present)
+    discard(counts)
 
 
 def category_marginal(pairs: list[tuple[str, int]], size: int, tail_n: int = 0, tail_values: int = 0) -> Marginal:
@@ -274,7 +275,7 @@ class SampleTask:
                 arrays.append(pa.nulls(len(ids), pa.string()))
             if c in self.wide:
                 t = np.clip((u - m.head) / max(1 - m.head, 1e-12), 0, 1 - 2**-53)
-                cut = np.where(rare, np.floor(t * max(m.tail_values, 1)), -1 - ids % tails.IDLE).astype(np.int64)
+                cut = np.where(rare, np.floor(t * tails.slices_of(m.tail_values)), -1 - ids % tails.IDLE).astype(np.int64)
                 tail[c] = [pa.array(t, pa.float64(), mask=~rare), pa.array(cut)]
         names = ["row_id", GROUP, *self.columns]
         if self.wide:

@@ -25,7 +25,7 @@ from tabloom.operators.copula import (ACCURACY, GRID, GROUP, CopulaModel, Margin
                                       sample_schema, score_input)
 from tabloom.operators.indexing import with_running_sum
 from tabloom.operators.moments import MomentTask
-from tabloom.session import materialize
+from tabloom.session import discard, materialize
 
 #: Seats that the generated rows of a group with many of them are dealt over.
 SALTS = 64
@@ -138,7 +138,8 @@ def fit_keyed(rows: DataFrame, columns: list[str]) -> KeyedModel:
         grids = materialize(grids)
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("present")) for i, c in enumerate(categorical)]))
         present = grids.select(GROUP, each.alias("each")).select(GROUP, "each.*")
-        lists = tails.listed(tails.category_counts(rows, categorical), present)
+        counts = materialize(tails.category_counts(rows, categorical))
+        lists = tails.listed(counts, present)
         grids = grids.join(lists.groupBy(GROUP).agg(F.collect_list(F.struct("column", "pairs", "tail_n", "tail_values")).alias("shares")), GROUP, "left")
     else:
         grids = grids.withColumn("shares", F.lit(None))
@@ -151,7 +152,8 @@ def fit_keyed(rows: DataFrame, columns: list[str]) -> KeyedModel:
         tailed = {r[0] for r in entries.select("entry.column").distinct().collect()}
         model.wide = [c for c in categorical if c in tailed]
         if model.wide:
-            model.tails = tails.tail_table(tails.category_counts(rows, model.wide), present)
+            model.tails = tails.tail_table(counts.where(F.col("column").isin(*model.wide)), present)
+        discard(counts)
 
     salted = score_input(rows, model).withColumn("_salt", F.lit(0))
     seats = marginals.select(GROUP, F.lit(0).alias("_salt"))

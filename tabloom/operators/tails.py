@@ -14,6 +14,8 @@ from tabloom.operators.indexing import with_running_sum
 from tabloom.session import materialize
 
 HEAD = 1000
+#: Values of a tail that a slice holds on average.
+SLICE = 16
 GROUP = "_group"
 #: Keys that rows without a tail value spread over in the interval join, where they find nothing.
 IDLE = 4096
@@ -41,29 +43,36 @@ def listed(counts: DataFrame, present: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(~often, F.col("n"))), F.lit(0)).alias("tail_n"), F.count_if(~often).alias("tail_values"))
 
 
+def slices_of(values: Column | int) -> Column | int:
+    """Slices that the unit interval of a tail of so many values is cut into."""
+    return F.greatest(F.lit(1), F.floor(values / SLICE)) if isinstance(values, Column) else max(1, values // SLICE)
+
+
 def tail_table(counts: DataFrame, present: DataFrame) -> DataFrame:
-    """The tail values of all groups as intervals of their tail: (GROUP, column, value, lower, upper, slice).
+    """The tail values of all groups as intervals of their tail, from ``before`` to ``after`` of its ``total``:
+    (GROUP, column, value, before, after, total, slice).
 
-    The unit interval of a tail of k values is cut into k slices, and a value has a row for each slice it touches: at most 2k rows.
+    The unit interval of a tail is cut into slices of ``SLICE`` values on average, and a value has a row for each slice it touches: little
+    more rows than values. They are stored once, without slices.
     """
     rare = counts.join(present, [GROUP, "column"]).where(F.col("n") * HEAD < F.col("present")).drop("present")
-    summed = materialize(with_running_sum(rare.withColumn("_place", place_of(F.col("value"))), [GROUP, "column", "_place", "value"], "n", "_before"))
-    tails = materialize(summed.groupBy(GROUP, "column").agg(F.min("_before").alias("_first"), F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_k")))
+    summed = with_running_sum(rare, [GROUP, "column", place_of(F.col("value")), "value"], "n", "_before")
+    tails = materialize(summed.groupBy(GROUP, "column").agg(F.min("_before").alias("_first"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("_k")))
     if tails.count() <= FEW_TAILS:  # by a shuffle the values of a long tail would all meet in one task
         tails = F.broadcast(tails)
-    ends = [((F.col(x) - F.col("_first")) / F.col("_total")).alias(a) for x, a in (("_before", "lower"), ("_after", "upper"))]
-    cut = summed.withColumn("_after", F.col("_before") + F.col("n")).join(tails, [GROUP, "column"]).select(GROUP, "column", "value", "_k", *ends)
-    slices = F.sequence(F.floor(F.col("lower") * F.col("_k")), F.least(F.floor(F.col("upper") * F.col("_k")), F.col("_k") - 1))
-    return materialize(cut.withColumn("slice", F.explode(slices)).drop("_k"))
+    before = F.col("_before") - F.col("_first")
+    cut = summed.join(tails, [GROUP, "column"]).select(GROUP, "column", "value", before.alias("before"), (before + F.col("n")).alias("after"), "total", slices_of(F.col("_k")).alias("_k"))
+    lower, upper = (F.floor(F.col(x) / F.col("total") * F.col("_k")) for x in ("before", "after"))
+    return cut.withColumn("slice", F.explode(F.sequence(lower, F.least(upper, F.col("_k") - 1)))).drop("_k")
 
 
 def fill_tails(rows: DataFrame, tails: DataFrame | None, wide: list[str]) -> DataFrame:
     """Put the tail values into ``rows``, which say for each ``wide`` column where a row falls: ``_tail:c`` in [0, 1), null if it has
     a value or none at all, and ``_slice:c``. ``_fitted`` names the group a row was drawn from."""
     for c in wide:
-        mine = tails.where(F.col("column") == c).select(F.col(GROUP).alias("_fitted"), F.col("slice").alias(f"_slice:{c}"), "value", "lower", "upper")
+        mine = tails.where(F.col("column") == c).select(F.col(GROUP).alias("_fitted"), F.col("slice").alias(f"_slice:{c}"), "value", "before", "after", "total")
         at = F.col(f"_tail:{c}")
-        found = [rows["_fitted"] == mine["_fitted"], rows[f"_slice:{c}"] == mine[f"_slice:{c}"], at >= F.col("lower"), at < F.col("upper")]
+        found = [rows["_fitted"] == mine["_fitted"], rows[f"_slice:{c}"] == mine[f"_slice:{c}"], at >= F.col("before") / F.col("total"), at < F.col("after") / F.col("total")]
         joined = rows.join(mine, found, "left").drop(mine["_fitted"], mine[f"_slice:{c}"])
-        rows = joined.withColumn(c, F.coalesce(F.col(f"`{c}`"), F.col("value"))).drop("value", "lower", "upper", f"_tail:{c}", f"_slice:{c}")
+        rows = joined.withColumn(c, F.coalesce(F.col(f"`{c}`"), F.col("value"))).drop("value", "before", "after", "total", f"_tail:{c}", f"_slice:{c}")
     return rows.drop("_fitted")

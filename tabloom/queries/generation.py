@@ -207,13 +207,14 @@ def copula_many_categories(spark, folder):
     """As many rows as there are real ones: only known values, the frequent one with its share (within 0.01), and as many different
     ones as draws with the real shares give on average (within 1%)."""
     real = _items(spark, folder)
-    made = classes.generate_pooled(real, ["item", "l_quantity"], real.count(), SEED).rows
-    counts = real.groupBy("item").agg(F.count(F.lit(1)).alias("k"))
     n = real.count()
-    want = counts.agg(F.max(F.when(F.col("item") == "first", F.col("k") / n)), F.sum(1 - F.pow(1 - F.col("k") / n, F.lit(n)))).first()
-    drawn = made.groupBy("item").agg(F.count(F.lit(1)).alias("m")).join(counts, "item", "left")
-    got = drawn.agg(F.sum("m"), F.sum(F.when(F.col("k").isNotNull(), F.col("m"))), F.max(F.when(F.col("item") == "first", F.col("m"))), F.count(F.lit(1))).first()
-    row = (got[0], got[1], round(_near(got[2] / n, want[0], 0.01), 6), round(_near(got[3], want[1], 0.01 * want[1]), 4))
+    made = materialize(classes.generate_pooled(real, ["item", "l_quantity"], n, SEED).rows.select("item"))
+    both = real.select("item", F.lit(1).alias("k"), F.lit(0).alias("m")).unionAll(made.select("item", F.lit(0), F.lit(1)))  # counted in one shuffle
+    share, k, m, first = F.col("k") / n, F.col("k"), F.col("m"), F.col("item") == "first"
+    got = both.groupBy("item").agg(F.sum("k").alias("k"), F.sum("m").alias("m")).agg(
+        F.max(F.when(first, share)).alias("first"), F.sum(F.when(k > 0, 1 - F.pow(1 - share, F.lit(n)))).alias("expected"), F.sum("m").alias("rows"),
+        F.sum(F.when(k > 0, m)).alias("known"), F.max(F.when(first & (m > 0), m)).alias("drawn"), F.count_if(m > 0).alias("different")).first()
+    row = (got["rows"], got["known"], round(_near(got["drawn"] / n, got["first"], 0.01), 6), round(_near(got["different"], got["expected"], 0.01 * got["expected"]), 4))
     return small_frame(spark, [row], "rows long, known long, first_share double, different double")
 
 
